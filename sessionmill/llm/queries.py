@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sessionmill.llm.near_dedup import near_duplicates
 from sessionmill.llm.packing import pack
+from sessionmill.llm.toxicity import toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +28,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op9_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op9_minhash_near_dedup, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
