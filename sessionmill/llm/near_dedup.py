@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
     members = stored(clusters.join(reps.select("rep", "key_1", "key_2", "n_shingles"), "rep"), "clusters")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(node_limit)), F.ceil(F.sum("n_shingles") / F.lit(1_000_000))).cast("bigint").alias("blocks"))
     wanted = members.join(sizes, "cluster").select("rep", "cluster", "blocks", "key_1", "key_2")
-    texts = docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "cluster", "blocks", "key_1", "key_2", "text")
+    texts = docs.join(wanted.hint("merge"), docs.doc_id == wanted.rep).select("rep", "cluster", "blocks", "key_1", "key_2", "text")
     sets = texts.mapInArrow(_sets(shingle), "rep long, cluster long, blocks long, items binary")
     checked = _block_pairs(sets, "cluster", F.col("blocks")).select("rep", "cluster", "i", "j", "items").mapInArrow(_exact_edges(percent), "u long, v long")
 
