@@ -250,7 +250,7 @@ def _leaves(reps: DataFrame, trees: int, branches: int, node_limit: int, levels:
     return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees: int = 4, branches: int = 2, node_limit: int = 1000, levels: int = 5, slack: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees: int = 3, branches: int = 2, node_limit: int = 1000, levels: int = 5, slack: float = 0.2) -> DataFrame:
     """Components of documents whose shingle sets satisfy 100 * intersection >= percent * union.
 
     ``docs`` needs ``doc_id`` (long) and ``text``; other columns are ignored.
