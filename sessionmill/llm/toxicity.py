@@ -213,7 +213,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().distinct()
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    tables = train(docs.where(fold > 1).join(labels.where(fold > 1), "doc_id"))
+    tables = train(docs.where(fold > 1).join(labels.where(fold > 1).hint("merge"), "doc_id"))
     shared = spark.sparkContext.broadcast(tables)
     compared = stored(docs.mapInArrow(_features(shared), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "evidence")
     sample = compared.where(fold == 1).join(labels.where(fold == 1), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fit_rows).toPandas()
