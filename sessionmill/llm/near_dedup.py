@@ -225,15 +225,18 @@ def _block_pairs(df: DataFrame, key: str, blocks: Column) -> DataFrame:
     return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def _leaves(reps: DataFrame, trees: int, branches: int, node_limit: int, levels: int) -> DataFrame:
+def _leaves(reps: DataFrame, trees: int, branches: int, node_limit: int, levels: int, similarity: float) -> DataFrame:
     """(rep, node, n) of every node of two documents or more that is compared, over all trees."""
 
-    def branch(parents: DataFrame) -> DataFrame:
+    def branch(parents: DataFrame, more: float = 1.0) -> DataFrame:
+        """A child for each position that the node draws: the first, and each further one with probability ``more``."""
+
         def child(k: Column) -> Column:
             place = F.pmod(F.xxhash64("node", k), F.lit(POSITIONS)).cast("int")
             return F.xxhash64("node", place, F.element_at("sig", place + 1))
 
-        return parents.select("rep", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, range(branches))), child))).alias("node"))
+        drawn = F.filter(F.array(*map(F.lit, range(branches))), lambda k: (k == 0) | (F.pmod(F.xxhash64("node", k, F.lit("draw")), F.lit(1000)) < int(1000 * more)))
+        return parents.select("rep", F.explode(F.array_distinct(F.transform(drawn, child))).alias("node"))
 
     roots = reps.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(f"tree {t}")) for t in range(trees)])))
     level, found = branch(roots), None
@@ -246,11 +249,11 @@ def _leaves(reps: DataFrame, trees: int, branches: int, node_limit: int, levels:
         large = level.where(F.col("n") > node_limit)
         if last or large.isEmpty():
             return found
-        level = branch(large.select("rep", "node").join(reps.select("rep", "sig"), "rep"))
+        level = branch(large.select("rep", "node").join(reps.select("rep", "sig"), "rep"), (1 / similarity - 1) / max(1, branches - 1))
     return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees: int = 3, branches: int = 2, node_limit: int = 1000, levels: int = 5, slack: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees: int = 3, branches: int = 2, node_limit: int = 4096, block_limit: int = 1000, levels: int = 5, slack: float = 0.2) -> DataFrame:
     """Components of documents whose shingle sets satisfy 100 * intersection >= percent * union.
 
     ``docs`` needs ``doc_id`` (long) and ``text``; other columns are ignored.
@@ -258,9 +261,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
     doc_id reachable), kept (doc_id = component_id).
 
     Equal sets form one class up front, so copies never meet in a node. Nodes
-    above ``node_limit`` branch again, up to ``levels``; what is still large then
-    is compared in pairs of blocks, so no task holds more than two blocks and
-    nothing is capped. ``slack`` is how far a signature's estimate may fall below
+    above ``node_limit`` branch again, up to ``levels``, below the first level into
+    1 / similarity children on average, at which a pair at the threshold is
+    expected to stay together in one. What is still large then, and clusters of
+    more than ``block_limit`` sets, are compared in pairs of blocks, so no task
+    holds more than two blocks and nothing is capped. ``slack`` is how far a signature's estimate may fall below
     the threshold (over four standard deviations for 64 positions).
 
     Null or empty texts have no shingles and are linked with nothing; they are
@@ -275,14 +280,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
     linked = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = stored(linked.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
 
-    leaves = _leaves(reps, trees, branches, node_limit, levels)
+    leaves = _leaves(reps, trees, branches, node_limit, levels, percent / 100)
     blocks = F.ceil(F.col("n") / F.lit(node_limit)).cast("bigint")
     dealt = _block_pairs(leaves.join(reps.select("rep", "n_shingles", "sig"), "rep"), "node", blocks)
     close = dealt.select("rep", "n_shingles", "sig", "node", "i", "j").mapInArrow(_sketch_edges(percent, slack), "u long, v long")
 
     clusters = components(close).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     members = stored(clusters.join(reps.select("rep", "key_1", "key_2", "n_shingles"), "rep"), "clusters")
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(node_limit)), F.ceil(F.sum("n_shingles") / F.lit(1_000_000))).cast("bigint").alias("blocks"))
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(block_limit)), F.ceil(F.sum("n_shingles") / F.lit(1_000_000))).cast("bigint").alias("blocks"))
     wanted = members.join(sizes, "cluster").select("rep", "cluster", "blocks", "key_1", "key_2")
     texts = docs.join(wanted.hint("merge"), docs.doc_id == wanted.rep).select("rep", "cluster", "blocks", "key_1", "key_2", "text")
     sets = texts.mapInArrow(_sets(shingle), "rep long, cluster long, blocks long, items binary")
