@@ -46,8 +46,16 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
+        """Only the empty entry 0 is left."""
         self.place: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.ids, self.lengths = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.known = 1
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(words, range(self.known, self.known + len(words)), strict=True))
+        self.known += len(words)
+        self.ids.append(ids)
+        self.lengths.append(lengths)
 
     def learn(self, words: list[str]) -> None:
         """Plain lower-case words are one token run each and are encoded many to a text; others one by one."""
@@ -56,39 +64,37 @@ class WordIds:
         for a in range(0, len(runs), 2000):
             part = runs[a : a + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
                 raise ValueError("the tokenizer does not end each word with an end-of-word token")
-            self._add(part, np.split(ids, cuts[:-1]))
+            self._add(part, ids, np.diff(ends, prepend=0))
         others = [w for w, p in zip(words, plain, strict=True) if not p]
-        self._add(others, [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)])
-
-    def _add(self, words: list[str], ids: list[np.ndarray]) -> None:
-        self.place.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
-        self.ids += ids
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        self._add(others, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.place) > self.most:
-            self.forget()
+    def entries(self, words: list[str]) -> np.ndarray:
+        """The entry of each word; what is not known yet is learnt."""
         self.learn([w for w in dict.fromkeys(words) if w not in self.place])
-        return [self.ids[self.place[w]] for w in words]
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin."""
+        if self.known > self.most:
+            self.forget()
         codes, starts, words = split_words(texts, lower=False)
         words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
-        words = words.dictionary_encode()
-        codes, words = words.indices.to_numpy(zero_copy_only=False)[codes], words.dictionary
         parts = pc.extract_regex(words, r"^(?P<stem>.*\p{L})(?P<tail>[,.;:!?]+)$")
-        stem = pc.if_else(pc.is_valid(parts), pc.struct_field(parts, 0), words)
-        tail = pc.fill_null(pc.if_else(pc.is_valid(parts), pc.struct_field(parts, 1), ""), "")
-        found = self.of(stem.to_pylist() + [t for t in tail.unique().to_pylist() if t])
-        ends = {t: self.ids[self.place[t]] for t in tail.unique().to_pylist() if t}
-        each = [np.concatenate((s, ends[t])) if t else s for s, t in zip(found, tail.to_pylist(), strict=False)]
-        length = np.array([len(x) for x in each], np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
-        at = np.cumsum(length) - length
-        return flat[ragged(at[codes], length[codes])], np.concatenate(([0], np.cumsum(segment_sum(length[codes], starts))))
+        cut = pc.is_valid(parts)
+        stems = pc.if_else(cut, pc.struct_field(parts, 0), words).dictionary_encode()
+        tails = pc.if_else(cut, pc.struct_field(parts, 1), "").dictionary_encode()
+        stem = self.entries(stems.dictionary.to_pylist())[stems.indices.to_numpy(zero_copy_only=False)]
+        tail = self.entries(tails.dictionary.to_pylist())[tails.indices.to_numpy(zero_copy_only=False)]
+        self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
+        pair, length = np.column_stack((stem, tail)).ravel(), self.lengths[0]
+        flat = self.ids[0][ragged((np.cumsum(length) - length)[pair], length[pair])]
+        each = length[stem] + length[tail]
+        at = np.cumsum(each) - each
+        return flat[ragged(at[codes], each[codes])], np.concatenate(([0], np.cumsum(segment_sum(each[codes], starts))))
 
 
 def _pieces(tokenizer_json, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -45,17 +45,17 @@ WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 OP1_SQL = f"""
 WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
-at AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM words, unnest(range(1, len(w) + 1)) AS r(i)),
-one AS (SELECT word, count(*) AS n FROM at GROUP BY word),
-two AS (SELECT prev, word, count(*) AS n FROM at WHERE prev IS NOT NULL GROUP BY prev, word),
-own1 AS (SELECT doc_id, word, count(*) AS n FROM at GROUP BY doc_id, word),
-own2 AS (SELECT doc_id, prev, word, count(*) AS n FROM at WHERE prev IS NOT NULL GROUP BY doc_id, prev, word),
+placed AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM words, unnest(range(1, len(w) + 1)) AS r(i)),
+one AS (SELECT word, count(*) AS n FROM placed GROUP BY word),
+two AS (SELECT prev, word, count(*) AS n FROM placed WHERE prev IS NOT NULL GROUP BY prev, word),
+own1 AS (SELECT doc_id, word, count(*) AS n FROM placed GROUP BY doc_id, word),
+own2 AS (SELECT doc_id, prev, word, count(*) AS n FROM placed WHERE prev IS NOT NULL GROUP BY doc_id, prev, word),
 size AS (SELECT doc_id, len(w) AS n FROM words), total AS (SELECT sum(n) AS n FROM size),
 counted AS (
-  SELECT at.doc_id, at.prev, o.n - p.n AS c1, coalesce(t.n - q.n, 0) AS c2, greatest(coalesce(op.n - pp.n, 1), 1) AS context, greatest(total.n - size.n, 1) AS rest
-  FROM at JOIN one o USING (word) JOIN own1 p ON p.doc_id = at.doc_id AND p.word = at.word JOIN size ON size.doc_id = at.doc_id CROSS JOIN total
-  LEFT JOIN two t ON t.prev = at.prev AND t.word = at.word LEFT JOIN own2 q ON q.doc_id = at.doc_id AND q.prev = at.prev AND q.word = at.word
-  LEFT JOIN one op ON op.word = at.prev LEFT JOIN own1 pp ON pp.doc_id = at.doc_id AND pp.word = at.prev),
+  SELECT x.doc_id, x.prev, o.n - p.n AS c1, coalesce(t.n - q.n, 0) AS c2, greatest(coalesce(op.n - pp.n, 1), 1) AS context, greatest(total.n - size.n, 1) AS rest
+  FROM placed x JOIN one o USING (word) JOIN own1 p ON p.doc_id = x.doc_id AND p.word = x.word JOIN size ON size.doc_id = x.doc_id CROSS JOIN total
+  LEFT JOIN two t ON t.prev = x.prev AND t.word = x.word LEFT JOIN own2 q ON q.doc_id = x.doc_id AND q.prev = x.prev AND q.word = x.word
+  LEFT JOIN one op ON op.word = x.prev LEFT JOIN own1 pp ON pp.doc_id = x.doc_id AND pp.word = x.prev),
 logs AS (SELECT doc_id, ln(CASE WHEN c2 > 0 THEN c2::DOUBLE / context ELSE (CASE WHEN prev IS NULL THEN 1 ELSE 0.4 END) * (CASE WHEN c1 > 0 THEN c1 ELSE 0.4 END)::DOUBLE / rest END) AS l FROM counted)
 SELECT size.doc_id, size.n::BIGINT AS n_words, round(avg(l), 6) AS score FROM size LEFT JOIN logs ON logs.doc_id = size.doc_id GROUP BY size.doc_id, size.n
 """
