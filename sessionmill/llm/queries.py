@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionmill.llm.lm_score import lm_scores
+from sessionmill.llm.mixing import mix
 from sessionmill.llm.near_dedup import near_duplicates
 from sessionmill.llm.packing import pack
 from sessionmill.llm.token_counts import token_counts
@@ -26,6 +28,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Domains of the sources, by the number in a source's name modulo four.
+DOMAINS = ("web", "books", "code", "forum")
+WEIGHTS = {"domain": {"web": 4, "books": 3, "code": 2, "forum": 1}, "lang": {"en": 4, "de": 3, "fr": 2, "es": 1}}
+SHARE, EPOCHS, SEED = 0.6, 2, 17
+
+
+def domain() -> Column:
+    number = F.regexp_extract("source", "([0-9]{1,9})$", 1)
+    return F.when(number != "", F.element_at(F.array(*map(F.lit, DOMAINS)), (number.cast("int") % 4) + 1))
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), domain(), WEIGHTS, SHARE, EPOCHS, SEED)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -38,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_toxicity, op7_token_counts, op9_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_toxicity, op6_mixing_sources, op7_token_counts, op9_minhash_near_dedup, op10_best_fit_packing)}
 
 #: Words between ASCII white space, A-Z in lower case.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -60,4 +77,32 @@ logs AS (SELECT doc_id, ln(CASE WHEN c2 > 0 THEN c2::DOUBLE / context ELSE (CASE
 SELECT size.doc_id, size.n::BIGINT AS n_words, round(avg(l), 6) AS score FROM size LEFT JOIN logs ON logs.doc_id = size.doc_id GROUP BY size.doc_id, size.n
 """
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL}
+def _split_sql(name: str, keys: list[str], parent: list[str], weights: dict[str, float], budget: str, source: str) -> str:
+    """The budgets of one level of the tree, as a common table expression."""
+    own, above = ", ".join(keys), ", ".join(parent)
+    by = f"PARTITION BY {above} " if parent else ""
+    cases = " ".join(f"WHEN {name} = '{k}' THEN {float(v)}" for k, v in weights.items())
+    weight = f"CASE {cases} ELSE 1.0 END" if cases else "1.0"
+    joined = f"JOIN {source} USING ({above})" if parent else ""
+    return f"""
+{name}_nodes AS (SELECT {own}, sum(available) AS available, (sum(available) * {EPOCHS})::BIGINT AS capacity, ({weight})::DOUBLE AS weight FROM leaves GROUP BY {own}),
+{name}_level AS (SELECT *, {budget} AS given, ({budget} - coalesce(sum(capacity) OVER ({by}ORDER BY capacity / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER ({by}ORDER BY capacity / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * weight >= capacity AS is_full FROM {name}_nodes {joined}),
+{name}_budget AS (SELECT {own}, available, CASE WHEN is_full THEN capacity ELSE floor((given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({by})) * weight
+  / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}))::BIGINT END AS {name}_given FROM {name}_level)"""
+
+
+OP6_SQL = f"""
+WITH told AS (SELECT doc_id, coalesce(CASE regexp_extract(source, '([0-9]{{1,9}})$', 1)::INTEGER % 4 {" ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DOMAINS))} END, '(none)') AS domain,
+  coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS available FROM told WHERE n_tokens > 0 GROUP BY domain, lang, source),
+total AS (SELECT floor(sum(available) * {SHARE})::BIGINT AS tokens FROM leaves),
+{_split_sql("domain", ["domain"], [], WEIGHTS["domain"], "(SELECT tokens FROM total)", "")},
+{_split_sql("lang", ["domain", "lang"], ["domain"], WEIGHTS["lang"], "domain_given", "(SELECT domain, domain_given FROM domain_budget)")},
+{_split_sql("source", ["domain", "lang", "source"], ["domain", "lang"], {}, "lang_given", "(SELECT domain, lang, lang_given FROM lang_budget)")},
+ordered AS (SELECT told.*, epoch, source_given AS budget, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, md5(concat('{SEED}:', epoch, ':', doc_id)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM told JOIN source_budget USING (domain, lang, source) CROSS JOIN unnest(range({EPOCHS})) AS e(epoch) WHERE n_tokens > 0)
+SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, start, n_tokens, least(n_tokens, budget - start)::BIGINT AS taken FROM ordered WHERE start < budget
+"""
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_mixing_sources": OP6_SQL}
