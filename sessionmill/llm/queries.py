@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionmill.llm.licenses import scan
 from sessionmill.llm.lm_score import lm_scores
 from sessionmill.llm.mixing import mix
 from sessionmill.llm.near_dedup import near_duplicates
@@ -47,6 +48,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,7 +61,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_toxicity, op6_mixing_sources, op7_token_counts, op9_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_toxicity, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing)}
 
 #: Words between ASCII white space, A-Z in lower case.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
