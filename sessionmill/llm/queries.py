@@ -11,6 +11,7 @@ from sessionmill.llm.lm_score import lm_scores
 from sessionmill.llm.mixing import mix
 from sessionmill.llm.near_dedup import near_duplicates
 from sessionmill.llm.packing import pack
+from sessionmill.llm.pii import personal_data
 from sessionmill.llm.token_counts import token_counts
 from sessionmill.llm.toxicity import toxicity
 
@@ -25,6 +26,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +42,7 @@ SHARE, EPOCHS, SEED = 0.6, 2, 17
 
 def domain() -> Column:
     number = F.regexp_extract("source", "([0-9]{1,9})$", 1)
-    return F.when(number != "", F.element_at(F.array(*map(F.lit, DOMAINS)), (number.cast("int") % 4) + 1))
+    return F.when(number != "", F.element_at(F.array(*map(F.lit, DOMAINS)), (number.try_cast("int") % 4) + 1))
 
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_toxicity, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_pii_boosting, op4_toxicity, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing)}
 
 #: Words between ASCII white space, A-Z in lower case.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
