@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionmill.llm.ann import neighbours
 from sessionmill.llm.licenses import scan
 from sessionmill.llm.lm_score import lm_scores
 from sessionmill.llm.mixing import mix
@@ -34,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 #: Domains of the sources, by the number in a source's name modulo four.
 DOMAINS = ("web", "books", "code", "forum")
 WEIGHTS = {"domain": {"web": 4, "books": 3, "code": 2, "forum": 1}, "lang": {"en": 4, "de": 3, "fr": 2, "es": 1}}
@@ -66,7 +71,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_pii_boosting, op4_toxicity, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_pii_boosting, op4_toxicity, op5_nearest_neighbours, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing)}
 
 #: Words between ASCII white space, A-Z in lower case.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
