@@ -74,14 +74,14 @@ def signatures(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _profiles(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _profiles(size: int, carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             sets, starts = shingle_sets(batch["text"], size)
             a, b = set_keys(sets, starts)
             sig = signatures(sets, starts)
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * POSITIONS), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(starts)), pa.array(a), pa.array(b), sig], names=["doc_id", "n_shingles", "key_1", "key_2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(starts)), pa.array(a), pa.array(b), sig, *[batch[c] for c in carry]], names=["doc_id", "n_shingles", "key_1", "key_2", "sig", *carry])
 
     return run
 
@@ -253,7 +253,7 @@ def _leaves(reps: DataFrame, trees: int, branches: int, node_limit: int, levels:
     return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees: int = 3, branches: int = 2, node_limit: int = 4096, block_limit: int = 1000, levels: int = 5, slack: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees: int = 3, branches: int = 2, node_limit: int = 4096, block_limit: int = 1000, levels: int = 5, slack: float = 0.2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Components of documents whose shingle sets satisfy 100 * intersection >= percent * union.
 
     ``docs`` needs ``doc_id`` (long) and ``text``; other columns are ignored.
@@ -266,7 +266,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
     expected to stay together in one. What is still large then, and clusters of
     more than ``block_limit`` sets, are compared in pairs of blocks, so no task
     holds more than two blocks and nothing is capped. ``slack`` is how far a signature's estimate may fall below
-    the threshold (over four standard deviations for 64 positions).
+    the threshold (over four standard deviations for 64 positions). ``carry`` names
+    long columns of ``docs`` that the result keeps.
 
     Null or empty texts have no shingles and are linked with nothing; they are
     kept. Rows without doc_id are linked with nothing: their component_id is null
@@ -275,8 +276,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
     table gives an empty result.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    profile = stored(docs.mapInArrow(_profiles(shingle), "doc_id long, n_shingles long, key_1 long, key_2 long, sig array<int>"), "profiles")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
+    kinds = ", ".join(["doc_id long, n_shingles long, key_1 long, key_2 long, sig array<int>", *[f"{c} long" for c in carry]])
+    profile = stored(docs.mapInArrow(_profiles(shingle, list(carry)), kinds), "profiles")
     linked = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = stored(linked.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
 
@@ -295,6 +297,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
 
     joined = components(checked)
     of_class = reps.join(joined, reps.rep == joined.node, "left").select("key_1", "key_2", F.coalesce("component", "rep").alias("component_id"))
-    known = linked.select("doc_id", "n_shingles", "key_1", "key_2").join(of_class, ["key_1", "key_2"], "left").select("doc_id", "n_shingles", "component_id")
-    alone = profile.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    known = linked.drop("sig").join(of_class, ["key_1", "key_2"], "left").select("doc_id", "n_shingles", "component_id", *carry)
+    alone = profile.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *carry)
     return known.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

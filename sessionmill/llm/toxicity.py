@@ -172,10 +172,10 @@ def _ranked(codes: np.ndarray, starts: np.ndarray, strength: np.ndarray) -> list
     return out
 
 
-def _features(tables) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _features(tables, carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x) for x in compare(batch["text"], tables.value)]], names=["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x) for x in compare(batch["text"], tables.value)], *[batch[c] for c in carry]], names=["doc_id", *FEATURES, *carry])
 
     return run
 
@@ -193,14 +193,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows: int = 20_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Scores every whole text of ``docs``; learns from ``labels(doc_id, toxic)``.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is 0 are held out and never
     learned from. Remainder 1 fits the logistic weights, on the ``most_fit_rows``
     labelled rows of least hash; all other labelled rows are counted by the models.
     Returns doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), and
-    the compared FEATURES.
+    the compared FEATURES. ``carry`` names long columns of ``docs`` that the result keeps.
 
     Null or empty texts have no evidence and get the score of none. Null labels are
     not learned from, and a doc_id labelled both ways counts for both. A null
@@ -210,12 +210,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows:
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().distinct()
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    tables = train(docs.where(fold > 1).join(labels.where(fold > 1).hint("merge"), "doc_id"))
+    tables = train(docs.select("doc_id", "text").where(fold > 1).join(labels.where(fold > 1).hint("merge"), "doc_id"))
     shared = spark.sparkContext.broadcast(tables)
-    compared = stored(docs.mapInArrow(_features(shared), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "evidence")
+    compared = stored(docs.mapInArrow(_features(shared, list(carry)), ", ".join(["doc_id long", *[f"{f} double" for f in FEATURES], *[f"{c} long" for c in carry]])), "evidence")
     sample = compared.where(fold == 1).join(labels.where(fold == 1), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fit_rows).toPandas()
     score = F.lit(0.0)
     if sample.toxic.nunique() == 2:
@@ -223,4 +223,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows:
         w = logistic(x[FEATURES].to_numpy(), x.toxic.to_numpy(np.float64)).tolist()
         score = 1 / (1 + F.exp(-sum((F.lit(a) * F.col(f) for a, f in zip(w, FEATURES, strict=False)), F.lit(w[-1]))))
     scored = compared.withColumn("score", score)
-    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES, *carry)
