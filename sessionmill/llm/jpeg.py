@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sessionmill.llm.session import prepare
 from sessionmill.llm.words import ragged, text_batches
 
-SCALE = 13
+SCALE = 20
 RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 NEXT_MARKER = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
 
