@@ -5,7 +5,400 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from sessionmill.functions.paths import relative, resolved
+from sessionmill.functions.text import decided_language, status_kind, superseded_id
+from sessionmill.operators import candidates as cand
+from sessionmill.operators import compress, index, items, ledger, profile, regions, similarity, telemetry
+from sessionmill.plans import adapters as A
+from sessionmill.sources import transcripts
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(f"""WITH {A.BLOCKS},
+cwds AS (SELECT session_id, cwd, count(DISTINCT seq) AS n, min(seq) AS first FROM blocks GROUP BY session_id, cwd),
+best AS (SELECT session_id, arg_max(cwd, n * 1000000000 - first) AS cwd, count(*) AS n_cwds FROM cwds GROUP BY session_id),
+sizes AS (SELECT session_id, count(DISTINCT seq) AS message_count, count(DISTINCT CASE WHEN role = 'user' AND kind = 'text' AND text <> '' THEN seq END) AS user_turns,
+  round(sum(length(coalesce(CASE WHEN kind = 'tool_use' THEN input_json ELSE text END, ''))) / 3.5)::BIGINT AS tokens, bool_or(is_error) AS has_errors, count(*) FILTER (tool_name = 'Read') AS tools_read, 0::BIGINT AS tools_write, count(*) FILTER (tool_name = 'Edit') AS tools_edit,
+  count(*) FILTER (tool_name = 'Bash') AS tools_bash, 0::BIGINT AS tools_other, count(*) FILTER (kind = 'tool_use') AS uses, sum(CASE WHEN kind = 'text' THEN len(regexp_extract_all(text, '[가-힣]')) ELSE 0 END) AS hangul, sum(CASE WHEN kind = 'text' THEN len(regexp_extract_all(text, '[A-Za-z]')) ELSE 0 END) AS letters FROM blocks GROUP BY session_id)
+SELECT session_id, message_count, user_turns, tokens, has_errors, tools_read, tools_write, tools_edit, tools_bash, tools_other, CASE WHEN hangul + letters = 0 THEN 'mixed' WHEN 2 * hangul >= hangul + letters THEN 'ko' ELSE 'en' END AS language,
+  CASE WHEN user_turns < 3 THEN 'few-user-turns' WHEN uses = 0 THEN 'no-tools' WHEN uses = tools_read THEN 'read-only' END AS skip_reason, cwd, n_cwds FROM sizes JOIN best USING (session_id)""")
+def session_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1, P8, A1-A3, F1, F2."""
+    return profile.session_profile(A.blocks(spark, sf_dir))
+
+
+@query(f"""WITH {A.BLOCKS}, used AS (SELECT session_id, seq, tool_name, regexp_extract(input_json, ':"(.*)"', 1) AS path FROM blocks WHERE kind = 'tool_use'),
+p AS (SELECT session_id, path, min(seq) AS first FROM used GROUP BY session_id, path), t AS (SELECT session_id, tool_name, min(seq) AS first FROM used GROUP BY session_id, tool_name)
+SELECT session_id, (SELECT string_agg(path, ',' ORDER BY first) FROM p WHERE p.session_id = u.session_id) AS paths, (SELECT string_agg(tool_name, ',' ORDER BY first) FROM t WHERE t.session_id = u.session_id) AS tools FROM (SELECT DISTINCT session_id FROM used) u""")
+def touched_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, A5."""
+    return profile.touched(A.blocks(spark, sf_dir)).select("session_id", F.array_join("paths", ",").alias("paths"), F.array_join("tools", ",").alias("tools"))
+
+
+@query(f"""WITH {A.BLOCKS}, asked AS (SELECT session_id, arg_min(text, seq) AS prompt, min(seq) AS first FROM blocks WHERE role = 'user' AND kind = 'text' AND text <> '' GROUP BY session_id),
+tools AS (SELECT session_id, string_agg(tool_name, ', ' ORDER BY first) AS tools FROM (SELECT session_id, tool_name, min(seq) AS first FROM blocks WHERE kind = 'tool_use' GROUP BY session_id, tool_name) GROUP BY session_id),
+members AS (SELECT DISTINCT session_id, seq FROM blocks WHERE kind = 'tool_use' UNION SELECT session_id, first FROM asked)
+SELECT s.session_id, concat(coalesce(prompt, '(no user prompt)'), chr(10), coalesce('Tools used: ' || tools, '(no tools)')) AS content, (SELECT count(*) FROM members m WHERE m.session_id = s.session_id) AS message_count_after
+FROM (SELECT DISTINCT session_id FROM blocks) s LEFT JOIN asked USING (session_id) LEFT JOIN tools USING (session_id)""")
+def summary_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6, F9 (summary), W7."""
+    return compress.summary(A.blocks(spark, sf_dir))
+
+
+TARGET = 250
+
+
+@query(f"""WITH {A.BLOCKS},
+m AS (SELECT session_id, seq, role, concat('=== ', role, ' ', left(uuid, 8), ' @ (no-ts)', CASE WHEN is_sidechain THEN ' sidechain' ELSE '' END, ' ===') AS h,
+  CASE kind WHEN 'text' THEN text WHEN 'tool_use' THEN concat('[Tool: ', tool_name, '] ', input_json) ELSE concat('[Result error] ', text) END AS whole,
+  CASE kind WHEN 'tool_use' THEN concat('[Tool: ', tool_name, '] keys=[file_path]') WHEN 'tool_result' THEN concat('[Result error] ', CASE WHEN length(text) > 200 THEN concat(left(text, 200), ' ... [+', length(text) - 200, ' chars]') ELSE text END)
+    ELSE CASE WHEN role = 'assistant' AND length(text) > 800 THEN concat(left(text, 400), ' ... [truncated ', length(text) - 600, ' chars] ... ', right(text, 200)) ELSE text END END AS one,
+  CASE kind WHEN 'tool_use' THEN concat('[Tool: ', tool_name, '] keys=[file_path]') WHEN 'tool_result' THEN concat('[Result error] ', CASE WHEN length(text) > 200 THEN concat(left(text, 200), ' ... [+', length(text) - 200, ' chars]') ELSE text END)
+    ELSE CASE WHEN role = 'assistant' AND length(text) > 200 THEN concat(left(text, 200), ' ... [truncated ', length(text) - 200, ' chars]') ELSE text END END AS two FROM blocks),
+w AS (SELECT *, length(h) + length(whole) + 2 AS ww, length(h) + length(one) + 2 AS w1, length(h) + length(two) + 2 AS w2 FROM m),
+t AS (SELECT *, sum(ww) OVER s - 1 AS tw, sum(w1) OVER s - 1 AS t1, sum(w2) OVER s - 1 AS t2, coalesce(sum(CASE WHEN role = 'assistant' THEN w2 END) OVER s, 0) AS every,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN w2 END) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS older FROM w WINDOW s AS (PARTITION BY session_id)),
+p AS (SELECT *, CASE WHEN round(tw / 3.5) <= {TARGET} THEN 0 WHEN round(t1 / 3.5) <= {TARGET} THEN 1 WHEN round(t2 / 3.5) <= {TARGET} THEN 2 WHEN round(greatest(t2 - every, 0) / 3.5) <= {TARGET} THEN 3 ELSE 4 END AS pass FROM t),
+k AS (SELECT *, CASE WHEN pass IN (1, 2) OR pass = 3 AND (role <> 'assistant' OR round(greatest(t2 - older, 0) / 3.5) <= {TARGET}) THEN concat(h, chr(10), CASE WHEN pass = 1 THEN one ELSE two END) END AS told FROM p),
+g AS (SELECT session_id, pass, count(told) AS n, coalesce(string_agg(told, chr(10) ORDER BY seq), '') AS content FROM k GROUP BY session_id, pass)
+SELECT session_id, CASE pass WHEN 0 THEN 'fits_already' WHEN 4 THEN 'compression_infeasible' ELSE 'ok' END AS outcome, pass, CASE WHEN pass BETWEEN 1 AND 3 THEN n END AS message_count_after, CASE WHEN pass BETWEEN 1 AND 3 THEN round(length(content) / 3.5)::BIGINT END AS estimated_tokens, CASE WHEN pass BETWEEN 1 AND 3 THEN content END AS content FROM g""")
+def compressed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4-F9, W1."""
+    return compress.compressed(A.blocks(spark, sf_dir), TARGET)
+
+
+@query(f"""WITH {A.PATHS}, parts AS (SELECT DISTINCT path AS cwd, string_split(path, '/') AS s FROM paths), up AS (SELECT cwd, len(s) - k AS steps, array_to_string(s[1:k], '/') AS dir FROM parts, unnest(range(2, len(s) + 1)) AS r(k)),
+stop AS (SELECT cwd, min(steps) AS last FROM up JOIN boundaries USING (dir) GROUP BY cwd),
+chain AS (SELECT up.cwd, kb_path, kb_dir, 1 AS part, steps FROM up LEFT JOIN stop USING (cwd) JOIN registry ON kb_dir = dir WHERE last IS NULL OR steps <= last
+  UNION ALL SELECT cwd, kb_path, kb_dir, 0, 0 FROM parts JOIN registry ON starts_with(kb_dir, cwd || '/')),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cwd ORDER BY part, steps, kb_dir) - 1 AS position FROM chain)
+SELECT cwd, position::INTEGER AS position, kb_path, position = max(position) OVER (PARTITION BY cwd) AS is_root, len(string_split(kb_dir, '/')) - 1 AS depth,
+  CASE WHEN part = 0 THEN substr(kb_dir, length(cwd) + 2) WHEN steps = 0 THEN '.' ELSE rtrim(repeat('../', steps::INTEGER), '/') END AS relative_to_cwd FROM placed""")
+def kb_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3, T5, U1."""
+    paths = A.page_paths(spark, sf_dir)
+    return regions.chains(paths.select(F.col("path").alias("cwd")), A.registry(paths), A.boundaries(paths))
+
+
+@query(f"""WITH {A.PATHS}, p AS (SELECT DISTINCT path FROM paths) SELECT path, (SELECT arg_max(kb_path, length(kb_dir)) FROM registry WHERE path = kb_dir OR starts_with(path, kb_dir || '/')) AS kb_path, (SELECT arg_max(kb_dir, length(kb_dir)) FROM registry WHERE path = kb_dir OR starts_with(path, kb_dir || '/')) AS kb_dir FROM p""")
+def path_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4, P7."""
+    paths = A.page_paths(spark, sf_dir)
+    return regions.owners(paths, A.registry(paths))
+
+
+@query(f"""WITH {A.PATHS}, o AS (SELECT page_id % 90 AS item_key, (SELECT arg_max(kb_path, length(kb_dir)) FROM registry WHERE path = kb_dir OR starts_with(path, kb_dir || '/')) AS kb_path FROM paths)
+SELECT item_key, CASE WHEN count(DISTINCT kb_path) = 1 THEN min(kb_path) END AS kb_path FROM o GROUP BY item_key""")
+def item_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12."""
+    paths = A.page_paths(spark, sf_dir)
+    return regions.routes(paths.select((F.col("page_id") % 90).alias("item_key"), "path"), A.registry(paths))
+
+
+@query(f"""WITH {A.PATHS} SELECT r.kb_path, coalesce('**,' || (SELECT string_agg('!' || substr(c.kb_dir, length(r.kb_dir) + 2) || '/**', ',' ORDER BY '!' || substr(c.kb_dir, length(r.kb_dir) + 2) || '/**') FROM registry c WHERE starts_with(c.kb_dir, r.kb_dir || '/')), '**') AS globs FROM registry r""")
+def region_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U5."""
+    return regions.region_globs(A.registry(A.page_paths(spark, sf_dir))).select("kb_path", F.array_join("globs", ",").alias("globs"))
+
+
+@query(f"""WITH {A.PATHS} SELECT page_id, CASE WHEN page_id % 4 = 0 THEN path ELSE concat(regexp_extract(path, '^/[^/]+'), '/x') END AS absolute, CASE WHEN page_id % 4 = 0 THEN CASE WHEN path = regexp_extract(path, '^/[^/]+') THEN '.' ELSE substr(path, length(regexp_extract(path, '^/[^/]+')) + 2) END ELSE 'x' END AS relative,
+  concat('../', ltrim(path, '/')) AS from_sibling FROM paths""")
+def normalised_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13, U3."""
+    paths = A.page_paths(spark, sf_dir).withColumn("host", F.regexp_extract("path", "^/[^/]+", 0))
+    given = F.when(F.col("page_id") % 4 == 0, F.col("path")).when(F.col("page_id") % 4 == 1, "./x").when(F.col("page_id") % 4 == 2, "a/../x").otherwise("b/./c/../../x")
+    absolute = resolved(F.col("host"), given)
+    return paths.select("page_id", absolute.alias("absolute"), relative(F.col("host"), absolute).alias("relative"), relative(F.lit("/elsewhere"), F.col("path")).alias("from_sibling"))
+
+
+_FOUND = f"""{A.SESSIONS}, found AS (SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM ledger l WHERE l.session_id = s.session_id AND l.transcript_mtime_ms = s.modification_ms AND l.transcript_mtime_ms <> 0) THEN 'already' WHEN cwd IS NULL THEN 'unparseable' WHEN cwd LIKE '/kb/src1%' THEN 'out_of_scope' WHEN cwd LIKE '%7/d' THEN 'no_kb'
+  WHEN EXISTS (SELECT 1 FROM ledger l WHERE l.session_id = s.session_id AND l.transcript_sha256 = s.transcript_sha256 AND l.kb_path = regexp_replace(s.cwd, '/d$', '')) THEN 'already' WHEN first_seen_at < '2024-01-05T00:00:00+00:00' THEN 'before_since' ELSE 'collectible' END AS outcome FROM sessions s)"""
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.sessions(spark, sf_dir)
+    cwds = found.where("cwd IS NOT NULL").select("cwd").distinct()
+    roots = cwds.where("cwd NOT LIKE '/kb/src1%'").select(F.regexp_replace("cwd", "/d$", "").alias("root"))
+    none = cwds.select(F.col("cwd").alias("dir")).where("false")
+    chain = regions.chain_up(cwds, A.session_registry(found), none)
+    return ledger.outcomes(found, chain, A.ledger(found), regions.in_scope(cwds, roots), since="2024-01-05T00:00:00+00:00")
+
+
+@query(f"WITH {_FOUND} SELECT session_id, outcome FROM found")
+def scan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, J2, P5, P6, U4."""
+    return _outcomes(spark, sf_dir).select("session_id", "outcome")
+
+
+@query(f"WITH {_FOUND} SELECT outcome, count(*) AS sessions FROM found WHERE outcome NOT IN ('unparseable', 'before_since') GROUP BY outcome")
+def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7."""
+    return ledger.counters(_outcomes(spark, sf_dir))
+
+
+@query(f"WITH {_FOUND} SELECT session_id, first_seen_at, path FROM found WHERE outcome = 'collectible' ORDER BY first_seen_at DESC, path LIMIT 20")
+def newest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report."""
+    return ledger.newest(_outcomes(spark, sf_dir)).select("session_id", "first_seen_at", "path")
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.sessions(spark, sf_dir).where(F.col("modification_ms") % 2000 == 0)
+    kb = F.regexp_replace(F.coalesce("cwd", F.lit("/kb/none/d")), "/d$", "")
+    actions = F.array(F.struct(kb.alias("kb"), F.array(F.lit("create")).alias("actions")))
+    return found.select("session_id", "transcript_sha256", F.col("modification_ms").alias("transcript_mtime_ms"), F.lit("processed").alias("status"), F.lit(None).cast("string").alias("skipped_reason"), F.lit(None).cast("string").alias("failure_reason"), F.array(kb, F.lit("/kb/root")).alias("affected_kbs"), actions.alias("kb_actions"), F.lit(2).alias("extracted_count"), F.lit(0).alias("stamp_order"))
+
+
+_MARKS = f"""{A.SESSIONS}, marks AS (SELECT session_id, transcript_sha256, modification_ms, regexp_replace(coalesce(cwd, '/kb/none/d'), '/d$', '') AS own FROM sessions WHERE n % 2 = 0),
+stamps AS (SELECT own AS kb_path, session_id, transcript_sha256, modification_ms, 1 AS actions FROM marks UNION ALL SELECT '/kb/root', session_id, transcript_sha256, modification_ms, 0 FROM marks)"""
+
+
+@query(f"""WITH {_MARKS} SELECT kb_path, session_id, transcript_sha256, coalesce(s.modification_ms, l.transcript_mtime_ms) AS transcript_mtime_ms, CASE WHEN s.session_id IS NOT NULL THEN 'processed' ELSE l.status END AS status, CASE WHEN s.session_id IS NOT NULL THEN 2 ELSE 1 END AS extracted_count,
+  coalesce(s.actions, 0) AS n_actions, coalesce(l.first_seen_at, '{A.NOW}') AS first_seen_at, CASE WHEN s.session_id IS NOT NULL THEN '{A.NOW}' ELSE l.last_seen_at END AS last_seen_at FROM ledger l FULL JOIN stamps s USING (kb_path, session_id, transcript_sha256)""")
+def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, M2, P12, W8."""
+    marks = _marks(spark, sf_dir).where(ledger.mark_verdict().isNull())
+    next_ = ledger.upserted(A.ledger(A.sessions(spark, sf_dir)), ledger.fanned_out(marks), F.lit(A.NOW))
+    return next_.select("kb_path", "session_id", "transcript_sha256", "transcript_mtime_ms", "status", "extracted_count", F.size("kb_actions").alias("n_actions"), "first_seen_at", "last_seen_at")
+
+
+@query(f"""WITH {A.SESSIONS}, every AS (SELECT kb_path, session_id, status FROM ledger UNION ALL SELECT '/kb/r', session_id, 'failed' FROM ledger WHERE status = 'skipped'), chain AS (SELECT DISTINCT kb_path, length(kb_path) AS position FROM every WHERE kb_path NOT LIKE '%3'),
+first AS (SELECT session_id, arg_min(status, (position, kb_path)) AS status, arg_min(kb_path, (position, kb_path)) AS kb_path FROM every JOIN chain USING (kb_path) GROUP BY session_id)
+SELECT s.session_id, coalesce(status, 'deferred') AS status, kb_path FROM (SELECT DISTINCT session_id FROM sessions) s LEFT JOIN first USING (session_id)""")
+def reconciled_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10."""
+    found = A.sessions(spark, sf_dir)
+    own = A.ledger(found)
+    every = own.unionByName(own.where("status = 'skipped'").withColumns({"kb_path": F.lit("/kb/r"), "status": F.lit("failed")}))
+    chain = every.select("kb_path").distinct().where("kb_path NOT LIKE '%3'").withColumn("position", F.length("kb_path"))
+    return ledger.reconciled(found, every, chain)
+
+
+@query(f"""WITH {A.ITEMS}, {A.CANDIDATES}, x AS (SELECT candidate_id, item_id, len(list_intersect(c.tags, i.tags)) AS tag_overlap, levenshtein(i.slug, title_slug)::DOUBLE / greatest(length(i.slug), length(title_slug)) AS slug_distance, len(list_intersect(c.paths, i.paths)) > 0 AS path_overlap
+  FROM candidates c JOIN items i ON i.kb_path = c.kb_path AND i.category = c.category AND i.status = 'active' WHERE len(c.tags) > 0),
+y AS (SELECT *, 0.4 * least(tag_overlap / 3.0, 1) + 0.4 * (1 - slug_distance) + CASE WHEN path_overlap THEN 0.2 ELSE 0 END AS score FROM x WHERE tag_overlap >= 2 OR slug_distance <= 0.4 OR path_overlap AND tag_overlap >= 1)
+SELECT candidate_id, item_id, tag_overlap, round(slug_distance, 9) AS slug_distance, path_overlap, round(score, 9) AS score, row_number() OVER (PARTITION BY candidate_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM y""")
+def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5, F11, F12, T4, U2."""
+    held = A.items(spark, sf_dir)
+    return similarity.similar(A.candidates(held), held).select("candidate_id", "item_id", "tag_overlap", F.round("slug_distance", 9).alias("slug_distance"), "path_overlap", F.round("score", 9).alias("score"), "rank")
+
+
+@query(f"""WITH {A.ITEMS}, u AS (SELECT kb_path, item_id, category, slug, list_sort(list_distinct(tags)) AS tags FROM items WHERE status = 'active' AND universality = 'unverified' AND len(tags) >= 2)
+SELECT a.kb_path AS left_kb, a.item_id AS left_id, b.kb_path AS right_kb, b.item_id AS right_id, len(list_intersect(a.tags, b.tags)) AS shared_tags, round(levenshtein(a.slug, b.slug)::DOUBLE / greatest(length(a.slug), length(b.slug)), 9) AS slug_distance
+FROM u a JOIN u b ON a.category = b.category AND a.kb_path < b.kb_path AND len(list_intersect(a.tags, b.tags)) >= 2 AND levenshtein(a.slug, b.slug)::DOUBLE / greatest(length(a.slug), length(b.slug)) <= 0.4""")
+def promotion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6."""
+    return similarity.promotion_pairs(A.items(spark, sf_dir)).withColumn("slug_distance", F.round("slug_distance", 9))
+
+
+@query(f"""WITH {A.ITEMS}, p AS (SELECT kb_path, item_id, universality, unnest(paths) AS path FROM items WHERE status = 'active')
+SELECT r.item_id AS root_id, c.kb_path, count(*) AS overlaps FROM (SELECT DISTINCT item_id, path FROM p WHERE kb_path = '/kb/src1/0' AND universality = 'universal') r JOIN (SELECT DISTINCT kb_path, item_id, path FROM p WHERE kb_path <> '/kb/src1/0') c USING (path) GROUP BY ALL HAVING count(*) >= 2""")
+def demotion_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7."""
+    return similarity.demotion_hints(A.items(spark, sf_dir), "/kb/src1/0")
+
+
+@query(f"""WITH {A.ITEMS}, {A.CANDIDATES}, n AS (SELECT kb_path, category, count(*) FILTER (status = 'active') AS active FROM items GROUP BY ALL),
+x AS (SELECT candidate_id, item_id, len(list_intersect(c.tags, i.tags)) AS t, levenshtein(i.slug, title_slug)::DOUBLE / greatest(length(i.slug), length(title_slug)) AS d, len(list_intersect(c.paths, i.paths)) > 0 AS p FROM candidates c JOIN items i ON i.kb_path = c.kb_path AND i.category = c.category AND i.status = 'active'),
+best AS (SELECT candidate_id, arg_min(item_id, (-round(0.4 * least(t / 3.0, 1) + 0.4 * (1 - d) + CASE WHEN p THEN 0.2 ELSE 0 END, 9), item_id)) AS best_match FROM x WHERE t >= 2 OR d <= 0.4 OR p AND t >= 1 GROUP BY candidate_id)
+SELECT candidate_id, CASE WHEN best_match IS NOT NULL THEN 'merge' WHEN 10 - coalesce(active, 0) > 0 THEN 'create' ELSE 'needs_eviction' END AS action, best_match FROM candidates LEFT JOIN best USING (candidate_id) LEFT JOIN n USING (kb_path, category) WHERE len(tags) > 0""")
+def reconcile_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9, A10."""
+    held = A.items(spark, sf_dir)
+    return similarity.suggestions(A.candidates(held), held)
+
+
+@query(f"""WITH {A.ITEMS} SELECT kb_path, count(*) FILTER (status = 'active' AND location = 'active' AND category = 'decision') AS active_decisions, count(*) FILTER (status = 'active' AND location = 'active' AND category = 'learning') AS active_learnings, count(*) FILTER (status = 'active' AND location = 'active' AND category = 'reusable') AS active_reusable,
+  count(*) FILTER (status = 'active' AND location = 'active' AND category = 'anti-pattern') AS active_anti_patterns, count(*) FILTER (status = 'archived' AND location = 'active') AS archived, count(*) FILTER (status LIKE 'superseded-by%') AS superseded, count(*) FILTER (status = 'active' AND location = 'active' AND universality = 'unverified') AS unverified, max(updated) AS last_modified FROM items GROUP BY kb_path""")
+def kb_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8, P14."""
+    return index.kb_state(A.items(spark, sf_dir)).drop("full_categories")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = A.items(spark, sf_dir)
+    return index.index_documents(held.select("kb_path", F.regexp_extract("kb_path", "[^/]+$", 0).alias("name")).distinct(), held, A.NOW)
+
+
+_LINE = "CASE WHEN length(l) > 60 THEN left(l, 60) || '…' ELSE l END"
+
+
+@query(f"""WITH {A.ITEMS}, s AS (SELECT *, {_LINE} AS one FROM (SELECT *, trim(regexp_replace(summary, '\\s*\\n\\s*', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS l FROM items)),
+r AS (SELECT kb_path, category, row_number() OVER (PARTITION BY kb_path, category ORDER BY updated DESC, item_id) AS rank, concat('| ', item_id, ' | ', slug, ' | ', replace(replace(one, chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), CASE WHEN category = 'anti-pattern' THEN ' | ' || severity ELSE '' END, ' | ', CASE WHEN left(updated, 4) = '2024' THEN substr(updated, 6, 5) ELSE left(updated, 10) END, ' |') AS line FROM s WHERE status = 'active' AND location = 'active'),
+c AS (SELECT kb_path, row_number() OVER (PARTITION BY kb_path ORDER BY updated DESC, item_id) AS rank, concat('- **[', item_id, ' ', slug, '](anti-patterns/', item_id, '-', slug, '.md)** — ', one, ' (`', paths[1], ', ', paths[2], '`)') AS line FROM s WHERE status = 'active' AND location = 'active' AND severity = 'critical' AND category = 'anti-pattern'),
+t AS (SELECT kb_path, category, chr(10) || string_agg(line, chr(10) ORDER BY rank) AS lines, count(*) AS n FROM r GROUP BY ALL), b AS (SELECT kb_path, string_agg(line, chr(10) ORDER BY rank) AS lines, count(*) AS n FROM c WHERE rank <= 5 GROUP BY kb_path),
+k AS (SELECT kb_path, count(*) FILTER (location = 'active' AND status = 'active') AS active, count(*) FILTER (location = 'active' AND status = 'deprecated') AS deprecated, count(*) FILTER (location = 'active' AND status LIKE 'superseded-by%') AS superseded, count(*) FILTER (location = 'archive') AS archived FROM items GROUP BY kb_path),
+d AS (SELECT k.*, coalesce(t1.n, 0) AS n1, coalesce(t2.n, 0) AS n2, coalesce(t3.n, 0) AS n3, coalesce(t4.n, 0) AS n4, coalesce(t1.lines, '') AS l1, coalesce(t2.lines, '') AS l2, coalesce(t3.lines, '') AS l3, coalesce(t4.lines, '') AS l4, coalesce(b.lines, '_(none)_') AS lb, coalesce(b.n, 1) AS nb FROM k
+  LEFT JOIN t t1 ON t1.kb_path = k.kb_path AND t1.category = 'decision' LEFT JOIN t t2 ON t2.kb_path = k.kb_path AND t2.category = 'learning' LEFT JOIN t t3 ON t3.kb_path = k.kb_path AND t3.category = 'reusable' LEFT JOIN t t4 ON t4.kb_path = k.kb_path AND t4.category = 'anti-pattern' LEFT JOIN b ON b.kb_path = k.kb_path)
+SELECT kb_path, concat_ws(chr(10), '---', 'generated_at: {A.NOW}', 'schema_version: 1', 'kb_path: ' || kb_path, 'total_items: ' || active, 'counts:', '  decisions: ' || n1, '  learnings: ' || n2, '  reusable: ' || n3, '  anti-patterns: ' || n4, '---', '', '# Harvest Index — ' || regexp_extract(kb_path, '[^/]+$'), '', '{index.INTRO[0]}', '{index.INTRO[1]}', '',
+  '{index.CRITICAL}', '', '{index.CRITICAL_NOTE}', '', lb, '', '{index.SECTIONS["decision"]}', '', '| ID | Title | Summary | Updated |', '|---|---|---|---|' || l1, '', '{index.SECTIONS["learning"]}', '', '| ID | Title | Summary | Updated |', '|---|---|---|---|' || l2, '', '{index.SECTIONS["reusable"]}', '', '| ID | Title | Summary | Updated |', '|---|---|---|---|' || l3, '',
+  '{index.SECTIONS["anti-pattern"]}', '', '| ID | Title | Summary | Severity | Updated |', '|---|---|---|---|---|' || l4, '', '---', '', '## Status Summary', '', '- Active: ' || active || ' items', '- Deprecated: ' || deprecated || ' items', '- Superseded: ' || superseded || ' items', '- Archived: ' || archived || ' items', '', '{index.COUNTS_NOTE}') || chr(10) AS content,
+  (52 + nb + n1 + n2 + n3 + n4)::INTEGER AS line_count FROM d""")
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10, A11, T2, T3, F16."""
+    return _documents(spark, sf_dir)
+
+
+def _creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = A.items(spark, sf_dir)
+    new = held.where("doc_id % 2 = 0").select(F.col("doc_id").alias("req_id"), F.col("doc_id").alias("req_order"), "kb_path", "category", F.concat(F.lit("n"), (F.col("doc_id") % 7).cast("string"), F.lit("-q"), (F.col("doc_id") % 3).cast("string")).alias("title_slug"), F.lit(2).alias("n_paths"), F.when(F.col("doc_id") % 10 == 4, 0).otherwise(1).alias("n_kept"))
+    return items.created(new, held)
+
+
+@query()
+def created_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates that depend on the requests before; tested against a walk in order."""
+    return _creates(spark, sf_dir)
+
+
+_EDITED = f"{A.ITEMS}, hit AS (SELECT *, doc_id % 6 = 0 AND location = 'active' AS h FROM items)"
+
+
+@query(f"""WITH {_EDITED} SELECT kb_path, item_id, doc_id, CASE WHEN h THEN 'new summary' ELSE summary END AS summary, CASE WHEN h THEN concat('## Why', chr(10), 'text', chr(10), chr(10), '## History', chr(10), chr(10), '- 2024-06-15: edited') ELSE body END AS body, CASE WHEN h THEN 'active' ELSE status END AS status, CASE WHEN h THEN '{A.NOW}' ELSE updated END AS updated, severity FROM hit""")
+def superseded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4, M5, F18, J8, P11."""
+    held = A.items(spark, sf_dir)
+    nothing = F.lit(None)
+    requests = held.where("doc_id % 6 = 0").select("kb_path", "item_id", F.lit("## Why\ntext").alias("new_body"), F.lit("new summary").alias("new_summary"), nothing.cast("array<string>").alias("new_tags"), nothing.cast("array<string>").alias("new_paths"), nothing.cast("string").alias("new_universality"), nothing.cast("string").alias("new_severity"), F.lit("edited").alias("history_note"))
+    return items.superseded(held, requests, F.lit(A.NOW)).select("kb_path", "item_id", "doc_id", "summary", "body", "status", "updated", "severity")
+
+
+@query(f"""WITH {_EDITED} SELECT kb_path, item_id, doc_id, CASE WHEN h THEN 'archived' ELSE status END AS status, CASE WHEN h THEN '{A.NOW}' END AS archived_at, CASE WHEN h THEN 'no longer true' END AS archive_reason, CASE WHEN h THEN 'archive' ELSE location END AS location FROM hit""")
+def archived_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6."""
+    held = A.items(spark, sf_dir)
+    requests = held.where("doc_id % 6 = 0").select("kb_path", "item_id", F.lit("no longer true").alias("reason")).where(items.reason_verdict("reason", 10, 500).isNull())
+    return items.archived(held, requests, F.lit(A.NOW)).select("kb_path", "item_id", "doc_id", "status", "archived_at", "archive_reason", "location")
+
+
+@query(f"""WITH {A.ITEMS} SELECT kb_path, doc_id, CASE WHEN len(tags) = 0 THEN NULL END AS error_field, CASE WHEN status LIKE 'superseded-by%' THEN 'superseded-by' ELSE status END AS kind, CASE WHEN status LIKE 'superseded-by%' THEN 'D-001' END AS replaced_by FROM items""")
+def item_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P13, F20."""
+    return A.items(spark, sf_dir).select("kb_path", "doc_id", items.item_error().alias("error_field"), status_kind(F.col("status")).alias("kind"), superseded_id(F.col("status")).alias("replaced_by"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IN ('error', 'signup') THEN event_type END AS code FROM events), f AS (SELECT *, CASE WHEN code IS NOT NULL AND lag(code) OVER w = code THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM f)
+SELECT concat('u', user_id) AS session_id, 'call' AS tool_name, code AS error_code, min(event_id) AS first_seq, count(*) AS length, count(*) >= 6 AS flagged FROM g WHERE code IS NOT NULL GROUP BY user_id, island, code""")
+def error_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5."""
+    e = A.table(spark, sf_dir, "events")
+    return telemetry.error_streaks(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("seq"), F.lit("call").alias("tool_name"), F.when(F.col("event_type").isin("error", "signup"), F.col("event_type")).alias("error_code")))
+
+
+@query("""WITH s AS (SELECT user_id, min(ts) AS started_at FROM events GROUP BY user_id) SELECT concat('u', user_id) AS session_id, event_id AS seq, epoch_us(ts) // 1000 - epoch_us(coalesce(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id), started_at)) // 1000 AS elapsed_ms FROM events JOIN s USING (user_id) WHERE event_type <> 'signup'""")
+def tool_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6."""
+    e = A.table(spark, sf_dir, "events").withColumn("session_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    tool = F.when(F.col("event_type") == "signup", telemetry.QUIET_TOOL).otherwise(F.col("event_type"))
+    return telemetry.tool_elapsed(e.select("session_id", F.col("event_id").alias("seq"), "ts", tool.alias("tool_name")), e.groupBy("session_id").agg(F.min("ts").alias("started_at")))
+
+
+@query("""SELECT concat('u', user_id) AS session_id, count(*) FILTER (event_type = 'signup') AS turns, count(*) FILTER (event_type IN ('view', 'click')) AS tool_calls, count(*) FILTER (event_type = 'error') AS errors, sum(event_id % 100)::BIGINT AS input_tokens, sum(event_id % 10)::BIGINT AS output_tokens FROM events GROUP BY user_id""")
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14."""
+    kind = F.when(F.col("event_type") == "signup", "assistant_text").when(F.col("event_type").isin("view", "click"), "tool_call").otherwise("other")
+    e = A.table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), kind.alias("type"), F.when(F.col("event_type") == "error", "failed").alias("error_code"), (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 10).alias("output_tokens"))
+    return telemetry.run_totals(e)
+
+
+@query("""WITH d AS (SELECT (doc_id // 2) AS n, sha256(text) AS sha FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) SELECT concat('session-', n) AS session_id, sha AS transcript_sha256, count(*) OVER (PARTITION BY n) AS listed, CASE WHEN count(*) OVER (PARTITION BY n) > 1 THEN 'session-@' || left(sha, 4) ELSE 'session-' END AS label FROM d""")
+def repeated_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15."""
+    d = A.table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return telemetry.repeated_targets(d.select(F.concat(F.lit("session-"), F.floor(F.col("doc_id") / 2).cast("string")).alias("session_id"), F.sha2("text", 256).alias("transcript_sha256")))
+
+
+def _proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as proposed items of which most break one rule."""
+    n = F.col("doc_id") % 11
+    body = F.when(n == 9, F.lit("too short")).otherwise(F.concat(F.lit("## Why\n"), F.rpad(F.left("text", F.lit(60)), 60, "x")))
+    fields = {
+        "category": F.when(n == 2, "note").otherwise(F.when(F.col("doc_id") % 2 == 0, "decision").otherwise("anti-pattern")),
+        "title_slug": F.when(n == 3, "Bad Slug").otherwise("good-slug"),
+        "summary": F.when(n == 4, F.repeat(F.lit("x"), F.lit(61))).otherwise(F.lit("fine")),
+        "body_markdown": body,
+        "tags": F.when(n == 5, F.array().cast("array<string>")).otherwise(F.array(F.lit("auth"))),
+        "paths": F.when(n == 6, F.array(F.lit(""))).otherwise(F.array(F.lit("src/a.py"))),
+        "universality": F.when(n == 7, "maybe").when(n == 1, None).otherwise("universal"),
+        "severity": F.when(n == 8, "dire").when(n == 10, "critical"),
+    }
+    text = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+    return A.table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.concat(F.lit("s"), (F.floor(F.col("doc_id") / 6)).cast("string")).alias("session_id"), F.col("doc_id").alias("candidate_id"), F.when(F.col("doc_id") % 97 == 0, "[1]").otherwise(text).alias("item"))
+
+
+_VERDICTS = """v AS (SELECT doc_id AS candidate_id, concat('s', doc_id // 6) AS session_id, CASE WHEN doc_id % 97 = 0 OR doc_id % 11 = 1 THEN 1 WHEN doc_id % 11 BETWEEN 2 AND 9 THEN doc_id % 11 WHEN doc_id % 11 = 10 AND doc_id % 2 = 0 THEN 8 END AS reject_step FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"""
+
+
+@query(f"WITH {_VERDICTS} SELECT candidate_id, reject_step, CASE WHEN reject_step IS NULL AND candidate_id % 2 = 1 THEN CASE WHEN candidate_id % 11 = 10 THEN 'critical' ELSE 'normal' END END AS severity FROM v")
+def candidate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10."""
+    return cand.validated(_proposed(spark, sf_dir)).select("candidate_id", F.col("reject_step").cast("bigint").alias("reject_step"), "severity")
+
+
+@query(f"WITH {_VERDICTS} SELECT session_id, count(*) AS total, count(reject_step) AS rejected, CASE WHEN count(*) = count(reject_step) THEN 'all_items_rejected' ELSE 'ok' END AS outcome FROM v GROUP BY session_id")
+def extraction_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13."""
+    proposed = _proposed(spark, sf_dir)
+    return cand.extraction_outcomes(proposed, cand.validated(proposed))
+
+
+@query("""SELECT conv_id, sha256(concat('{"allowedTools":["Grep","Read"],"model":"m","systemPrompt":"', 'extract', '","userMessage":"', role, '-', turn, '"}')) AS request_key, turn % 2 = 0 AS found FROM conversations""")
+def replayed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11, F19."""
+    c = A.table(spark, sf_dir, "conversations")
+    message = F.concat_ws("-", "role", F.col("turn").cast("string"))
+    key = cand.request_key(F.lit("extract"), message, F.lit("m"), F.array(F.lit("Read"), F.lit("Grep")))
+    requests = c.select("conv_id", key.alias("request_key"))
+    recorded = c.where("turn % 2 = 0").select(key.alias("request_key")).distinct()
+    return cand.replayed(requests, recorded)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcript lines: texts, some as arrays of blocks, and some lines that are no JSON."""
+    c = A.table(spark, sf_dir, "conversations")
+    session = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    part = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("text"))).otherwise(F.concat(F.lit('{"text":[{"type":"text","text":'), F.expr("substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)"), F.lit('},{"type":"tool_use","id":"t1","name":"Edit","input":{"z":1,"file_path":"/a"}},{"type":"other"}]}')))
+    content = F.regexp_extract(part, r'(?s)^\{"text":(.*)\}$', 1)
+    line = F.concat(F.lit('{"type":"'), "role", F.lit('","uuid":"'), session, F.lit('","sessionId":"'), session, F.lit('","cwd":"/w","message":{"content":'), content, F.lit("}}"))
+    bad = (F.col("conv_id") % 10 == 3) & (F.col("turn") == 1)
+    return c.select(session.alias("path"), (F.col("turn") + 1).alias("line_no"), F.when(bad, "{broken").otherwise(line).alias("raw"))
+
+
+_BAD = "conv_id % 10 = 3 AND turn = 1"
+
+
+@query(f"""SELECT concat('c', conv_id) AS path, CASE WHEN bool_or({_BAD}) THEN 'json_parse_failed' WHEN count(*) FILTER (role IN ('user', 'assistant')) = 0 THEN 'empty_transcript' ELSE 'ok' END AS outcome, min(CASE WHEN {_BAD} THEN turn + 1 END) AS bad_line FROM conversations GROUP BY conv_id""")
+def parse_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4, S5, P1."""
+    return transcripts.parse_outcomes(transcripts.parsed(_lines(spark, sf_dir)))
+
+
+@query(f"""WITH m AS (SELECT concat('c', conv_id) AS session_id, turn + 1 AS seq, turn, text FROM conversations WHERE role IN ('user', 'assistant') AND NOT ({_BAD}))
+SELECT session_id, seq, 0 AS block_no, 'text' AS kind, text, NULL AS tool_name, NULL AS input_json FROM m UNION ALL SELECT session_id, seq, 1, 'tool_use', NULL, 'Edit', '{{"z":1,"file_path":"/a"}}' FROM m WHERE turn % 2 = 1 UNION ALL SELECT session_id, seq, 2, NULL, NULL, NULL, NULL FROM m WHERE turn % 2 = 1""")
+def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2-P4, F8."""
+    return transcripts.blocks(transcripts.parsed(_lines(spark, sf_dir))).select("session_id", "seq", "block_no", "kind", "text", "tool_name", "input_json")
+
+
+@query(f"WITH {A.BLOCKS}, l AS (SELECT session_id, sum(CASE WHEN kind = 'text' THEN len(regexp_extract_all(text, '[A-Za-z]')) ELSE 0 END) AS letters FROM blocks GROUP BY session_id) SELECT session_id, CASE WHEN session_id LIKE '%1' THEN 'en' WHEN letters > 0 THEN 'en' ELSE 'ko' END AS written_in FROM l")
+def written_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3."""
+    found = profile.session_profile(A.blocks(spark, sf_dir))
+    return found.select("session_id", decided_language(F.when(F.col("session_id").endswith("1"), "en").otherwise("auto"), F.col("language")).alias("written_in"))
