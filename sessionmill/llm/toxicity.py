@@ -140,7 +140,7 @@ def compare(texts: pa.Array, tables: dict[str, np.ndarray]) -> list[np.ndarray]:
 
     Evidence per character of the whole text and of its strongest passage; evidence of the
     strongest distinct words by the root of their length; and the logarithm of
-    the number of words, as the strongest of many words is large by chance.
+    the number of distinct words, as the strongest of many is large by chance.
     """
     codes, starts, words = split_words(texts)
     grams, begin = packed_grams(words)
@@ -153,11 +153,11 @@ def compare(texts: pa.Array, tables: dict[str, np.ndarray]) -> list[np.ndarray]:
     cut = np.concatenate((np.repeat(starts[:-1], runs) + (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)) * PASSAGE, starts[-1:]))
     passage = segment_sum(word, cut) / np.maximum(segment_sum(length, cut), 1) if len(cut) > 1 else np.zeros(0)
     strongest = segment_max(passage, np.concatenate(([0], np.cumsum(runs))), 0.0)
-    return [whole, strongest, *_ranked(codes, starts, gain / np.sqrt(np.maximum(size, 1))), np.log1p(n)]
+    return [whole, strongest, *_ranked(codes, starts, gain / np.sqrt(np.maximum(size, 1)))]
 
 
 def _ranked(codes: np.ndarray, starts: np.ndarray, strength: np.ndarray) -> list[np.ndarray]:
-    """The RANKS-th largest strength among each text's distinct words, 0 where it has fewer."""
+    """The RANKS-th largest strength among each text's distinct words (the smallest where it has fewer, 0 without words), and the logarithm of their number."""
     most, texts = max(1, len(strength)), len(starts) - 1
     by_strength = np.argsort(-strength, kind="stable")
     place = np.empty_like(by_strength)
@@ -166,10 +166,10 @@ def _ranked(codes: np.ndarray, starts: np.ndarray, strength: np.ndarray) -> list
     first = np.searchsorted(pairs, np.arange(texts + 1) * most)
     out = []
     for rank in RANKS:
-        value, has = np.zeros(texts), np.flatnonzero(np.diff(first) >= rank)
-        value[has] = strength[by_strength[pairs[first[has] + rank - 1] % most]]
+        value, has = np.zeros(texts), np.flatnonzero(np.diff(first))
+        value[has] = strength[by_strength[pairs[np.minimum(first[has] + rank, first[has + 1]) - 1] % most]]
         out.append(value)
-    return out
+    return [*out, np.log1p(np.diff(first))]
 
 
 def _features(tables, carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
