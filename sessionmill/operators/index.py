@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionmill.functions.text import CATEGORIES, category_dir, cell, one_line, short_date, status_kind
 from sessionmill.operators.similarity import CAP
 
-# Headings of the index document and its fixed lines.
+# Section headings of the index document.
 SECTIONS = {"decision": "## 🧠 Decisions", "learning": "## 💡 Learnings", "reusable": "## ♻️ Reusable", "anti-pattern": "## ⚠️ Anti-patterns"}
 CRITICAL = "## 🚨 Critical Anti-patterns"
-INTRO = ("> Claude: 작업 시작 전 이 인덱스를 훑고, 작업 주제(키워드/path)와 매칭되는 항목만", "> 직접 Read 하라. 매칭 없으면 무시하고 진행.")
-CRITICAL_NOTE = "> severity: critical 인 것만. 절대 반복하지 말 것."
-COUNTS_NOTE = "(deprecated / superseded / archived 항목은 표에서 제외, 카운트만 노출)"
+
+
+@dataclass(frozen=True)
+class Wording:
+    """The document's free lines, for readers who expect others."""
+
+    title: str = "# Knowledge Index — "
+    intro: tuple[str, ...] = ("> Skim this index before starting; read only items whose topic or paths match.", "> Without a match, go on.")
+    critical: str = "> Items of critical severity only. Never repeat these."
+    counts: str = "(deprecated, superseded and archived items are counted only)"
+
+
 MOST_CRITICAL = 5
 
 
@@ -76,7 +87,7 @@ def _bullet() -> Column:
     return F.concat(F.lit("- **["), name, F.lit("]("), link, F.lit(")** — "), one_line(F.col("summary")), paths)
 
 
-def index_documents(registry: DataFrame, items: DataFrame, now: str) -> DataFrame:
+def index_documents(registry: DataFrame, items: DataFrame, now: str, wording: Wording = Wording()) -> DataFrame:  # noqa: B008
     """kb_path, content, line_count: the index of every KB of ``registry(kb_path, name)``, which holds at most CAP rows a category."""
     at = F.lit(now)
     lists = ranked(items).groupBy("kb_path", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", _row(at).alias("line")))), lambda x: x["line"]).alias("lines"))
@@ -90,13 +101,13 @@ def index_documents(registry: DataFrame, items: DataFrame, now: str) -> DataFram
     none = F.array().cast("array<string>")
     front = [text("---"), text("generated_at: ", at), text("schema_version: 1"), text("kb_path: ", F.col("kb_path")), text("total_items: ", F.col("active")), text("counts:")]
     front += [text(f"  {d}: ", F.col(f"n_{i}")) for i, (_, d, _) in enumerate(CATEGORIES)]
-    lines = [*front, text("---"), text(""), text("# Harvest Index — ", F.col("name")), text(""), *[text(x) for x in INTRO], text("")]
-    lines += [text(CRITICAL), text(""), text(CRITICAL_NOTE), text(""), F.coalesce("critical", text("_(none)_")), text("")]
+    lines = [*front, text("---"), text(""), text(wording.title, F.col("name")), text(""), *[text(x) for x in wording.intro], text("")]
+    lines += [text(CRITICAL), text(""), text(wording.critical), text(""), F.coalesce("critical", text("_(none)_")), text("")]
     for i, (c, _, _) in enumerate(CATEGORIES):
         head = ("| ID | Title | Summary | Severity | Updated |", "|---|---|---|---|---|") if c == "anti-pattern" else ("| ID | Title | Summary | Updated |", "|---|---|---|---|")
         lines += [text(SECTIONS[c]), text(""), text(head[0]), text(head[1]), F.coalesce(f"table_{i}", none), text("")]
     lines += [text("---"), text(""), text("## Status Summary"), text("")]
     lines += [text(f"- {n.capitalize()}: ", F.col(n), " items") for n in ("active", "deprecated", "superseded", "archived")]
-    lines += [text(""), text(COUNTS_NOTE)]
+    lines += [text(""), text(wording.counts)]
     whole = kb.withColumn("lines", F.concat(*lines))
     return whole.select("kb_path", F.concat(F.array_join("lines", "\n"), F.lit("\n")).alias("content"), F.size("lines").alias("line_count"))

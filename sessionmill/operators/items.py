@@ -193,12 +193,31 @@ def promoted(items: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
 
 
 def demotion_verdicts(requests: DataFrame, items: DataFrame, root_kb: str) -> DataFrame:
-    """req_id, code of requests to move one universal root item down: ``requests(req_id, req_order, item_id, target_kb)``."""
-    state = items.where(F.col("kb_path") == root_kb).select("item_id", "category", "status", "universality", "location")
-    active = items.groupBy(F.col("kb_path").alias("target_kb"), "category").agg(F.count_if((F.col("status") == "active") & (F.col("location") == "active")).alias("active"))
-    known = requests.join(state, "item_id", "left").join(active, ["target_kb", "category"], "left")
-    own = F.when(F.col("status").isNull(), "item_not_found").when((F.col("status") != "active") | (F.col("location") != "active") | (F.col("universality") != "universal"), "origin_not_demotable").when(F.col("target_kb") == root_kb, "same_kb")
+    """req_id, code, item_id of requests to move one universal root item down: ``requests(req_id, req_order, origin_id, target_kb)``.
+
+    Refused requests take no place; accepted ones get the target's next ids in order.
+    """
+    state = items.where(F.col("kb_path") == root_kb).select(F.col("item_id").alias("origin_id"), "category", "status", "universality", "location")
+    target = items.groupBy(F.col("kb_path").alias("target_kb"), "category").agg(F.count_if((F.col("status") == "active") & (F.col("location") == "active")).alias("active"), F.max(F.substring("item_id", 3, 3).cast("int")).alias("last_id"))
+    known = requests.join(state, "origin_id", "left").join(target, ["target_kb", "category"], "left")
+    again = F.row_number().over(Window.partitionBy("origin_id").orderBy("req_order")) > 1
+    own = F.when(F.col("status").isNull(), "item_not_found").when((F.col("status") != "active") | (F.col("location") != "active") | (F.col("universality") != "universal"), "origin_not_demotable").when(F.col("target_kb") == root_kb, "same_kb").when(again, "origin_not_demotable")
     turn = F.sum(F.when(F.col("own").isNull(), 1).otherwise(0)).over(Window.partitionBy("target_kb", "category").orderBy("req_order"))
     placed = known.withColumn("own", own).withColumn("turn", turn)
-    return placed.select("req_id", F.coalesce(F.col("own"), F.when(F.col("turn") > CAP - F.coalesce("active", F.lit(0)), "category_full")).alias("code"))
+    number = F.coalesce("last_id", F.lit(0)) + F.col("turn")
+    code = F.coalesce(F.col("own"), F.when(F.col("turn") > CAP - F.coalesce("active", F.lit(0)), "category_full"), F.when(number > MOST_IDS, "id_exhausted"))
+    return placed.withColumn("code", code).select("req_id", "code", F.when(F.col("code").isNull(), F.concat(category_letter(F.col("category")), F.lit("-"), F.lpad(number.cast("string"), 3, "0"))).alias("item_id"))
+
 
+def demoted(items: DataFrame, requests: DataFrame, root_kb: str, now: Column) -> DataFrame:
+    """The next snapshot: each accepted root item is archived, and a copy for its target KB is specific to that KB."""
+    verdicts = demotion_verdicts(requests, items, root_kb).where("code IS NULL").select("req_id", F.col("item_id").alias("new_id"))
+    accepted = requests.join(verdicts, "req_id").select(F.lit(root_kb).alias("kb_path"), F.col("origin_id").alias("item_id"), "target_kb", "new_id")
+    both = items.join(accepted, ["kb_path", "item_id"], "left")
+    hit = F.col("new_id").isNotNull()
+    reason = F.concat(F.lit("demoted to "), relative(F.col("kb_path"), F.col("target_kb")), F.lit("/"), F.col("new_id"))
+    old = {"status": F.lit("archived"), "archived_at": now, "archive_reason": reason, "location": F.lit("archive"), "updated": now}
+    changed = both.select(*[F.when(hit, old[c]).otherwise(F.col(c)).alias(c) if c in old else F.col(c) for c in items.columns])
+    new = {"kb_path": F.col("target_kb"), "item_id": F.col("new_id"), "universality": F.lit("app-specific"), "created": now, "updated": now}
+    fresh = both.where(hit).select(*[new.get(c, F.col(c)).cast(items.schema[c].dataType).alias(c) for c in items.columns])
+    return changed.unionByName(fresh)

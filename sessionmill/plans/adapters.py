@@ -60,7 +60,7 @@ def registry(paths: DataFrame) -> DataFrame:
     """KBs at every other host and at hosts' language directories of two letters e or d first."""
     host, lang = F.regexp_extract("path", "^/[^/]+", 0), F.regexp_extract("path", "^/[^/]+/[ed][a-z]", 0)
     dirs = paths.select(host.alias("kb_dir")).where(F.length("kb_dir") % 2 == 0).union(paths.select(lang).where(lang != "")).distinct()
-    return dirs.select(F.concat("kb_dir", F.lit("/.harvest")).alias("kb_path"), "kb_dir")
+    return dirs.select(F.concat("kb_dir", F.lit("/.kb")).alias("kb_path"), "kb_dir")
 
 
 def boundaries(paths: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def boundaries(paths: DataFrame) -> DataFrame:
 
 PATHS = r"""
 paths AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '[?#].*$', ''), '/+$', '') AS path FROM pages),
-registry AS (SELECT concat(kb_dir, '/.harvest') AS kb_path, kb_dir FROM (SELECT regexp_extract(path, '^/[^/]+') AS kb_dir FROM paths WHERE length(regexp_extract(path, '^/[^/]+')) % 2 = 0 UNION SELECT regexp_extract(path, '^/[^/]+/[ed][a-z]') FROM paths WHERE regexp_extract(path, '^/[^/]+/[ed][a-z]') <> '')),
+registry AS (SELECT concat(kb_dir, '/.kb') AS kb_path, kb_dir FROM (SELECT regexp_extract(path, '^/[^/]+') AS kb_dir FROM paths WHERE length(regexp_extract(path, '^/[^/]+')) % 2 = 0 UNION SELECT regexp_extract(path, '^/[^/]+/[ed][a-z]') FROM paths WHERE regexp_extract(path, '^/[^/]+/[ed][a-z]') <> '')),
 boundaries AS (SELECT DISTINCT regexp_extract(path, '^/[^/]+/[a-z][a-z]') AS dir FROM paths WHERE regexp_extract(path, '^/[^/]+/[a-z][a-z]') LIKE '%/de')
 """
 

@@ -12,7 +12,7 @@ from sessionmill.functions.text import decided_language, status_kind, superseded
 from sessionmill.operators import candidates as cand
 from sessionmill.operators import compress, index, items, ledger, profile, regions, similarity, telemetry
 from sessionmill.plans import adapters as A
-from sessionmill.sources import transcripts
+from sessionmill.sources import stores, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -246,9 +246,9 @@ t AS (SELECT kb_path, category, chr(10) || string_agg(line, chr(10) ORDER BY ran
 k AS (SELECT kb_path, count(*) FILTER (location = 'active' AND status = 'active') AS active, count(*) FILTER (location = 'active' AND status = 'deprecated') AS deprecated, count(*) FILTER (location = 'active' AND status LIKE 'superseded-by%') AS superseded, count(*) FILTER (location = 'archive') AS archived FROM items GROUP BY kb_path),
 d AS (SELECT k.*, coalesce(t1.n, 0) AS n1, coalesce(t2.n, 0) AS n2, coalesce(t3.n, 0) AS n3, coalesce(t4.n, 0) AS n4, coalesce(t1.lines, '') AS l1, coalesce(t2.lines, '') AS l2, coalesce(t3.lines, '') AS l3, coalesce(t4.lines, '') AS l4, coalesce(b.lines, '_(none)_') AS lb, coalesce(b.n, 1) AS nb FROM k
   LEFT JOIN t t1 ON t1.kb_path = k.kb_path AND t1.category = 'decision' LEFT JOIN t t2 ON t2.kb_path = k.kb_path AND t2.category = 'learning' LEFT JOIN t t3 ON t3.kb_path = k.kb_path AND t3.category = 'reusable' LEFT JOIN t t4 ON t4.kb_path = k.kb_path AND t4.category = 'anti-pattern' LEFT JOIN b ON b.kb_path = k.kb_path)
-SELECT kb_path, concat_ws(chr(10), '---', 'generated_at: {A.NOW}', 'schema_version: 1', 'kb_path: ' || kb_path, 'total_items: ' || active, 'counts:', '  decisions: ' || n1, '  learnings: ' || n2, '  reusable: ' || n3, '  anti-patterns: ' || n4, '---', '', '# Harvest Index — ' || regexp_extract(kb_path, '[^/]+$'), '', '{index.INTRO[0]}', '{index.INTRO[1]}', '',
-  '{index.CRITICAL}', '', '{index.CRITICAL_NOTE}', '', lb, '', '{index.SECTIONS["decision"]}', '', '| ID | Title | Summary | Updated |', '|---|---|---|---|' || l1, '', '{index.SECTIONS["learning"]}', '', '| ID | Title | Summary | Updated |', '|---|---|---|---|' || l2, '', '{index.SECTIONS["reusable"]}', '', '| ID | Title | Summary | Updated |', '|---|---|---|---|' || l3, '',
-  '{index.SECTIONS["anti-pattern"]}', '', '| ID | Title | Summary | Severity | Updated |', '|---|---|---|---|---|' || l4, '', '---', '', '## Status Summary', '', '- Active: ' || active || ' items', '- Deprecated: ' || deprecated || ' items', '- Superseded: ' || superseded || ' items', '- Archived: ' || archived || ' items', '', '{index.COUNTS_NOTE}') || chr(10) AS content,
+SELECT kb_path, concat_ws(chr(10), '---', 'generated_at: {A.NOW}', 'schema_version: 1', 'kb_path: ' || kb_path, 'total_items: ' || active, 'counts:', '  decisions: ' || n1, '  learnings: ' || n2, '  reusable: ' || n3, '  anti-patterns: ' || n4, '---', '', '{index.Wording.title}' || regexp_extract(kb_path, '[^/]+$'), '', '{index.Wording.intro[0]}', '{index.Wording.intro[1]}', '',
+  '{index.CRITICAL}', '', '{index.Wording.critical}', '', lb, '', '{index.SECTIONS["decision"]}', '', '| ID | Title | Summary | Updated |', '|---|---|---|---|' || l1, '', '{index.SECTIONS["learning"]}', '', '| ID | Title | Summary | Updated |', '|---|---|---|---|' || l2, '', '{index.SECTIONS["reusable"]}', '', '| ID | Title | Summary | Updated |', '|---|---|---|---|' || l3, '',
+  '{index.SECTIONS["anti-pattern"]}', '', '| ID | Title | Summary | Severity | Updated |', '|---|---|---|---|---|' || l4, '', '---', '', '## Status Summary', '', '- Active: ' || active || ' items', '- Deprecated: ' || deprecated || ' items', '- Superseded: ' || superseded || ' items', '- Archived: ' || archived || ' items', '', '{index.Wording.counts}') || chr(10) AS content,
   (52 + nb + n1 + n2 + n3 + n4)::INTEGER AS line_count FROM d""")
 def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M10, A11, T2, T3, F16."""
@@ -402,3 +402,48 @@ def written_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3."""
     found = profile.session_profile(A.blocks(spark, sf_dir))
     return found.select("session_id", decided_language(F.when(F.col("session_id").endswith("1"), "en").otherwise("auto"), F.col("language")).alias("written_in"))
+
+
+@query(f"""WITH {A.ITEMS}, ok AS (SELECT doc_id, category, kb_path, status = 'active' AND location = 'active' AND universality = 'unverified' AS fine FROM items),
+r AS (SELECT a.doc_id AS req_id, a.category, CASE WHEN b.doc_id IS NULL THEN 'item_not_found' WHEN NOT a.fine OR NOT b.fine OR b.category <> a.category THEN 'origin_not_promotable' END AS own FROM ok a LEFT JOIN ok b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 8 = 0),
+t AS (SELECT *, sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY category ORDER BY req_id) AS turn FROM r)
+SELECT req_id, coalesce(own, CASE WHEN turn > 10 THEN 'category_full' END) AS code, CASE WHEN own IS NULL AND turn <= 10 THEN concat(CASE category WHEN 'decision' THEN 'D' WHEN 'learning' THEN 'L' WHEN 'reusable' THEN 'R' ELSE 'A' END, '-', lpad(turn::VARCHAR, 3, '0')) END AS item_id FROM t""")
+def promotion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's item and the next one's make a promotion to one root KB."""
+    held = A.items(spark, sf_dir)
+    first = held.where("doc_id % 8 = 0").select(F.col("doc_id").alias("req_id"), "category", F.struct("kb_path", "item_id").alias("a"))
+    second = held.where("doc_id % 8 = 1").select((F.col("doc_id") - 1).alias("req_id"), F.struct("kb_path", "item_id").alias("b"))
+    missing = F.struct(F.lit("/kb/none").alias("kb_path"), F.lit("D-000").alias("item_id"))
+    requests = first.join(second, "req_id", "left").select("req_id", F.col("req_id").alias("req_order"), F.lit("/kb/root").alias("target_kb"), "category", F.lit("both").alias("title_slug"), F.array("a", F.coalesce("b", missing)).alias("origins"))
+    return items.promotion_verdicts(requests, held)
+
+
+@query(f"""WITH {A.ITEMS} SELECT kb_path, concat(CASE WHEN location = 'archive' THEN '.archive' WHEN category = 'decision' THEN 'decisions' WHEN category = 'learning' THEN 'learnings' WHEN category = 'reusable' THEN 'reusable' ELSE 'anti-patterns' END, '/', item_id, '-', slug, '.md') AS file_name,
+  concat_ws(chr(10), '---', 'id: ' || item_id, 'type: ' || category, 'title: "T"', 'summary: ' || to_json(summary)::VARCHAR, 'tags: [' || array_to_string(list_transform(tags, lambda t: '"' || t || '"'), ', ') || ']', 'paths: ["' || paths[1] || '", "' || paths[2] || '"]', 'status: ' || status, 'universality: ' || universality, 'severity: ' || severity,
+  'created: "' || created || '"', 'updated: "' || updated || '"', '---', '', body) AS content FROM items""")
+def rendered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10."""
+    return stores.rendered_items(A.items(spark, sf_dir))
+
+
+@query("""WITH f AS (SELECT doc_id // 3 AS kb, CASE WHEN doc_id % 2 = 0 OR doc_id % 7 < 3 THEN 'status' END AS error_field FROM documents WHERE doc_id IS NOT NULL) SELECT concat('/kb/', kb) AS kb_path, count(*) AS files FROM f GROUP BY kb HAVING count(*) = count(error_field)""")
+def corrupt_kbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9."""
+    d = A.table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    failed = (F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 7 < 3)
+    return index.corrupt_kbs(d.select(F.concat(F.lit("/kb/"), F.floor(F.col("doc_id") / 3).cast("string")).alias("kb_path"), F.when(failed, "status").alias("error_field")))
+
+
+@query(f"""WITH {A.PATHS}, o AS (SELECT page_id % 40 AS session_id, (SELECT arg_max(kb_path, length(kb_dir)) FROM registry WHERE path = kb_dir OR starts_with(path, kb_dir || '/')) AS kb_path FROM paths) SELECT session_id, count(DISTINCT kb_path) AS n_kbs FROM o GROUP BY session_id HAVING count(DISTINCT kb_path) > 1""")
+def sessions_in_several_kbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9."""
+    paths = A.page_paths(spark, sf_dir)
+    owned = paths.join(regions.owners(paths, A.registry(paths)), "path").select((F.col("page_id") % 40).alias("session_id"), "kb_path")
+    return profile.several_kbs(owned)
+
+
+@query(f"""WITH {A.BLOCKS}, h AS (SELECT session_id, seq, concat('=== ', role, ' ', left(uuid, 8), ' @ (no-ts)', CASE WHEN is_sidechain THEN ' sidechain' ELSE '' END, ' ===', chr(10), CASE kind WHEN 'text' THEN text WHEN 'tool_use' THEN concat('[Tool: ', tool_name, '] ', input_json) ELSE concat('[Result error] ', text) END) AS m FROM blocks)
+SELECT session_id, string_agg(m, chr(10) ORDER BY seq) AS content, count(*) AS message_count_after FROM h GROUP BY session_id""")
+def full_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7-F9 (full)."""
+    return compress.full(A.blocks(spark, sf_dir))

@@ -94,13 +94,13 @@ def test_compression_equals_the_stepwise_rule(spark):
 
 
 def test_regions_mask_nested_kbs(spark):
-    registry = spark.createDataFrame([(f"{d}/.harvest", d) for d in ("/r", "/r/apps/web", "/r/apps/api")], "kb_path string, kb_dir string")
+    registry = spark.createDataFrame([(f"{d}/.kb", d) for d in ("/r", "/r/apps/web", "/r/apps/api")], "kb_path string, kb_dir string")
     found = regions.owners(spark.createDataFrame([("/r/x",), ("/r/apps/web/a.ts",), ("/r/apps/web-old/a.ts",), ("/q",), ("/r/apps/api",)], "path string"), registry)
     assert {r.path: r.kb_dir for r in found.collect()} == {"/r/x": "/r", "/r/apps/web/a.ts": "/r/apps/web", "/r/apps/web-old/a.ts": "/r", "/q": None, "/r/apps/api": "/r/apps/api"}
-    kept = regions.kept_paths(spark.createDataFrame([(1, "/r/.harvest", "/r", ["a/../b", "/r/b", "apps/web/x", "/q"]), (2, "/r/.harvest", "/r", [])], "item_key int, kb_path string, kb_dir string, paths array<string>"), registry)
+    kept = regions.kept_paths(spark.createDataFrame([(1, "/r/.kb", "/r", ["a/../b", "/r/b", "apps/web/x", "/q"]), (2, "/r/.kb", "/r", [])], "item_key int, kb_path string, kb_dir string, paths array<string>"), registry)
     assert {r.item_key: (r.paths_kept, r.paths_dropped) for r in kept.collect()} == {1: (["b"], ["apps/web/x", "/q"]), 2: ([], [])}
     chain = regions.chains(spark.createDataFrame([("/r/apps",)], "cwd string"), registry, spark.createDataFrame([("/r",)], "dir string")).orderBy("position").collect()
-    assert [(r.kb_path, r.relative_to_cwd, r.is_root) for r in chain] == [("/r/apps/api/.harvest", "api", False), ("/r/apps/web/.harvest", "web", False), ("/r/.harvest", "..", True)]
+    assert [(r.kb_path, r.relative_to_cwd, r.is_root) for r in chain] == [("/r/apps/api/.kb", "api", False), ("/r/apps/web/.kb", "web", False), ("/r/.kb", "..", True)]
 
 
 def test_candidates(spark):
@@ -160,6 +160,15 @@ def test_promotion(spark):
     assert after["/r/a", "D-001"].status == "superseded-by-cross:..:D-008" and after["/r/a", "D-001"].body.endswith("- 2024-06-15: promoted to ../D-008")
 
 
+def test_demotion(spark):
+    held = spark.createDataFrame([item("/r", "D-001", "decision", "x", universality="universal"), item("/r", "D-002", "decision", "y"), item("/r/a", "D-009", "decision", "z")], ITEM)
+    requests = spark.createDataFrame([(1, 1, "D-001", "/r/a"), (2, 2, "D-002", "/r/a"), (3, 3, "D-003", "/r/a"), (4, 4, "D-001", "/r/b")], "req_id int, req_order int, origin_id string, target_kb string")
+    assert {r.req_id: r.code or r.item_id for r in items.demotion_verdicts(requests, held, "/r").collect()} == {1: "D-010", 2: "origin_not_demotable", 3: "item_not_found", 4: "origin_not_demotable"}
+    after = {(r.kb_path, r.item_id): r for r in items.demoted(held, requests, "/r", F.lit(NOW)).collect()}
+    assert len(after) == 4 and after["/r/a", "D-010"].universality == "app-specific" and after["/r/a", "D-010"].slug == "x"
+    assert after["/r", "D-001"].location == "archive" and after["/r", "D-001"].archive_reason == "demoted to a/D-010"
+
+
 def test_ledger(spark):
     kind = "kb_path string, session_id string, transcript_sha256 string, transcript_mtime_ms bigint, status string, skipped_reason string, extracted_count int, kb_actions array<struct<kb:string,actions:array<string>>>, failure_reason string"
     old = spark.createDataFrame([("k", "s", "h", 1, "failed", None, 0, [], "x", "t0", "t0")], kind + ", first_seen_at string, last_seen_at string")
