@@ -45,12 +45,16 @@ def dominant_cwd(blocks: DataFrame) -> DataFrame:
 
 
 def session_profile(blocks: DataFrame, min_user_turns: int = 3, read_only: tuple[str, ...] = READ_ONLY) -> DataFrame:
-    """One row per session: sizes, tools, language, directory, and why it would be skipped as trivial."""
+    """One row per session: sizes, tools, language, directory, and why it would be skipped as trivial.
+
+    Messages are counted by their first block, so that one distinct count is left
+    and rows need not be repeated for several.
+    """
     blocks = messages_only(blocks)
     text = F.when(F.col("kind") == "text", F.col("text"))
     used = F.col("kind") == "tool_use"
     sizes = blocks.groupBy("session_id").agg(
-        F.count_distinct("seq").alias("message_count"),
+        F.count_if(F.coalesce("block_no", F.lit(0)) == 0).alias("message_count"),
         F.count_distinct(F.when((F.col("role") == "user") & (F.coalesce(text, F.lit("")) != ""), F.col("seq"))).alias("user_turns"),
         tokens(F.sum(block_chars())).alias("tokens"),
         F.coalesce(F.bool_or(F.col("is_error")), F.lit(False)).alias("has_errors"),

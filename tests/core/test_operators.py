@@ -56,7 +56,7 @@ def test_paths(spark, base, path, absolute, relative):
 
 
 def test_profile(spark):
-    rows = [block(1, "user", "text", "hi", cwd="/a"), block(2, "assistant", "tool_use", None, "Read", '{"file_path":"/p"}', cwd="/b"), block(3, "user", "text", "OK", cwd="/a"), block(4, "user", None, cwd="/b"), block(5, "system", "text", "ignored" * 9)]
+    rows = [block(1, "user", "text", "hi", cwd="/a"), block(2, "assistant", "tool_use", None, "Read", '{"file_path":"/p"}', cwd="/b"), block(3, "user", "text", "OK", cwd="/a"), block(4, "user", None, cwd="/b", no=None), block(5, "system", "text", "ignored" * 9)]
     got = profile.session_profile(spark.createDataFrame(rows, BLOCK)).first()
     assert (got.message_count, got.tokens, got.tools_read, got.user_turns, got.cwd, got.n_cwds, got.skip_reason, got.language) == (4, 6, 1, 2, "/a", 2, "few-user-turns", "en")
     for value, want in (("가나다 abc", "ko"), ("123", "mixed"), ("abcd 가", "en")):
