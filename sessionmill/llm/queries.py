@@ -126,4 +126,17 @@ ordered AS (SELECT told.*, epoch, source_given AS budget, coalesce(sum(n_tokens)
 SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, start, n_tokens, least(n_tokens, budget - start)::BIGINT AS taken FROM ordered WHERE start < budget
 """
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_mixing_sources": OP6_SQL}
+#: All pairs that share a shingle are counted: for small tables.
+OP9_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM words, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM size UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(other, w.doc_id) AS component_id, coalesce(other, w.doc_id) = w.doc_id AS kept FROM words w LEFT JOIN size ON size.doc_id = w.doc_id LEFT JOIN least ON least.doc_id = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_mixing_sources": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL}
