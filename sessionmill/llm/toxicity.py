@@ -27,6 +27,7 @@ SLOTS = 1 << 19
 FEATURES = ["whole", "passage", "strongest", "second", "third", "fifth", "size"]
 RANKS = (1, 2, 3, 5)
 PASSAGE = 8
+BATCH_BYTES = 4 << 20
 
 
 def packed_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
         return gram, *[np.bincount(inverse, np.concatenate([h[i] for h in held])).astype(np.int64) for i in (1, 2)]
 
-    for batch in text_batches(batches):
+    for batch in text_batches(batches, most_bytes=BATCH_BYTES):
         codes, starts, words = split_words(batch["text"])
         toxic = np.repeat(batch["toxic"].to_numpy(zero_copy_only=False) == 1, np.diff(starts))
         pairs = np.unique(np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * len(words) * 2 + codes * 2 + toxic)
@@ -174,7 +175,7 @@ def _ranked(codes: np.ndarray, starts: np.ndarray, strength: np.ndarray) -> list
 
 def _features(tables, carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, most_bytes=BATCH_BYTES):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x) for x in compare(batch["text"], tables.value)], *[batch[c] for c in carry]], names=["doc_id", *FEATURES, *carry])
 
     return run
