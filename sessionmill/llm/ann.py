@@ -23,12 +23,16 @@ from sessionmill.llm.session import prepare, stored
 class Forest:
     """Trees as arrays: node i of a tree has children 2i+1 and 2i+2 in a full tree of ``depth`` levels."""
 
-    def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int):
+    def __init__(self, depth: int, normals: np.ndarray, offsets: np.ndarray):
+        self.depth, self.trees, self.normals, self.offsets = depth, len(normals), normals, offsets
+
+    @staticmethod
+    def fitted(sample: np.ndarray, trees: int, depth: int, seed: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """The parts of a forest, as plain arrays that any executor can receive."""
         rng = np.random.default_rng(seed)
         inner = (1 << depth) - 1
-        self.depth, self.trees = depth, trees
-        self.normals = np.zeros((trees, inner, sample.shape[1]), np.float32)
-        self.offsets = np.zeros((trees, inner), np.float32)
+        normals = np.zeros((trees, inner, sample.shape[1]), np.float32)
+        offsets = np.zeros((trees, inner), np.float32)
         for t in range(trees):
             members = {0: np.arange(len(sample))}
             for node in range(inner):
@@ -43,8 +47,9 @@ class Forest:
                 normal = normal / norm if norm > 0 else rng.standard_normal(sample.shape[1])
                 side = sample[own] @ normal
                 offset = np.median(side) if len(own) else 0.0
-                self.normals[t, node], self.offsets[t, node] = normal, offset
+                normals[t, node], offsets[t, node] = normal, offset
                 members[2 * node + 1], members[2 * node + 2] = own[side <= offset], own[side > offset]
+        return depth, normals, offsets
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf (0 to 2**depth - 1) of each vector in each tree."""
@@ -88,22 +93,24 @@ def _filed(forest, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     """Each vector under its leaf in each tree; a leaf's vectors are dealt to blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = forest.value.trees
+        built = Forest(*forest.value)
+        trees = built.trees
         for batch in batches:
             if batch.num_rows:
                 x = unit(_matrix(batch["embedding"])).astype(np.float32)
                 rows = np.repeat(np.arange(len(x)), trees)
                 block = batch["key"].to_numpy()[rows] % blocks
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array(forest.value.leaves(x).ravel()), pa.array(block.astype(np.int32)), *[batch[n].take(pa.array(rows)) for n in ("key", "ids", "embedding")]], names=["tree", "leaf", "block", "key", "ids", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array(built.leaves(x).ravel()), pa.array(block.astype(np.int32)), *[batch[n].take(pa.array(rows)) for n in ("key", "ids", "embedding")]], names=["tree", "leaf", "block", "key", "ids", "embedding"])
 
     return run
 
 
 def _asked(forest, visits: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = Forest(*forest.value)
         for batch in batches:
             if batch.num_rows:
-                found = forest.value.search(unit(_matrix(batch["embedding"])).astype(np.float32), visits)
+                found = built.search(unit(_matrix(batch["embedding"])).astype(np.float32), visits)
                 rows = [(t, leaf, b, i) for i, own in enumerate(found) for t, leaf in own for b in range(blocks)]
                 columns = [np.array(c, np.int32) for c in zip(*rows, strict=True)]
                 take = pa.array(columns[3])
@@ -164,7 +171,7 @@ def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int
     n = distinct.count()
     sample = unit(np.array([r.embedding for r in distinct.orderBy("key").limit(most_sample).select("embedding").collect()], np.float64).reshape(-1, sizes.n))
     depth = max(0, int(np.log2(max(1, len(sample) / leaf_rows))))
-    forest = spark.sparkContext.broadcast(Forest(sample, trees, depth, seed))
+    forest = spark.sparkContext.broadcast(Forest.fitted(sample, trees, depth, seed))
     blocks = max(1, n // ((1 << depth) * block_rows))
     visits = max(2, int(np.ceil(share * (1 << depth)))) + trees
 
