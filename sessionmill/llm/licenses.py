@@ -2,7 +2,8 @@
 
 Several hundred rules, built from a list of licences and templates, are regular
 expressions over a document's words. A keyword prefilter decides which documents
-are looked at, and each rule's own keyword whether it is tried. Overlapping
+are looked at, and each rule's own keyword whether it is tried; both come from the
+rules. Overlapping
 detections are settled by interval containment: one that lies within another of
 the same or a better priority is dropped. All work is in SQL functions on one row;
 there is no shuffle.
@@ -21,59 +22,59 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Families: label, the word that any of its texts has, the names that texts use, the versions that it has.
+# Families: label, the names that texts use, the versions that it has. Any match of a rule has the rule's name.
 FAMILIES = [
-    ("gpl", "gpl", ["gpl", "gnu gpl"], ["1", "2", "3"]),
-    ("gpl", "gnu", ["gnu general public license", "gnu general public licence"], ["1", "2", "3"]),
-    ("lgpl", "lgpl", ["lgpl", "gnu lgpl"], ["2", "2 1", "3"]),
-    ("lgpl", "lesser", ["gnu lesser general public license"], ["2 1", "3"]),
-    ("agpl", "agpl", ["agpl", "gnu agpl"], ["1", "3"]),
-    ("agpl", "affero", ["gnu affero general public license"], ["1", "3"]),
-    ("apache", "apache", ["apache", "apache license", "apache software license"], ["1", "1 1", "2", "2 0"]),
-    ("mit", "mit", ["mit", "mit license", "mit licence"], []),
-    ("bsd", "bsd", ["bsd", "bsd license", "new bsd", "simplified bsd", "modified bsd"], ["0 clause", "1 clause", "2 clause", "3 clause", "4 clause"]),
-    ("mpl", "mpl", ["mpl"], ["1 0", "1 1", "2 0"]),
-    ("mpl", "mozilla", ["mozilla public license"], ["1 0", "1 1", "2 0"]),
-    ("epl", "epl", ["epl"], ["1 0", "2 0"]),
-    ("epl", "eclipse", ["eclipse public license"], ["1 0", "2 0"]),
-    ("cddl", "cddl", ["cddl"], ["1 0", "1 1"]),
-    ("cpl", "common", ["common public license"], ["1 0"]),
-    ("isc", "isc", ["isc", "isc license"], []),
-    ("zlib", "zlib", ["zlib", "zlib license", "zlib libpng license"], []),
-    ("bsl", "boost", ["boost software license"], ["1 0"]),
-    ("artistic", "artistic", ["artistic license"], ["1 0", "2 0"]),
-    ("unlicense", "unlicense", ["unlicense", "the unlicense"], []),
-    ("wtfpl", "wtfpl", ["wtfpl"], ["2"]),
-    ("eupl", "eupl", ["eupl"], ["1 1", "1 2"]),
-    ("ofl", "ofl", ["ofl", "sil ofl"], ["1 0", "1 1"]),
-    ("ofl", "sil", ["sil open font license"], ["1 0", "1 1"]),
-    ("odbl", "odbl", ["odbl"], ["1 0"]),
-    ("ncsa", "ncsa", ["ncsa", "university of illinois ncsa open source license"], []),
-    ("psf", "python", ["python software foundation license"], ["2"]),
-    ("postgresql", "postgresql", ["postgresql license"], []),
-    ("ms-pl", "microsoft", ["microsoft public license"], []),
-    ("afl", "academic", ["academic free license"], ["2 1", "3 0"]),
-    ("cc0", "cc0", ["cc0"], ["1 0"]),
-    ("cc-by", "cc", ["cc by"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-sa", "cc", ["cc by sa"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nd", "cc", ["cc by nd"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc", "cc", ["cc by nc"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-sa", "cc", ["cc by nc sa"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-nd", "cc", ["cc by nc nd"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by", "creative", ["creative commons attribution"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-sa", "creative", ["creative commons attribution sharealike", "creative commons attribution share alike"], ["2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc", "creative", ["creative commons attribution noncommercial", "creative commons attribution non commercial"], ["2 0", "2 5", "3 0", "4 0"]),
+    ("gpl", ["gpl", "gnu gpl"], ["1", "2", "3"]),
+    ("gpl", ["gnu general public license", "gnu general public licence"], ["1", "2", "3"]),
+    ("lgpl", ["lgpl", "gnu lgpl"], ["2", "2 1", "3"]),
+    ("lgpl", ["gnu lesser general public license"], ["2 1", "3"]),
+    ("agpl", ["agpl", "gnu agpl"], ["1", "3"]),
+    ("agpl", ["gnu affero general public license"], ["1", "3"]),
+    ("apache", ["apache", "apache license", "apache software license"], ["1", "1 1", "2", "2 0"]),
+    ("mit", ["mit", "mit license", "mit licence"], []),
+    ("bsd", ["bsd", "bsd license", "new bsd", "simplified bsd", "modified bsd"], ["0 clause", "1 clause", "2 clause", "3 clause", "4 clause"]),
+    ("mpl", ["mpl"], ["1 0", "1 1", "2 0"]),
+    ("mpl", ["mozilla public license"], ["1 0", "1 1", "2 0"]),
+    ("epl", ["epl"], ["1 0", "2 0"]),
+    ("epl", ["eclipse public license"], ["1 0", "2 0"]),
+    ("cddl", ["cddl"], ["1 0", "1 1"]),
+    ("cpl", ["common public license"], ["1 0"]),
+    ("isc", ["isc", "isc license"], []),
+    ("zlib", ["zlib", "zlib license", "zlib libpng license"], []),
+    ("bsl", ["boost software license"], ["1 0"]),
+    ("artistic", ["artistic license"], ["1 0", "2 0"]),
+    ("unlicense", ["unlicense", "the unlicense"], []),
+    ("wtfpl", ["wtfpl"], ["2"]),
+    ("eupl", ["eupl"], ["1 1", "1 2"]),
+    ("ofl", ["ofl", "sil ofl"], ["1 0", "1 1"]),
+    ("ofl", ["sil open font license"], ["1 0", "1 1"]),
+    ("odbl", ["odbl"], ["1 0"]),
+    ("ncsa", ["ncsa", "university of illinois ncsa open source license"], []),
+    ("psf", ["python software foundation license"], ["2"]),
+    ("postgresql", ["postgresql license"], []),
+    ("ms-pl", ["microsoft public license"], []),
+    ("afl", ["academic free license"], ["2 1", "3 0"]),
+    ("cc0", ["cc0"], ["1 0"]),
+    ("cc-by", ["cc by"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-sa", ["cc by sa"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nd", ["cc by nd"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nc", ["cc by nc"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nc-sa", ["cc by nc sa"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nc-nd", ["cc by nc nd"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by", ["creative commons attribution"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-sa", ["creative commons attribution sharealike", "creative commons attribution share alike"], ["2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nc", ["creative commons attribution noncommercial", "creative commons attribution non commercial"], ["2 0", "2 5", "3 0", "4 0"]),
 ]
 
-# Texts that state a licence without its name: label, keyword, signature.
+# Texts that state a licence without its name: label, words that any match has, signature.
 STATEMENTS = [
-    ("mit", "merchantability", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("zlib", "express", r"this software is provided as is without any express or implied warranty"),
-    ("public-domain", "domain", r"(?:released|dedicated|placed) (?:in|in to|into|to) the public domain"),
-    ("proprietary", "reserved", r"all rights reserved"),
+    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("bsd", "redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("isc", "permission to use copy", r"permission to use copy modify and or distribute this software for any purpose"),
+    ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("zlib", "software is provided as is", r"this software is provided as is without any express or implied warranty"),
+    ("public-domain", "the public domain", r"(?:released|dedicated|placed) (?:in|in to|into|to) the public domain"),
+    ("proprietary", "all rights reserved", r"all rights reserved"),
     ("copyright", "copyright", r"copyright (?:c )?[0-9]{4}"),
 ]
 
@@ -87,8 +88,6 @@ TEMPLATES = [
 ]
 STATED = 0.6
 
-PREFILTER = r"(?i)licen[sc]e|copyright|spdx|creative[^a-z]+commons|cc[^a-z0-9]+by|public[^a-z]+domain|permission|redistribut|unencumbered|rights[^a-z]+reserved|[^a-z]gpl|warranty|unlicense|wtfpl|[^a-z]cc0"
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -103,17 +102,27 @@ def rules() -> list[Rule]:
     """All rules in order. A name that may carry a version is tried with and without one; the bare name alone is too weak where it is a common word."""
     out = []
     for priority, template, weight in TEMPLATES:
-        for label, keyword, names, versions in FAMILIES:
+        for label, names, versions in FAMILIES:
             for name in names:
                 if priority == 5 and " " not in name and name not in ("lgpl", "agpl", "cc0", "wtfpl", "unlicense", "cddl", "eupl", "odbl"):
                     continue
                 if priority == 4 and name.endswith(("license", "licence")):
                     continue
                 version = f"(?: (?:version |v ?)?(?:{'|'.join(sorted(versions, key=len, reverse=True))})(?: 0)?(?: or later| only)?)?" if versions else ""
-                out.append(Rule(label, priority, keyword, template.format(name=name + version), weight))
+                out.append(Rule(label, priority, name, template.format(name=name + version), weight))
     return out + [Rule(label, 2, keyword, pattern, STATED) for label, keyword, pattern in STATEMENTS]
 
 
+def prefilter() -> str:
+    """What a lower-case text has if any rule or base phrase can match: the whole words of one of their keywords, with anything between them that separates words."""
+    words = {r.keyword for r in rules()} | set(BASE)
+    # a keyword that holds another one adds nothing
+    least = sorted(k for k in words if not any(o != k and f" {o} " in f" {k} " for o in words))
+    letters = sorted({k[0] for k in least})
+    by_letter = "|".join(f"{x}(?:{'|'.join(k[1:].replace(' ', NOT_WORD) for k in least if k[0] == x)})" for x in letters)
+    return rf"(?:^|(?<={NOT_WORD[:-1]}))(?:{by_letter})(?:$|(?={NOT_WORD[:-1]}))"
+
+
 def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -153,7 +162,7 @@ def scan(docs: DataFrame) -> DataFrame:
     table = rules()
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     looked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lower.alias("lower"))
-    looked = looked.select("doc_id", F.regexp_count("lower", F.lit(WORD)).cast("bigint").alias("n_words"), F.when(F.col("lower").rlike(PREFILTER), F.concat(F.lit(" "), F.regexp_replace("lower", NOT_WORD, " "), F.lit(" "))).alias("norm"))
+    looked = looked.select("doc_id", F.regexp_count("lower", F.lit(WORD)).cast("bigint").alias("n_words"), F.when(F.col("lower").rlike(prefilter()), F.concat(F.lit(" "), F.regexp_replace("lower", NOT_WORD, " "), F.lit(" "))).alias("norm"))
     looked = looked.withColumn("norm", F.regexp_replace("norm", "^ +| +$", " "))
 
     base = F.when(F.col("norm").isNotNull(), _places(F.col("norm"), F.lit(_bounded("|".join(BASE)))))
@@ -162,7 +171,7 @@ def scan(docs: DataFrame) -> DataFrame:
     looked = looked.withColumns({"base": F.coalesce(base, F.array().cast("array<struct<start:bigint,end:bigint>>")), "of_base": F.array_sort(F.array_distinct(F.coalesce(labels, F.array().cast("array<string>"))))})
 
     listed = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(_bounded(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight")) for r in table])
-    tried = F.filter(listed, lambda r: F.col("norm").contains(r["keyword"]))
+    tried = F.filter(listed, lambda r: F.col("norm").contains(F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
 
     def detect(r: Column) -> Column:
         return F.transform(_places(F.col("norm"), r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))

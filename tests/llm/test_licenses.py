@@ -51,3 +51,31 @@ def test_scan(spark):
 def test_no_python_on_the_main_path(spark):
     plan = scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+def sentences():
+    """A text for each rule: its pattern with the first way of each choice and without optional parts, and with them."""
+    for r in rules():
+        pattern = r.pattern.replace("[0-9]{4}", "2024")
+        for optional in ("", r"\1"):
+            text = pattern
+            while (simpler := re.sub(r"\(\?:([^()]*)\)\?", lambda m: m.group(1).split("|")[0] if optional else "", text)) != text or (simpler := re.sub(r"\(\?:([^()]*)\)(?!\?)", lambda m: m.group(1).split("|")[0], text)) != text:
+                text = simpler
+            text = " ".join(re.sub(r"(\w| )\?", r"\1" if optional else "", text).split())
+            assert re.fullmatch(r.pattern, text), (r.pattern, text)
+            yield r, text
+
+
+def test_a_sentence_of_each_rule_is_detected(spark):
+    made = list(sentences())
+    # alone, between other words, and with other separators than spaces
+    rows = [(i, w) for i, (_, t) in enumerate(made) for w in (t, f"This code, {t.upper()}; see below", t.replace(" ", " -\n"))]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    missing = [made[g.doc_id] for g in got if not any(d.priority <= made[g.doc_id][0].priority for d in g.detections)]
+    assert not missing, missing[:5]
+
+
+def test_names_that_begin_or_end_a_text(spark):
+    texts = ["gpl v3 applies", "code is under cddl 1.0", "released under gnu lgpl", "available under the new BSD", "Permission is hereby granted, free of charge, to any person obtaining a copy", "summit committee; miscellaneous"]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["", "cddl", "lgpl", "bsd", "mit", ""]
