@@ -7,6 +7,10 @@ log-likelihood under the toxic model less that under the ordinary one. A documen
 is compared on length-normalised evidence: of the whole text, and of its
 passages, the strongest of which a long ordinary text cannot dilute. A small
 logistic fit on held-back labelled rows turns the comparison into a score.
+
+All counts are exact and stay in Spark. They are joined to the distinct grams of the
+corpus, and each chunk of documents gets the evidence of its own grams, so no task
+or process holds a table of the whole corpus.
 """
 
 from __future__ import annotations
@@ -15,15 +19,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.session import prepare, stored
-from sessionmill.llm.words import mix, ragged, segment_max, segment_sum, split_words, text_batches
+from sessionmill.llm.words import ragged, segment_max, segment_sum, split_words, text_batches
 
 ORDER = 6
 BITS = 10
-SLOTS = 1 << 19
+DISCOUNT = 0.75
+SCALE = 1e9
 FEATURES = ["whole", "passage", "strongest", "second", "third", "fifth", "size"]
 RANKS = (1, 2, 3, 5)
 PASSAGE = 8
@@ -51,10 +56,6 @@ def packed_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.concatenate(([0], np.cumsum(length + 1)))
 
 
-def slot_of(values: np.ndarray, order: int) -> np.ndarray:
-    return (mix(values.astype(np.uint64) + np.uint64(order << 61)) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grams of the distinct words of each document, by class, summed over the task's batches."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -80,64 +81,69 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["gram", "toxic", "ordinary"])
 
 
-def _slots(order: int, shift: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the slot of the gram, or of its context."""
+def _suffix(gram: str, order: int) -> Column:
+    return F.col(gram).bitwiseAND((1 << (BITS * order)) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = slot_of(batch["gram"].to_numpy() >> np.int64(shift), order)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), batch["toxic"], batch["ordinary"]], names=["slot", "toxic", "ordinary"])
 
-    return run
+def _context(gram: str) -> Column:
+    return F.shiftright(gram, BITS)
 
 
-def train(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Count tables of both models from ``labelled(text, toxic)``.
+def train(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Exact count tables of both models from ``labelled(text, toxic)``, by gram or context.
 
-    Every labelled row counts. The tables have SLOTS places each, however large
-    the corpus is (grams that share a place share its count), so what reaches
-    the driver and is sent to the executors is bounded.
+    Every labelled row and every gram counts; the tables stay in Spark.
     """
     grams = labelled.select("text", "toxic").mapInArrow(_gram_counts, "gram long, toxic long, ordinary long")
     level = stored(grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
-    tables: dict[str, np.ndarray] = {}
-
-    def gather(name: str, rows: DataFrame, order: int, shift: int, *sums: str) -> None:
-        summed = rows.mapInArrow(_slots(order, shift), "slot long, toxic long, ordinary long").groupBy("slot").agg(*[F.expr(s).alias(f"c{i}") for i, s in enumerate(sums)]).toArrow()
-        out = np.zeros((len(sums), SLOTS), np.float32)
-        out[:, summed["slot"].to_numpy()] = [summed[f"c{i}"].to_numpy() for i in range(len(sums))]
-        tables[name] = out
-
-    gather("top", level, ORDER, 0, "sum(toxic)", "sum(ordinary)")
-    gather("context", level, ORDER, BITS, "sum(toxic)", "sum(ordinary)", "count_if(toxic > 0)", "count_if(ordinary > 0)")
+    kinds = [F.sum(c).alias(f"{c}_total") for c in ("toxic", "ordinary")] + [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
+    tables = {"top": level, "context": level.groupBy(_context("gram").alias("context")).agg(*kinds)}
+    level = level.select("gram")
     for order in range(ORDER - 1, 0, -1):
         # the next lower order counts the distinct characters before each gram, whichever class they are from
-        level = stored(level.groupBy((F.col("gram").bitwiseAND((1 << (BITS * order)) - 1)).alias("gram")).agg(F.count("*").alias("toxic"), F.lit(0).cast("bigint").alias("ordinary")), "grams")
-        gather(f"shared{order}", level, order, 0, "sum(toxic)")
-        gather(f"shared_context{order}", level, order, BITS, "sum(toxic)", "count(*)")
+        level = stored(level.groupBy(_suffix("gram", order).alias("gram")).agg(F.count("*").alias("n")), "grams")
+        tables[f"shared{order}"] = level
+        tables[f"shared_context{order}"] = level.groupBy(_context("gram").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     return tables
 
 
-def evidence(grams: np.ndarray, tables: dict[str, np.ndarray], discount: float = 0.75) -> np.ndarray:
-    """Log-likelihood of each gram's last character under the toxic model less that under the ordinary one."""
-    shared = np.full(len(grams), 1.0 / (1 << BITS))
+def _smoothed(count: str, total: str, kinds: str, lower: str) -> Column:
+    own = F.greatest(F.coalesce(F.col(count), F.lit(0)) - F.lit(DISCOUNT), F.lit(0.0))
+    return F.when(F.col(total) > 0, (own + F.lit(DISCOUNT) * F.least(F.col(kinds), F.col(total)) * F.col(lower)) / F.col(total)).otherwise(F.col(lower))
+
+
+def evidence(grams: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(gram, gain) of distinct ``grams``: log-likelihood of the last character under the toxic model less that under the ordinary one, times SCALE."""
+    lower = None
     for order in range(1, ORDER):
-        gram = grams & np.int64((1 << (BITS * order)) - 1)
-        count = tables[f"shared{order}"][0][slot_of(gram, order)].astype(np.float64)
-        total, kinds = tables[f"shared_context{order}"][:, slot_of(gram >> np.int64(BITS), order)].astype(np.float64)
-        safe = np.maximum(total, 1)
-        shared = np.where(total > 0, (np.maximum(count - discount, 0) + discount * np.minimum(kinds, total) * shared) / safe, shared)
-    counts, contexts = tables["top"][:, slot_of(grams, ORDER)].astype(np.float64), tables["context"][:, slot_of(grams >> np.int64(BITS), ORDER)].astype(np.float64)
-    logs = []
-    for own, total, kinds in ((counts[0], contexts[0], contexts[2]), (counts[1], contexts[1], contexts[3])):
-        safe = np.maximum(total, 1)
-        p = np.where(total > 0, (np.maximum(own - discount, 0) + discount * np.minimum(kinds, total) * shared) / safe, shared)
-        logs.append(np.log(np.maximum(p, 1e-12)))
-    return logs[0] - logs[1]
-
-
-def compare(texts: pa.Array, tables: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """FEATURES of each text.
+        asked = grams.select(_suffix("gram", order).alias("gram")).distinct()
+        asked = asked.join(tables[f"shared{order}"], "gram", "left").withColumn("context", _context("gram")).join(tables[f"shared_context{order}"], "context", "left")
+        if lower is None:
+            asked = asked.withColumn("lower", F.lit(1.0 / (1 << BITS)))
+        else:
+            asked = asked.withColumn("suffix", _suffix("gram", order - 1)).join(lower, "suffix")
+        lower = asked.select(F.col("gram").alias("suffix"), _smoothed("n", "total", "kinds", "lower").alias("lower"))
+    asked = grams.join(tables["top"], "gram", "left").withColumn("context", _context("gram")).join(tables["context"], "context", "left")
+    asked = asked.withColumn("suffix", _suffix("gram", ORDER - 1)).join(lower, "suffix")
+    logs = [F.log(F.greatest(_smoothed(c, f"{c}_total", f"{c}_kinds", "lower"), F.lit(1e-12))) for c in ("toxic", "ordinary")]
+    return asked.select("gram", F.round((logs[0] - logs[1]) * SCALE).cast("bigint").alias("gain"))
+
+
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of the task's texts, without most repetitions."""
+    held: list[np.ndarray] = []
+    for batch in text_batches(batches, most_bytes=BATCH_BYTES):
+        held.append(np.unique(packed_grams(split_words(batch["text"])[2])[0]))
+        if sum(map(len, held)) > 3_000_000:
+            held = [np.unique(np.concatenate(held))]
+            if len(held[0]) > 1_500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(held.pop())], names=["gram"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["gram"])
+
+
+def compare(texts: pa.Array, told: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """FEATURES of each text; ``told`` has all of their grams, ascending, and the gain of each.
 
     Evidence per character of the whole text and of its strongest passage; evidence of the
     strongest distinct words by the root of their length; and the logarithm of
@@ -145,7 +151,9 @@ def compare(texts: pa.Array, tables: dict[str, np.ndarray]) -> list[np.ndarray]:
     """
     codes, starts, words = split_words(texts)
     grams, begin = packed_grams(words)
-    gain, size = segment_sum(evidence(grams, tables), begin), np.diff(begin).astype(np.float64)
+    known, gains = told
+    each = gains[np.searchsorted(known, grams)] if len(known) else np.zeros(len(grams), np.int64)
+    gain, size = segment_sum(each, begin) / SCALE, np.diff(begin).astype(np.float64)
     word, length = gain[codes], size[codes]
     whole = segment_sum(word, starts) / np.maximum(segment_sum(length, starts), 1)
     # passages: runs of PASSAGE words from each text's start
@@ -173,10 +181,21 @@ def _ranked(codes: np.ndarray, starts: np.ndarray, strength: np.ndarray) -> list
     return [*out, np.log1p(np.diff(first))]
 
 
-def _features(tables, carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, most_bytes=BATCH_BYTES):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x) for x in compare(batch["text"], tables.value)], *[batch[c] for c in carry]], names=["doc_id", *FEATURES, *carry])
+def _chunk_grams(rows: pa.Table) -> pa.Table:
+    grams = [packed_grams(split_words(batch["text"])[2])[0] for batch in text_batches(rows.combine_chunks().to_batches(), most_bytes=BATCH_BYTES)]
+    grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
+    return pa.table({"chunk": pa.array(np.full(len(grams), rows["chunk"][0].as_py() if rows.num_rows else 0, np.int64)), "gram": pa.array(grams)})
+
+
+def _chunk_features(carry: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        names, out = ["doc_id", *FEATURES, *carry], []
+        told = told.sort_by("gram")
+        known = told["gram"].to_numpy(), told["gain"].to_numpy()
+        for batch in text_batches(rows.combine_chunks().to_batches(), most_bytes=BATCH_BYTES):
+            out.append(pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x, pa.float64()) for x in compare(batch["text"], known)], *[batch[c] for c in carry]], names=names))
+        kinds = [pa.int64(), *[pa.float64()] * len(FEATURES), *[pa.int64()] * len(carry)]
+        return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds, strict=True))))
 
     return run
 
@@ -194,7 +213,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows: int = 20_000, carry: tuple[str, ...] = (), chunk_chars: int = 8_000_000) -> DataFrame:
     """Scores every whole text of ``docs``; learns from ``labels(doc_id, toxic)``.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is 0 are held out and never
@@ -215,8 +234,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows:
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().distinct()
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     tables = train(docs.select("doc_id", "text").where(fold > 1).join(labels.where(fold > 1).hint("merge"), "doc_id"))
-    shared = spark.sparkContext.broadcast(tables)
-    compared = stored(docs.mapInArrow(_features(shared, list(carry)), ", ".join(["doc_id long", *[f"{f} double" for f in FEATURES], *[f"{c} long" for c in carry]])), "evidence")
+    asked = stored(docs.select("text").mapInArrow(_distinct_grams, "gram long").distinct(), "asked")
+    gains = stored(evidence(asked, tables), "gains")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-chars // chunk_chars)))))
+    told = chunked.select("chunk", "text").groupBy("chunk").applyInArrow(_chunk_grams, "chunk long, gram long").join(gains, "gram")
+    kinds = ", ".join(["doc_id long", *[f"{f} double" for f in FEATURES], *[f"{c} long" for c in carry]])
+    compared = stored(chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_chunk_features(list(carry)), kinds), "evidence")
     sample = compared.where(fold == 1).join(labels.where(fold == 1), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fit_rows).toPandas()
     score = F.lit(0.0)
     if sample.toxic.nunique() == 2:

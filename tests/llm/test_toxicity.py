@@ -51,3 +51,57 @@ def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), none).collect()] == [0.0]
     assert toxicity(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
+
+
+def test_counts_are_exact_however_many_grams(spark):
+    from math import log
+
+    import pyarrow as pa
+
+    from sessionmill.llm.toxicity import SCALE, evidence, packed_grams, train
+
+    draw = random.Random(8)
+    made = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(90_000)]
+    rows = [(" ".join(made[i : i + 500]), int(i % 5000 == 0)) for i in range(0, len(made), 500)]
+    top, seen = [{}, {}], [set() for _ in range(7)]
+    for text, toxic in rows:
+        for w in set(text.split()):
+            padded = "^" * 5 + w + "^"
+            for i in range(len(w) + 1):
+                g = padded[i : i + 6]
+                top[toxic][g] = top[toxic].get(g, 0) + 1
+                for k in range(1, 7):
+                    seen[k].add(g[6 - k :])
+    assert len(seen[6]) > 1 << 19
+    counts, contexts = [{} for _ in range(6)], [{} for _ in range(6)]
+    for k in range(1, 6):
+        for g in seen[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+        for g, n in counts[k].items():
+            total, kinds = contexts[k].get(g[:-1], (0, 0))
+            contexts[k][g[:-1]] = (total + n, kinds + 1)
+    of = [{}, {}]
+    for c in (0, 1):
+        for g, n in top[c].items():
+            total, kinds = of[c].get(g[:-1], (0, 0))
+            of[c][g[:-1]] = (total + n, kinds + 1)
+
+    def smoothed(n, total, kinds, lower):
+        return (max(n - 0.75, 0) + 0.75 * kinds * lower) / total if total else lower
+
+    def gain(w):
+        padded, out = "^" * 5 + w + "^", 0.0
+        for i in range(len(w) + 1):
+            g, p = padded[i : i + 6], 1 / 1024
+            for k in range(1, 6):
+                p = smoothed(counts[k].get(g[6 - k :], 0), *contexts[k].get(g[6 - k : -1], (0, 0)), p)
+            ps = [smoothed(top[c].get(g, 0), *of[c].get(g[:-1], (0, 0)), p) for c in (0, 1)]
+            out += log(max(ps[1], 1e-12)) - log(max(ps[0], 1e-12))
+        return out
+
+    asked = sorted({*made[:300], *made[5000:5100], "unseen", "x", "qqqqqqqqqq"})
+    tables = train(spark.createDataFrame(rows, "text string, toxic int"))
+    grams, begin = packed_grams(pa.array(asked))
+    each = {r.gram: r.gain / SCALE for r in evidence(spark.createDataFrame([(int(g),) for g in set(grams.tolist())], "gram long"), tables).collect()}
+    got = {w: sum(each[g] for g in grams[a:b].tolist()) for w, a, b in zip(asked, begin[:-1], begin[1:], strict=True)}
+    assert all(abs(got[w] - gain(w)) < 1e-6 for w in asked)
