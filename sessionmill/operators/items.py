@@ -71,6 +71,7 @@ def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     """Requests of one KB and category in their order: what was accepted before counts for cap and slugs."""
     rows = rows.sort_values("req_order", kind="stable")
     active, last, taken, codes, ids, fills, filled = int(rows["active"].iloc[0]), int(rows["last_id"].iloc[0]), set(), [], [], [], None
+    spent, spends = None, []
     for slug, order in zip(rows["title_slug"], rows["req_order"], strict=True):
         code = None
         if active >= CAP:
@@ -85,10 +86,13 @@ def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
             taken.update("-".join(parts[i:]) for i in range(len(parts)))
             if active == CAP:
                 filled = order
+            if last == MOST_IDS:
+                spent = order
         codes.append(code)
         ids.append(None if code else last)
         fills.append(filled)
-    return pd.DataFrame({"req_id": rows["req_id"].to_numpy(), "code": codes, "number": pd.array(ids, dtype="Int64"), "filled_at": pd.array(fills, dtype="Int64")})
+        spends.append(spent)
+    return pd.DataFrame({"req_id": rows["req_id"].to_numpy(), "code": codes, "number": pd.array(ids, dtype="Int64"), "filled_at": pd.array(fills, dtype="Int64"), "spent_at": pd.array(spends, dtype="Int64")})
 
 
 def created(requests: DataFrame, items: DataFrame) -> DataFrame:
@@ -96,8 +100,8 @@ def created(requests: DataFrame, items: DataFrame) -> DataFrame:
 
     ``requests`` has req_id, req_order, kb_path, category, title_slug, n_paths (as
     given) and n_kept (inside the KB). A refused request takes no place, id or slug.
-    Once a group is full it stays full, so only as many requests as can matter,
-    a bounded number for each group, are walked through in order.
+    A group that is full or out of ids stays so, so only as many requests as can
+    matter are walked through in order; those after them get the state it ended in.
     """
     state = items.groupBy(*GROUP).agg(F.count_if((F.col("status") == "active") & (F.col("location") == "active")).alias("active"), F.max(F.substring("item_id", 3, 3).cast("int")).alias("last_id"))
     held = items.select(*GROUP, F.explode(slug_suffixes(F.col("slug"))).alias("title_slug")).distinct().withColumn("clash", F.lit(True))
@@ -109,13 +113,15 @@ def created(requests: DataFrame, items: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy(*GROUP, "title_slug", passes).orderBy("req_order"))
     known = known.withColumn("walked", passes & (first == 1))
     walk = known.where("walked").withColumn("turn", F.row_number().over(Window.partitionBy(*GROUP).orderBy("req_order")))
-    # CAP accepted slugs of at most 16 words (32 characters) refuse fewer than 16 * CAP others
-    walk = walk.where(F.col("turn") <= 17 * CAP)
-    verdicts = walk.groupBy(*GROUP).applyInPandas(_in_order, "req_id bigint, code string, number bigint, filled_at bigint")
-    filled = walk.join(verdicts.where("filled_at IS NOT NULL").select("req_id", "filled_at"), "req_id").groupBy(*GROUP).agg(F.min("filled_at").alias("filled_at"))
-    out = known.join(verdicts.drop("filled_at"), "req_id", "left").join(filled, GROUP, "left")
+    # fewer than CAP accepted slugs refuse at most as many others each as the longest has words: by then the group is full or out of ids
+    longest = F.max(F.size(F.split("title_slug", "-"))).over(Window.partitionBy(*GROUP))
+    walk = walk.withColumn("most", (longest + 1) * CAP).where(F.col("turn") <= F.col("most"))
+    verdicts = walk.groupBy(*GROUP).applyInPandas(_in_order, "req_id bigint, code string, number bigint, filled_at bigint, spent_at bigint")
+    ends = walk.select("req_id", *GROUP).join(verdicts.select("req_id", "filled_at", "spent_at"), "req_id").groupBy(*GROUP).agg(F.min("filled_at").alias("filled_at"), F.min("spent_at").alias("spent_at"))
+    out = known.join(verdicts.drop("filled_at", "spent_at"), "req_id", "left").join(ends, GROUP, "left")
     full = (F.col("active") >= CAP) | F.coalesce(F.col("req_order") > F.col("filled_at"), F.lit(False))
-    own = F.when(full, "category_full").when(~F.col("region_ok"), "region_violation").when(~F.col("walked"), "duplicate_slug").otherwise(F.col("code"))
+    spent = (F.col("last_id") >= MOST_IDS) | F.coalesce(F.col("req_order") > F.col("spent_at"), F.lit(False))
+    own = F.when(full, "category_full").when(~F.col("region_ok"), "region_violation").when(spent, "id_exhausted").when(~F.col("walked"), "duplicate_slug").otherwise(F.col("code"))
     out = out.withColumn("code", own)
     return out.select("req_id", *GROUP, F.when(F.col("code").isNull(), F.concat(category_letter(F.col("category")), F.lit("-"), F.lpad(F.col("number").cast("string"), 3, "0"))).alias("item_id"), "code")
 

@@ -148,6 +148,23 @@ def test_creates_equal_a_walk_in_order(spark):
     assert got == want
 
 
+def test_creates_without_ids_left(spark):
+    held = [item("k0", "D-999", "decision", "old", status="deprecated"), item("k1", "D-998", "decision", "old", status="deprecated")]
+    rows = [(200 * kb + i, i, f"k{kb}", "decision", "old" if i == 150 else f"s{i}", 0, 0) for kb in (0, 1) for i in range(200)]
+    requests = spark.createDataFrame(rows, "req_id bigint, req_order int, kb_path string, category string, title_slug string, n_paths int, n_kept int")
+    got = {r.req_id: r.code or r.item_id for r in items.created(requests, spark.createDataFrame(held, ITEM)).collect()}
+    assert got == {i: "D-999" if i == 200 else "id_exhausted" for i in range(400)}
+
+
+def test_creates_with_slugs_of_many_words(spark):
+    long = "-".join(f"w{i}" for i in range(300))
+    slugs = [long] + ["-".join(f"w{i}" for i in range(k, 300)) for k in range(1, 300)] + ["last"]
+    rows = [(i, i, "k", "decision", slug, 0, 0) for i, slug in enumerate(slugs)]
+    requests = spark.createDataFrame(rows, "req_id bigint, req_order int, kb_path string, category string, title_slug string, n_paths int, n_kept int")
+    got = {r.req_id: r.code or r.item_id for r in items.created(requests, spark.createDataFrame([item("other", "D-001", "decision", "x")], ITEM)).collect()}
+    assert got == {i: "D-001" if i == 0 else "D-002" if i == 300 else "duplicate_slug" for i in range(301)}
+
+
 def test_promotion(spark):
     held = spark.createDataFrame([item("/r/a", "D-001", "decision", "x"), item("/r/b", "D-004", "decision", "x"), item("/r/b", "D-005", "decision", "y", universality="universal"), item("/r", "D-007", "decision", "old")], ITEM)
     kind = "req_id int, req_order int, target_kb string, category string, title_slug string, summary string, tags array<string>, paths array<string>, body string, origins array<struct<kb_path:string,item_id:string>>"
