@@ -30,8 +30,10 @@ class WordIds:
     """Token ids of words, each distinct word encoded once (until ``most`` words are held).
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words. A word that ends in a letter and then ASCII sentence marks
-    is encoded as these two parts, which the tokenizer separates as well.
+    those of its words. It composes characters before it lower-cases them, so only
+    ASCII words are lower-cased here. A word that ends in a Latin-1 letter, which
+    both steps leave a letter, and then ASCII sentence marks is encoded as these
+    two parts, which the tokenizer separates as well; all others are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str, most: int = 400_000):
@@ -82,8 +84,8 @@ class WordIds:
         if self.known > self.most:
             self.forget()
         codes, starts, words = split_words(texts, lower=False)
-        words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
-        parts = pc.extract_regex(words, r"^(?P<stem>.*\p{L})(?P<tail>[,.;:!?]+)$")
+        words = pc.if_else(pc.or_(pc.match_substring(words, "<|"), pc.invert(pc.string_is_ascii(words))), words, pc.ascii_lower(words))
+        parts = pc.extract_regex(words, r"^(?P<stem>.*[A-Za-zÀ-ÖØ-öø-ÿ])(?P<tail>[,.;:!?]+)$")
         cut = pc.is_valid(parts)
         stems = pc.if_else(cut, pc.struct_field(parts, 0), words).dictionary_encode()
         tails = pc.if_else(cut, pc.struct_field(parts, 1), "").dictionary_encode()
@@ -129,57 +131,84 @@ def exact_and_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tupl
     return min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
+class Sums:
+    """The available lengths by what one, two or three of them sum to.
+
+    ``left`` counts the pieces of each length that are still available; it only
+    ever decreases, so a combination that has run out is passed over for good.
+    """
+
+    def __init__(self, left: list[int], most_parts: int):
+        self.left, capacity = left, len(left) - 1
+        self.lead = [gap - 2 for gap in range(capacity + 1)]
+        if most_parts > 1:
+            have = np.flatnonzero(left)
+            # (larger, smaller) of every pair that fits, by their sum and then the larger one, longest first
+            counts = np.searchsorted(have, np.minimum(have, capacity - have), side="right")
+            larger = np.repeat(have, counts)
+            total = larger + have[ragged(np.zeros(len(have), np.int64), counts)]
+            order = np.argsort((total << 32) - larger, kind="stable")
+            self.larger = memoryview(larger[order].astype(np.int32))
+            self.at = np.searchsorted(total[order], np.arange(capacity + 2)).tolist()
+            self.end = self.at[1:]
+
+    def _enough(self, parts: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= parts.count(x) for x in parts)
+
+    def single(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (gap,) if self._enough((gap, *taken)) else None
+
+    def pair(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        """The two lengths of this sum, besides those ``taken``, whose larger is largest."""
+        left, first = self.left, self.at[gap]
+        for i in range(first, self.end[gap]):
+            larger = self.larger[i]
+            smaller = gap - larger
+            if left[larger] > (larger == smaller) and left[smaller]:
+                if larger not in taken and smaller not in taken or self._enough((larger, smaller, *taken)):
+                    return larger, smaller
+            elif i == first:
+                self.at[gap] = first = i + 1
+        return None
+
+    def triple(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        """The three lengths of this sum whose largest is largest: a leading length and, from the index of pairs, the rest."""
+        lead = self.lead[gap]
+        while 3 * lead >= gap:
+            if self._enough((lead, *taken)) and (found := self.pair(gap - lead, (lead, *taken))):
+                return (lead, *found)
+            if lead == self.lead[gap] and not (self.left[lead] and self.pair(gap - lead, (lead,))):
+                self.lead[gap] -= 1
+            lead -= 1
+        return None
+
+
 def _plan(counts: dict[int, int], capacity: int, most_parts: int) -> list[tuple[tuple[int, ...], int]]:
     """One plan, with complements of up to ``most_parts`` pieces.
 
-    From the longest length down, the gap that it leaves is looked up among single
-    lengths, then, in further passes, among sums of two and of three; a combination is consumed as
-    often as its members' counts allow. Lengths without an exact complement go
-    best-fit, longest first, into the fullest open sequence that takes them.
+    From the longest length down, the gap that it leaves is looked up in the index
+    of single lengths, then, in further passes, in those of sums of two and of
+    three; a combination is consumed as often as its members' counts allow.
+    Lengths without an exact complement go best-fit, longest first, into the
+    fullest open sequence that takes them.
     """
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
     for length, n in counts.items():
         left[length] = n
     patterns: list[tuple[tuple[int, ...], int]] = []
-
-    def pair(gap: int) -> tuple[int, int] | None:
-        """The two available lengths of this sum whose larger is largest."""
-        larger = np.arange(gap - 1, (gap - 1) // 2, -1)
-        fits = (left[larger] > 0) & (left[gap - larger] > (larger * 2 == gap))
-        at = int(np.argmax(fits)) if len(fits) else 0
-        return (int(larger[at]), gap - int(larger[at])) if len(fits) and fits[at] else None
-
-    def complement(gap: int, parts: int) -> tuple[int, ...] | None:
-        if gap and left[gap]:
-            return (gap,)
-        if parts > 1 and (found := pair(gap)):
-            return found
-        if parts < 3:
-            return None
-        for a in (np.flatnonzero(left[1 : max(1, gap - 1)]) + 1)[::-1].tolist():
-            if 3 * a < gap:
-                break
-            left[a] -= 1
-            found = pair(gap - a)
-            left[a] += 1
-            if found:
-                return (a, *found)
-        return None
-
-    for parts in range(1, most_parts + 1):
+    sums = Sums(left, most_parts)
+    for look_up in (sums.single, sums.pair, sums.triple)[:most_parts]:
         for length in range(capacity, 0, -1):
             while left[length]:
-                left[length] -= 1
-                found = () if length == capacity else complement(capacity - length, parts)
-                left[length] += 1
+                found = () if length == capacity else look_up(capacity - length, (length,))
                 if found is None:
                     break
                 pattern = (length, *found)
-                times = min(int(left[x]) // pattern.count(x) for x in set(pattern))
+                times = min(left[x] // pattern.count(x) for x in set(pattern))
                 for x in pattern:
                     left[x] -= times
                 patterns.append((pattern, times))
-    rest = [(x, int(left[x])) for x in range(capacity, 0, -1) if left[x]]
+    rest = [(x, left[x]) for x in range(capacity, 0, -1) if left[x]]
 
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     spaces: list[int] = []

@@ -1,10 +1,13 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from sessionmill.llm.packing import END, exact_and_best_fit, pack
+from sessionmill.llm.packing import END, WordIds, exact_and_best_fit, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,7 +34,7 @@ def test_plan_uses_every_piece_once_and_stays_near_the_bound():
             assert got <= 1.01 * bound + 2
 
 
-@pytest.mark.parametrize("counts,capacity,expected", [({6: 1, 4: 1}, 10, 1), ({6: 1, 2: 2}, 10, 1), ({5: 1, 2: 1, 1: 1, 3: 0}, 10, 1), ({7: 2, 1: 6}, 10, 2), ({3: 1000}, 10, 334), ({}, 10, 0), ({10: 4}, 10, 4)])
+@pytest.mark.parametrize("counts,capacity,expected", [({6: 1, 4: 1}, 10, 1), ({6: 1, 2: 2}, 10, 1), ({5: 1, 2: 1, 1: 1, 3: 0}, 10, 1), ({7: 2, 1: 6}, 10, 2), ({3: 1000}, 10, 334), ({}, 10, 0), ({10: 4}, 10, 4), ({4: 1, 1: 2}, 10, 1), ({5: 1, 3: 1, 1: 2}, 10, 1)])
 def test_small_plans(counts, capacity, expected):
     assert check_plan(counts, capacity) == expected
 
@@ -58,3 +61,41 @@ def test_pack_equals_whole_text_encoding(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_ids_of_every_character_beside_sentence_marks():
+    """Each assigned character before and after each mark, and after capitals that compose with it only in lower case."""
+    with open(PATH, encoding="utf-8") as f:
+        words = WordIds(f.read(), most=10**9)
+    marks = ",.;:!?"
+    for low in range(0, 0x20000, 0x4000):
+        chars = [chr(c) for c in range(low, low + 0x4000) if unicodedata.category(chr(c)) not in ("Cn", "Cs") and not chr(c).isspace()]
+        texts = [t for i, c in enumerate(chars) for t in (f"a{c}{marks[i % 6]}", f"{c}{marks[(i + 1) % 6]}b", f"{'JHTWYI'[i % 6]}{c}{marks[i % 6]}")]
+        flat, starts = words.texts(pa.array(texts, pa.string()))
+        want = words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        wrong = [t for t, w, a, b in zip(texts, want, starts[:-1], starts[1:], strict=True) if flat[a:b].tolist() != w.ids]
+        assert not wrong, wrong[:5]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plans_are_near_the_best_of_small_tables(seed):
+    """No search of all packings does better by more than one sequence, nor at all where pieces fill sequences exactly."""
+    draw = random.Random(seed)
+    capacity = 12
+    if seed % 2:
+        pieces = [draw.randint(1, capacity) for _ in range(draw.randint(1, 8))]
+    else:
+        pieces = []
+        for _ in range(3):
+            cuts = sorted(draw.sample(range(1, capacity), draw.randint(0, 1)))
+            pieces += [b - a for a, b in zip([0, *cuts], [*cuts, capacity], strict=True)]
+
+    def fewest(rest, spaces):
+        if not rest:
+            return len(spaces)
+        options = [fewest(rest[1:], [*spaces[:i], s - rest[0], *spaces[i + 1 :]]) for i, s in enumerate(spaces) if s >= rest[0]]
+        return min([*options, fewest(rest[1:], [*spaces, capacity - rest[0]])])
+
+    counts = {x: pieces.count(x) for x in set(pieces)}
+    best, got = fewest(sorted(pieces, reverse=True), []), check_plan(counts, capacity)
+    assert best <= got <= best + seed % 2
