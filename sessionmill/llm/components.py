@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.session import stored
+from sessionmill.llm.session import discard, stored
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -26,23 +26,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _directed(tied.union(least.select("u", F.col("m").alias("v"))))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges(u, v)`` can reach, as ``(node, component)``.
 
     Alternates large-star and small-star steps until the edges are stars around
     the smallest nodes. Both steps are an aggregation and a join, and each
     round's edges are written to the shared folder, so a lost executor costs one
-    round. Nodes without an edge to another node do not appear. Null ends are
+    round. Each round lessens the sum of all edges' ends until nothing changes, so
+    the rounds end by themselves. Nodes without an edge to another node do not appear. Null ends are
     ignored; repeated edges and loops change nothing.
     """
     edges = stored(_directed(edges.dropna()), "edges")
-    for _ in range(most_rounds):
+    settled = False
+    while not settled:
         after = stored(_small_star(_large_star(edges)), "edges")
         sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, after)]
-        edges = after
-        if sums[0] == sums[1]:
-            break
-    else:
-        raise RuntimeError(f"components did not settle within {most_rounds} rounds")
+        discard(edges)
+        edges, settled = after, sums[0] == sums[1]
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
