@@ -55,19 +55,21 @@ def budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, float]], budge
     """(domain, lang, source, available, budget) from ``leaves`` with ``available`` tokens.
 
     Budgets are whole tokens; what rounding leaves over is not spent. A weight of
-    zero or less gives no budget.
+    zero or less gives no budget, so leaves below such a node are no capacity of
+    any node above it either.
     """
-    out = None
+    usable = [weight_of(F.col(name), weights.get(name, {})) > 0 for name in LEVELS]
+    leaves, out = leaves.where(usable[0] & usable[1] & usable[2]), None
     for depth, name in enumerate(LEVELS):
         keys, parent = LEVELS[: depth + 1], LEVELS[:depth]
         nodes = leaves.groupBy(*keys).agg((F.sum("available") * epochs).alias("capacity"), F.sum("available").alias("available"))
-        nodes = nodes.withColumn("weight", weight_of(F.col(name), weights.get(name, {}))).where("weight > 0 AND capacity > 0")
+        nodes = nodes.withColumn("weight", weight_of(F.col(name), weights.get(name, {}))).where("capacity > 0")
         nodes = nodes.withColumn("budget", budget) if out is None else nodes.join(out.select(*parent, "budget"), parent)
         out = _split(nodes, parent, name)
     return out.select(*LEVELS, "available", "budget")
 
 
-def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], share: float, epochs: int = 2, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], share: float, epochs: int = 2, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """The documents that fill each leaf's budget, and how much of each.
 
     ``docs`` needs doc_id, text, lang and source; ``domain`` is an expression over
@@ -75,29 +77,29 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, floa
     each epoch in which a document is taken: doc_id, domain, lang, source, epoch
     (from 0), start (tokens of its leaf before it), n_tokens (of the document),
     taken (its first tokens that are within the budget; the last document of a
-    leaf may be cut).
-
-    An epoch's order is the MD5 of seed, epoch and doc_id, ties by doc_id. A leaf is
-    cut at a bucket of the hash's first digits, so that only the documents of one
-    bucket of each leaf are put in order; a hot source spreads over all buckets.
-    Null domain, lang or source is the node "(none)". Documents without tokens are
-    never taken. Repeated rows are documents of their own; a null doc_id takes
-    part under the hash of seed and epoch alone. An empty table gives an empty
-    result.
+    leaf may be cut). ``carry`` names long columns of ``docs`` that the result keeps.
+
+    An epoch's order is the MD5 of seed, epoch, doc_id and the text's own MD5, ties
+    by doc_id. A leaf is cut at a bucket of the hash's first digits, so that only
+    the documents of one bucket of each leaf are put in order; a hot source, and
+    rows without doc_id, spread over all buckets. Null domain, lang or source is
+    the node "(none)". Documents without tokens are never taken. Repeated rows are
+    documents of their own and stand next to each other. Other columns, whatever
+    their names, are ignored. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NO_VALUE)).alias(n) for n, c in zip(LEVELS, (domain, F.col("lang"), F.col("source")), strict=True)], n_tokens(F.col("text")).alias("n_tokens"))
+    told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NO_VALUE)).alias(n) for n, c in zip(LEVELS, (domain, F.col("lang"), F.col("source")), strict=True)], n_tokens(F.col("text")).alias("n_tokens"), F.md5(F.col("text").cast("binary")).alias("digest"), *carry)
     told = stored(told.where("n_tokens > 0"), "leaves")
     leaves = told.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available"))
     total = leaves.agg(F.sum("available")).first()[0] or 0
     given = budgets(leaves, weights, F.lit(int(total * share)).cast("bigint"), epochs)
 
     shuffled = told.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
-    shuffled = shuffled.withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), "epoch", "doc_id").cast("binary"))).withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
+    shuffled = shuffled.withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), "epoch", "doc_id", "digest").cast("binary"))).withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
     sums = shuffled.groupBy(*LEVELS, "epoch", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     ordered = Window.partitionBy(*LEVELS).orderBy("epoch", "bucket")
     sums = sums.withColumn("before", F.sum("in_bucket").over(ordered) - F.col("in_bucket")).join(given, LEVELS).where("before < budget")
     within = Window.partitionBy(*LEVELS, "epoch", "bucket").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     chosen = shuffled.join(sums.select(*LEVELS, "epoch", "bucket", "before", "budget"), [*LEVELS, "epoch", "bucket"])
     chosen = chosen.withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).where("start < budget")
-    return chosen.select("doc_id", *LEVELS, "epoch", "start", "n_tokens", F.least("n_tokens", F.col("budget") - F.col("start")).alias("taken"))
+    return chosen.select("doc_id", *LEVELS, "epoch", "start", "n_tokens", F.least("n_tokens", F.col("budget") - F.col("start")).alias("taken"), *carry)

@@ -115,13 +115,13 @@ def _split_sql(name: str, keys: list[str], parent: list[str], weights: dict[str,
 
 OP6_SQL = f"""
 WITH told AS (SELECT doc_id, coalesce(CASE regexp_extract(source, '([0-9]{{1,9}})$', 1)::INTEGER % 4 {" ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DOMAINS))} END, '(none)') AS domain,
-  coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+  coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens, md5(text) AS digest FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS available FROM told WHERE n_tokens > 0 GROUP BY domain, lang, source),
 total AS (SELECT floor(sum(available) * {SHARE})::BIGINT AS tokens FROM leaves),
 {_split_sql("domain", ["domain"], [], WEIGHTS["domain"], "(SELECT tokens FROM total)", "")},
 {_split_sql("lang", ["domain", "lang"], ["domain"], WEIGHTS["lang"], "domain_given", "(SELECT domain, domain_given FROM domain_budget)")},
 {_split_sql("source", ["domain", "lang", "source"], ["domain", "lang"], {}, "lang_given", "(SELECT domain, lang, lang_given FROM lang_budget)")},
-ordered AS (SELECT told.*, epoch, source_given AS budget, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, md5(concat('{SEED}:', epoch, ':', doc_id)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+ordered AS (SELECT told.*, epoch, source_given AS budget, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, md5(concat_ws(':', '{SEED}', epoch, doc_id, digest)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM told JOIN source_budget USING (domain, lang, source) CROSS JOIN unnest(range({EPOCHS})) AS e(epoch) WHERE n_tokens > 0)
 SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, start, n_tokens, least(n_tokens, budget - start)::BIGINT AS taken FROM ordered WHERE start < budget
 """
