@@ -5,7 +5,7 @@ by the minwise tokens at positions that the node draws; nodes that are small
 enough are compared exhaustively, larger ones branch again. A pair of similarity
 s follows one branch with probability s, so with ``branches`` positions per node
 and ``trees`` repetitions a pair at the threshold 0.85 meets in a first-level node with
-probability 1 - 0.15 ** (branches * trees). Inside a node, minwise signatures
+probability 1 - 0.15 ** (branches * trees); every node below branches as often. Inside a node, minwise signatures
 sort out pairs far below the threshold; what is left forms small clusters whose
 links are confirmed on the full sets.
 """
@@ -225,17 +225,17 @@ def _block_pairs(df: DataFrame, key: str, blocks: Column) -> DataFrame:
     return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def _leaves(reps: DataFrame, trees: int, branches: int, node_limit: int, levels: int, similarity: float) -> DataFrame:
+def _leaves(reps: DataFrame, trees: int, branches: int, node_limit: int, levels: int) -> DataFrame:
     """(rep, node, n) of every node of two documents or more that is compared, over all trees."""
 
-    def branch(parents: DataFrame, more: float = 1.0) -> DataFrame:
-        """A child for each position that the node draws: the first, and each further one with probability ``more``."""
+    def branch(parents: DataFrame) -> DataFrame:
+        """A child for each of the positions that the node draws."""
 
         def child(k: Column) -> Column:
             place = F.pmod(F.xxhash64("node", k), F.lit(POSITIONS)).cast("int")
             return F.xxhash64("node", place, F.element_at("sig", place + 1))
 
-        drawn = F.filter(F.array(*map(F.lit, range(branches))), lambda k: (k == 0) | (F.pmod(F.xxhash64("node", k, F.lit("draw")), F.lit(1000)) < int(1000 * more)))
+        drawn = F.array(*map(F.lit, range(branches)))
         return parents.select("rep", F.explode(F.array_distinct(F.transform(drawn, child))).alias("node"))
 
     roots = reps.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(f"tree {t}")) for t in range(trees)])))
@@ -249,7 +249,7 @@ def _leaves(reps: DataFrame, trees: int, branches: int, node_limit: int, levels:
         large = level.where(F.col("n") > node_limit)
         if last or large.isEmpty():
             return found
-        level = branch(large.select("rep", "node").join(reps.select("rep", "sig"), "rep"), (1 / similarity - 1) / max(1, branches - 1))
+        level = branch(large.select("rep", "node").join(reps.select("rep", "sig"), "rep"))
     return found
 
 
@@ -261,9 +261,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
     doc_id reachable), kept (doc_id = component_id).
 
     Equal sets form one class up front, so copies never meet in a node. Nodes
-    above ``node_limit`` branch again, up to ``levels``, below the first level into
-    1 / similarity children on average, at which a pair at the threshold is
-    expected to stay together in one. What is still large then, and clusters of
+    above ``node_limit`` branch again, up to ``levels``. With two branches a pair at
+    the threshold is expected to stay together in 1.7 children of each node, and is
+    lost from a first-level node with probability 0.031 at most, however many
+    levels follow: with three trees it is missed with (0.15 + 0.85 * 0.031) ** 6,
+    3e-5, at most. What is still large after the last level, and clusters of
     more than ``block_limit`` sets, are compared in pairs of blocks, so no task
     holds more than two blocks and nothing is capped. ``slack`` is how far a signature's estimate may fall below
     the threshold (over four standard deviations for 64 positions). ``carry`` names
@@ -271,8 +273,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
 
     Null or empty texts have no shingles and are linked with nothing; they are
     kept. Rows without doc_id are linked with nothing: their component_id is null
-    and they are kept. Repeated rows get one output row each; a repeated doc_id
-    with several texts ties their components' rows by text, not by id. An empty
+    and they are kept. Repeated rows get one output row each, and are compared
+    once; a repeated doc_id with several texts ties their components' rows by text, not by id. An empty
     table gives an empty result.
     """
     prepare(docs.sparkSession)
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
     linked = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = stored(linked.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
 
-    leaves = _leaves(reps, trees, branches, node_limit, levels, percent / 100)
+    leaves = _leaves(reps, trees, branches, node_limit, levels)
     blocks = F.ceil(F.col("n") / F.lit(node_limit)).cast("bigint")
     dealt = _block_pairs(leaves.join(reps.select("rep", "n_shingles", "sig"), "rep"), "node", blocks)
     close = dealt.select("rep", "n_shingles", "sig", "node", "i", "j").mapInArrow(_sketch_edges(percent, slack), "u long, v long")
@@ -291,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, trees:
     members = stored(clusters.join(reps.select("rep", "key_1", "key_2", "n_shingles"), "rep"), "clusters")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(block_limit)), F.ceil(F.sum("n_shingles") / F.lit(1_000_000))).cast("bigint").alias("blocks"))
     wanted = members.join(sizes, "cluster").select("rep", "cluster", "blocks", "key_1", "key_2")
-    texts = docs.join(wanted.hint("merge"), docs.doc_id == wanted.rep).select("rep", "cluster", "blocks", "key_1", "key_2", "text")
+    texts = docs.join(wanted.hint("merge"), docs.doc_id == wanted.rep).select("rep", "cluster", "blocks", "key_1", "key_2", "text").distinct()
     sets = texts.mapInArrow(_sets(shingle), "rep long, cluster long, blocks long, items binary")
     checked = _block_pairs(sets, "cluster", F.col("blocks")).select("rep", "cluster", "i", "j", "items").mapInArrow(_exact_edges(percent), "u long, v long")
 

@@ -61,6 +61,21 @@ def test_components_equal_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_no_link_is_lost_in_large_nodes(spark):
+    """Thousands of texts share a passage whose minwise tokens put them into the same nodes at every level; near copies among them are still found."""
+    draw = random.Random(5)
+    shared = [f"p{i}" for i in range(120)]
+    rows = []
+    for k in range(1500):
+        own = [*shared, *[f"o{k}x{i}" for i in range(60)]]
+        rows.append(" ".join(own))
+        own[draw.randrange(130, 170)] = "changed"
+        rows.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, node_limit=64, block_limit=200).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_rows_without_ids_and_repeated_rows(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (7, text), (None, None)], "doc_id long, text string")
