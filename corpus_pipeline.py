@@ -67,14 +67,17 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that fill the sources' budgets, whole and once each."""
-    docs = docs.select(*COLUMNS)
-    chosen = mix(docs, domain(), WEIGHTS, MIX_SHARE, epochs=1, seed=SEED).select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(chosen, docs.doc_id.eqNullSafe(chosen.chosen_id), "left_semi").select(*COLUMNS)
+    """The documents that fill the sources' budgets, whole and once each; none of an empty table.
+
+    Texts of a repeated doc_id are chosen one by one; rows equal in both are one document by now.
+    """
+    docs = _keyed(docs)
+    chosen = mix(docs, domain(), WEIGHTS, MIX_SHARE, epochs=1, seed=SEED, carry=("text_key",)).select(F.col("doc_id").alias("chosen_id"), F.col("text_key").alias("chosen_key")).distinct()
+    return docs.join(chosen, docs.doc_id.eqNullSafe(chosen.chosen_id) & (docs.text_key == chosen.chosen_key), "left_semi").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 4096 tokens."""
+    """Pieces of the documents and their places in sequences of 4096 tokens; a null text is one token, an empty table gives none."""
     return pack(docs, WORD_VOCABULARY)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sessionmill.functions.text import CATEGORIES, SEVERITIES, UNIVERSALITIES, js_left, js_len, js_trim
 
 REQUIRED = ("category", "title_slug", "summary", "body_markdown", "tags", "paths", "universality")
-SLUG = "^[a-z0-9]+(-[a-z0-9]+)*$"
-TAG = "^[a-z][a-z0-9_]*$"
+SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*\z"
+TAG = r"^[a-z][a-z0-9_]*\z"
 HEADING = "(?m)^## [A-Z]"
 BODY_LIMIT = 8000
 TRUNCATED = "\n\n[...truncated to 8000 chars]"

@@ -11,21 +11,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionmill.functions.paths import relative
+from sessionmill.functions.paths import relative, resolved
 from sessionmill.functions.text import CATEGORIES, SEVERITIES, UNIVERSALITIES, category_letter, js_len, title_of_slug, with_history
 from sessionmill.operators.candidates import HEADING, SLUG
-from sessionmill.operators.similarity import CAP
+from sessionmill.operators.regions import kept_paths, routes
+from sessionmill.operators.similarity import CAP, active_counts
 
 MOST_IDS = 999
 GROUP = ["kb_path", "category"]
-STATUS = r"^(active|deprecated|archived|superseded-by:[DLRA]-[0-9]{3}|superseded-by-cross:.+:[DLRA]-[0-9]{3})$"
+STATUS = r"^(active|deprecated|archived|superseded-by:[DLRA]-[0-9]{3}|superseded-by-cross:.+:[DLRA]-[0-9]{3})\z"
 
 
 def item_error() -> Column:
     """The first field of a stored item that is not as it should be, or null."""
     no = lambda c: ~F.coalesce(c, F.lit(False))
     return (
-        F.when(no(F.col("item_id").rlike("^[DLRA]-[0-9]{3}$")), "id")
+        F.when(no(F.col("item_id").rlike(r"^[DLRA]-[0-9]{3}\z")), "id")
         .when(no(F.col("category").isin(*[c[0] for c in CATEGORIES])), "type")
         .when(no(F.col("title") != ""), "title")
         .when(no(F.col("summary") != ""), "summary")
@@ -54,13 +55,6 @@ def reason_verdict(column: str, least: int, most: int) -> Column:
     return F.when(~F.coalesce(js_len(F.col(column)).between(least, most), F.lit(False)), "schema_violation")
 
 
-def with_location(requests: DataFrame, items: DataFrame) -> DataFrame:
-    """Requests with ``location`` of their item (active before archive), null if there is none."""
-    rank = F.when(F.col("location") == "active", 0).otherwise(1)
-    place = items.groupBy("kb_path", "item_id").agg(F.min_by("location", rank).alias("location"))
-    return requests.join(place, ["kb_path", "item_id"], "left")
-
-
 def slug_suffixes(slug: Column) -> Column:
     """A slug and what follows each of its dashes: an item file clashes with any of these as a new slug."""
     parts = F.split(slug, "-")
@@ -126,22 +120,80 @@ def created(requests: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("req_id", *GROUP, F.when(F.col("code").isNull(), F.concat(category_letter(F.col("category")), F.lit("-"), F.lpad(F.col("number").cast("string"), 3, "0"))).alias("item_id"), "code")
 
 
+def create_verdicts(requests: DataFrame, items: DataFrame, registry: DataFrame) -> DataFrame:
+    """Routed creates with their verdicts: the columns of ``requests`` as they would be stored, code, item_id, rerouted_from, paths_dropped.
+
+    ``requests`` has req_id, req_order, kb_path, category, title_slug, summary, tags,
+    paths, universality, severity, body; ``registry`` kb_path and kb_dir. A request
+    whose paths all lie in one other KB goes there; paths outside its KB's region
+    are dropped, and severity is kept for anti-patterns only. Fields out of bounds
+    are refused before anything else.
+    """
+    bound = requests.withColumn("bad", schema_verdict())
+    known = bound.join(registry.select("kb_path", F.col("kb_dir").alias("asked_dir")), "kb_path", "left")
+    each = known.select(F.col("req_id").alias("item_key"), F.explode("paths").alias("given"), "asked_dir").select("item_key", resolved(F.col("asked_dir"), F.col("given")).alias("path"))
+    routed = routes(each, registry).select(F.col("item_key").alias("req_id"), F.col("kb_path").alias("canonical"))
+    sent = known.join(routed, "req_id", "left").withColumn("rerouted_from", F.when(F.col("canonical") != F.col("kb_path"), F.col("kb_path"))).withColumn("kb_path", F.coalesce("canonical", "kb_path"))
+    # relative paths are seen from the KB that was asked for
+    sent = sent.withColumn("paths", F.transform("paths", lambda p: resolved(F.col("asked_dir"), p))).drop("asked_dir", "canonical")
+    sent = sent.join(registry.select("kb_path", "kb_dir"), "kb_path", "left")
+    kept = kept_paths(sent.select(F.col("req_id").alias("item_key"), "kb_path", "kb_dir", "paths"), registry).withColumnRenamed("item_key", "req_id")
+    sent = sent.join(kept, "req_id")
+    sound = sent.where("bad IS NULL").select("req_id", "req_order", *GROUP, "title_slug", F.size("paths").alias("n_paths"), F.size("paths_kept").alias("n_kept"))
+    verdicts = created(sound, items).select("req_id", "item_id", "code")
+    out = sent.join(verdicts, "req_id", "left").withColumn("code", F.coalesce("bad", "code"))
+    stored = {"paths": F.col("paths_kept"), "severity": F.when(F.col("category") == "anti-pattern", F.coalesce("severity", F.lit("normal")))}
+    return out.select(*[stored.get(c, F.col(c)).alias(c) for c in requests.columns], "code", "item_id", "rerouted_from", "paths_dropped")
+
+
+def with_created(items: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
+    """The next snapshot: ``items`` and a row for each accepted create of ``create_verdicts``."""
+    made = {"slug": F.col("title_slug"), "title": title_of_slug(F.col("title_slug")), "status": F.lit("active"), "created": now, "updated": now, "location": F.lit("active"), "archived_at": F.lit(None), "archive_reason": F.lit(None)}
+    accepted = verdicts.where("code IS NULL")
+    fresh = accepted.select(*[made.get(c, F.col(c) if c in verdicts.columns else F.lit(None)).cast(items.schema[c].dataType).alias(c) for c in items.columns])
+    return items.unionByName(fresh)
+
+
+def edit_verdicts(requests: DataFrame, items: DataFrame, archiving: bool = False) -> DataFrame:
+    """``requests(req_id, req_order, kb_path, item_id, ...)`` with ``code``: null if accepted.
+
+    target_not_found where no item has the id; where it is archived, by place or
+    by status, target_archived for edits and already_archived for archiving, and
+    so for all but the first request that archives an item.
+    """
+    rank = F.when(F.col("location") == "active", 0).otherwise(1)
+    state = items.groupBy("kb_path", "item_id").agg(F.min_by(F.struct(F.col("location").alias("place"), F.col("status").alias("state")), rank).alias("held"))
+    known = requests.join(state, ["kb_path", "item_id"], "left")
+    gone = (F.col("held.place") == "archive") | (F.col("held.state") == "archived")
+    if archiving:
+        gone = gone | (F.row_number().over(Window.partitionBy("kb_path", "item_id").orderBy("req_order", "req_id")) > 1)
+    return known.withColumn("code", F.when(F.col("held").isNull(), "target_not_found").when(gone, "already_archived" if archiving else "target_archived")).drop("held")
+
+
+PATCH = ("new_body", "new_summary", "new_tags", "new_paths", "new_universality", "new_severity", "history_note")
+
+
+def _edits(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """Items with the patch of all accepted requests for them: one row an item; the last value given of each field counts."""
+    accepted = edit_verdicts(requests, items).where("code IS NULL")
+    order = F.struct("req_order", "req_id")
+    one = accepted.groupBy("kb_path", "item_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in PATCH if c in requests.columns]).withColumn("asked", F.lit(True))
+    return items.join(one, ["kb_path", "item_id"], "left").withColumn("hit", F.coalesce(F.col("asked") & (F.col("location") == "active"), F.lit(False)))
+
+
 def updated(items: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """The next snapshot after ``requests(kb_path, item_id, new_body, new_summary, new_tags, new_paths, new_universality, new_severity)``.
+    """The next snapshot after ``requests(req_id, req_order, kb_path, item_id, new_body, new_summary, new_tags, new_paths, new_universality, new_severity)``.
 
-    Only active items change. Null fields stay; severity is kept for anti-patterns only.
+    Null fields stay; severity is kept for anti-patterns only. Refused requests
+    (``edit_verdicts``) change nothing. Several requests for an item give one row.
     """
-    wanted = requests.withColumn("asked", F.lit(True))
-    both = items.join(wanted, ["kb_path", "item_id"], "left").withColumn("hit", F.coalesce(F.col("asked") & (F.col("location") == "active"), F.lit(False)))
-    return _patched(both, items.columns, now, F.col("new_body"))
+    return _patched(_edits(items, requests), items.columns, now, F.coalesce("new_body", "body"))
 
 
 def superseded(items: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """As ``updated``, with a note under the new body's history and the item active again."""
-    wanted = requests.withColumn("asked", F.lit(True))
-    both = items.join(wanted, ["kb_path", "item_id"], "left").withColumn("hit", F.coalesce(F.col("asked") & (F.col("location") == "active"), F.lit(False)))
+    """As ``updated``, with ``history_note`` under the new body's history and the item active again."""
     entry = F.concat(F.left(now, F.lit(10)), F.lit(": "), F.col("history_note"))
-    return _patched(both, items.columns, now, with_history(F.col("new_body"), entry), status="active")
+    return _patched(_edits(items, requests), items.columns, now, with_history(F.coalesce("new_body", "body"), entry), status="active")
 
 
 def _patched(both: DataFrame, columns: list[str], now: Column, body: Column, status: str | None = None) -> DataFrame:
@@ -154,40 +206,72 @@ def _patched(both: DataFrame, columns: list[str], now: Column, body: Column, sta
 
 
 def archived(items: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """The next snapshot after ``requests(kb_path, item_id, reason)``; archived items stay as they are."""
-    both = items.join(requests.withColumn("asked", F.lit(True)), ["kb_path", "item_id"], "left")
+    """The next snapshot after ``requests(req_id, req_order, kb_path, item_id, reason)``: of several for an item the first counts."""
+    accepted = edit_verdicts(requests, items, archiving=True).where("code IS NULL").select("kb_path", "item_id", "reason", F.lit(True).alias("asked"))
+    both = items.join(accepted, ["kb_path", "item_id"], "left")
     hit = F.coalesce(F.col("asked") & (F.col("location") == "active"), F.lit(False))
     new = {"status": F.lit("archived"), "archived_at": now, "archive_reason": F.col("reason"), "location": F.lit("archive"), "updated": now}
     return both.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns])
 
 
-def promotion_verdicts(requests: DataFrame, items: DataFrame) -> DataFrame:
+def freed_slots(before: DataFrame, after: DataFrame) -> DataFrame:
+    """kb_path, category, remaining places and how many of them a change of snapshots freed."""
+    held = active_counts(before).select("kb_path", "category", F.col("remaining").alias("had"))
+    return active_counts(after).join(held, GROUP).select(*GROUP, "remaining", (F.col("remaining") - F.col("had")).alias("freed"))
+
+
+def _promotions_in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sound requests to one root KB in their order: an accepted one takes a place, an id and its origins."""
+    rows = rows.sort_values(["req_order", "req_id"], kind="stable")
+    taken, codes, numbers, state = set(), [], [], {}
+    for category, active, last, origins in zip(rows["category"], rows["active"], rows["last_id"], rows["keys"], strict=True):
+        active, last = state.get(category, (int(active), int(last)))
+        code = "origin_not_found" if any(o in taken for o in origins) else "category_full" if active >= CAP else "id_exhausted" if last >= MOST_IDS else None
+        if code is None:
+            active, last = active + 1, last + 1
+            taken.update(origins)
+        state[category] = active, last
+        codes.append(code)
+        numbers.append(None if code else last)
+    return pd.DataFrame({"req_id": rows["req_id"].to_numpy(), "late": codes, "number": pd.array(numbers, dtype="Int64")})
+
+
+def promotion_verdicts(requests: DataFrame, items: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """req_id, code, item_id of requests to make one universal item of several unverified ones, in order.
 
     ``requests`` has req_id, req_order, target_kb, category, title_slug, origins
-    (array of struct(kb_path, item_id)). All origins must be active, unverified and
-    of the category, from two KBs or more. Neither slugs nor regions are tested.
+    (array of struct(kb_path, item_id)); ``roots(kb_path, root_kb)`` tells the root
+    of each KB's chain, null leaves that out. Origins must come from two KBs or
+    more and be active and unverified, the first that is not decides the code; the
+    target must be the root of the first one's chain. What an accepted request has
+    taken as an origin is no longer active for later ones, so the sound requests
+    of a root KB, few as it has CAP places a category, are walked in order.
     """
-    state = items.select("kb_path", "item_id", F.col("category").alias("own_category"), "status", "universality", "location")
-    each = requests.select("req_id", "category", F.explode("origins").alias("o")).select("req_id", "category", "o.*").join(state, ["kb_path", "item_id"], "left")
-    fine = (F.col("status") == "active") & (F.col("location") == "active") & (F.col("universality") == "unverified") & (F.col("own_category") == F.col("category"))
-    sums = each.groupBy("req_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce(fine, F.lit(False))).alias("n_fine"), F.count_if(F.col("status").isNull()).alias("n_missing"), F.count_distinct("kb_path").alias("n_kbs"))
-    known = requests.join(sums, "req_id", "left").withColumn("own", F.when(F.coalesce("n_kbs", F.lit(0)) < 2, "too_few_kbs").when(F.col("n_missing") > 0, "item_not_found").when(F.col("n_fine") < F.col("n"), "origin_not_promotable"))
+    state = items.select("kb_path", "item_id", "status", "universality", "location").withColumn("held", F.lit(True))
+    each = requests.select("req_id", F.posexplode("origins").alias("place", "o")).select("req_id", "place", "o.*").join(state, ["kb_path", "item_id"], "left")
+    live = (F.col("status") == "active") & (F.col("location") == "active")
+    wrong = F.when(~F.coalesce(live, F.lit(False)), "origin_not_found").when(F.col("universality") != "unverified", "origin_not_unverified")
+    sums = each.groupBy("req_id").agg(F.min_by(wrong, F.when(wrong.isNotNull(), F.col("place"))).alias("wrong"), F.count_distinct("kb_path").alias("n_kbs"), F.min_by("kb_path", "place").alias("first_kb"))
+    known = requests.join(sums, "req_id", "left")
+    away = F.lit(False)
+    if roots is not None:
+        known = known.join(roots.select(F.col("kb_path").alias("first_kb"), "root_kb"), "first_kb", "left")
+        away = ~F.coalesce(F.col("root_kb") == F.col("target_kb"), F.lit(False))
+    known = known.withColumn("own", F.when(F.coalesce("n_kbs", F.lit(0)) < 2, "schema_violation").when(F.col("wrong").isNotNull(), F.col("wrong")).when(away, "target_kb_not_root"))
     target = items.groupBy(F.col("kb_path").alias("target_kb"), "category").agg(F.count_if((F.col("status") == "active") & (F.col("location") == "active")).alias("active"), F.max(F.substring("item_id", 3, 3).cast("int")).alias("last_id"))
-    # refused requests take no place: only sound ones are numbered
-    turn = F.sum(F.when(F.col("own").isNull(), 1).otherwise(0)).over(Window.partitionBy("target_kb", "category").orderBy("req_order"))
-    placed = known.join(target, ["target_kb", "category"], "left").withColumn("turn", turn)
-    full = F.col("turn") > CAP - F.coalesce("active", F.lit(0))
-    number = F.coalesce("last_id", F.lit(0)) + F.col("turn")
-    code = F.coalesce(F.col("own"), F.when(full, "category_full"), F.when(number > MOST_IDS, "id_exhausted"))
-    return placed.withColumn("code", code).select("req_id", "code", F.when(F.col("code").isNull(), F.concat(category_letter(F.col("category")), F.lit("-"), F.lpad(number.cast("string"), 3, "0"))).alias("item_id"))
+    sound = known.where("own IS NULL").join(target, ["target_kb", "category"], "left")
+    keys = F.transform("origins", lambda o: F.concat_ws("\n", o["kb_path"], o["item_id"]))
+    sound = sound.select("req_id", "req_order", "target_kb", "category", F.coalesce("active", F.lit(0)).alias("active"), F.coalesce("last_id", F.lit(0)).alias("last_id"), keys.alias("keys"))
+    walked = sound.groupBy("target_kb").applyInPandas(_promotions_in_order, f"req_id {requests.schema['req_id'].dataType.simpleString()}, late string, number bigint")
+    out = known.join(walked, "req_id", "left").withColumn("code", F.coalesce("own", "late"))
+    return out.select("req_id", "code", F.when(F.col("code").isNull(), F.concat(category_letter(F.col("category")), F.lit("-"), F.lpad(F.col("number").cast("string"), 3, "0"))).alias("item_id"))
 
 
-def promoted(items: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+def promoted(items: DataFrame, requests: DataFrame, now: Column, roots: DataFrame | None = None) -> DataFrame:
     """The next snapshot: accepted requests' new items, and their origins superseded across KBs, with a history line."""
-    verdicts = promotion_verdicts(requests, items).where("code IS NULL").select("req_id", F.col("item_id").alias("new_id"))
+    verdicts = promotion_verdicts(requests, items, roots).where("code IS NULL").select("req_id", F.col("item_id").alias("new_id"))
     accepted = requests.join(verdicts, "req_id")
-    origins = accepted.select("new_id", "target_kb", F.explode("origins").alias("o")).select("new_id", "target_kb", "o.*").dropDuplicates(["kb_path", "item_id"])
+    origins = accepted.select("new_id", "target_kb", F.explode("origins").alias("o")).select("new_id", "target_kb", "o.*").distinct()
     both = items.join(origins, ["kb_path", "item_id"], "left")
     hit = F.col("new_id").isNotNull()
     link = relative(F.col("kb_path"), F.col("target_kb"))
@@ -202,12 +286,13 @@ def demotion_verdicts(requests: DataFrame, items: DataFrame, root_kb: str) -> Da
     """req_id, code, item_id of requests to move one universal root item down: ``requests(req_id, req_order, origin_id, target_kb)``.
 
     Refused requests take no place; accepted ones get the target's next ids in order.
+    Of several requests for an item only the first can be accepted.
     """
     state = items.where(F.col("kb_path") == root_kb).select(F.col("item_id").alias("origin_id"), "category", "status", "universality", "location")
     target = items.groupBy(F.col("kb_path").alias("target_kb"), "category").agg(F.count_if((F.col("status") == "active") & (F.col("location") == "active")).alias("active"), F.max(F.substring("item_id", 3, 3).cast("int")).alias("last_id"))
     known = requests.join(state, "origin_id", "left").join(target, ["target_kb", "category"], "left")
     again = F.row_number().over(Window.partitionBy("origin_id").orderBy("req_order")) > 1
-    own = F.when(F.col("status").isNull(), "item_not_found").when((F.col("status") != "active") | (F.col("location") != "active") | (F.col("universality") != "universal"), "origin_not_demotable").when(F.col("target_kb") == root_kb, "same_kb").when(again, "origin_not_demotable")
+    own = F.when(~F.coalesce((F.col("status") == "active") & (F.col("location") == "active"), F.lit(False)), "origin_not_found").when(F.col("universality") != "universal", "origin_not_unverified").when(F.col("target_kb") == root_kb, "target_kb_not_child").when(again, "origin_not_found")
     turn = F.sum(F.when(F.col("own").isNull(), 1).otherwise(0)).over(Window.partitionBy("target_kb", "category").orderBy("req_order"))
     placed = known.withColumn("own", own).withColumn("turn", turn)
     number = F.coalesce("last_id", F.lit(0)) + F.col("turn")

@@ -38,10 +38,10 @@ def first_seen(blocks: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def dominant_cwd(blocks: DataFrame) -> DataFrame:
-    """session_id, cwd (the most frequent over messages, the first met on ties), n_cwds."""
+    """session_id, cwd (the most frequent over messages, the first met on ties), n_cwds, cwds_seen (in order of encounter), is_multi_cwd."""
     messages = blocks.select("session_id", "seq", "cwd").where("cwd IS NOT NULL").distinct()
     each = messages.groupBy("session_id", "cwd").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    return each.groupBy("session_id").agg(F.max_by("cwd", F.struct("n", -F.col("first"))).alias("cwd"), F.count("*").alias("n_cwds"))
+    return each.groupBy("session_id").agg(F.max_by("cwd", F.struct("n", -F.col("first"))).alias("cwd"), F.count("*").alias("n_cwds"), F.transform(F.array_sort(F.collect_list(F.struct("first", "cwd"))), lambda x: x["cwd"]).alias("cwds_seen"), (F.count("*") > 1).alias("is_multi_cwd"))
 
 
 def session_profile(blocks: DataFrame, min_user_turns: int = 3, read_only: tuple[str, ...] = READ_ONLY) -> DataFrame:
@@ -70,13 +70,15 @@ def session_profile(blocks: DataFrame, min_user_turns: int = 3, read_only: tuple
     )
     skip = F.when(F.col("user_turns") < min_user_turns, "few-user-turns").when(F.col("uses") == 0, "no-tools").when(F.col("writes") == 0, "read-only")
     sizes = sizes.withColumns({"language": language(F.col("hangul"), F.col("ascii_letters")), "skip_reason": skip}).drop("hangul", "ascii_letters", "writes", "uses")
-    return sizes.join(dominant_cwd(blocks), "session_id", "left").withColumn("n_cwds", F.coalesce("n_cwds", F.lit(0)))
+    return sizes.join(dominant_cwd(blocks), "session_id", "left").withColumns({"n_cwds": F.coalesce("n_cwds", F.lit(0)), "cwds_seen": F.coalesce("cwds_seen", F.array().cast("array<string>")), "is_multi_cwd": F.coalesce("is_multi_cwd", F.lit(False))})
 
 
 def touched(blocks: DataFrame) -> DataFrame:
     """session_id, paths and tools: the files that tools were given and the tools' names, in order of encounter."""
     blocks = messages_only(blocks).where("kind = 'tool_use'")
-    paths = first_seen(blocks, F.get_json_object("input_json", "$.file_path"), "paths")
+    given = F.try_variant_get(F.try_parse_json("input_json"), "$.file_path", "variant")
+    path = F.when(F.schema_of_variant(given) == "STRING", F.try_variant_get(given, "$", "string"))
+    paths = first_seen(blocks, F.when(path != "", path), "paths")
     return paths.join(first_seen(blocks, F.col("tool_name"), "tools"), "session_id", "full")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 TOOLS = {"view": "Read", "click": "Edit", "purchase": "Bash"}
 TAGS = ("the", "and", "der", "des", "los", "que", "une", "est", "for", "die")
 NOW = "2024-06-15T12:00:00+00:00"
+#: A slug is bounded by its schema (32); this leaves room for a suffix.
+SLUG_LENGTH = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,37 +86,37 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.floor(F.col("doc_id") / 80) % 999 + 1
     group = F.floor(F.col("doc_id") / 20) % 4
     kind = F.element_at(F.array(*map(F.lit, ("decision", "learning", "reusable", "anti-pattern"))), (group + 1).cast("int"))
-    slug = F.regexp_replace(F.left(_letters(F.left("text", F.lit(60))), F.lit(24)), "^-+|-+$", "")
+    slug = F.regexp_replace(F.left(_letters(F.col("text")), F.lit(SLUG_LENGTH)), "^-+|-+$", "")
     tags = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(f" {t} ")), t) for t in TAGS]))
     return d.select(
         F.concat(F.lit("/kb/"), "source", F.lit("/"), F.floor(F.col("doc_id") / 800).cast("string")).alias("kb_path"), "doc_id",
         F.concat(F.substring(F.lit("DLRA"), (group + 1).cast("int"), F.lit(1)), F.lit("-"), F.lpad(number.cast("string"), 3, "0")).alias("item_id"),
-        kind.alias("category"), F.when(slug == "", "untitled").otherwise(slug).alias("slug"), F.lit("T").alias("title"), F.left("text", F.lit(90)).alias("summary"), F.slice(tags, 1, 5).alias("tags"),
+        kind.alias("category"), F.when(slug == "", "untitled").otherwise(slug).alias("slug"), F.lit("T").alias("title"), F.col("text").alias("summary"), F.slice(tags, 1, 5).alias("tags"),
         F.array(F.concat(F.lit("src/f"), (F.col("doc_id") % 37).cast("string"), F.lit(".py")), F.concat(F.lit("lib/g"), (F.col("doc_id") % 11).cast("string"), F.lit(".py"))).alias("paths"),
         F.when(F.col("doc_id") % 13 == 5, "deprecated").when(F.col("doc_id") % 13 == 7, "superseded-by:D-001").when(F.col("doc_id") % 13 == 9, "archived").otherwise("active").alias("status"),
         F.when(F.col("doc_id") % 3 == 0, "universal").otherwise("unverified").alias("universality"), F.when(group == 3, F.when(number % 2 == 0, "critical").otherwise("normal")).alias("severity"),
         F.lit("2023-01-01T00:00:00+00:00").alias("created"), F.concat(F.when(F.col("doc_id") % 2 == 0, "2023").otherwise("2024"), F.lit("-03-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00+00:00")).alias("updated"),
-        F.lit(None).cast("string").alias("archived_at"), F.lit(None).cast("string").alias("archive_reason"), F.when(F.col("doc_id") % 13 == 9, "archive").otherwise("active").alias("location"), F.left("text", F.lit(400)).alias("body"),
+        F.lit(None).cast("string").alias("archived_at"), F.lit(None).cast("string").alias("archive_reason"), F.when(F.col("doc_id") % 13 == 9, "archive").otherwise("active").alias("location"), F.col("text").alias("body"),
     )
 
 
 _TAG_LIST = ", ".join(f"CASE WHEN contains(lower(text), ' {t} ') THEN '{t}' END" for t in TAGS)
 ITEMS = f"""
-raw_items AS (SELECT *, regexp_replace(substr(regexp_replace(lower(substr(text, 1, 60)), '[^a-z]+', '-', 'g'), 1, 24), '^-+|-+$', '', 'g') AS s FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL),
+raw_items AS (SELECT *, regexp_replace(substr(regexp_replace(lower(text), '[^a-z]+', '-', 'g'), 1, {SLUG_LENGTH}), '^-+|-+$', '', 'g') AS s FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL),
 items AS (SELECT concat('/kb/', source, '/', doc_id // 800) AS kb_path, doc_id, concat(substr('DLRA', (doc_id // 20 % 4 + 1)::INTEGER, 1), '-', lpad(((doc_id // 80) % 999 + 1)::VARCHAR, 3, '0')) AS item_id,
-  ['decision', 'learning', 'reusable', 'anti-pattern'][doc_id // 20 % 4 + 1] AS category, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug, 'T' AS title, substr(text, 1, 90) AS summary, list_filter([{_TAG_LIST}], lambda x: x IS NOT NULL)[1:5] AS tags,
+  ['decision', 'learning', 'reusable', 'anti-pattern'][doc_id // 20 % 4 + 1] AS category, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug, 'T' AS title, text AS summary, list_filter([{_TAG_LIST}], lambda x: x IS NOT NULL)[1:5] AS tags,
   [concat('src/f', doc_id % 37, '.py'), concat('lib/g', doc_id % 11, '.py')] AS paths, CASE doc_id % 13 WHEN 5 THEN 'deprecated' WHEN 7 THEN 'superseded-by:D-001' WHEN 9 THEN 'archived' ELSE 'active' END AS status,
   CASE WHEN doc_id % 3 = 0 THEN 'universal' ELSE 'unverified' END AS universality, CASE WHEN doc_id // 20 % 4 <> 3 THEN NULL WHEN (doc_id // 80 % 999 + 1) % 2 = 0 THEN 'critical' ELSE 'normal' END AS severity, '2023-01-01T00:00:00+00:00' AS created,
-  concat(CASE WHEN doc_id % 2 = 0 THEN '2023' ELSE '2024' END, '-03-', lpad((doc_id % 28 + 1)::VARCHAR, 2, '0'), 'T00:00:00+00:00') AS updated, CASE WHEN doc_id % 13 = 9 THEN 'archive' ELSE 'active' END AS location, substr(text, 1, 400) AS body FROM raw_items)
+  concat(CASE WHEN doc_id % 2 = 0 THEN '2023' ELSE '2024' END, '-03-', lpad((doc_id % 28 + 1)::VARCHAR, 2, '0'), 'T00:00:00+00:00') AS updated, CASE WHEN doc_id % 13 = 9 THEN 'archive' ELSE 'active' END AS location, text AS body FROM raw_items)
 """
 
 
 def candidates(items_: DataFrame) -> DataFrame:
-    """Every fifth item again as a candidate, for its own KB."""
-    return items_.where("doc_id % 5 = 0").select(F.col("doc_id").alias("candidate_id"), "kb_path", "category", F.concat("slug", F.lit("x")).alias("title_slug"), "tags", "paths")
+    """Every item again as a candidate, for its own KB."""
+    return items_.select(F.col("doc_id").alias("candidate_id"), "kb_path", "category", F.concat("slug", F.lit("x")).alias("title_slug"), "tags", "paths")
 
 
-CANDIDATES = "candidates AS (SELECT doc_id AS candidate_id, kb_path, category, concat(slug, 'x') AS title_slug, tags, paths FROM items WHERE doc_id % 5 = 0)"
+CANDIDATES = "candidates AS (SELECT doc_id AS candidate_id, kb_path, category, concat(slug, 'x') AS title_slug, tags, paths FROM items)"
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

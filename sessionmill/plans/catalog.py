@@ -31,15 +31,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query(f"""WITH {A.BLOCKS},
 cwds AS (SELECT session_id, cwd, count(DISTINCT seq) AS n, min(seq) AS first FROM blocks GROUP BY session_id, cwd),
-best AS (SELECT session_id, arg_max(cwd, n * 1000000000 - first) AS cwd, count(*) AS n_cwds FROM cwds GROUP BY session_id),
+best AS (SELECT session_id, arg_max(cwd, n * 1000000000 - first) AS cwd, count(*) AS n_cwds, string_agg(cwd, ',' ORDER BY first, cwd) AS cwds_seen FROM cwds GROUP BY session_id),
 sizes AS (SELECT session_id, count(DISTINCT seq) AS message_count, count(DISTINCT CASE WHEN role = 'user' AND kind = 'text' AND text <> '' THEN seq END) AS user_turns,
   round(sum(length(coalesce(CASE WHEN kind = 'tool_use' THEN input_json ELSE text END, ''))) / 3.5)::BIGINT AS tokens, bool_or(is_error) AS has_errors, count(*) FILTER (tool_name = 'Read') AS tools_read, 0::BIGINT AS tools_write, count(*) FILTER (tool_name = 'Edit') AS tools_edit,
   count(*) FILTER (tool_name = 'Bash') AS tools_bash, 0::BIGINT AS tools_other, count(*) FILTER (kind = 'tool_use') AS uses, sum(CASE WHEN kind = 'text' THEN len(regexp_extract_all(text, '[가-힣]')) ELSE 0 END) AS hangul, sum(CASE WHEN kind = 'text' THEN len(regexp_extract_all(text, '[A-Za-z]')) ELSE 0 END) AS letters FROM blocks GROUP BY session_id)
 SELECT session_id, message_count, user_turns, tokens, has_errors, tools_read, tools_write, tools_edit, tools_bash, tools_other, CASE WHEN hangul + letters = 0 THEN 'mixed' WHEN 2 * hangul >= hangul + letters THEN 'ko' ELSE 'en' END AS language,
-  CASE WHEN user_turns < 3 THEN 'few-user-turns' WHEN uses = 0 THEN 'no-tools' WHEN uses = tools_read THEN 'read-only' END AS skip_reason, cwd, n_cwds FROM sizes JOIN best USING (session_id)""")
+  CASE WHEN user_turns < 3 THEN 'few-user-turns' WHEN uses = 0 THEN 'no-tools' WHEN uses = tools_read THEN 'read-only' END AS skip_reason, cwd, n_cwds, cwds_seen, n_cwds > 1 AS is_multi_cwd FROM sizes JOIN best USING (session_id)""")
 def session_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1, P8, A1-A3, F1, F2."""
-    return profile.session_profile(A.blocks(spark, sf_dir))
+    return profile.session_profile(A.blocks(spark, sf_dir)).withColumn("cwds_seen", F.array_join("cwds_seen", ","))
 
 
 @query(f"""WITH {A.BLOCKS}, used AS (SELECT session_id, seq, tool_name, regexp_extract(input_json, ':"(.*)"', 1) AS path FROM blocks WHERE kind = 'tool_use'),
@@ -158,10 +158,11 @@ def newest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.sessions(spark, sf_dir).where(F.col("modification_ms") % 2000 == 0)
+    found = A.sessions(spark, sf_dir)
+    refused = F.col("modification_ms") % 2000 != 0
     kb = F.regexp_replace(F.coalesce("cwd", F.lit("/kb/none/d")), "/d$", "")
     actions = F.array(F.struct(kb.alias("kb"), F.array(F.lit("create")).alias("actions")))
-    return found.select("session_id", "transcript_sha256", F.col("modification_ms").alias("transcript_mtime_ms"), F.lit("processed").alias("status"), F.lit(None).cast("string").alias("skipped_reason"), F.lit(None).cast("string").alias("failure_reason"), F.array(kb, F.lit("/kb/root")).alias("affected_kbs"), actions.alias("kb_actions"), F.lit(2).alias("extracted_count"), F.lit(0).alias("stamp_order"))
+    return found.select("session_id", "transcript_sha256", F.col("modification_ms").alias("transcript_mtime_ms"), F.when(refused, "skipped").otherwise("processed").alias("status"), F.lit(None).cast("string").alias("skipped_reason"), F.lit(None).cast("string").alias("failure_reason"), F.array(kb, F.lit("/kb/root")).alias("affected_kbs"), actions.alias("kb_actions"), F.lit(2).alias("extracted_count"), F.lit(0).alias("stamp_order"))
 
 
 _MARKS = f"""{A.SESSIONS}, marks AS (SELECT session_id, transcript_sha256, modification_ms, regexp_replace(coalesce(cwd, '/kb/none/d'), '/d$', '') AS own FROM sessions WHERE n % 2 = 0),
@@ -255,36 +256,79 @@ def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir)
 
 
-def _creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _creates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items; a create for each, some of them for another KB's files or for files outside all KBs; and the KBs."""
     held = A.items(spark, sf_dir)
-    new = held.where("doc_id % 2 = 0").select(F.col("doc_id").alias("req_id"), F.col("doc_id").alias("req_order"), "kb_path", "category", F.concat(F.lit("n"), (F.col("doc_id") % 7).cast("string"), F.lit("-q"), (F.col("doc_id") % 3).cast("string")).alias("title_slug"), F.lit(2).alias("n_paths"), F.when(F.col("doc_id") % 10 == 4, 0).otherwise(1).alias("n_kept"))
-    return items.created(new, held)
+    n = F.col("doc_id")
+    path = F.when(n % 70 == 3, "/kb/zz/f.py").when(n % 10 == 4, "/q/x.py").otherwise("a/../b.py")
+    asked = held.select(n.alias("req_id"), n.alias("req_order"), "kb_path", "category", F.concat(F.lit("n"), n.cast("string")).alias("title_slug"), F.lit("new").alias("summary"), F.array(F.lit("auth")).alias("tags"), F.array(path, F.lit("/q/y.py")).alias("paths"), "universality", "severity", F.concat(F.lit("## Why\n"), "body").alias("body"))
+    dirs = held.select("kb_path").distinct().union(spark.sql("SELECT '/kb/zz'"))
+    return held, asked, dirs.select("kb_path", F.col("kb_path").alias("kb_dir"))
+
 
+_CREATED = f"""{A.ITEMS}, asked AS (SELECT doc_id, kb_path AS own_kb, category, CASE WHEN doc_id % 70 = 3 THEN '/kb/zz' ELSE kb_path END AS kb_path, length(body) BETWEEN 43 AND 7993 AS sound, doc_id % 70 = 3 OR doc_id % 10 <> 4 AS inside, severity FROM items),
+held AS (SELECT kb_path, category, count(*) FILTER (status = 'active' AND location = 'active') AS active, max(substr(item_id, 3, 3)::INTEGER) AS last FROM items GROUP BY ALL),
+turns AS (SELECT a.*, coalesce(active, 0) AS active, coalesce(last, 0) AS last, coalesce(sum(CASE WHEN sound AND inside THEN 1 ELSE 0 END) OVER (PARTITION BY a.kb_path, a.category ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM asked a LEFT JOIN held h ON h.kb_path = a.kb_path AND h.category = a.category),
+verdicts AS (SELECT *, CASE WHEN NOT sound THEN 'schema_violation' WHEN before >= 10 - active THEN 'category_full' WHEN NOT inside THEN 'region_violation' END AS code FROM turns),
+numbered AS (SELECT *, CASE WHEN code IS NULL THEN concat(CASE category WHEN 'decision' THEN 'D' WHEN 'learning' THEN 'L' WHEN 'reusable' THEN 'R' ELSE 'A' END, '-', lpad((last + before + 1)::VARCHAR, 3, '0')) END AS new_id FROM verdicts)"""
 
-@query()
+
+@query(f"""WITH {_CREATED} SELECT doc_id AS req_id, kb_path, new_id AS item_id, code, CASE WHEN doc_id % 70 = 3 THEN own_kb END AS rerouted_from, CASE WHEN doc_id % 70 = 3 THEN 'f.py' WHEN inside THEN 'b.py' ELSE '' END AS paths_kept, CASE WHEN inside THEN '/q/y.py' ELSE '/q/x.py,/q/y.py' END AS paths_dropped FROM numbered""")
 def created_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates that depend on the requests before; tested against a walk in order."""
-    return _creates(spark, sf_dir)
+    """Routed creates and their verdicts; slugs that clash are tested against a walk in order."""
+    held, asked, registry = _creates(spark, sf_dir)
+    return items.create_verdicts(asked, held, registry).select("req_id", "kb_path", "item_id", "code", "rerouted_from", F.array_join("paths", ",").alias("paths_kept"), F.array_join("paths_dropped", ",").alias("paths_dropped"))
+
+
+@query(f"""WITH {_CREATED} SELECT kb_path, item_id, slug, title, status, severity, created FROM items UNION ALL SELECT kb_path, new_id, concat('n', doc_id), concat('N', doc_id), 'active', severity, '{A.NOW}' FROM numbered WHERE code IS NULL""")
+def items_after_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next snapshot."""
+    held, asked, registry = _creates(spark, sf_dir)
+    return items.with_created(held, items.create_verdicts(asked, held, registry), F.lit(A.NOW)).select("kb_path", "item_id", "slug", "title", "status", "severity", "created")
+
+
+def _edits(held: DataFrame) -> DataFrame:
+    """Two edits for every item; the second one gives no summary."""
+    nothing = F.lit(None)
+    both = held.withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
+    return both.select(
+        F.concat_ws("-", "doc_id", "turn").alias("req_id"), F.col("turn").alias("req_order"), "kb_path", "item_id", F.concat(F.lit("## Why\ntext "), F.col("turn").cast("string")).alias("new_body"), F.when(F.col("turn") == 1, "new summary").alias("new_summary"),
+        nothing.cast("array<string>").alias("new_tags"), nothing.cast("array<string>").alias("new_paths"), nothing.cast("string").alias("new_universality"), F.lit("normal").alias("new_severity"), F.concat(F.lit("edit "), F.col("turn").cast("string")).alias("history_note"),
+    )
 
 
-_EDITED = f"{A.ITEMS}, hit AS (SELECT *, doc_id % 6 = 0 AND location = 'active' AS h FROM items)"
+_EDITED = f"{A.ITEMS}, hit AS (SELECT *, location = 'active' AND status <> 'archived' AS h FROM items)"
 
 
-@query(f"""WITH {_EDITED} SELECT kb_path, item_id, doc_id, CASE WHEN h THEN 'new summary' ELSE summary END AS summary, CASE WHEN h THEN concat('## Why', chr(10), 'text', chr(10), chr(10), '## History', chr(10), chr(10), '- 2024-06-15: edited') ELSE body END AS body, CASE WHEN h THEN 'active' ELSE status END AS status, CASE WHEN h THEN '{A.NOW}' ELSE updated END AS updated, severity FROM hit""")
+@query(f"""WITH {_EDITED} SELECT kb_path, item_id, doc_id, CASE WHEN h THEN 'new summary' ELSE summary END AS summary, CASE WHEN h THEN concat('## Why', chr(10), 'text 2', chr(10), chr(10), '## History', chr(10), chr(10), '- 2024-06-15: edit 2') ELSE body END AS body, CASE WHEN h THEN 'active' ELSE status END AS status, CASE WHEN h THEN '{A.NOW}' ELSE updated END AS updated, CASE WHEN h AND category = 'anti-pattern' THEN 'normal' ELSE severity END AS severity FROM hit""")
 def superseded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4, M5, F18, J8, P11."""
+    """M5, F18."""
     held = A.items(spark, sf_dir)
-    nothing = F.lit(None)
-    requests = held.where("doc_id % 6 = 0").select("kb_path", "item_id", F.lit("## Why\ntext").alias("new_body"), F.lit("new summary").alias("new_summary"), nothing.cast("array<string>").alias("new_tags"), nothing.cast("array<string>").alias("new_paths"), nothing.cast("string").alias("new_universality"), nothing.cast("string").alias("new_severity"), F.lit("edited").alias("history_note"))
-    return items.superseded(held, requests, F.lit(A.NOW)).select("kb_path", "item_id", "doc_id", "summary", "body", "status", "updated", "severity")
+    return items.superseded(held, _edits(held), F.lit(A.NOW)).select("kb_path", "item_id", "doc_id", "summary", "body", "status", "updated", "severity")
+
+
+@query(f"""WITH {_EDITED} SELECT kb_path, item_id, doc_id, CASE WHEN h THEN 'new summary' ELSE summary END AS summary, CASE WHEN h THEN concat('## Why', chr(10), 'text 2') ELSE body END AS body, status, created, CASE WHEN h THEN '{A.NOW}' ELSE updated END AS updated FROM hit""")
+def updated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4."""
+    held = A.items(spark, sf_dir)
+    return items.updated(held, _edits(held), F.lit(A.NOW)).select("kb_path", "item_id", "doc_id", "summary", "body", "status", "created", "updated")
 
 
-@query(f"""WITH {_EDITED} SELECT kb_path, item_id, doc_id, CASE WHEN h THEN 'archived' ELSE status END AS status, CASE WHEN h THEN '{A.NOW}' END AS archived_at, CASE WHEN h THEN 'no longer true' END AS archive_reason, CASE WHEN h THEN 'archive' ELSE location END AS location FROM hit""")
+@query(f"""WITH {_EDITED} SELECT concat(doc_id, '-', turn) AS req_id, CASE WHEN turn = 3 THEN 'target_not_found' WHEN NOT h OR turn = 2 THEN 'already_archived' END AS code FROM hit, unnest([1, 2, 3]) AS t(turn)""")
+def archive_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first, a second and a misdirected request for each item."""
+    held = A.items(spark, sf_dir)
+    asked = held.withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(F.concat_ws("-", "doc_id", "turn").alias("req_id"), F.col("turn").alias("req_order"), "kb_path", F.when(F.col("turn") == 3, "X-000").otherwise(F.col("item_id")).alias("item_id"))
+    # each of the misdirected ones is for a KB of its own items, none of which has the id
+    return items.edit_verdicts(asked, held, archiving=True).select("req_id", F.when(F.col("req_order") == 3, F.coalesce("code", F.lit("found"))).otherwise(F.col("code")).alias("code"))
+
+
+@query(f"""WITH {_EDITED}, done AS (SELECT *, h AND doc_id % 6 = 0 AS d FROM hit) SELECT kb_path, item_id, doc_id, CASE WHEN d THEN 'archived' ELSE status END AS status, CASE WHEN d THEN '{A.NOW}' END AS archived_at, CASE WHEN d THEN 'no longer true 1' END AS archive_reason, CASE WHEN d THEN 'archive' ELSE location END AS location FROM done""")
 def archived_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6."""
+    """Two requests for every item, of which most give too short a reason."""
     held = A.items(spark, sf_dir)
-    requests = held.where("doc_id % 6 = 0").select("kb_path", "item_id", F.lit("no longer true").alias("reason")).where(items.reason_verdict("reason", 10, 500).isNull())
-    return items.archived(held, requests, F.lit(A.NOW)).select("kb_path", "item_id", "doc_id", "status", "archived_at", "archive_reason", "location")
+    asked = held.withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.concat_ws("-", "doc_id", "turn").alias("req_id"), F.col("turn").alias("req_order"), "kb_path", "item_id", F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("no longer true "), F.col("turn").cast("string"))).otherwise("old").alias("reason"))
+    return items.archived(held, asked.where(items.reason_verdict("reason", 10, 500).isNull()), F.lit(A.NOW)).select("kb_path", "item_id", "doc_id", "status", "archived_at", "archive_reason", "location")
 
 
 @query(f"""WITH {A.ITEMS} SELECT kb_path, doc_id, CASE WHEN len(tags) = 0 THEN NULL END AS error_field, CASE WHEN status LIKE 'superseded-by%' THEN 'superseded-by' ELSE status END AS kind, CASE WHEN status LIKE 'superseded-by%' THEN 'D-001' END AS replaced_by FROM items""")
@@ -328,7 +372,7 @@ def repeated_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as proposed items of which most break one rule."""
     n = F.col("doc_id") % 11
-    body = F.when(n == 9, F.lit("too short")).otherwise(F.concat(F.lit("## Why\n"), F.rpad(F.left("text", F.lit(60)), 60, "x")))
+    body = F.when(n == 9, F.lit("too short")).otherwise(F.concat(F.lit("## Why\n"), "text", F.lit("x" * 60)))
     fields = {
         "category": F.when(n == 2, "note").otherwise(F.when(F.col("doc_id") % 2 == 0, "decision").otherwise("anti-pattern")),
         "title_slug": F.when(n == 3, "Bad Slug").otherwise("good-slug"),
@@ -404,18 +448,62 @@ def written_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session_id", decided_language(F.when(F.col("session_id").endswith("1"), "en").otherwise("auto"), F.col("language")).alias("written_in"))
 
 
-@query(f"""WITH {A.ITEMS}, ok AS (SELECT doc_id, category, kb_path, status = 'active' AND location = 'active' AND universality = 'unverified' AS fine FROM items),
-r AS (SELECT a.doc_id AS req_id, a.category, CASE WHEN b.doc_id IS NULL THEN 'item_not_found' WHEN NOT a.fine OR NOT b.fine OR b.category <> a.category THEN 'origin_not_promotable' END AS own FROM ok a LEFT JOIN ok b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 8 = 0),
-t AS (SELECT *, sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY category ORDER BY req_id) AS turn FROM r)
-SELECT req_id, coalesce(own, CASE WHEN turn > 10 THEN 'category_full' END) AS code, CASE WHEN own IS NULL AND turn <= 10 THEN concat(CASE category WHEN 'decision' THEN 'D' WHEN 'learning' THEN 'L' WHEN 'reusable' THEN 'R' ELSE 'A' END, '-', lpad(turn::VARCHAR, 3, '0')) END AS item_id FROM t""")
+_PROMOTED = f"""{A.ITEMS}, two AS (SELECT doc_id // 2 AS req_id, count(*) AS n, count(DISTINCT kb_path) AS n_kbs, arg_min(category, doc_id) AS category, regexp_extract(arg_min(kb_path, doc_id), '^/kb/[^/]+') AS target_kb,
+  arg_min(CASE WHEN status <> 'active' OR location <> 'active' THEN 'origin_not_found' WHEN universality <> 'unverified' THEN 'origin_not_unverified' ELSE '' END, doc_id) AS one, arg_max(CASE WHEN status <> 'active' OR location <> 'active' THEN 'origin_not_found' WHEN universality <> 'unverified' THEN 'origin_not_unverified' ELSE '' END, doc_id) AS other FROM items GROUP BY doc_id // 2),
+own AS (SELECT *, CASE WHEN n_kbs < 2 THEN 'schema_violation' WHEN one <> '' THEN one WHEN other <> '' THEN other WHEN req_id % 9 = 5 THEN 'target_kb_not_root' END AS own FROM two),
+turns AS (SELECT *, sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY target_kb, category ORDER BY req_id) AS turn FROM own),
+verdicts AS (SELECT req_id, target_kb, category, coalesce(own, CASE WHEN turn > 10 THEN 'category_full' END) AS code, CASE WHEN own IS NULL AND turn <= 10 THEN concat(CASE category WHEN 'decision' THEN 'D' WHEN 'learning' THEN 'L' WHEN 'reusable' THEN 'R' ELSE 'A' END, '-', lpad(turn::VARCHAR, 3, '0')) END AS new_id FROM turns)"""
+
+
+def _promotions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items; every two neighbours as a promotion to the first one's root KB, or to a KB that is no root; and the roots."""
+    held = A.items(spark, sf_dir)
+    pairs = held.groupBy(F.floor(F.col("doc_id") / 2).alias("req_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "kb_path", "item_id"))).alias("both"), F.min_by("category", "doc_id").alias("category"))
+    root = F.regexp_extract(F.col("both")[0]["kb_path"], "^/kb/[^/]+", 0)
+    asked = pairs.select("req_id", F.col("req_id").alias("req_order"), F.when(F.col("req_id") % 9 == 5, "/kb").otherwise(root).alias("target_kb"), "category", F.lit("both").alias("title_slug"), F.transform("both", lambda o: F.struct(o["kb_path"].alias("kb_path"), o["item_id"].alias("item_id"))).alias("origins"))
+    return held, asked, held.select("kb_path", F.regexp_extract("kb_path", "^/kb/[^/]+", 0).alias("root_kb")).distinct()
+
+
+@query(f"WITH {_PROMOTED} SELECT req_id, code, new_id AS item_id FROM verdicts")
 def promotion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's item and the next one's make a promotion to one root KB."""
+    """M7, W2, W3."""
+    held, asked, roots = _promotions(spark, sf_dir)
+    return items.promotion_verdicts(asked, held, roots)
+
+
+@query(f"""WITH {_PROMOTED} SELECT kb_path, item_id, doc_id, CASE WHEN new_id IS NULL THEN status ELSE concat('superseded-by-cross:', CASE WHEN starts_with(kb_path, target_kb || '/') THEN '..' ELSE concat('../../', substr(target_kb, 5)) END, ':', new_id) END AS status, universality FROM items JOIN verdicts ON req_id = doc_id // 2
+UNION ALL SELECT target_kb, new_id, NULL, 'active', 'universal' FROM verdicts WHERE new_id IS NOT NULL""")
+def promoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: the next snapshot."""
+    held, asked, roots = _promotions(spark, sf_dir)
+    return items.promoted(held, asked, F.lit(A.NOW), roots).select("kb_path", "item_id", "doc_id", "status", "universality")
+
+
+ROOT, CHILD = "/kb/src1/0", "/kb/src2/0"
+
+_DEMOTED = f"""{A.ITEMS}, own AS (SELECT *, CASE WHEN status <> 'active' OR location <> 'active' THEN 'origin_not_found' WHEN universality <> 'universal' THEN 'origin_not_unverified' END AS own FROM items WHERE kb_path = '{ROOT}'),
+held AS (SELECT category, count(*) FILTER (status = 'active' AND location = 'active') AS active, max(substr(item_id, 3, 3)::INTEGER) AS last FROM items WHERE kb_path = '{CHILD}' GROUP BY category),
+turns AS (SELECT own.*, coalesce(active, 0) AS active, coalesce(last, 0) AS last, sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY category ORDER BY doc_id) AS turn FROM own LEFT JOIN held USING (category)),
+verdicts AS (SELECT *, coalesce(own, CASE WHEN turn > 10 - active THEN 'category_full' END) AS code, CASE WHEN own IS NULL AND turn <= 10 - active THEN concat(left(item_id, 2), lpad((last + turn)::VARCHAR, 3, '0')) END AS new_id FROM turns)"""
+
+
+def _demotions(held: DataFrame) -> DataFrame:
+    return held.where(F.col("kb_path") == ROOT).select(F.col("doc_id").alias("req_id"), F.col("doc_id").alias("req_order"), F.col("item_id").alias("origin_id"), F.lit(CHILD).alias("target_kb"))
+
+
+@query(f"WITH {_DEMOTED} SELECT doc_id AS req_id, code, new_id AS item_id FROM verdicts")
+def demotion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: every item of a root KB is asked for."""
+    held = A.items(spark, sf_dir)
+    return items.demotion_verdicts(_demotions(held), held, ROOT)
+
+
+@query(f"""WITH {_DEMOTED} SELECT i.kb_path, i.item_id, CASE WHEN v.new_id IS NULL THEN i.status ELSE 'archived' END AS status, CASE WHEN v.new_id IS NULL THEN i.universality ELSE 'universal' END AS universality, concat('demoted to ../../src2/0/', v.new_id) AS archive_reason FROM items i LEFT JOIN verdicts v ON v.doc_id = i.doc_id AND v.new_id IS NOT NULL WHERE v.new_id IS NOT NULL
+UNION ALL SELECT i.kb_path, i.item_id, i.status, i.universality, NULL FROM items i LEFT JOIN verdicts v ON v.doc_id = i.doc_id WHERE v.new_id IS NULL UNION ALL SELECT '{CHILD}', new_id, 'active', 'app-specific', NULL FROM verdicts WHERE new_id IS NOT NULL""")
+def demoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: the next snapshot."""
     held = A.items(spark, sf_dir)
-    first = held.where("doc_id % 8 = 0").select(F.col("doc_id").alias("req_id"), "category", F.struct("kb_path", "item_id").alias("a"))
-    second = held.where("doc_id % 8 = 1").select((F.col("doc_id") - 1).alias("req_id"), F.struct("kb_path", "item_id").alias("b"))
-    missing = F.struct(F.lit("/kb/none").alias("kb_path"), F.lit("D-000").alias("item_id"))
-    requests = first.join(second, "req_id", "left").select("req_id", F.col("req_id").alias("req_order"), F.lit("/kb/root").alias("target_kb"), "category", F.lit("both").alias("title_slug"), F.array("a", F.coalesce("b", missing)).alias("origins"))
-    return items.promotion_verdicts(requests, held)
+    return items.demoted(held, _demotions(held), ROOT, F.lit(A.NOW)).select("kb_path", "item_id", "status", "universality", "archive_reason")
 
 
 @query(f"""WITH {A.ITEMS} SELECT kb_path, concat(CASE WHEN location = 'archive' THEN '.archive' WHEN category = 'decision' THEN 'decisions' WHEN category = 'learning' THEN 'learnings' WHEN category = 'reusable' THEN 'reusable' ELSE 'anti-patterns' END, '/', item_id, '-', slug, '.md') AS file_name,

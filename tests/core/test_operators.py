@@ -171,16 +171,63 @@ def test_promotion(spark):
     rows = [(1, 1, "/r", "decision", "both", "s", ["a"], [], "b", [("/r/a", "D-001"), ("/r/b", "D-004")]), (2, 2, "/r", "decision", "no", "s", ["a"], [], "b", [("/r/a", "D-001"), ("/r/b", "D-005")]), (3, 3, "/r", "decision", "no", "s", ["a"], [], "b", [("/r/a", "D-001"), ("/r/a", "D-001")]), (4, 4, "/r", "decision", "no", "s", ["a"], [], "b", [("/r/a", "D-009"), ("/r/b", "D-004")])]
     requests = spark.createDataFrame(rows, kind)
     verdicts = {r.req_id: r.code or r.item_id for r in items.promotion_verdicts(requests, held).collect()}
-    assert verdicts == {1: "D-008", 2: "origin_not_promotable", 3: "too_few_kbs", 4: "item_not_found"}
+    assert verdicts == {1: "D-008", 2: "origin_not_unverified", 3: "schema_violation", 4: "origin_not_found"}
+    again = spark.createDataFrame([*rows, (5, 5, "/r", "decision", "twice", "s", ["a"], [], "b", rows[0][-1])], kind)
+    roots = spark.createDataFrame([("/r/a", "/r"), ("/r/b", "/r")], "kb_path string, root_kb string")
+    assert {r.req_id: r.code or r.item_id for r in items.promotion_verdicts(again, held, roots).collect()} == {**verdicts, 5: "origin_not_found"}
+    assert {r.code for r in items.promotion_verdicts(again, held, roots.withColumn("root_kb", F.lit("/q"))).where("req_id = 1").collect()} == {"target_kb_not_root"}
+    assert items.promoted(held, again, F.lit(NOW), roots).count() == 5
     after = {(r.kb_path, r.item_id): r for r in items.promoted(held, requests, F.lit(NOW)).collect()}
     assert after["/r", "D-008"].universality == "universal" and after["/r", "D-008"].title == "Both"
     assert after["/r/a", "D-001"].status == "superseded-by-cross:..:D-008" and after["/r/a", "D-001"].body.endswith("- 2024-06-15: promoted to ../D-008")
 
 
+def test_edits_give_one_row_an_item(spark):
+    held = spark.createDataFrame([item("k", "D-001", "decision", "a"), item("k", "D-002", "decision", "b", status="archived"), item("k", "D-003", "decision", "c", location="archive")], ITEM)
+    kind = "req_id int, req_order int, kb_path string, item_id string, new_body string, new_summary string, new_tags array<string>, new_paths array<string>, new_universality string, new_severity string, history_note string"
+    rows = [(i, i, "k", id_, body, summary, None, None, None, None, f"note {i}") for i, (id_, body, summary) in enumerate([("D-001", "one", "first"), ("D-001", "two", None), ("D-002", "x", None), ("D-003", "x", None), ("D-009", "x", None)])]
+    requests = spark.createDataFrame(rows, kind)
+    assert {r.req_id: r.code for r in items.edit_verdicts(requests, held).collect()} == {0: None, 1: None, 2: "target_archived", 3: "target_archived", 4: "target_not_found"}
+    after = {r.item_id: r for r in items.updated(held, requests, F.lit(NOW)).collect()}
+    assert (after["D-001"].body, after["D-001"].summary, after["D-002"].body[:3]) == ("two", "first", "## ")
+    after = items.superseded(held, requests, F.lit(NOW)).collect()
+    assert len(after) == 3 and {r.body for r in after if r.item_id == "D-001"} == {"two\n\n## History\n\n- 2024-06-15: note 1"}
+    reasons = requests.withColumn("reason", F.col("history_note"))
+    assert {r.req_id: r.code for r in items.edit_verdicts(reasons, held, archiving=True).collect()} == {0: None, 1: "already_archived", 2: "already_archived", 3: "already_archived", 4: "target_not_found"}
+    after = items.archived(held, reasons, F.lit(NOW))
+    assert sorted((r.item_id, r.status, r.archive_reason) for r in after.collect()) == [("D-001", "archived", "note 0"), ("D-002", "archived", None), ("D-003", "active", None)]
+    assert items.freed_slots(held, after).first().freed == 1
+
+
+def test_creates_become_rows(spark):
+    held = spark.createDataFrame([item("/r/.kb", "D-004", "decision", "old")], ITEM)
+    registry = spark.createDataFrame([("/r/.kb", "/r"), ("/r/web/.kb", "/r/web")], "kb_path string, kb_dir string")
+    body = "## Why\n" + "x" * 60
+    rows = [(1, 1, "/r/.kb", "decision", "new-one", "s", ["a"], ["x.py", "/q/y.py"], "universal", "critical", body), (2, 2, "/r/.kb", "decision", "sent-on", "s", ["a"], ["web/z.py"], "universal", None, body), (3, 3, "/r/.kb", "decision", "old", "s", ["a"], [], "universal", None, body), (4, 4, "/r/.kb", "decision", "lost", "s", ["a"], ["/q/z.py"], "universal", None, body), (5, 5, "/r/.kb", "decision", "Bad", "s", ["a"], [], "universal", None, body)]
+    requests = spark.createDataFrame(rows, "req_id int, req_order int, kb_path string, category string, title_slug string, summary string, tags array<string>, paths array<string>, universality string, severity string, body string")
+    verdicts = items.create_verdicts(requests, held, registry)
+    got = {r.req_id: (r.kb_path, r.code or r.item_id, r.rerouted_from, r.paths, r.paths_dropped) for r in verdicts.collect()}
+    assert got[1] == ("/r/.kb", "D-005", None, ["x.py"], ["/q/y.py"]) and got[2] == ("/r/web/.kb", "D-001", "/r/.kb", ["z.py"], [])
+    assert [got[i][1] for i in (3, 4, 5)] == ["duplicate_slug", "region_violation", "schema_violation"]
+    after = {(r.kb_path, r.item_id): r for r in items.with_created(held, verdicts, F.lit(NOW)).collect()}
+    assert len(after) == 3 and after["/r/.kb", "D-005"].title == "New one" and after["/r/.kb", "D-005"].severity is None
+
+
+def test_touched_paths_are_non_empty_strings(spark):
+    rows = [block(i, "assistant", "tool_use", None, "Read", given) for i, given in enumerate(['{"file_path":""}', '{"file_path":5}', '{"file_path":{"a":1}}', '{"file_path":"/p"}', "{}"])]
+    assert profile.touched(spark.createDataFrame(rows, BLOCK)).first().paths == ["/p"]
+
+
+def test_a_last_line_end_is_no_part_of_slugs_and_tags(spark):
+    good = {"category": "decision", "title_slug": "a-b", "summary": "s", "body_markdown": "## Why\n" + "x" * 60, "tags": ["a"], "paths": [], "universality": "universal"}
+    df = spark.createDataFrame([(1, json.dumps({**good, "title_slug": "a-b\n"})), (2, json.dumps({**good, "tags": ["a\n"]})), (3, json.dumps(good))], "i int, item string")
+    assert {r.i: r.reject_step for r in candidates.validated(df).collect()} == {1: 3, 2: 5, 3: None}
+
+
 def test_demotion(spark):
     held = spark.createDataFrame([item("/r", "D-001", "decision", "x", universality="universal"), item("/r", "D-002", "decision", "y"), item("/r/a", "D-009", "decision", "z")], ITEM)
     requests = spark.createDataFrame([(1, 1, "D-001", "/r/a"), (2, 2, "D-002", "/r/a"), (3, 3, "D-003", "/r/a"), (4, 4, "D-001", "/r/b")], "req_id int, req_order int, origin_id string, target_kb string")
-    assert {r.req_id: r.code or r.item_id for r in items.demotion_verdicts(requests, held, "/r").collect()} == {1: "D-010", 2: "origin_not_demotable", 3: "item_not_found", 4: "origin_not_demotable"}
+    assert {r.req_id: r.code or r.item_id for r in items.demotion_verdicts(requests, held, "/r").collect()} == {1: "D-010", 2: "origin_not_unverified", 3: "origin_not_found", 4: "origin_not_found"}
     after = {(r.kb_path, r.item_id): r for r in items.demoted(held, requests, "/r", F.lit(NOW)).collect()}
     assert len(after) == 4 and after["/r/a", "D-010"].universality == "app-specific" and after["/r/a", "D-010"].slug == "x"
     assert after["/r", "D-001"].location == "archive" and after["/r", "D-001"].archive_reason == "demoted to a/D-010"
