@@ -1,10 +1,11 @@
 """Stupid-backoff scores of documents under the n-gram counts of their own corpus.
 
-Documents are dealt into chunks of bounded size. A chunk sums its own n-grams
-first and sends them, cut by hash into buckets, to the count tables; each bucket
-adds up what all chunks sent and joins the totals back to the n-grams of each
-chunk, where they are summed per document. So a frequent n-gram travels once per
-chunk, not once per occurrence, and no task holds more than a chunk or a bucket.
+Documents are dealt into chunks of bounded size and exploded to the n-grams of each
+chunk, a row for each distinct one with its count. These rows are partitioned by
+the hash of the n-gram and summed to the count table of the corpus, which is joined
+back to them; the totals go to their chunks, where they are summed per document. So
+a frequent n-gram travels once per chunk, not once per occurrence, and no task
+holds more than a chunk.
 """
 
 from __future__ import annotations
@@ -38,53 +39,25 @@ def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return keys, starts
 
 
-def narrow(values: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs; the first byte says how many."""
-    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << (8 * w))
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+def _chunk_grams(order: int) -> Callable[[pa.Table], pa.Table]:
+    """A row for each distinct n-gram of a chunk: key, chunk, n."""
 
-
-def wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
-
-
-def _chunk_counts(order: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
         keys, _ = grams(rows["text"].combine_chunks(), order)
         keys, n = np.unique(np.concatenate(keys), return_counts=True)
         real = keys > 0
-        keys, n = keys[real], n[real]
-        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        own, first = np.unique(bucket, return_index=True)
-        ends = [*first[1:].tolist(), len(keys)][: len(first)]
         chunk = rows["chunk"][0].as_py() if rows.num_rows else 0
-        return pa.table(
-            {
-                "bucket": pa.array(own),
-                "chunk": pa.array(np.full(len(own), chunk, np.int64)),
-                "keys": pa.array([keys[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()),
-                "counts": pa.array([narrow(n[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()),
-            }
-        )
+        return pa.table({"key": pa.array(keys[real].view(np.int64)), "chunk": pa.array(np.full(int(real.sum()), chunk, np.int64)), "n": pa.array(n[real].astype(np.int64))})
 
     return run
 
 
-def _bucket_totals(rows: pa.Table) -> pa.Table:
-    """Each n-gram's total over all chunks, told to every chunk in the order in which it asked."""
-    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"].to_pylist()]
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate([wide(c) for c in rows["counts"].to_pylist()])).astype(np.int64)
-    told = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
-    return pa.table({"bucket": rows["bucket"], "chunk": rows["chunk"], "totals": pa.array([narrow(t) for t in told], pa.binary())})
-
-
 def _chunk_scores(order: int, alpha: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         keys, starts = grams(rows["text"].combine_chunks(), order)
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        told = told.sort_by("bucket")
-        totals = np.concatenate([np.zeros(int(len(distinct) > 0 and distinct[0] == 0), np.int64), *[wide(t) for t in told["totals"].to_pylist()]])
+        distinct, place, totals = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        # n-grams of no other chunk are not told: their totals are the chunk's own
+        totals[np.searchsorted(distinct, told["key"].to_numpy().view(np.uint64))] = told["total"].to_numpy()
         place = place.reshape(order, -1)
         n = np.diff(starts)
         doc = np.repeat(np.arange(len(n)), n)
@@ -110,7 +83,7 @@ def _chunk_scores(order: int, alpha: float) -> Callable[[pa.Table, pa.Table], pa
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, chunk_chars: int = 8_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_chars: int = 8_000_000) -> DataFrame:
     """Mean log of the stupid-backoff score of each document's words.
 
     A word's score is count(n-gram) / count(its context) for the longest n-gram,
@@ -130,9 +103,11 @@ def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, chunk_chars:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-chars // chunk_chars))
-    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    sent = chunked.groupBy("chunk").applyInArrow(_chunk_counts(order, parts), "bucket long, chunk long, keys binary, counts binary")
-    told = sent.groupBy("bucket").applyInArrow(_bucket_totals, "bucket long, chunk long, totals binary")
+    # rows that are equal in all columns still spread, by the part of the input that they are read from
+    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)))
+    exploded = chunked.groupBy("chunk").applyInArrow(_chunk_grams(order), "key long, chunk long, n long").repartition("key")
+    counts = exploded.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("chunks")).where("chunks > 1").select("key", "total")
+    told = exploded.join(counts.hint("merge"), "key").select("chunk", "key", "total")
     scored = chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_chunk_scores(order, alpha), "doc_id long, n_words long, log_score double, n_single double")
     scored = stored(scored, "scores")
     words = scored.agg(F.sum("n_words")).first()[0] or 0

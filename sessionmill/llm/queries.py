@@ -83,18 +83,23 @@ WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 OP1_SQL = f"""
 WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
-placed AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM words, unnest(range(1, len(w) + 1)) AS r(i)),
+placed AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev, CASE WHEN i > 2 THEN w[i - 2] END AS far FROM words, unnest(range(1, len(w) + 1)) AS r(i)),
 one AS (SELECT word, count(*) AS n FROM placed GROUP BY word),
 two AS (SELECT prev, word, count(*) AS n FROM placed WHERE prev IS NOT NULL GROUP BY prev, word),
+three AS (SELECT far, prev, word, count(*) AS n FROM placed WHERE far IS NOT NULL GROUP BY far, prev, word),
 own1 AS (SELECT doc_id, word, count(*) AS n FROM placed GROUP BY doc_id, word),
 own2 AS (SELECT doc_id, prev, word, count(*) AS n FROM placed WHERE prev IS NOT NULL GROUP BY doc_id, prev, word),
+own3 AS (SELECT doc_id, far, prev, word, count(*) AS n FROM placed WHERE far IS NOT NULL GROUP BY doc_id, far, prev, word),
 size AS (SELECT doc_id, len(w) AS n FROM words), total AS (SELECT sum(n) AS n FROM size),
 counted AS (
-  SELECT x.doc_id, x.prev, o.n - p.n AS c1, coalesce(t.n - q.n, 0) AS c2, greatest(coalesce(op.n - pp.n, 1), 1) AS context, greatest(total.n - size.n, 1) AS rest
+  SELECT x.doc_id, x.prev, x.far, o.n - p.n AS c1, coalesce(t.n - q.n, 0) AS c2, coalesce(h.n - g.n, 0) AS c3, greatest(coalesce(op.n - pp.n, 1), 1) AS context, greatest(coalesce(ot.n - pt.n, 1), 1) AS context2, greatest(total.n - size.n, 1) AS rest
   FROM placed x JOIN one o USING (word) JOIN own1 p ON p.doc_id = x.doc_id AND p.word = x.word JOIN size ON size.doc_id = x.doc_id CROSS JOIN total
   LEFT JOIN two t ON t.prev = x.prev AND t.word = x.word LEFT JOIN own2 q ON q.doc_id = x.doc_id AND q.prev = x.prev AND q.word = x.word
-  LEFT JOIN one op ON op.word = x.prev LEFT JOIN own1 pp ON pp.doc_id = x.doc_id AND pp.word = x.prev),
-logs AS (SELECT doc_id, ln(CASE WHEN c2 > 0 THEN c2::DOUBLE / context ELSE (CASE WHEN prev IS NULL THEN 1 ELSE 0.4 END) * (CASE WHEN c1 > 0 THEN c1 ELSE 0.4 END)::DOUBLE / rest END) AS l FROM counted)
+  LEFT JOIN three h ON h.far = x.far AND h.prev = x.prev AND h.word = x.word LEFT JOIN own3 g ON g.doc_id = x.doc_id AND g.far = x.far AND g.prev = x.prev AND g.word = x.word
+  LEFT JOIN one op ON op.word = x.prev LEFT JOIN own1 pp ON pp.doc_id = x.doc_id AND pp.word = x.prev
+  LEFT JOIN two ot ON ot.prev = x.far AND ot.word = x.prev LEFT JOIN own2 pt ON pt.doc_id = x.doc_id AND pt.prev = x.far AND pt.word = x.prev),
+logs AS (SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / context2) WHEN c2 > 0 THEN ln(c2::DOUBLE / context) + CASE WHEN far IS NULL THEN 0 ELSE ln(0.4) END
+  ELSE ln((CASE WHEN c1 > 0 THEN c1 ELSE 0.4 END)::DOUBLE / rest) + CASE WHEN prev IS NULL THEN 0 WHEN far IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS l FROM counted)
 SELECT size.doc_id, size.n::BIGINT AS n_words, round(avg(l), 6) AS score FROM size LEFT JOIN logs ON logs.doc_id = size.doc_id GROUP BY size.doc_id, size.n
 """
 
