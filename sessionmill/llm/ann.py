@@ -2,9 +2,11 @@
 
 Trees are fitted on a bounded sample and every vector is filed under its leaf in
 each tree. A query goes through all trees with one priority queue: the leaf whose
-worst margin is best comes next, whichever tree it is in, until enough of the
-vectors are in reach. Candidates of these leaves are then ranked by their exact
-cosine.
+worst margin is best comes next, whichever tree it is in. How many leaves a query
+visits is measured: as many as reach most of the true neighbours of some probes,
+which are compared with all vectors. So structured vectors are searched in few
+leaves, and vectors without structure in many. Candidates are then ranked by their
+exact cosine.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ class Forest:
                 else:
                     normal = rng.standard_normal(sample.shape[1])
                 norm = np.linalg.norm(normal)
-                normal = normal / norm if norm > 0 else rng.standard_normal(sample.shape[1])
+                normal = normal / norm if norm > 0 else rng.standard_normal(sample.shape[1]).astype(np.float32)
                 side = sample[own] @ normal
                 offset = np.median(side) if len(own) else 0.0
                 normals[t, node], offsets[t, node] = normal, offset
@@ -82,36 +85,58 @@ class Forest:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Rows of length one; the largest component is divided out first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each pair of rows, worked out in extended precision, so that equal cosines are equal numbers."""
+    a, b = (unit(x.astype(np.longdouble)) for x in (a, b))
+    return np.clip((a * b).sum(axis=1), -1, 1).astype(np.float64)
+
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-def _filed(forest, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each vector under its leaf in each tree; a leaf's vectors are dealt to blocks."""
 
+def _leaf_sizes(forest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = Forest(*forest.value)
+        for batch in batches:
+            if batch.num_rows:
+                place = built.leaves(unit(_matrix(batch["embedding"])).astype(np.float32)) + (np.arange(built.trees, dtype=np.int32) << built.depth)
+                place, n = np.unique(place, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(n)], names=["place", "n"])
+
+    return run
+
+
+def _filed(forest, blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each vector under its leaf in each tree; a leaf's vectors are dealt to as many blocks as it needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built, parts = Forest(*forest.value), blocks.value
         trees = built.trees
         for batch in batches:
             if batch.num_rows:
-                x = unit(_matrix(batch["embedding"])).astype(np.float32)
-                rows = np.repeat(np.arange(len(x)), trees)
-                block = batch["key"].to_numpy()[rows] % blocks
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array(built.leaves(x).ravel()), pa.array(block.astype(np.int32)), *[batch[n].take(pa.array(rows)) for n in ("key", "ids", "embedding")]], names=["tree", "leaf", "block", "key", "ids", "embedding"])
+                leaves = built.leaves(unit(_matrix(batch["embedding"])).astype(np.float32))
+                rows = np.repeat(np.arange(len(leaves)), trees)
+                block = batch["key"].to_numpy()[rows] % parts[np.tile(np.arange(trees), len(leaves)), leaves.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(leaves))), pa.array(leaves.ravel()), pa.array(block.astype(np.int32)), *[batch[n].take(pa.array(rows)) for n in ("key", "ids", "embedding")]], names=["tree", "leaf", "block", "key", "ids", "embedding"])
 
     return run
 
 
-def _asked(forest, visits: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _asked(forest, visits: int, blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = Forest(*forest.value)
+        built, parts = Forest(*forest.value), blocks.value
         for batch in batches:
             if batch.num_rows:
                 found = built.search(unit(_matrix(batch["embedding"])).astype(np.float32), visits)
-                rows = [(t, leaf, b, i) for i, own in enumerate(found) for t, leaf in own for b in range(blocks)]
+                rows = [(t, leaf, b, i) for i, own in enumerate(found) for t, leaf in own for b in range(parts[t, leaf])]
                 columns = [np.array(c, np.int32) for c in zip(*rows, strict=True)]
                 take = pa.array(columns[3])
                 yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns[:3]], batch["key"].take(take), batch["embedding"].take(take)], names=["tree", "leaf", "block", "query", "embedding"])
@@ -119,35 +144,70 @@ def _asked(forest, visits: int, blocks: int) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
+def best_pairs(a: np.ndarray, b: np.ndarray, least_id: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, exact cosine) of the ``most`` best rows of b for each row of a; ties go to the smaller id."""
+    near = unit(a) @ unit(b).T
+    k = min(most, near.shape[1])
+    q, c = np.nonzero(near >= -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] - 1e-9)
+    exact = np.concatenate([cosines(a[q[i : i + 100_000]], b[c[i : i + 100_000]]) for i in range(0, len(q), 100_000)])
+    order = np.lexsort((least_id[c], -exact, q))
+    q, c, exact = q[order], c[order], exact[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], c[best], exact[best]
+
+
 def _ranked(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The best ``most`` candidates of a leaf's block, and all as good, for each query that visits it, with exact cosines."""
+    """The best ``most`` candidates of a leaf's block for each query that visits it."""
 
     def run(filed: pa.Table, asked: pa.Table) -> pa.Table:
         q = c = np.zeros(0, np.int64)
         exact = np.zeros(0)
         if filed.num_rows and asked.num_rows:
-            a, b = _matrix(asked["embedding"].combine_chunks()), _matrix(filed["embedding"].combine_chunks())
-            score = unit(a) @ unit(b).T
-            k = min(most, score.shape[1])
-            q, c = np.nonzero(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] - 1e-9)
-            # each pair by itself, so that equal vectors have equal scores wherever they are met
-            exact = (a[q] * b[c]).sum(axis=1) / (np.sqrt((a[q] * a[q]).sum(axis=1)) * np.sqrt((b[c] * b[c]).sum(axis=1)))
+            least_id = pc.list_element(filed["ids"].combine_chunks(), 0).to_numpy()
+            q, c, exact = best_pairs(_matrix(asked["embedding"]), _matrix(filed["embedding"]), least_id, most)
         return pa.table({"query": asked["query"].take(pa.array(q)), "key": filed["key"].take(pa.array(c)), "ids": filed["ids"].take(pa.array(c)), "score": pa.array(exact)})
 
     return run
 
 
-def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int = 16, leaf_rows: int = 32, share: float = 0.6, most_sample: int = 20_000, block_rows: int = 2_000, seed: int = 3) -> DataFrame:
+def _compared(probes, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best ``most`` of each batch for every probe: (probe, score, embedding)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q, c, exact = best_pairs(probes.value, _matrix(batch["embedding"]), batch["key"].to_numpy(), most)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(exact), batch["embedding"].take(pa.array(c))], names=["probe", "score", "embedding"])
+
+    return run
+
+
+def needed_visits(forest: Forest, probes: np.ndarray, of: np.ndarray, found: np.ndarray, recall: float) -> int:
+    """How many leaves each of ``probes`` has to visit so that ``recall`` of the vectors ``found`` (of probe number ``of``) are reached."""
+    leaves = forest.leaves(unit(found).astype(np.float32))
+    reached = np.zeros(len(found), np.int64)
+    for p, order in enumerate(forest.search(unit(probes).astype(np.float32), forest.trees << forest.depth)):
+        place = np.zeros((forest.trees, 1 << forest.depth), np.int64)
+        t, leaf = np.array(order).T
+        place[t, leaf] = np.arange(1, len(order) + 1)
+        own = np.flatnonzero(of == p)
+        reached[own] = place[np.arange(forest.trees), leaves[own]].min(axis=1)
+    return int(np.quantile(reached, recall, method="higher")) if len(reached) else forest.trees
+
+
+def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int = 16, leaf_rows: int = 64, recall: float = 0.96, most_sample: int = 200_000, most_probes: int = 64, block_rows: int = 2_000, seed: int = 3) -> DataFrame:
     """The ``k`` nearest vectors, by cosine, of each row whose vec_id is divisible by ``query_every``.
 
     ``vectors`` needs vec_id (long) and embedding (array of numbers); other columns
     are ignored. Equal vectors are filed once, with the k + 1 smallest of their ids,
     so that any number of copies takes one place and no task holds them all. The
     trees are fitted on the ``most_sample`` distinct vectors of least hash, down to
-    leaves of about ``leaf_rows`` of these; a query visits ``share`` of all
-    leaves of one tree, spread over all trees by the priority queue. Leaves of more
-    than ``block_rows`` vectors, which a table far larger than the sample has, are
-    compared in blocks.
+    leaves of about ``leaf_rows`` of these, and so grow with the table up to that
+    bound. ``most_probes`` vectors are compared with all others; a query visits as
+    many leaves as reach ``recall`` of the probes' true neighbours. Each leaf of
+    more than ``block_rows`` vectors is compared in blocks of that size, so tight
+    clusters and tables far larger than the sample keep tasks bounded, and a block
+    gives at most k + 1 candidates a query.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. A
     row's own vec_id is no candidate. Vectors that are null, empty, zero, of another
@@ -168,12 +228,21 @@ def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int
     parts = x.groupBy("key", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
     distinct = parts.groupBy("key", "embedding").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     distinct = stored(distinct, "vectors")
-    n = distinct.count()
-    sample = unit(np.array([r.embedding for r in distinct.orderBy("key").limit(most_sample).select("embedding").collect()], np.float64).reshape(-1, sizes.n))
+    sample = _matrix(distinct.orderBy("key").limit(most_sample).select("embedding").toArrow()["embedding"])
     depth = max(0, int(np.log2(max(1, len(sample) / leaf_rows))))
-    forest = spark.sparkContext.broadcast(Forest.fitted(sample, trees, depth, seed))
-    blocks = max(1, n // ((1 << depth) * block_rows))
-    visits = max(2, int(np.ceil(share * (1 << depth)))) + trees
+    parts = Forest.fitted(unit(sample).astype(np.float32), trees, depth, seed)
+    forest, probes = spark.sparkContext.broadcast(parts), sample[:: max(1, len(sample) // most_probes)][:most_probes]
+    visits = trees
+    if depth:
+        # the best of a probe is itself
+        compared = distinct.select("key", "embedding").mapInArrow(_compared(spark.sparkContext.broadcast(probes), k + 1), "probe long, score double, embedding array<double>")
+        place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "embedding"))
+        truth = compared.withColumn("place", place).where(F.col("place").between(2, k + 1)).select("probe", "embedding").toArrow()
+        visits = needed_visits(Forest(*parts), probes, truth["probe"].to_numpy(), _matrix(truth["embedding"]), recall)
+    sizes = distinct.select("embedding").mapInArrow(_leaf_sizes(forest), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    blocks = np.ones((trees, 1 << depth), np.int64)
+    blocks.ravel()[sizes["place"].to_numpy()] = -(-sizes["n"].to_numpy() // block_rows)
+    blocks = spark.sparkContext.broadcast(blocks)
 
     asking = x.where(F.col("vec_id") % query_every == 0).select("key", "embedding", "vec_id").distinct()
     filed = distinct.mapInArrow(_filed(forest, blocks), "tree int, leaf int, block int, key long, ids array<long>, embedding array<double>")
