@@ -248,9 +248,11 @@ def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int
     filed = distinct.mapInArrow(_filed(forest, blocks), "tree int, leaf int, block int, key long, ids array<long>, embedding array<double>")
     asked = asking.select("key", "embedding").distinct().mapInArrow(_asked(forest, visits, blocks), "tree int, leaf int, block int, query long, embedding array<double>")
     near = filed.groupBy("tree", "leaf", "block").cogroup(asked.groupBy("tree", "leaf", "block")).applyInArrow(_ranked(k + 1), "query long, key long, ids array<long>, score double")
-    scored = near.dropDuplicates(["query", "key"]).select("query", F.explode("ids").alias("vec_id"), "score")
+    # the best classes of equal vectors first, then the best of their ids
+    nearest = Window.partitionBy("query").orderBy(F.desc("score"), F.get("ids", F.lit(0)))
+    classes = near.dropDuplicates(["query", "key"]).withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= k + 1)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    scored = scored.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
+    scored = classes.select("query", F.explode("ids").alias("vec_id"), "score").withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
     told = asking.select("key", F.col("vec_id").alias("query_id")).join(scored, F.col("key") == F.col("query")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return told.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
-Several hundred rules, built from a list of licences and templates, are regular
-expressions over a document's words. A keyword prefilter decides which documents
+Several hundred rules are regular expressions over a document's words: sentences
+that licences are known by, written one by one, and ways of naming a licence, built
+from a list of licences and templates. A keyword prefilter decides which documents
 are looked at, and each rule's own keyword whether it is tried; both come from the
 rules. Overlapping
 detections are settled by interval containment: one that lies within another of
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionmill.llm.columns import MARK, folded, let
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -76,6 +79,44 @@ STATEMENTS = [
     ("public-domain", "the public domain", r"(?:released|dedicated|placed) (?:in|in to|into|to) the public domain"),
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("copyright", "copyright", r"copyright (?:c )?[0-9]{4}"),
+    ("gpl", "free software you can redistribute it", r"(?:this (?:program|file|library) |it )?is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "free software you can redistribute it", r"free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl", "free software you can redistribute it", r"free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", "a copy of the gnu", r"you should have received a copy of the gnu general public license"),
+    ("lgpl", "a copy of the gnu", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", "a copy of the gnu", r"you should have received a copy of the gnu affero general public license"),
+    ("gpl-or-later", "or at your option", r"(?:either )?version [123] (?:of the license )?or at your option any later version"),
+    ("apache", "may not use this file", r"you may not use this file except in compliance with the license"),
+    ("apache", "distributed on an", r"distributed on an as is basis without warranties or conditions of any kind"),
+    ("mit", "without restriction including", r"to deal in the software without restriction including without limitation the rights to use copy modify"),
+    ("mit", "above copyright notice and", r"the above copyright notice and this permission notice shall be included in all"),
+    ("bsd", "must retain the above", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "must reproduce the above", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "endorse or promote products", r"(?:may|to) (?:not )?be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "all advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display"),
+    ("mpl", "source code form is", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "subject to the mozilla", r"(?:contents of this file are )?subject to the mozilla public license"),
+    ("epl", "accompanying materials are made", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "common development and distribution", r"common development and distribution license"),
+    ("zlib", "altered source versions must", r"altered source versions must be plainly marked as such"),
+    ("zlib", "must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("bsl", "obtaining a copy of the software and accompanying", r"obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("wtfpl", "do what the fuck", r"do what the fuck you want to(?: public license)?"),
+    ("cc0", "waived all copyright", r"waived all copyright and related (?:or|and) neighbo(?:u)?ring rights"),
+    ("cc-by", "creative commons attribution", r"creative commons attribution [0-9] [0-9] international"),
+    ("cc-by-sa", "attribution sharealike", r"attribution sharealike [0-9] [0-9] (?:international|unported)"),
+    ("public-domain", "dedicate", r"dedicate (?:any and all copyright interest|this (?:work|software)) (?:in this software )?to the public domain"),
+    ("proprietary", "proprietary and confidential", r"(?:strictly |is )?proprietary and confidential"),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "without the prior written permission", r"(?:reproduced|copied|distributed|used|transmitted) without the prior written permission"),
+    ("openssl", "openssl license", r"openssl license"),
+    ("openssl", "for use in the openssl toolkit", r"developed by the openssl project for use in the openssl toolkit"),
+    ("artistic", "artistic license", r"the artistic license(?: [12] 0)?"),
+    ("perl", "same terms as perl", r"under the same terms as perl(?: itself)?"),
+    ("ofl", "font software", r"this font software is licensed under the sil open font license"),
+    ("eupl", "european union public", r"european union public licen[cs]e"),
+    ("odbl", "open database license", r"open database license"),
+    ("commons-clause", "commons clause", r"commons clause(?: license)? condition"),
 ]
 
 # Ways in which texts name a licence, best first: priority, pattern around the name, weight of the evidence.
@@ -123,23 +164,22 @@ def prefilter() -> str:
     return rf"(?:^|(?<={NOT_WORD[:-1]}))(?:{by_letter})(?:$|(?={NOT_WORD[:-1]}))"
 
 
-def spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+PLACE = "array<struct<start:bigint,end:bigint>>"
 
 
 def _places(norm: Column, pattern: Column) -> Column:
-    """(start, end) words of each match of ``pattern`` in ' w w w ', by what lies between matches."""
-    found = F.regexp_extract_all(norm, pattern, F.lit(0))
-    gaps = F.split(norm, pattern, -1)
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+    """(start, end) words of each match of ``pattern`` in ' w w w ': matches are marked, and the marked words' places are the result."""
+
+    def listed(words: Column) -> Column:
+        at = F.transform(words, lambda w, i: F.struct(i.cast("bigint").alias("i"), w.startswith(MARK).alias("first"), w.endswith(MARK).alias("last")))
+        starts = F.transform(F.filter(at, lambda w: w["first"]), lambda w: w["i"])
+        ends = F.transform(F.filter(at, lambda w: w["last"]), lambda w: w["i"])
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + spaces(F.get(gaps, i))
-        end = start + spaces(F.get(found, i)) + 1
-        # the match leaves out the space before and after it; the next gap begins with one
-        return F.struct((end - 1).cast("bigint").alias("at"), F.concat(acc["out"], F.array(F.struct((start - 1).cast("bigint").alias("start"), (end - 1).cast("bigint").alias("end")))).alias("out"))
+    def found(marked: Column) -> Column:
+        return F.when(F.contains(marked, F.lit(MARK)), let(F.split(F.trim(marked), " ", -1), listed)).otherwise(F.array().cast(PLACE)).cast(PLACE)
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), state, step)["out"]).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    return let(F.regexp_replace(norm, pattern, F.lit(f"{MARK}$0{MARK}")), found)
 
 
 def _bounded(pattern: str) -> str:
@@ -166,9 +206,8 @@ def scan(docs: DataFrame) -> DataFrame:
     looked = looked.withColumn("norm", F.regexp_replace("norm", "^ +| +$", " "))
 
     base = F.when(F.col("norm").isNotNull(), _places(F.col("norm"), F.lit(_bounded("|".join(BASE)))))
-    phrases = F.regexp_extract_all("norm", F.lit(_bounded("|".join(BASE))), F.lit(0))
-    labels = F.transform(F.array_distinct(phrases), lambda p: F.element_at(F.create_map(*[F.lit(x) for pair in BASE.items() for x in pair]), p))
-    looked = looked.withColumns({"base": F.coalesce(base, F.array().cast("array<struct<start:bigint,end:bigint>>")), "of_base": F.array_sort(F.array_distinct(F.coalesce(labels, F.array().cast("array<string>"))))})
+    phrases = [F.when(F.contains("norm", F.lit(f" {p} ")), label) for p, label in BASE.items()]
+    looked = looked.withColumns({"base": F.coalesce(base, F.array().cast(PLACE)), "of_base": F.array_sort(F.array_distinct(F.array_compact(F.array(*phrases))))})
 
     listed = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(_bounded(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight")) for r in table])
     tried = F.filter(listed, lambda r: F.col("norm").contains(F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
@@ -182,14 +221,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     # in order of start and, from the same start, of length: a detection lies within an earlier one if that reaches as far
     tiers = sorted({r.priority for r in table})
-    nothing = F.struct(F.array(*[F.lit(-1).cast("bigint") for _ in tiers]).alias("reach"), F.array().cast(kind).alias("kept"))
+    begin = {"reach": F.array(*[F.lit(-1).cast("bigint") for _ in tiers])}
 
-    def settle(acc: Column, d: Column) -> Column:
+    def settle(acc: Column, d: Column) -> tuple[dict[str, Column], Column, Column]:
         covered = F.exists(F.sequence(F.lit(1), F.array_position(F.array(*map(F.lit, tiers)), d["priority"])), lambda t: F.element_at(acc["reach"], t.cast("int")) >= -d["back"])
         reach = F.transform(acc["reach"], lambda e, i: F.when(F.get(F.array(*map(F.lit, tiers)), i) == d["priority"], F.greatest(e, -d["back"])).otherwise(e))
-        return F.struct(reach.alias("reach"), F.when(covered, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d))).alias("kept"))
+        return {"reach": reach}, d, ~covered
 
-    looked = looked.withColumn("kept", F.aggregate("found", nothing, settle)["kept"])
+    looked = looked.withColumn("kept", F.when(F.size("found") > 0, folded(F.col("found"), kind[len("array<") : -1], begin, settle)["out"]).otherwise(F.array().cast(kind)))
     starts = F.transform("base", lambda p: p["start"])
     return looked.select(
         "doc_id",
