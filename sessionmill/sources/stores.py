@@ -18,7 +18,7 @@ LISTS = ("tags", "paths", "related")
 
 def read_ledgers(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of ledger files of version 1 (without times: 0) and 2, and the files that are neither: (ledger, rejects)."""
-    files = spark.read.schema(LEDGER).option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths).withColumn("path", F.col("_metadata.file_path")).cache()
+    files = spark.read.schema(LEDGER).option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths).withColumn("path", F.col("_metadata.file_path"))
     good = F.col("_corrupt_record").isNull() & F.col("schema_version").isin(1, 2)
     rows = files.where(good).select(F.regexp_extract("path", r"^(?:file:(?://)?)?(.*)/[^/]+$", 1).alias("kb_path"), F.explode("sessions").alias("s")).select("kb_path", "s.*")
     rejects = files.where(~F.coalesce(good, F.lit(False))).select("path", F.when(F.col("_corrupt_record").isNotNull(), "unreadable").otherwise("unknown_version").alias("reason"))
