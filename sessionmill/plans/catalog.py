@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionmill.functions.paths import relative, resolved
-from sessionmill.functions.text import decided_language, status_kind, superseded_id
+from sessionmill.functions.text import decided_language, iso_of_millis, js_len, status_kind, superseded_id, tokens
 from sessionmill.operators import candidates as cand
 from sessionmill.operators import compress, index, items, ledger, profile, regions, similarity, telemetry
 from sessionmill.plans import adapters as A
@@ -535,3 +535,59 @@ SELECT session_id, string_agg(m, chr(10) ORDER BY seq) AS content, count(*) AS m
 def full_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7-F9 (full)."""
     return compress.full(A.blocks(spark, sf_dir))
+
+
+@query("""SELECT concat('c', conv_id) AS session_id, turn + 1 AS seq, concat(text, chr(10), '{"k":', conv_id, '}') AS text, turn % 2 = 0 AS is_error, '' AS uuid FROM conversations WHERE role IN ('user', 'assistant')""")
+def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results given as arrays of parts, with ids and flags of the wrong type."""
+    c = A.table(spark, sf_dir, "conversations")
+    session = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    part = F.struct(F.lit("text").alias("type"), "text")
+    result = F.concat(F.lit('[{"type":"tool_result","tool_use_id":"t","content":['), F.to_json(part), F.lit(',{"k":'), F.col("conv_id").cast("string"), F.lit('}],"is_error":'), F.when(F.col("turn") % 2 == 0, "true").otherwise('"yes"'), F.lit("}]"))
+    line = F.concat(F.lit('{"type":"'), "role", F.lit('","uuid":5,"timestamp":[],"isSidechain":"no","sessionId":"'), session, F.lit('","cwd":"/w","message":{"content":'), result, F.lit("}}"))
+    lines = c.select(session.alias("path"), (F.col("turn") + 1).alias("line_no"), line.alias("raw"))
+    return transcripts.blocks(transcripts.parsed(lines)).select("session_id", "seq", "text", "is_error", "uuid")
+
+
+@query(f"""WITH {A.SESSIONS} SELECT session_id, CASE n % 6 WHEN 1 THEN 'skipped_without_reason' WHEN 3 THEN 'failed_without_reason' WHEN 4 THEN 'schema_violation' WHEN 5 THEN 'action_outside_affected' END AS verdict FROM sessions""")
+def mark_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session marked, in six ways."""
+    n = (F.col("modification_ms") / 1000).cast("bigint") % 6
+    kb = F.when(n == 5, "/kb/other").otherwise("/kb/own")
+    fields = {
+        "status": F.when(n <= 1, "skipped").when(n <= 3, "failed").when(n == 4, "odd").otherwise("processed"),
+        "skipped_reason": F.when(n == 0, "trivial"),
+        "failure_reason": F.when(n == 2, "broken"),
+        "affected_kbs": F.array(F.lit("/kb/own")),
+        "kb_actions": F.array(F.struct(kb.alias("kb"), F.array(F.lit("create")).alias("actions"))),
+    }
+    return A.sessions(spark, sf_dir).select("session_id", *[c.alias(k) for k, c in fields.items()]).select("session_id", ledger.mark_verdict().alias("verdict"))
+
+
+@query("""SELECT conv_id, turn, concat_ws(chr(10), 'language: ko', 'cwd: ' || CASE WHEN turn % 2 = 0 THEN '/w' ELSE '(none)' END, 'estimated_tokens: ' || round(length(text) / 3.5)::BIGINT, '', text) AS prompt FROM conversations""")
+def extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F19, F1."""
+    size = tokens(js_len(F.col("text")))
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", cand.extraction_prompt(F.col("text"), F.lit("ko"), F.when(F.col("turn") % 2 == 0, "/w"), size).alias("prompt"))
+
+
+@query("""SELECT conv_id, turn, concat(text, chr(10), CASE WHEN turn % 2 = 0 THEN 'Tools used: Read, ' || role ELSE '(no tools)' END) AS summary FROM conversations""")
+def external_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10."""
+    tools = F.when(F.col("turn") % 2 == 0, F.array(F.lit("Read"), F.col("role"))).otherwise(F.array().cast("array<string>"))
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", compress.external_summary(F.col("text"), tools).alias("summary"))
+
+
+@query(f"""WITH {A.ITEMS} SELECT doc_id, CASE WHEN NOT (len(tags) BETWEEN 1 AND 5) OR NOT (length(CASE WHEN doc_id % 3 = 0 THEN 'fine' ELSE summary END) BETWEEN 1 AND 60) OR NOT (length(body) BETWEEN 43 AND 7993) OR doc_id % 7 = 2 THEN 'schema_violation' END AS verdict FROM items""")
+def write_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as they would be written, some with too long a summary, some without a heading."""
+    held = A.items(spark, sf_dir)
+    heading = F.when(F.col("doc_id") % 7 == 2, "-- why\n").otherwise("## Why\n")
+    given = held.select("doc_id", F.col("slug").alias("title_slug"), F.when(F.col("doc_id") % 3 == 0, "fine").otherwise(F.col("summary")).alias("summary"), F.concat(heading, "body").alias("body"), "tags")
+    return given.select("doc_id", items.schema_verdict().alias("verdict"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events""")
+def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F17, without the offset, which is the session's."""
+    return A.table(spark, sf_dir, "events").select("event_id", F.left(iso_of_millis(F.unix_millis(F.col("ts").cast("timestamp"))), F.lit(19)).alias("at"))
