@@ -13,7 +13,7 @@ from sessionmill.llm.lm_score import lm_scores
 from sessionmill.llm.mixing import mix
 from sessionmill.llm.near_dedup import near_duplicates
 from sessionmill.llm.packing import pack
-from sessionmill.llm.pii import personal_data
+from sessionmill.llm.pii import base_columns, personal_data, with_base
 from sessionmill.llm.token_counts import token_counts
 from sessionmill.llm.toxicity import toxicity
 
@@ -76,7 +76,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_pii_boosting, op3_media_progressive_jpeg, op4_toxicity, op5_nearest_neighbours, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing)}
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that its contract fixes, for which there is SQL."""
+    return op8_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that its contract fixes, for which there is SQL; they need no model."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return base_columns(with_base(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_pii_boosting, op3_media_progressive_jpeg, op4_toxicity, op5_nearest_neighbours, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing, license_base_places, personal_data_base)}
 
 #: Words between ASCII white space, A-Z in lower case.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -144,4 +155,27 @@ least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(other, w.doc_id) AS component_id, coalesce(other, w.doc_id) = w.doc_id AS kept FROM words w LEFT JOIN size ON size.doc_id = w.doc_id LEFT JOIN least ON least.doc_id = w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_mixing_sources": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL}
+LICENSE_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+hits AS (SELECT rid, i, CASE WHEN w[i + 1:i + 4] = ['gnu', 'general', 'public', 'license'] THEN 'gpl' WHEN w[i + 1:i + 2] = ['apache', 'license'] THEN 'apache' WHEN w[i + 1:i + 2] = ['cc', 'by'] THEN 'cc-by' WHEN w[i + 1:i + 2] = ['mit', 'license'] THEN 'mit' END AS label FROM w, unnest(range(len(w))) AS r(i)),
+found AS (SELECT rid, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hits WHERE label IS NOT NULL GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN found USING (rid)
+"""
+
+PII_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+kinds AS (SELECT * FROM (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) AS k(kind, name, pattern)),
+found AS (SELECT rid, 0 AS kind, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gaps FROM docs
+  UNION ALL SELECT rid, 1, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), string_split_regex(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM docs
+  UNION ALL SELECT rid, 2, regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+') FROM docs
+  UNION ALL SELECT rid, 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM docs),
+each AS (SELECT rid, kind, i, m[i] AS m, length(gaps[i]) AS gap FROM found, unnest(range(1, len(m) + 1)) AS r(i)),
+placed AS (SELECT *, sum(gap) OVER w + sum(length(m)) OVER w AS stop, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM each WINDOW w AS (PARTITION BY rid, kind ORDER BY i)),
+spans AS (SELECT rid, kind, stop - length(m) AS start, stop FROM placed WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(right(p, 3) AS INTEGER), 0) > 255)) = 0
+  WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(reverse(digits), j, 1)::INTEGER WHEN substr(reverse(digits), j, 1)::INTEGER > 4 THEN 2 * substr(reverse(digits), j, 1)::INTEGER - 9 ELSE 2 * substr(reverse(digits), j, 1)::INTEGER END)) % 10 = 0
+  ELSE length(digits) BETWEEN 10 AND 15 END),
+told AS (SELECT rid, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone, string_agg(concat(name, ':', start::BIGINT, ':', stop::BIGINT), ',' ORDER BY start, kind) AS spans FROM spans JOIN kinds USING (kind) GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256 FROM docs LEFT JOIN told USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_mixing_sources": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "license_base_places": LICENSE_SQL, "personal_data_base": PII_SQL}
