@@ -5,8 +5,10 @@ each tree. A query goes through all trees with one priority queue: the leaf whos
 worst margin is best comes next, whichever tree it is in. How many leaves a query
 visits is measured: as many as reach most of the true neighbours of some probes,
 which are compared with all vectors. So structured vectors are searched in few
-leaves, and vectors without structure in many. Candidates are then ranked by their
-exact cosine.
+leaves, and vectors without structure in many. The queue is worked off in rounds, each of several times the leaves of the
+one before: the best that a query has found is the least that a later leaf has to
+beat, so few candidates leave the leaves however many are visited. Candidates are
+ranked by their exact cosine.
 """
 
 from __future__ import annotations
@@ -130,26 +132,36 @@ def _filed(forest, blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _asked(forest, visits: int, blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _asked(forest, begin: int, end: int, blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each query under the leaves that it reaches from number ``begin`` up to ``end``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built, parts = Forest(*forest.value), blocks.value
         for batch in batches:
             if batch.num_rows:
-                found = built.search(unit(_matrix(batch["embedding"])).astype(np.float32), visits)
-                rows = [(t, leaf, b, i) for i, own in enumerate(found) for t, leaf in own for b in range(parts[t, leaf])]
+                found = built.search(unit(_matrix(batch["embedding"])).astype(np.float32), end)
+                rows = [(t, leaf, b, i) for i, own in enumerate(found) for t, leaf in own[begin:] for b in range(parts[t, leaf])]
                 columns = [np.array(c, np.int32) for c in zip(*rows, strict=True)]
                 take = pa.array(columns[3])
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns[:3]], batch["key"].take(take), batch["embedding"].take(take)], names=["tree", "leaf", "block", "query", "embedding"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns[:3]], *[batch[n].take(take) for n in ("key", "least", "embedding")]], names=["tree", "leaf", "block", "query", "least", "embedding"])
 
     return run
 
 
-def best_pairs(a: np.ndarray, b: np.ndarray, least_id: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, exact cosine) of the ``most`` best rows of b for each row of a; ties go to the smaller id."""
+def best_pairs(a: np.ndarray, b: np.ndarray, least_id: np.ndarray, most: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, exact cosine) of the ``most`` best rows of b for each row of a, of those that reach its ``least`` cosine; ties go to the smaller id."""
     near = unit(a) @ unit(b).T
     k = min(most, near.shape[1])
-    q, c = np.nonzero(near >= -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] - 1e-9)
+    worst = -np.partition(-near, k - 1, axis=1)[:, k - 1]
+    if least is not None:
+        worst = np.maximum(worst, least)
+    q, c = np.nonzero(near >= worst[:, None] - 1e-9)
+    if not len(q):
+        return q, c, np.zeros(0)
     exact = np.concatenate([cosines(a[q[i : i + 100_000]], b[c[i : i + 100_000]]) for i in range(0, len(q), 100_000)])
+    if least is not None:
+        reach = exact >= least[q]
+        q, c, exact = q[reach], c[reach], exact[reach]
     order = np.lexsort((least_id[c], -exact, q))
     q, c, exact = q[order], c[order], exact[order]
     best = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -164,7 +176,7 @@ def _ranked(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         exact = np.zeros(0)
         if filed.num_rows and asked.num_rows:
             least_id = pc.list_element(filed["ids"].combine_chunks(), 0).to_numpy()
-            q, c, exact = best_pairs(_matrix(asked["embedding"]), _matrix(filed["embedding"]), least_id, most)
+            q, c, exact = best_pairs(_matrix(asked["embedding"]), _matrix(filed["embedding"]), least_id, most, asked["least"].to_numpy())
         return pa.table({"query": asked["query"].take(pa.array(q)), "key": filed["key"].take(pa.array(c)), "ids": filed["ids"].take(pa.array(c)), "score": pa.array(exact)})
 
     return run
@@ -195,6 +207,12 @@ def needed_visits(forest: Forest, probes: np.ndarray, of: np.ndarray, found: np.
     return int(np.quantile(reached, recall, method="higher")) if len(reached) else forest.trees
 
 
+def rounds(first: int, visits: int, times: int) -> list[int]:
+    """Where each round of leaves ends: about ``times`` as many every time, evenly, from ``first`` to ``visits``."""
+    steps = max(0, round(np.log(visits / first) / np.log(times))) if visits > first else 0
+    return [*[int(first * (visits / first) ** (i / max(1, steps))) for i in range(steps)], visits]
+
+
 def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int = 16, leaf_rows: int = 64, recall: float = 0.96, most_sample: int = 200_000, most_probes: int = 64, block_rows: int = 2_000, seed: int = 3) -> DataFrame:
     """The ``k`` nearest vectors, by cosine, of each row whose vec_id is divisible by ``query_every``.
 
@@ -207,7 +225,8 @@ def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int
     many leaves as reach ``recall`` of the probes' true neighbours. Each leaf of
     more than ``block_rows`` vectors is compared in blocks of that size, so tight
     clusters and tables far larger than the sample keep tasks bounded, and a block
-    gives at most k + 1 candidates a query.
+    gives at most k + 1 candidates a query, none that is farther than k + 1 classes of
+    earlier rounds.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. A
     row's own vec_id is no candidate. Vectors that are null, empty, zero, of another
@@ -246,11 +265,22 @@ def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int
 
     asking = x.where(F.col("vec_id") % query_every == 0).select("key", "embedding", "vec_id").distinct()
     filed = distinct.mapInArrow(_filed(forest, blocks), "tree int, leaf int, block int, key long, ids array<long>, embedding array<double>")
-    asked = asking.select("key", "embedding").distinct().mapInArrow(_asked(forest, visits, blocks), "tree int, leaf int, block int, query long, embedding array<double>")
-    near = filed.groupBy("tree", "leaf", "block").cogroup(asked.groupBy("tree", "leaf", "block")).applyInArrow(_ranked(k + 1), "query long, key long, ids array<long>, score double")
+    questions = asking.select("key", "embedding").distinct()
     # the best classes of equal vectors first, then the best of their ids
     nearest = Window.partitionBy("query").orderBy(F.desc("score"), F.get("ids", F.lit(0)))
-    classes = near.dropDuplicates(["query", "key"]).withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= k + 1)
+    classes, begin = None, 0
+    for end in rounds(trees, visits, 4):
+        asked = questions.withColumn("least", F.lit(-2.0))
+        if classes is not None:
+            # a query that has not found k + 1 classes yet takes any
+            least = classes.where(F.col("at") == k + 1).select(F.col("query").alias("key"), F.col("score").alias("least"))
+            asked = questions.join(least, "key", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+        asked = asked.mapInArrow(_asked(forest, begin, end, blocks), "tree int, leaf int, block int, query long, least double, embedding array<double>")
+        near = filed.groupBy("tree", "leaf", "block").cogroup(asked.groupBy("tree", "leaf", "block")).applyInArrow(_ranked(k + 1), "query long, key long, ids array<long>, score double")
+        if classes is not None:
+            near = near.unionByName(classes.drop("at"))
+        classes = stored(near.dropDuplicates(["query", "key"]).withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= k + 1), "nearest")
+        begin = end
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     scored = classes.select("query", F.explode("ids").alias("vec_id"), "score").withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
     told = asking.select("key", F.col("vec_id").alias("query_id")).join(scored, F.col("key") == F.col("query")).where("vec_id <> query_id")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from sessionmill.llm.ann import neighbours
+from sessionmill.llm.ann import best_pairs, neighbours, rounds
 
 
 def brute(ids, x, every, k):
@@ -61,3 +61,20 @@ def test_recall_without_structure(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = brute(list(range(3000)), x, 50, 5)
     assert np.mean([len(got[q] & set(want[q])) / 5 for q in want]) >= 0.9
+
+
+def test_rounds():
+    assert rounds(16, 16, 4) == [16] and rounds(16, 10, 4) == [10]
+    for visits in (17, 40, 98, 302, 5000):
+        ends = rounds(16, visits, 4)
+        assert ends[-1] == visits and ends == sorted(set(ends)) and ends[0] >= 16 and all(b / a < 9 for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_least_cosine_drops_only_what_is_farther():
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((6, 8)), rng.standard_normal((200, 8))
+    ids = rng.permutation(200)
+    q, c, exact = best_pairs(a, b, ids, 6)
+    least = np.array([exact[q == i][3] for i in range(6)])
+    assert [(i, j) for i, j, _ in zip(*best_pairs(a, b, ids, 6, least), strict=True)] == [(i, j) for i, j, e in zip(q, c, exact, strict=True) if e >= least[i]]
+    assert len(best_pairs(a, b, ids, 6, np.full(6, 2.0))[0]) == 0
