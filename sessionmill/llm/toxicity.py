@@ -238,7 +238,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows:
     gains = stored(evidence(asked, tables), "gains")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-chars // chunk_chars)))))
-    told = chunked.select("chunk", "text").groupBy("chunk").applyInArrow(_chunk_grams, "chunk long, gram long").join(gains, "gram")
+    # the same columns in both uses, so that texts are shuffled once
+    told = chunked.groupBy("chunk").applyInArrow(_chunk_grams, "chunk long, gram long").join(gains, "gram")
     kinds = ", ".join(["doc_id long", *[f"{f} double" for f in FEATURES], *[f"{c} long" for c in carry]])
     compared = stored(chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_chunk_features(list(carry)), kinds), "evidence")
     sample = compared.where(fold == 1).join(labels.where(fold == 1), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fit_rows).toPandas()
