@@ -10,6 +10,8 @@ import sessionmill
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches (texts can be long), functions that travel with the job, and a checkpoint folder where none is named.
@@ -46,10 +48,18 @@ _written: list[str] = []
 
 
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back, so later steps do not compute it again."""
+    """Write ``df`` to the shared folder as Parquet and read it back, so later steps do not compute it again.
+
+    The shuffle files of the job are deleted once the table is written, so steps add up no disk.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     _written.append(path)

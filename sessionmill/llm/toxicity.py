@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ FEATURES = ["whole", "passage", "strongest", "second", "third", "fifth", "size"]
 RANKS = (1, 2, 3, 5)
 PASSAGE = 8
 BATCH_BYTES = 4 << 20
+SLICE_WORDS = 700_000
 
 
 def packed_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,18 +144,62 @@ def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["gram"])
 
 
-def compare(texts: pa.Array, told: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """FEATURES of each text; ``told`` has all of their grams, ascending, and the gain of each.
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _chunks(carry: list[str], chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's documents as rows of about ``chunk_bytes`` of text each, words as codes: (docs, words, codes), compressed."""
+
+    def packed(held: list[tuple[pa.RecordBatch, np.ndarray, pa.Array]]) -> pa.RecordBatch:
+        known = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
+        first = np.cumsum([0] + [len(h[2]) for h in held])
+        codes = known.indices.to_numpy(zero_copy_only=False)[np.concatenate([h[1] + at for h, at in zip(held, first, strict=False)])]
+        # frequent words have the small codes, so their upper bytes compress well
+        often = np.argsort(-np.bincount(codes, minlength=len(known.dictionary)), kind="stable")
+        rank = np.empty(len(often), np.uint32)
+        rank[often] = np.arange(len(often), dtype=np.uint32)
+        planes = rank[codes].astype("<u4").view(np.uint8).reshape(-1, 4)
+        columns = [pa.array(np.ascontiguousarray(planes[:, i])) for i in range(4)]
+        words = " ".join(known.dictionary.take(pa.array(often)).to_pylist())
+        docs = pa.Table.from_batches([h[0] for h in held]).combine_chunks().to_batches()[0]
+        parts = [_ipc(docs), _ipc(pa.RecordBatch.from_arrays([pa.array([words.encode()], pa.large_binary())], names=["words"])), _ipc(pa.RecordBatch.from_arrays(columns, names=["a", "b", "c", "d"]))]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["docs", "words", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in text_batches(batches, most_bytes=BATCH_BYTES):
+            codes, starts, words = split_words(batch["text"])
+            held.append((pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(starts)), *[batch[c] for c in carry]], names=["doc_id", "n_words", *carry]), codes.astype(np.int64), words))
+            size += pc.sum(pc.binary_length(batch["text"])).as_py() or 0
+            if size >= chunk_bytes:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _words(data: bytes) -> pa.Array:
+    joined = _opened(data)["words"][0].as_py().decode()
+    return pa.array(joined.split(" ") if joined else [], pa.string())
+
+
+def compare(codes: np.ndarray, starts: np.ndarray, gain: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """FEATURES of each text, of its words' codes from ``starts[i]`` to ``starts[i + 1]`` and the gain and size of each word.
 
     Evidence per character of the whole text and of its strongest passage; evidence of the
     strongest distinct words by the root of their length; and the logarithm of
     the number of distinct words, as the strongest of many is large by chance.
     """
-    codes, starts, words = split_words(texts)
-    grams, begin = packed_grams(words)
-    known, gains = told
-    each = gains[np.searchsorted(known, grams)] if len(known) else np.zeros(len(grams), np.int64)
-    gain, size = segment_sum(each, begin) / SCALE, np.diff(begin).astype(np.float64)
     word, length = gain[codes], size[codes]
     whole = segment_sum(word, starts) / np.maximum(segment_sum(length, starts), 1)
     # passages: runs of PASSAGE words from each text's start
@@ -182,19 +228,37 @@ def _ranked(codes: np.ndarray, starts: np.ndarray, strength: np.ndarray) -> list
 
 
 def _chunk_grams(rows: pa.Table) -> pa.Table:
-    grams = [packed_grams(split_words(batch["text"])[2])[0] for batch in text_batches(rows.combine_chunks().to_batches(), most_bytes=BATCH_BYTES)]
-    grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
+    grams = np.unique(np.concatenate([np.zeros(0, np.int64), *[packed_grams(_words(w.as_py()))[0] for w in rows["words"]]]))
     return pa.table({"chunk": pa.array(np.full(len(grams), rows["chunk"][0].as_py() if rows.num_rows else 0, np.int64)), "gram": pa.array(grams)})
 
 
 def _chunk_features(carry: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    names = ["doc_id", *FEATURES, *carry]
+    kinds = [pa.int64(), *[pa.float64()] * len(FEATURES), *[pa.int64()] * len(carry)]
+
+    def of_chunk(row: dict, known: np.ndarray, gains: np.ndarray) -> Iterator[pa.RecordBatch]:
+        grams, begin = packed_grams(_words(row["words"]))
+        at = np.searchsorted(known, grams)
+        if len(grams) and (not len(known) or (known[np.minimum(at, len(known) - 1)] != grams).any()):
+            raise ValueError("the documents came in another order when a task ran again: store them first")
+        gain, size = segment_sum(gains[at], begin) / SCALE, np.diff(begin).astype(np.float64)
+        docs, planes = _opened(row["docs"]), _opened(row["codes"])
+        codes = np.stack([planes[i].to_numpy() for i in range(4)], axis=1).reshape(-1).view("<u4").astype(np.int64)
+        ends = np.cumsum(docs["n_words"].to_numpy())
+        first = 0
+        while first < docs.num_rows:
+            done = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + SLICE_WORDS, side="right")))
+            part = docs.slice(first, last - first)
+            starts = np.concatenate(([0], ends[first:last] - done))
+            features = compare(codes[done : done + int(starts[-1])], starts, gain, size)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *[pa.array(x, pa.float64()) for x in features], *[part[c] for c in carry]], names=names)
+            first = last
+
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        names, out = ["doc_id", *FEATURES, *carry], []
         told = told.sort_by("gram")
-        known = told["gram"].to_numpy(), told["gain"].to_numpy()
-        for batch in text_batches(rows.combine_chunks().to_batches(), most_bytes=BATCH_BYTES):
-            out.append(pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x, pa.float64()) for x in compare(batch["text"], known)], *[batch[c] for c in carry]], names=names))
-        kinds = [pa.int64(), *[pa.float64()] * len(FEATURES), *[pa.int64()] * len(carry)]
+        known, gains = told["gram"].to_numpy(), told["gain"].to_numpy()
+        out = [batch for i in range(rows.num_rows) for batch in of_chunk({c: rows[c][i].as_py() for c in ("docs", "words", "codes")}, known, gains)]
         return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds, strict=True))))
 
     return run
@@ -213,7 +277,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows: int = 20_000, carry: tuple[str, ...] = (), chunk_chars: int = 8_000_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows: int = 20_000, carry: tuple[str, ...] = (), chunk_bytes: int = 24 << 20) -> DataFrame:
     """Scores every whole text of ``docs``; learns from ``labels(doc_id, toxic)``.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is 0 are held out and never
@@ -227,6 +291,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows:
     doc_id is scored, with held_out false. Without labels of both classes every
     score is 0. Repeated rows are scored alike, one output row each; an empty
     table gives an empty result.
+
+    Documents are cut into chunks as their tasks read them, ``chunk_bytes`` of text or
+    one longer text each, so no chunk grows with a doc_id's copies. A task that
+    runs again must read its rows in the same order, as scans of files do; else it
+    fails, and ``docs`` must be stored first.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -236,12 +305,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows:
     tables = train(docs.select("doc_id", "text").where(fold > 1).join(labels.where(fold > 1).hint("merge"), "doc_id"))
     asked = stored(docs.select("text").mapInArrow(_distinct_grams, "gram long").distinct(), "asked")
     gains = stored(evidence(asked, tables), "gains")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-chars // chunk_chars)))))
-    # the same columns in both uses, so that texts are shuffled once
-    told = chunked.groupBy("chunk").applyInArrow(_chunk_grams, "chunk long, gram long").join(gains, "gram")
+    chunks = docs.mapInArrow(_chunks(list(carry), chunk_bytes), "docs binary, words binary, codes binary")
+    chunks = chunks.select(F.xxhash64("docs", "words", "codes").alias("chunk"), "docs", "words", "codes")
+    # the same columns in both uses, so that chunks are made and shuffled once
+    told = chunks.groupBy("chunk").applyInArrow(_chunk_grams, "chunk long, gram long").join(gains, "gram")
     kinds = ", ".join(["doc_id long", *[f"{f} double" for f in FEATURES], *[f"{c} long" for c in carry]])
-    compared = stored(chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_chunk_features(list(carry)), kinds), "evidence")
+    compared = stored(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_chunk_features(list(carry)), kinds), "evidence")
     sample = compared.where(fold == 1).join(labels.where(fold == 1), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fit_rows).toPandas()
     score = F.lit(0.0)
     if sample.toxic.nunique() == 2:
