@@ -35,6 +35,7 @@ RANKS = (1, 2, 3, 5)
 PASSAGE = 8
 BATCH_BYTES = 4 << 20
 SLICE_WORDS = 700_000
+HELD_WORDS = 1_000_000
 
 
 def packed_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +47,7 @@ def packed_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     where each word's begin.
     """
     chars = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    length = np.array([len(w) for w in words.to_pylist()], np.int64)
+    length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     fold = (1 << BITS) - 1
     padded = np.zeros(int((length + ORDER).sum()), np.int64)
     begin = np.cumsum(length + ORDER) - (length + ORDER)
@@ -59,28 +60,29 @@ def packed_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams of the distinct words of each document, by class, summed over the task's batches."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        gram, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        return gram, *[np.bincount(inverse, np.concatenate([h[i] for h in held])).astype(np.int64) for i in (1, 2)]
+    """Grams of the distinct words of each document, by class, summed over HELD_WORDS words at a time."""
+    held: list[tuple[pa.Array, np.ndarray]] = []
+
+    def summed() -> pa.RecordBatch:
+        known = pa.concat_arrays([words for words, _ in held]).dictionary_encode()
+        codes, weight = known.indices.to_numpy(zero_copy_only=False), np.concatenate([w for _, w in held])
+        grams, begin = packed_grams(known.dictionary)
+        gram, inverse = np.unique(grams, return_inverse=True)
+        by_word = [np.bincount(codes, weight[:, i], len(known.dictionary)) for i in (1, 0)]
+        counts = [np.bincount(inverse, np.repeat(w, np.diff(begin)), len(gram)).astype(np.int64) for w in by_word]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, *counts)], names=["gram", "toxic", "ordinary"])
 
     for batch in text_batches(batches, most_bytes=BATCH_BYTES):
         codes, starts, words = split_words(batch["text"])
         toxic = np.repeat(batch["toxic"].to_numpy(zero_copy_only=False) == 1, np.diff(starts))
         pairs = np.unique(np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * len(words) * 2 + codes * 2 + toxic)
         use = pairs % (2 * max(1, len(words)))
-        weight = np.bincount(use, minlength=2 * len(words)).reshape(-1, 2)
-        grams, begin = packed_grams(words)
-        each = np.diff(begin)
-        held.append((grams, np.repeat(weight[:, 1], each), np.repeat(weight[:, 0], each)))
-        if sum(len(h[0]) for h in held) > 3_000_000:
-            held = [merged()]
-            if len(held[0][0]) > 1_500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["gram", "toxic", "ordinary"])
+        held.append((words, np.bincount(use, minlength=2 * len(words)).reshape(-1, 2)))
+        if sum(len(words) for words, _ in held) > HELD_WORDS:
+            yield summed()
+            held.clear()
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["gram", "toxic", "ordinary"])
+        yield summed()
 
 
 def _suffix(gram: str, order: int) -> Column:
@@ -133,15 +135,18 @@ def evidence(grams: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
 def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grams of the task's texts, without most repetitions."""
-    held: list[np.ndarray] = []
+    held: list[pa.Array] = []
+
+    def distinct() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(packed_grams(pc.unique(pa.concat_arrays(held)))[0]))], names=["gram"])
+
     for batch in text_batches(batches, most_bytes=BATCH_BYTES):
-        held.append(np.unique(packed_grams(split_words(batch["text"])[2])[0]))
-        if sum(map(len, held)) > 3_000_000:
-            held = [np.unique(np.concatenate(held))]
-            if len(held[0]) > 1_500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held.pop())], names=["gram"])
+        held.append(split_words(batch["text"])[2])
+        if sum(map(len, held)) > HELD_WORDS:
+            yield distinct()
+            held.clear()
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["gram"])
+        yield distinct()
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
