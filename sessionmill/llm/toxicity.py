@@ -33,9 +33,9 @@ SCALE = 1e9
 FEATURES = ["whole", "passage", "strongest", "second", "third", "fifth", "size"]
 RANKS = (1, 2, 3, 5)
 PASSAGE = 8
-BATCH_BYTES = 4 << 20
-SLICE_WORDS = 700_000
-HELD_WORDS = 1_000_000
+BATCH_BYTES = 2 << 20
+SLICE_WORDS = 250_000
+HELD_WORDS = 250_000
 
 
 def packed_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
