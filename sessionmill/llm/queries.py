@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionmill.llm.ann import neighbours
+from sessionmill.llm.centroids import centroid_clusters
 from sessionmill.llm.jpeg import media_digests, stored_as_media
 from sessionmill.llm.licenses import scan
 from sessionmill.llm.lm_score import lm_scores
 from sessionmill.llm.mixing import mix
 from sessionmill.llm.near_dedup import near_duplicates
+from sessionmill.llm.negatives import hard_negatives
 from sessionmill.llm.packing import pack
 from sessionmill.llm.pii import base_columns, personal_data, with_base
 from sessionmill.llm.token_counts import token_counts
@@ -76,6 +78,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+#: Rows whose vec_id is divisible by this count under the next of the ten labels.
+MISLABELLED = 7
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.when(F.col("vec_id") % MISLABELLED == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shown))
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that its contract fixes, for which there is SQL."""
     return op8_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -87,7 +102,7 @@ def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_columns(with_base(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_pii_boosting, op3_media_progressive_jpeg, op4_toxicity, op5_nearest_neighbours, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing, license_base_places, personal_data_base)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_pii_boosting, op3_media_progressive_jpeg, op4_toxicity, op5_nearest_neighbours, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing, op12_centroid_clustering, op13_hard_negatives, license_base_places, personal_data_base)}
 
 #: Words between ASCII white space, A-Z in lower case.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -178,4 +193,38 @@ told AS (SELECT rid, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kin
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256 FROM docs LEFT JOIN told USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_mixing_sources": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "license_base_places": LICENSE_SQL, "personal_data_base": PII_SQL}
+
+
+def _centroid_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:
+    """Rounds of full assignment, one common table expression after the other."""
+    assign = lambda t: f"""
+near{t} AS MATERIALIZED (SELECT rid, j, d FROM (SELECT rid, j, sum((comp.v - c{t}.v) ** 2)::HUGEINT AS d FROM comp JOIN c{t} USING (i) GROUP BY rid, j) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, j) = 1)"""
+    move = lambda t: f"""
+sums{t} AS (SELECT j, i, sum(v)::HUGEINT AS s, count(*)::HUGEINT AS n FROM near{t} JOIN comp USING (rid) GROUP BY j, i),
+c{t + 1} AS MATERIALIZED (SELECT c{t}.j, c{t}.i, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, c{t}.v) AS v FROM c{t} LEFT JOIN sums{t} USING (j, i))"""
+    steps = ",".join(assign(t) + "," + move(t) for t in range(rounds)) + "," + assign(rounds)
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: isfinite(e))) = {width}),
+comp AS MATERIALIZED (SELECT rid, i, x[i] AS v FROM kept, unnest(range(1, {width + 1})) AS r(i)),
+begin AS (SELECT row_number() OVER (ORDER BY sha256(concat('3:', vec_id)), x) - 1 AS j, x FROM kept QUALIFY j < {k}),
+c0 AS MATERIALIZED (SELECT j, i, x[i] AS v FROM begin, unnest(range(1, {width + 1})) AS r(i)),{steps},
+told AS (SELECT j, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+SELECT vec_id, j::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM near{rounds} JOIN kept USING (rid) JOIN told USING (j)
+"""
+
+
+OP12_SQL = _centroid_sql()
+
+#: Every anchor against every row: for small tables.
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT DISTINCT vec_id, CASE WHEN vec_id % {MISLABELLED} = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: isfinite(e))) = len(embedding)),
+scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS s FROM kept a JOIN kept b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, other AS positive_id, s AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s DESC, other))::INTEGER AS rank, other AS negative_id, positive_score, s AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_mixing_sources": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op12_centroid_clustering": OP12_SQL, "op13_hard_negatives": OP13_SQL, "license_base_places": LICENSE_SQL, "personal_data_base": PII_SQL}
