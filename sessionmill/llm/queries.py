@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sessionmill.llm.ann import neighbours
 from sessionmill.llm.centroids import centroid_clusters
 from sessionmill.llm.jpeg import media_digests, stored_as_media
+from sessionmill.llm.language import languages
 from sessionmill.llm.licenses import scan
 from sessionmill.llm.lm_score import lm_scores
 from sessionmill.llm.mixing import mix
@@ -78,6 +79,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -102,7 +107,7 @@ def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_columns(with_base(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_pii_boosting, op3_media_progressive_jpeg, op4_toxicity, op5_nearest_neighbours, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing, op12_centroid_clustering, op13_hard_negatives, license_base_places, personal_data_base)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_pii_boosting, op3_media_progressive_jpeg, op4_toxicity, op5_nearest_neighbours, op6_mixing_sources, op7_token_counts, op8_license_scans, op9_minhash_near_dedup, op10_best_fit_packing, op11_language_id, op12_centroid_clustering, op13_hard_negatives, license_base_places, personal_data_base)}
 
 #: Words between ASCII white space, A-Z in lower case.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
