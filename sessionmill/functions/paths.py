@@ -34,3 +34,26 @@ def relative(base: Column, path: Column) -> Column:
     ups = F.array_repeat(F.lit(".."), F.size(a) - shared)
     out = F.array_join(F.concat(ups, F.slice(b, shared + 1, F.greatest(F.size(b) - shared, F.lit(0)))), "/")
     return F.when(out == "", ".").otherwise(out)
+
+
+def _places(paths: Column, kb_dir: Column) -> Column:
+    """Those of ``paths`` that are not blank, as structs of what was given and where it lies, seen from ``kb_dir``."""
+    named = F.filter(paths, lambda p: F.regexp_replace(p, r"\s+", "") != "")
+    return F.transform(named, lambda p: F.struct(p.alias("given"), resolved(kb_dir, p).alias("path")))
+
+
+def _inside(path: Column, kb_dir: Column, mask: Column) -> Column:
+    under = lambda d: (path == d) | path.startswith(F.concat(d, F.lit("/")))
+    return under(kb_dir) & ~F.coalesce(under(mask), F.lit(False))
+
+
+def kept_within(paths: Column, kb_dir: Column, mask: Column | None = None) -> Column:
+    """Those of ``paths`` in the subtree of ``kb_dir`` but not of ``mask``, as seen from ``kb_dir``, each once and in order."""
+    mask = F.lit(None).cast("string") if mask is None else mask
+    return F.array_distinct(F.transform(F.filter(_places(paths, kb_dir), lambda p: _inside(p["path"], kb_dir, mask)), lambda p: relative(kb_dir, p["path"])))
+
+
+def dropped_outside(paths: Column, kb_dir: Column, mask: Column | None = None) -> Column:
+    """Those of ``paths`` that ``kept_within`` leaves out, as given; blank ones are neither kept nor dropped."""
+    mask = F.lit(None).cast("string") if mask is None else mask
+    return F.transform(F.filter(_places(paths, kb_dir), lambda p: ~_inside(p["path"], kb_dir, mask)), lambda p: p["given"])

@@ -7,13 +7,15 @@ universality, severity, created, updated, archived_at, archive_reason, location
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionmill.functions.paths import relative, resolved
+from sessionmill.functions.paths import dropped_outside, kept_within, resolved
 from sessionmill.functions.text import CATEGORIES, SEVERITIES, UNIVERSALITIES, category_letter, js_len, title_of_slug, with_history
-from sessionmill.operators.candidates import HEADING, SLUG
+from sessionmill.operators.candidates import HEADING, SLUG, TAG
 from sessionmill.operators.regions import kept_paths, routes
 from sessionmill.operators.similarity import CAP, active_counts
 
@@ -40,15 +42,45 @@ def item_error() -> Column:
     )
 
 
+def _bounds(slug: str, summary: str, body: str, tags: str) -> list[Column]:
+    """What each field of a written item must be; null where the field is absent."""
+    return [
+        F.col(slug).rlike(SLUG) & (F.length(slug) <= 32),
+        js_len(F.col(summary)).between(1, 60),
+        js_len(F.col(body)).between(50, 8000) & F.col(body).rlike(HEADING),
+        F.when(F.col(tags).isNotNull(), F.size(tags)).between(1, 5) & F.forall(tags, lambda t: F.coalesce(t.rlike(TAG), F.lit(False))),
+    ]
+
+
+def _violation(*sound: Column, absent: bool) -> Column:
+    """schema_violation unless all of ``sound`` hold; ``absent`` tells what counts for a null."""
+    bad = [~F.coalesce(c, F.lit(absent)) for c in sound]
+    return F.when(reduce(lambda a, b: a | b, bad), "schema_violation")
+
+
 def schema_verdict(slug: str = "title_slug", summary: str = "summary", body: str = "body", tags: str = "tags") -> Column:
     """schema_violation if a written item's fields are out of bounds, else null; absent fields pass."""
-    bad = (
-        ~F.coalesce(F.col(slug).rlike(SLUG) & (F.length(slug) <= 32), F.lit(True))
-        | ~F.coalesce(js_len(F.col(summary)).between(1, 60), F.lit(True))
-        | ~F.coalesce(js_len(F.col(body)).between(50, 8000) & F.col(body).rlike(HEADING), F.lit(True))
-        | ~F.coalesce(F.size(tags).between(1, 5), F.lit(True))
-    )
-    return F.when(bad, "schema_violation")
+    return _violation(*_bounds(slug, summary, body, tags), absent=True)
+
+
+def written_verdict(universality: str | None = None) -> Column:
+    """schema_violation unless a new item has all its fields, in bounds; a severity counts for anti-patterns only, which need none."""
+    severity = F.when(F.col("category") == "anti-pattern", F.col("severity").isNull() | F.col("severity").isin(*SEVERITIES)).otherwise(F.lit(True))
+    sound = [*_bounds("title_slug", "summary", "body", "tags"), F.col("category").isin(*[c[0] for c in CATEGORIES]), F.forall("paths", lambda p: p.isNotNull()), severity]
+    if universality:
+        sound.append(F.col(universality).isin(*UNIVERSALITIES))
+    return _violation(*sound, absent=False)
+
+
+def patch_verdict(superseding: bool = False) -> Column:
+    """Why an edit's own fields are refused, or null: the new body must be there, the other new fields may be; a note alone that is too short or too long is history_note_too_short."""
+    given = _violation(
+        js_len(F.col("new_summary")).between(1, 60), *_bounds("new_summary", "new_summary", "new_body", "new_tags")[3:], F.forall("new_paths", lambda p: p.isNotNull()),
+        F.col("new_universality").isin(*UNIVERSALITIES), F.col("new_severity").isin(*SEVERITIES), absent=True,
+    )
+    body = _violation(js_len(F.col("new_body")).between(50, 8000) & F.col("new_body").rlike(HEADING), absent=False)
+    note = F.when(~F.coalesce(js_len(F.col("history_note")).between(10, 200), F.lit(False)), "history_note_too_short")
+    return F.coalesce(given, body, *([note] if superseding else []))
 
 
 def reason_verdict(column: str, least: int, most: int) -> Column:
@@ -129,7 +161,7 @@ def create_verdicts(requests: DataFrame, items: DataFrame, registry: DataFrame)
     are dropped, and severity is kept for anti-patterns only. Fields out of bounds
     are refused before anything else.
     """
-    bound = requests.withColumn("bad", schema_verdict())
+    bound = requests.withColumn("bad", written_verdict("universality"))
     known = bound.join(registry.select("kb_path", F.col("kb_dir").alias("asked_dir")), "kb_path", "left")
     each = known.select(F.col("req_id").alias("item_key"), F.explode("paths").alias("given"), "asked_dir").select("item_key", resolved(F.col("asked_dir"), F.col("given")).alias("path"))
     routed = routes(each, registry).select(F.col("item_key").alias("req_id"), F.col("kb_path").alias("canonical"))
@@ -142,7 +174,7 @@ def create_verdicts(requests: DataFrame, items: DataFrame, registry: DataFrame)
     sound = sent.where("bad IS NULL").select("req_id", "req_order", *GROUP, "title_slug", F.size("paths").alias("n_paths"), F.size("paths_kept").alias("n_kept"))
     verdicts = created(sound, items).select("req_id", "item_id", "code")
     out = sent.join(verdicts, "req_id", "left").withColumn("code", F.coalesce("bad", "code"))
-    stored = {"paths": F.col("paths_kept"), "severity": F.when(F.col("category") == "anti-pattern", F.coalesce("severity", F.lit("normal")))}
+    stored = {"paths": F.col("paths_kept"), "severity": F.when(F.col("category") == "anti-pattern", F.col("severity"))}
     return out.select(*[stored.get(c, F.col(c)).alias(c) for c in requests.columns], "code", "item_id", "rerouted_from", "paths_dropped")
 
 
@@ -173,33 +205,49 @@ def edit_verdicts(requests: DataFrame, items: DataFrame, archiving: bool = False
 PATCH = ("new_body", "new_summary", "new_tags", "new_paths", "new_universality", "new_severity", "history_note")
 
 
-def _edits(items: DataFrame, requests: DataFrame) -> DataFrame:
+def update_verdicts(requests: DataFrame, items: DataFrame, registry: DataFrame, superseding: bool = False) -> DataFrame:
+    """Edits with code (null if accepted), paths_dropped, and new_paths as they would be stored.
+
+    ``requests`` has req_id, req_order, kb_path, item_id, new_body, new_summary, new_tags,
+    new_paths, new_universality, new_severity and, for superseding, history_note;
+    ``registry`` kb_path and kb_dir. Codes, the first that holds: schema_violation or
+    history_note_too_short; target_not_found, target_archived; region_violation where
+    paths are given and none lies in the KB's directory.
+    """
+    known = edit_verdicts(requests.withColumn("bad", patch_verdict(superseding)), items).join(registry.select("kb_path", "kb_dir"), "kb_path", "left")
+    kept, gone = kept_within(F.col("new_paths"), F.col("kb_dir")), dropped_outside(F.col("new_paths"), F.col("kb_dir"))
+    region = F.when((F.size("new_paths") > 0) & (F.size(kept) == 0), "region_violation")
+    known = known.withColumns({"code": F.coalesce("bad", "code", region), "paths_dropped": F.coalesce(gone, F.array().cast("array<string>")), "new_paths": kept})
+    return known.drop("bad", "kb_dir")
+
+
+def _edits(items: DataFrame, requests: DataFrame, registry: DataFrame, superseding: bool) -> DataFrame:
     """Items with the patch of all accepted requests for them: one row an item; the last value given of each field counts."""
-    accepted = edit_verdicts(requests, items).where("code IS NULL")
+    accepted = update_verdicts(requests, items, registry, superseding).where("code IS NULL")
     order = F.struct("req_order", "req_id")
     one = accepted.groupBy("kb_path", "item_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in PATCH if c in requests.columns]).withColumn("asked", F.lit(True))
     return items.join(one, ["kb_path", "item_id"], "left").withColumn("hit", F.coalesce(F.col("asked") & (F.col("location") == "active"), F.lit(False)))
 
 
-def updated(items: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """The next snapshot after ``requests(req_id, req_order, kb_path, item_id, new_body, new_summary, new_tags, new_paths, new_universality, new_severity)``.
+def updated(items: DataFrame, requests: DataFrame, now: Column, registry: DataFrame) -> DataFrame:
+    """The next snapshot after the requests of ``update_verdicts``.
 
-    Null fields stay; severity is kept for anti-patterns only. Refused requests
-    (``edit_verdicts``) change nothing. Several requests for an item give one row.
+    Each replaces the body; other null fields stay, and a severity is set for
+    anti-patterns only. Refused requests change nothing. Several requests for an item give one row.
     """
-    return _patched(_edits(items, requests), items.columns, now, F.coalesce("new_body", "body"))
+    return _patched(_edits(items, requests, registry, False), items.columns, now, F.col("new_body"))
 
 
-def superseded(items: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+def superseded(items: DataFrame, requests: DataFrame, now: Column, registry: DataFrame) -> DataFrame:
     """As ``updated``, with ``history_note`` under the new body's history and the item active again."""
-    entry = F.concat(F.left(now, F.lit(10)), F.lit(": "), F.col("history_note"))
-    return _patched(_edits(items, requests), items.columns, now, with_history(F.coalesce("new_body", "body"), entry), status="active")
+    entry = F.concat(now, F.lit(": superseded — "), F.col("history_note"))
+    return _patched(_edits(items, requests, registry, True), items.columns, now, with_history(F.col("new_body"), entry), status="active")
 
 
 def _patched(both: DataFrame, columns: list[str], now: Column, body: Column, status: str | None = None) -> DataFrame:
     hit = F.col("hit")
     new = {c: F.coalesce(f"new_{c}", c) for c in ("summary", "tags", "paths", "universality")}
-    new |= {"body": body, "updated": now, "severity": F.when(F.col("category") == "anti-pattern", F.coalesce("new_severity", "severity"))}
+    new |= {"body": body, "updated": now, "severity": F.when(F.col("category") == "anti-pattern", F.coalesce("new_severity", "severity")).otherwise(F.col("severity"))}
     if status:
         new["status"] = F.lit(status)
     return both.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in columns])
@@ -218,97 +266,3 @@ def freed_slots(before: DataFrame, after: DataFrame) -> DataFrame:
     """kb_path, category, remaining places and how many of them a change of snapshots freed."""
     held = active_counts(before).select("kb_path", "category", F.col("remaining").alias("had"))
     return active_counts(after).join(held, GROUP).select(*GROUP, "remaining", (F.col("remaining") - F.col("had")).alias("freed"))
-
-
-def _promotions_in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sound requests to one root KB in their order: an accepted one takes a place, an id and its origins."""
-    rows = rows.sort_values(["req_order", "req_id"], kind="stable")
-    taken, codes, numbers, state = set(), [], [], {}
-    for category, active, last, origins in zip(rows["category"], rows["active"], rows["last_id"], rows["keys"], strict=True):
-        active, last = state.get(category, (int(active), int(last)))
-        code = "origin_not_found" if any(o in taken for o in origins) else "category_full" if active >= CAP else "id_exhausted" if last >= MOST_IDS else None
-        if code is None:
-            active, last = active + 1, last + 1
-            taken.update(origins)
-        state[category] = active, last
-        codes.append(code)
-        numbers.append(None if code else last)
-    return pd.DataFrame({"req_id": rows["req_id"].to_numpy(), "late": codes, "number": pd.array(numbers, dtype="Int64")})
-
-
-def promotion_verdicts(requests: DataFrame, items: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """req_id, code, item_id of requests to make one universal item of several unverified ones, in order.
-
-    ``requests`` has req_id, req_order, target_kb, category, title_slug, origins
-    (array of struct(kb_path, item_id)); ``roots(kb_path, root_kb)`` tells the root
-    of each KB's chain, null leaves that out. Origins must come from two KBs or
-    more and be active and unverified, the first that is not decides the code; the
-    target must be the root of the first one's chain. What an accepted request has
-    taken as an origin is no longer active for later ones, so the sound requests
-    of a root KB, few as it has CAP places a category, are walked in order.
-    """
-    state = items.select("kb_path", "item_id", "status", "universality", "location").withColumn("held", F.lit(True))
-    each = requests.select("req_id", F.posexplode("origins").alias("place", "o")).select("req_id", "place", "o.*").join(state, ["kb_path", "item_id"], "left")
-    live = (F.col("status") == "active") & (F.col("location") == "active")
-    wrong = F.when(~F.coalesce(live, F.lit(False)), "origin_not_found").when(F.col("universality") != "unverified", "origin_not_unverified")
-    sums = each.groupBy("req_id").agg(F.min_by(wrong, F.when(wrong.isNotNull(), F.col("place"))).alias("wrong"), F.count_distinct("kb_path").alias("n_kbs"), F.min_by("kb_path", "place").alias("first_kb"))
-    known = requests.join(sums, "req_id", "left")
-    away = F.lit(False)
-    if roots is not None:
-        known = known.join(roots.select(F.col("kb_path").alias("first_kb"), "root_kb"), "first_kb", "left")
-        away = ~F.coalesce(F.col("root_kb") == F.col("target_kb"), F.lit(False))
-    known = known.withColumn("own", F.when(F.coalesce("n_kbs", F.lit(0)) < 2, "schema_violation").when(F.col("wrong").isNotNull(), F.col("wrong")).when(away, "target_kb_not_root"))
-    target = items.groupBy(F.col("kb_path").alias("target_kb"), "category").agg(F.count_if((F.col("status") == "active") & (F.col("location") == "active")).alias("active"), F.max(F.substring("item_id", 3, 3).cast("int")).alias("last_id"))
-    sound = known.where("own IS NULL").join(target, ["target_kb", "category"], "left")
-    keys = F.transform("origins", lambda o: F.concat_ws("\n", o["kb_path"], o["item_id"]))
-    sound = sound.select("req_id", "req_order", "target_kb", "category", F.coalesce("active", F.lit(0)).alias("active"), F.coalesce("last_id", F.lit(0)).alias("last_id"), keys.alias("keys"))
-    walked = sound.groupBy("target_kb").applyInPandas(_promotions_in_order, f"req_id {requests.schema['req_id'].dataType.simpleString()}, late string, number bigint")
-    out = known.join(walked, "req_id", "left").withColumn("code", F.coalesce("own", "late"))
-    return out.select("req_id", "code", F.when(F.col("code").isNull(), F.concat(category_letter(F.col("category")), F.lit("-"), F.lpad(F.col("number").cast("string"), 3, "0"))).alias("item_id"))
-
-
-def promoted(items: DataFrame, requests: DataFrame, now: Column, roots: DataFrame | None = None) -> DataFrame:
-    """The next snapshot: accepted requests' new items, and their origins superseded across KBs, with a history line."""
-    verdicts = promotion_verdicts(requests, items, roots).where("code IS NULL").select("req_id", F.col("item_id").alias("new_id"))
-    accepted = requests.join(verdicts, "req_id")
-    origins = accepted.select("new_id", "target_kb", F.explode("origins").alias("o")).select("new_id", "target_kb", "o.*").distinct()
-    both = items.join(origins, ["kb_path", "item_id"], "left")
-    hit = F.col("new_id").isNotNull()
-    link = relative(F.col("kb_path"), F.col("target_kb"))
-    new = {"status": F.concat(F.lit("superseded-by-cross:"), link, F.lit(":"), F.col("new_id")), "updated": now, "body": with_history(F.col("body"), F.concat(F.left(now, F.lit(10)), F.lit(": promoted to "), link, F.lit("/"), F.col("new_id")))}
-    changed = both.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns])
-    made = {"kb_path": F.col("target_kb"), "item_id": F.col("new_id"), "slug": F.col("title_slug"), "title": title_of_slug(F.col("title_slug")), "status": F.lit("active"), "universality": F.lit("universal"), "created": now, "updated": now, "location": F.lit("active"), "archived_at": F.lit(None), "archive_reason": F.lit(None)}
-    fresh = accepted.select(*[made.get(c, F.col(c) if c in requests.columns else F.lit(None)).cast(items.schema[c].dataType).alias(c) for c in items.columns])
-    return changed.unionByName(fresh)
-
-
-def demotion_verdicts(requests: DataFrame, items: DataFrame, root_kb: str) -> DataFrame:
-    """req_id, code, item_id of requests to move one universal root item down: ``requests(req_id, req_order, origin_id, target_kb)``.
-
-    Refused requests take no place; accepted ones get the target's next ids in order.
-    Of several requests for an item only the first can be accepted.
-    """
-    state = items.where(F.col("kb_path") == root_kb).select(F.col("item_id").alias("origin_id"), "category", "status", "universality", "location")
-    target = items.groupBy(F.col("kb_path").alias("target_kb"), "category").agg(F.count_if((F.col("status") == "active") & (F.col("location") == "active")).alias("active"), F.max(F.substring("item_id", 3, 3).cast("int")).alias("last_id"))
-    known = requests.join(state, "origin_id", "left").join(target, ["target_kb", "category"], "left")
-    again = F.row_number().over(Window.partitionBy("origin_id").orderBy("req_order")) > 1
-    own = F.when(~F.coalesce((F.col("status") == "active") & (F.col("location") == "active"), F.lit(False)), "origin_not_found").when(F.col("universality") != "universal", "origin_not_unverified").when(F.col("target_kb") == root_kb, "target_kb_not_child").when(again, "origin_not_found")
-    turn = F.sum(F.when(F.col("own").isNull(), 1).otherwise(0)).over(Window.partitionBy("target_kb", "category").orderBy("req_order"))
-    placed = known.withColumn("own", own).withColumn("turn", turn)
-    number = F.coalesce("last_id", F.lit(0)) + F.col("turn")
-    code = F.coalesce(F.col("own"), F.when(F.col("turn") > CAP - F.coalesce("active", F.lit(0)), "category_full"), F.when(number > MOST_IDS, "id_exhausted"))
-    return placed.withColumn("code", code).select("req_id", "code", F.when(F.col("code").isNull(), F.concat(category_letter(F.col("category")), F.lit("-"), F.lpad(number.cast("string"), 3, "0"))).alias("item_id"))
-
-
-def demoted(items: DataFrame, requests: DataFrame, root_kb: str, now: Column) -> DataFrame:
-    """The next snapshot: each accepted root item is archived, and a copy for its target KB is specific to that KB."""
-    verdicts = demotion_verdicts(requests, items, root_kb).where("code IS NULL").select("req_id", F.col("item_id").alias("new_id"))
-    accepted = requests.join(verdicts, "req_id").select(F.lit(root_kb).alias("kb_path"), F.col("origin_id").alias("item_id"), "target_kb", "new_id")
-    both = items.join(accepted, ["kb_path", "item_id"], "left")
-    hit = F.col("new_id").isNotNull()
-    reason = F.concat(F.lit("demoted to "), relative(F.col("kb_path"), F.col("target_kb")), F.lit("/"), F.col("new_id"))
-    old = {"status": F.lit("archived"), "archived_at": now, "archive_reason": reason, "location": F.lit("archive"), "updated": now}
-    changed = both.select(*[F.when(hit, old[c]).otherwise(F.col(c)).alias(c) if c in old else F.col(c) for c in items.columns])
-    new = {"kb_path": F.col("target_kb"), "item_id": F.col("new_id"), "universality": F.lit("app-specific"), "created": now, "updated": now}
-    fresh = both.where(hit).select(*[new.get(c, F.col(c)).cast(items.schema[c].dataType).alias(c) for c in items.columns])
-    return changed.unionByName(fresh)

@@ -81,9 +81,9 @@ def kept_paths(items: DataFrame, registry: DataFrame) -> DataFrame:
 
     ``items(item_key, kb_path, kb_dir, paths)`` to item_key, paths_kept (relative to
     kb_dir, distinct, in order), paths_dropped (as given, outside the KB's region).
-    Relative paths are seen from kb_dir.
+    Relative paths are seen from kb_dir; blank ones are neither kept nor dropped.
     """
-    each = items.select("item_key", "kb_path", "kb_dir", F.posexplode("paths").alias("place", "path"))
+    each = items.select("item_key", "kb_path", "kb_dir", F.posexplode("paths").alias("place", "path")).where(F.regexp_replace("path", r"\s+", "") != "")
     each = each.withColumn("absolute", resolved(F.col("kb_dir"), F.col("path")))
     own = owners(each, registry, "absolute").select("absolute", F.col("kb_path").alias("owner"))
     each = each.join(own, "absolute", "left").withColumn("inside", F.coalesce(F.col("owner") == F.col("kb_path"), F.lit(False)))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionmill.functions.paths import relative, resolved
 from sessionmill.functions.text import decided_language, iso_of_millis, js_len, status_kind, superseded_id, tokens
 from sessionmill.operators import candidates as cand
-from sessionmill.operators import compress, index, items, ledger, profile, regions, similarity, telemetry
+from sessionmill.operators import compress, index, items, ledger, moves, profile, regions, similarity, telemetry
 from sessionmill.plans import adapters as A
 from sessionmill.sources import stores, transcripts
 
@@ -287,31 +287,65 @@ def items_after_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.with_created(held, items.create_verdicts(asked, held, registry), F.lit(A.NOW)).select("kb_path", "item_id", "slug", "title", "status", "severity", "created")
 
 
-def _edits(held: DataFrame) -> DataFrame:
-    """Two edits for every item; the second one gives no summary."""
-    nothing = F.lit(None)
+def _edits(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two edits for every item, of its whole text; the second gives no summary and no paths. Some break a rule. And the KBs' directories."""
+    n, turn = F.col("doc_id"), F.col("turn")
     both = held.withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
-    return both.select(
-        F.concat_ws("-", "doc_id", "turn").alias("req_id"), F.col("turn").alias("req_order"), "kb_path", "item_id", F.concat(F.lit("## Why\ntext "), F.col("turn").cast("string")).alias("new_body"), F.when(F.col("turn") == 1, "new summary").alias("new_summary"),
-        nothing.cast("array<string>").alias("new_tags"), nothing.cast("array<string>").alias("new_paths"), nothing.cast("string").alias("new_universality"), F.lit("normal").alias("new_severity"), F.concat(F.lit("edit "), F.col("turn").cast("string")).alias("history_note"),
+    paths = F.when(n % 5 == 2, F.array(F.lit("/q/x.py"), F.lit(" "))).otherwise(F.array(F.lit("a/../b.py"), F.lit("/q/x.py"), F.lit("./b.py")))
+    asked = both.select(
+        F.concat_ws("-", "doc_id", "turn").alias("req_id"), turn.alias("req_order"), "kb_path", "item_id", F.concat(F.lit("## Why\n"), turn.cast("string"), "body").alias("new_body"), F.when(turn == 1, "new summary").alias("new_summary"),
+        F.when((turn == 2) & (n % 11 == 4), F.array(F.lit("No"))).alias("new_tags"), F.when(turn == 1, paths).alias("new_paths"), F.when((turn == 2) & (n % 17 == 1), "maybe").alias("new_universality"), F.lit("normal").alias("new_severity"),
+        F.concat(F.lit("edit "), turn.cast("string"), F.when(n % 13 != 6, " for cause").otherwise("")).alias("history_note"),
     )
+    return asked, held.select("kb_path", F.col("kb_path").alias("kb_dir")).distinct()
 
 
-_EDITED = f"{A.ITEMS}, hit AS (SELECT *, location = 'active' AND status <> 'archived' AS h FROM items)"
+_EDITED = f"""{A.ITEMS}, hit AS (SELECT *, location = 'active' AND status <> 'archived' AS h FROM items),
+edits AS (SELECT kb_path, doc_id, turn, CASE WHEN NOT (length(body) BETWEEN 42 AND 7992) OR turn = 2 AND (doc_id % 11 = 4 OR doc_id % 17 = 1) THEN 'schema_violation' END AS bad, doc_id % 13 = 6 AS brief, CASE WHEN NOT h THEN 'target_archived' WHEN turn = 1 AND doc_id % 5 = 2 THEN 'region_violation' END AS late FROM hit, unnest([1, 2]) AS t(turn))"""
 
 
-@query(f"""WITH {_EDITED} SELECT kb_path, item_id, doc_id, CASE WHEN h THEN 'new summary' ELSE summary END AS summary, CASE WHEN h THEN concat('## Why', chr(10), 'text 2', chr(10), chr(10), '## History', chr(10), chr(10), '- 2024-06-15: edit 2') ELSE body END AS body, CASE WHEN h THEN 'active' ELSE status END AS status, CASE WHEN h THEN '{A.NOW}' ELSE updated END AS updated, CASE WHEN h AND category = 'anti-pattern' THEN 'normal' ELSE severity END AS severity FROM hit""")
+def _edited_sql(code: str, body: str, status: str) -> str:
+    """The next snapshot after both edits of each item; ``code`` is null for accepted ones."""
+    return f"""WITH {_EDITED}, done AS (SELECT doc_id, max(turn) AS turn, min(turn) = 1 AS first FROM edits WHERE {code} IS NULL GROUP BY doc_id)
+SELECT kb_path, item_id, hit.doc_id, CASE WHEN first THEN 'new summary' ELSE summary END AS summary, CASE WHEN turn IS NULL THEN body ELSE {body} END AS body, CASE WHEN turn IS NULL THEN status ELSE {status} END AS status, CASE WHEN first THEN 'b.py' ELSE array_to_string(paths, ',') END AS paths,
+  created, CASE WHEN turn IS NULL THEN updated ELSE '{A.NOW}' END AS updated, CASE WHEN turn IS NOT NULL AND category = 'anti-pattern' THEN 'normal' ELSE severity END AS severity FROM hit LEFT JOIN done USING (doc_id)"""
+
+
+_EDIT_COLUMNS = ["kb_path", "item_id", "doc_id", "summary", "body", "status", "array_join(paths, ',') AS paths", "created", "updated", "severity"]
+_NOTED = "CASE WHEN bad IS NULL AND brief THEN 'history_note_too_short' ELSE coalesce(bad, late) END"
+_EDIT_VERDICT = "array_to_string(CASE WHEN turn = 1 THEN ['/q/x.py'] ELSE [] END, ',') AS paths_dropped, CASE WHEN turn = 1 AND doc_id % 5 <> 2 THEN 'b.py' WHEN turn = 1 THEN '' END AS paths_kept"
+
+
+@query(f"WITH {_EDITED} SELECT concat(doc_id, '-', turn) AS req_id, {_NOTED} AS code, {_EDIT_VERDICT} FROM edits")
+def supersede_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5, P11, J8, U3."""
+    held = A.items(spark, sf_dir)
+    asked, registry = _edits(held)
+    return items.update_verdicts(asked, held, registry, superseding=True).select("req_id", "code", F.array_join("paths_dropped", ",").alias("paths_dropped"), F.array_join("new_paths", ",").alias("paths_kept"))
+
+
+@query(_edited_sql(_NOTED, f"concat('## Why', chr(10), turn, body, chr(10), chr(10), '## History', chr(10), chr(10), '- {A.NOW}: superseded — edit ', turn, ' for cause')", "'active'"))
 def superseded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5, F18."""
+    """The next snapshot."""
+    held = A.items(spark, sf_dir)
+    asked, registry = _edits(held)
+    return items.superseded(held, asked, F.lit(A.NOW), registry).selectExpr(*_EDIT_COLUMNS)
+
+
+@query(f"WITH {_EDITED} SELECT concat(doc_id, '-', turn) AS req_id, coalesce(bad, late) AS code, {_EDIT_VERDICT} FROM edits")
+def update_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4, P11, J8, U3."""
     held = A.items(spark, sf_dir)
-    return items.superseded(held, _edits(held), F.lit(A.NOW)).select("kb_path", "item_id", "doc_id", "summary", "body", "status", "updated", "severity")
+    asked, registry = _edits(held)
+    return items.update_verdicts(asked, held, registry).select("req_id", "code", F.array_join("paths_dropped", ",").alias("paths_dropped"), F.array_join("new_paths", ",").alias("paths_kept"))
 
 
-@query(f"""WITH {_EDITED} SELECT kb_path, item_id, doc_id, CASE WHEN h THEN 'new summary' ELSE summary END AS summary, CASE WHEN h THEN concat('## Why', chr(10), 'text 2') ELSE body END AS body, status, created, CASE WHEN h THEN '{A.NOW}' ELSE updated END AS updated FROM hit""")
+@query(_edited_sql("coalesce(bad, late)", "concat('## Why', chr(10), turn, body)", "status"))
 def updated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4."""
+    """M4: the next snapshot."""
     held = A.items(spark, sf_dir)
-    return items.updated(held, _edits(held), F.lit(A.NOW)).select("kb_path", "item_id", "doc_id", "summary", "body", "status", "created", "updated")
+    asked, registry = _edits(held)
+    return items.updated(held, asked, F.lit(A.NOW), registry).selectExpr(*_EDIT_COLUMNS)
 
 
 @query(f"""WITH {_EDITED} SELECT concat(doc_id, '-', turn) AS req_id, CASE WHEN turn = 3 THEN 'target_not_found' WHEN NOT h OR turn = 2 THEN 'already_archived' END AS code FROM hit, unnest([1, 2, 3]) AS t(turn)""")
@@ -448,62 +482,100 @@ def written_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session_id", decided_language(F.when(F.col("session_id").endswith("1"), "en").otherwise("auto"), F.col("language")).alias("written_in"))
 
 
-_PROMOTED = f"""{A.ITEMS}, two AS (SELECT doc_id // 2 AS req_id, count(*) AS n, count(DISTINCT kb_path) AS n_kbs, arg_min(category, doc_id) AS category, regexp_extract(arg_min(kb_path, doc_id), '^/kb/[^/]+') AS target_kb,
-  arg_min(CASE WHEN status <> 'active' OR location <> 'active' THEN 'origin_not_found' WHEN universality <> 'unverified' THEN 'origin_not_unverified' ELSE '' END, doc_id) AS one, arg_max(CASE WHEN status <> 'active' OR location <> 'active' THEN 'origin_not_found' WHEN universality <> 'unverified' THEN 'origin_not_unverified' ELSE '' END, doc_id) AS other FROM items GROUP BY doc_id // 2),
-own AS (SELECT *, CASE WHEN n_kbs < 2 THEN 'schema_violation' WHEN one <> '' THEN one WHEN other <> '' THEN other WHEN req_id % 9 = 5 THEN 'target_kb_not_root' END AS own FROM two),
-turns AS (SELECT *, sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY target_kb, category ORDER BY req_id) AS turn FROM own),
-verdicts AS (SELECT req_id, target_kb, category, coalesce(own, CASE WHEN turn > 10 THEN 'category_full' END) AS code, CASE WHEN own IS NULL AND turn <= 10 THEN concat(CASE category WHEN 'decision' THEN 'D' WHEN 'learning' THEN 'L' WHEN 'reusable' THEN 'R' ELSE 'A' END, '-', lpad(turn::VARCHAR, 3, '0')) END AS new_id FROM turns)"""
+_STATIC = "CASE WHEN status <> 'active' OR location <> 'active' THEN 'origin_not_found' WHEN universality <> '{}' THEN 'origin_not_unverified' ELSE '' END"
+
+
+def _walked_sql(requests: str) -> str:
+    """Requests, the table ``reqs`` of ``requests``, taken one after the other: n, code, number. What is granted takes its keys and a place."""
+    return f"""{requests},
+walk(n, taken, came, code, number) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::VARCHAR, NULL::BIGINT UNION ALL
+  SELECT n, CASE WHEN code IS NULL THEN list_concat(taken, keys) ELSE taken END, CASE WHEN code IS NULL THEN list_append(came, place) ELSE came END, code, CASE WHEN code IS NULL THEN held + 1 END FROM (
+    SELECT r.n, taken, came, keys, place, len(list_filter(came, lambda p: p = place)) AS held, coalesce(own,
+      list_filter(list_transform(range(1, len(keys) + 1), lambda i: CASE WHEN list_contains(taken, keys[i]) OR fails[i] = 'origin_not_found' THEN 'origin_not_found' WHEN fails[i] <> '' THEN fails[i] END), lambda f: f IS NOT NULL)[1],
+      away, CASE WHEN len(list_filter(came, lambda p: p = place)) >= 10 THEN 'target_kb_full' END) AS code FROM walk JOIN reqs r ON r.n = walk.n + 1)),
+verdicts AS (SELECT reqs.*, walk.code, CASE WHEN walk.code IS NULL THEN concat(CASE category WHEN 'decision' THEN 'D' WHEN 'learning' THEN 'L' WHEN 'reusable' THEN 'R' ELSE 'A' END, '-', lpad(number::VARCHAR, 3, '0')) END AS new_id FROM walk JOIN reqs USING (n))"""
 
 
-def _promotions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items; every two neighbours as a promotion to the first one's root KB, or to a KB that is no root; and the roots."""
+_PROMOTED = "RECURSIVE " + _walked_sql(f"""{A.ITEMS}, raw AS (SELECT *, {_STATIC.format("unverified")} AS fail, concat(kb_path, '/', item_id) AS key, regexp_extract(kb_path, '^/kb/[^/]+') AS above FROM items),
+reqs AS (SELECT row_number() OVER (ORDER BY a.doc_id) AS n, a.doc_id AS req_id, a.category, a.above, a.kb_path, a.body, CASE WHEN a.doc_id % 9 = 5 THEN '/kb/none' WHEN regexp_matches(a.above, '[13579]$') THEN a.above ELSE '/kb' END AS target_kb, concat(target_kb, a.category) AS place,
+  CASE WHEN a.doc_id % 23 = 4 OR b.key IS NULL THEN [a.key] WHEN a.doc_id % 11 = 3 THEN [a.key, a.key] ELSE [a.key, b.key] END AS keys, [a.fail, coalesce(b.fail, '')] AS fails,
+  CASE WHEN NOT (length(a.body) BETWEEN 43 AND 7993) THEN 'schema_violation' WHEN a.doc_id % 23 = 4 OR b.key IS NULL OR a.doc_id % 11 = 3 THEN 'invalid_origin_count' END AS own, CASE WHEN a.doc_id % 9 = 5 THEN 'target_kb_not_root' END AS away FROM raw a LEFT JOIN raw b ON b.doc_id = a.doc_id + 1)""")
+
+
+def _written(text: Column) -> list[Column]:
+    """The fields that are the same for all new items of promotions and demotions."""
+    return [F.concat(F.lit("## Why\n"), text).alias("body"), F.lit("both").alias("summary"), F.array(F.lit("auth")).alias("tags"), F.lit("critical").alias("severity")]
+
+
+def _promotions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items; for each, its promotion together with its neighbour, so that all are asked for twice; all KBs; where chains end.
+
+    Sources with an odd last digit are roots; the others have one root for all of them.
+    """
     held = A.items(spark, sf_dir)
-    pairs = held.groupBy(F.floor(F.col("doc_id") / 2).alias("req_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "kb_path", "item_id"))).alias("both"), F.min_by("category", "doc_id").alias("category"))
-    root = F.regexp_extract(F.col("both")[0]["kb_path"], "^/kb/[^/]+", 0)
-    asked = pairs.select("req_id", F.col("req_id").alias("req_order"), F.when(F.col("req_id") % 9 == 5, "/kb").otherwise(root).alias("target_kb"), "category", F.lit("both").alias("title_slug"), F.transform("both", lambda o: F.struct(o["kb_path"].alias("kb_path"), o["item_id"].alias("item_id"))).alias("origins"))
-    return held, asked, held.select("kb_path", F.regexp_extract("kb_path", "^/kb/[^/]+", 0).alias("root_kb")).distinct()
+    n, above = F.col("a.doc_id"), F.regexp_extract("a.kb_path", "^/kb/[^/]+", 0)
+    one, other = (F.struct(F.col(f"{t}.kb_path").alias("kb_path"), F.col(f"{t}.item_id").alias("item_id")) for t in "ab")
+    origins = F.when((n % 23 == 4) | F.col("b.item_id").isNull(), F.array(one)).when(n % 11 == 3, F.array(one, one)).otherwise(F.array(one, other))
+    asked = held.alias("a").join(held.select("doc_id", "kb_path", "item_id").alias("b"), F.col("b.doc_id") == n + 1, "left").select(
+        n.alias("req_id"), n.alias("req_order"), F.when(n % 9 == 5, "/kb/none").when(above.rlike("[13579]$"), above).otherwise("/kb").alias("target_kb"), origins.alias("origins"), F.col("a.category").alias("category"), F.lit("both").alias("title_slug"), *_written(F.col("a.body")),
+        F.array(F.lit("src/f.py"), F.concat(above, F.lit("/0/x.py")), F.lit("/q/y.py"), F.lit("/kb/other/z.py")).alias("paths"),
+    )
+    above = held.select(F.regexp_extract("kb_path", "^/kb/[^/]+", 0).alias("kb_path")).distinct()
+    registry = held.select("kb_path").union(above).union(spark.sql("SELECT '/kb'")).distinct()
+    return held, asked, registry.select("kb_path", F.col("kb_path").alias("kb_dir")), above.where("kb_path RLIKE '[13579]$'").select(F.col("kb_path").alias("dir"))
 
 
 @query(f"WITH {_PROMOTED} SELECT req_id, code, new_id AS item_id FROM verdicts")
 def promotion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7, W2, W3."""
-    held, asked, roots = _promotions(spark, sf_dir)
-    return items.promotion_verdicts(asked, held, roots)
+    """Neighbours share their items, so most requests depend on the ones before."""
+    held, asked, registry, ends = _promotions(spark, sf_dir)
+    return moves.promotion_verdicts(asked, held, registry, ends)
 
 
-@query(f"""WITH {_PROMOTED} SELECT kb_path, item_id, doc_id, CASE WHEN new_id IS NULL THEN status ELSE concat('superseded-by-cross:', CASE WHEN starts_with(kb_path, target_kb || '/') THEN '..' ELSE concat('../../', substr(target_kb, 5)) END, ':', new_id) END AS status, universality FROM items JOIN verdicts ON req_id = doc_id // 2
-UNION ALL SELECT target_kb, new_id, NULL, 'active', 'universal' FROM verdicts WHERE new_id IS NOT NULL""")
+@query(f"""WITH {_PROMOTED}, taken AS (SELECT unnest(keys) AS key, target_kb, new_id FROM verdicts WHERE new_id IS NOT NULL)
+SELECT kb_path, item_id, doc_id, CASE WHEN new_id IS NULL THEN status ELSE concat('superseded-by-cross:', CASE WHEN target_kb = '/kb' THEN '../..' WHEN above = target_kb THEN '..' ELSE concat('../../', substr(target_kb, 5)) END, ':', new_id) END AS status, universality, CASE WHEN new_id IS NULL THEN updated ELSE '{A.NOW}' END AS updated,
+  array_to_string(paths, ',') AS paths, severity, CASE WHEN new_id IS NULL THEN md5(body) ELSE md5(concat(rtrim(body, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), chr(10), chr(10), '## History', chr(10), chr(10), '- {A.NOW}: promoted to root KB as ', new_id)) END AS body FROM raw LEFT JOIN taken USING (key)
+UNION ALL SELECT target_kb, new_id, NULL, 'active', 'universal', '{A.NOW}', CASE WHEN target_kb = '/kb' THEN 'src/f.py,other/z.py' WHEN kb_path LIKE '%/0' THEN 'src/f.py' ELSE 'src/f.py,0/x.py' END, CASE WHEN category = 'anti-pattern' THEN 'critical' END, md5(concat('## Why', chr(10), body)) FROM verdicts WHERE new_id IS NOT NULL""")
 def promoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7: the next snapshot."""
-    held, asked, roots = _promotions(spark, sf_dir)
-    return items.promoted(held, asked, F.lit(A.NOW), roots).select("kb_path", "item_id", "doc_id", "status", "universality")
+    """The next snapshot."""
+    held, asked, registry, ends = _promotions(spark, sf_dir)
+    return moves.promoted(held, asked, F.lit(A.NOW), registry, ends).select("kb_path", "item_id", "doc_id", "status", "universality", "updated", F.array_join("paths", ",").alias("paths"), "severity", F.md5("body").alias("body"))
 
 
-ROOT, CHILD = "/kb/src1/0", "/kb/src2/0"
+_DEMOTED = "RECURSIVE " + _walked_sql(f"""{A.ITEMS}, raw AS (SELECT *, {_STATIC.format("universal")} AS fail, concat(kb_path, '/', item_id) AS key FROM items),
+asked AS (SELECT raw.*, turn, CASE WHEN doc_id % 9 = 5 THEN '/kb/zz/0/a' WHEN turn = 1 THEN kb_path || '/a' WHEN doc_id % 10 = 4 THEN kb_path ELSE kb_path || '/b' END AS target_kb FROM raw, unnest([1, 2]) AS t(turn)),
+reqs AS (SELECT row_number() OVER (ORDER BY turn, doc_id) AS n, concat(doc_id, '-', turn) AS req_id, doc_id, kb_path, item_id, body, 'decision' AS category, target_kb, target_kb AS place, [key] AS keys, [fail] AS fails, key,
+  CASE WHEN NOT (length(body) BETWEEN 43 AND 7993) THEN 'schema_violation' END AS own, CASE WHEN doc_id % 9 = 5 OR turn = 2 AND doc_id % 10 = 4 THEN 'target_kb_not_child' END AS away FROM asked)""")
 
-_DEMOTED = f"""{A.ITEMS}, own AS (SELECT *, CASE WHEN status <> 'active' OR location <> 'active' THEN 'origin_not_found' WHEN universality <> 'universal' THEN 'origin_not_unverified' END AS own FROM items WHERE kb_path = '{ROOT}'),
-held AS (SELECT category, count(*) FILTER (status = 'active' AND location = 'active') AS active, max(substr(item_id, 3, 3)::INTEGER) AS last FROM items WHERE kb_path = '{CHILD}' GROUP BY category),
-turns AS (SELECT own.*, coalesce(active, 0) AS active, coalesce(last, 0) AS last, sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY category ORDER BY doc_id) AS turn FROM own LEFT JOIN held USING (category)),
-verdicts AS (SELECT *, coalesce(own, CASE WHEN turn > 10 - active THEN 'category_full' END) AS code, CASE WHEN own IS NULL AND turn <= 10 - active THEN concat(left(item_id, 2), lpad((last + turn)::VARCHAR, 3, '0')) END AS new_id FROM turns)"""
 
-
-def _demotions(held: DataFrame) -> DataFrame:
-    return held.where(F.col("kb_path") == ROOT).select(F.col("doc_id").alias("req_id"), F.col("doc_id").alias("req_order"), F.col("item_id").alias("origin_id"), F.lit(CHILD).alias("target_kb"))
+def _demotions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items, whose KBs are roots here; for each, two demotions to its KB's children, or to no child of it; all KBs; no ends of chains."""
+    held = A.items(spark, sf_dir)
+    n, turn = F.col("doc_id"), F.col("turn")
+    target = F.when(n % 9 == 5, "/kb/zz/0/a").when(turn == 1, F.concat("kb_path", F.lit("/a"))).when(n % 10 == 4, F.col("kb_path")).otherwise(F.concat("kb_path", F.lit("/b")))
+    asked = held.withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        F.concat_ws("-", "doc_id", "turn").alias("req_id"), F.struct("turn", "doc_id").alias("req_order"), F.col("kb_path").alias("origin_kb"), F.col("item_id").alias("origin_id"), target.alias("target_kb"), F.lit("decision").alias("category"), F.lit("moved").alias("title_slug"), *_written(F.col("body")), F.array(F.lit("src/f.py"), F.lit("/q/y.py")).alias("paths"),
+    )
+    own = held.select("kb_path").distinct()
+    registry = own.union(own.select(F.concat("kb_path", F.lit("/a")))).union(own.select(F.concat("kb_path", F.lit("/b")))).union(spark.sql("SELECT '/kb/zz/0' UNION ALL SELECT '/kb/zz/0/a'"))
+    return held, asked, registry.select("kb_path", F.col("kb_path").alias("kb_dir")), spark.sql("SELECT '/' AS dir WHERE false")
 
 
-@query(f"WITH {_DEMOTED} SELECT doc_id AS req_id, code, new_id AS item_id FROM verdicts")
+@query(f"WITH {_DEMOTED} SELECT req_id, code, new_id AS item_id FROM verdicts")
 def demotion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8: every item of a root KB is asked for."""
-    held = A.items(spark, sf_dir)
-    return items.demotion_verdicts(_demotions(held), held, ROOT)
+    """Every item is asked for twice."""
+    return moves.demotion_verdicts(*(_demotions(spark, sf_dir)[i] for i in (1, 0, 2, 3)))
 
 
-@query(f"""WITH {_DEMOTED} SELECT i.kb_path, i.item_id, CASE WHEN v.new_id IS NULL THEN i.status ELSE 'archived' END AS status, CASE WHEN v.new_id IS NULL THEN i.universality ELSE 'universal' END AS universality, concat('demoted to ../../src2/0/', v.new_id) AS archive_reason FROM items i LEFT JOIN verdicts v ON v.doc_id = i.doc_id AND v.new_id IS NOT NULL WHERE v.new_id IS NOT NULL
-UNION ALL SELECT i.kb_path, i.item_id, i.status, i.universality, NULL FROM items i LEFT JOIN verdicts v ON v.doc_id = i.doc_id WHERE v.new_id IS NULL UNION ALL SELECT '{CHILD}', new_id, 'active', 'app-specific', NULL FROM verdicts WHERE new_id IS NOT NULL""")
+@query(f"""WITH {_DEMOTED}, taken AS (SELECT key, right(target_kb, 1) AS link, new_id FROM verdicts WHERE new_id IS NOT NULL)
+SELECT kb_path, item_id, CASE WHEN new_id IS NULL THEN status ELSE 'archived' END AS status, CASE WHEN new_id IS NULL THEN location ELSE 'archive' END AS location, universality, CASE WHEN new_id IS NOT NULL THEN concat('demoted to ', link, ':', new_id) END AS archive_reason, CASE WHEN new_id IS NOT NULL THEN '{A.NOW}' END AS archived_at,
+  CASE WHEN new_id IS NULL THEN md5(body) ELSE md5(concat(rtrim(body, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), chr(10), chr(10), '## History', chr(10), chr(10), '- {A.NOW}: demoted to child KB ', link, ' as ', new_id)) END AS body FROM raw LEFT JOIN taken USING (key)
+UNION ALL SELECT target_kb, new_id, 'active', 'active', 'app-specific', NULL, NULL, md5(concat('## Why', chr(10), rtrim(body, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), chr(10), chr(10), '## History', chr(10), chr(10), '- {A.NOW}: demoted from root KB (was ', item_id, ')')) FROM verdicts WHERE new_id IS NOT NULL""")
 def demoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8: the next snapshot."""
-    held = A.items(spark, sf_dir)
-    return items.demoted(held, _demotions(held), ROOT, F.lit(A.NOW)).select("kb_path", "item_id", "status", "universality", "archive_reason")
+    """The next snapshot."""
+    held, asked, registry, ends = _demotions(spark, sf_dir)
+    return moves.demoted(held, asked, F.lit(A.NOW), registry, ends).select("kb_path", "item_id", "status", "location", "universality", "archive_reason", "archived_at", F.md5("body").alias("body"))
 
 
 @query(f"""WITH {A.ITEMS} SELECT kb_path, concat(CASE WHEN location = 'archive' THEN '.archive' WHEN category = 'decision' THEN 'decisions' WHEN category = 'learning' THEN 'learnings' WHEN category = 'reusable' THEN 'reusable' ELSE 'anti-patterns' END, '/', item_id, '-', slug, '.md') AS file_name,

@@ -165,38 +165,38 @@ def test_creates_with_slugs_of_many_words(spark):
     assert got == {i: "D-001" if i == 0 else "D-002" if i == 300 else "duplicate_slug" for i in range(301)}
 
 
-def test_promotion(spark):
-    held = spark.createDataFrame([item("/r/a", "D-001", "decision", "x"), item("/r/b", "D-004", "decision", "x"), item("/r/b", "D-005", "decision", "y", universality="universal"), item("/r", "D-007", "decision", "old")], ITEM)
-    kind = "req_id int, req_order int, target_kb string, category string, title_slug string, summary string, tags array<string>, paths array<string>, body string, origins array<struct<kb_path:string,item_id:string>>"
-    rows = [(1, 1, "/r", "decision", "both", "s", ["a"], [], "b", [("/r/a", "D-001"), ("/r/b", "D-004")]), (2, 2, "/r", "decision", "no", "s", ["a"], [], "b", [("/r/a", "D-001"), ("/r/b", "D-005")]), (3, 3, "/r", "decision", "no", "s", ["a"], [], "b", [("/r/a", "D-001"), ("/r/a", "D-001")]), (4, 4, "/r", "decision", "no", "s", ["a"], [], "b", [("/r/a", "D-009"), ("/r/b", "D-004")])]
-    requests = spark.createDataFrame(rows, kind)
-    verdicts = {r.req_id: r.code or r.item_id for r in items.promotion_verdicts(requests, held).collect()}
-    assert verdicts == {1: "D-008", 2: "origin_not_unverified", 3: "schema_violation", 4: "origin_not_found"}
-    again = spark.createDataFrame([*rows, (5, 5, "/r", "decision", "twice", "s", ["a"], [], "b", rows[0][-1])], kind)
-    roots = spark.createDataFrame([("/r/a", "/r"), ("/r/b", "/r")], "kb_path string, root_kb string")
-    assert {r.req_id: r.code or r.item_id for r in items.promotion_verdicts(again, held, roots).collect()} == {**verdicts, 5: "origin_not_found"}
-    assert {r.code for r in items.promotion_verdicts(again, held, roots.withColumn("root_kb", F.lit("/q"))).where("req_id = 1").collect()} == {"target_kb_not_root"}
-    assert items.promoted(held, again, F.lit(NOW), roots).count() == 5
-    after = {(r.kb_path, r.item_id): r for r in items.promoted(held, requests, F.lit(NOW)).collect()}
-    assert after["/r", "D-008"].universality == "universal" and after["/r", "D-008"].title == "Both"
-    assert after["/r/a", "D-001"].status == "superseded-by-cross:..:D-008" and after["/r/a", "D-001"].body.endswith("- 2024-06-15: promoted to ../D-008")
-
-
 def test_edits_give_one_row_an_item(spark):
-    held = spark.createDataFrame([item("k", "D-001", "decision", "a"), item("k", "D-002", "decision", "b", status="archived"), item("k", "D-003", "decision", "c", location="archive")], ITEM)
+    held = spark.createDataFrame([item("k", "D-001", "decision", "a", status="deprecated"), item("k", "D-002", "decision", "b", status="archived"), item("k", "D-003", "decision", "c", location="archive"), item("k", "A-001", "anti-pattern", "d")], ITEM)
+    registry = spark.createDataFrame([("k", "/r")], "kb_path string, kb_dir string")
     kind = "req_id int, req_order int, kb_path string, item_id string, new_body string, new_summary string, new_tags array<string>, new_paths array<string>, new_universality string, new_severity string, history_note string"
-    rows = [(i, i, "k", id_, body, summary, None, None, None, None, f"note {i}") for i, (id_, body, summary) in enumerate([("D-001", "one", "first"), ("D-001", "two", None), ("D-002", "x", None), ("D-003", "x", None), ("D-009", "x", None)])]
+    body = lambda name: f"## Why\n{name} " + "x" * 60
+    note = "because of that"
+    rows = [
+        (0, 0, "k", "D-001", body("one"), "first", None, ["a/../b.py", " ", "/q/c.py", "/r/b.py"], None, "critical", note), (1, 1, "k", "D-001", body("two"), None, None, None, None, None, note + "!"),
+        (2, 2, "k", "D-002", body("x"), None, None, None, None, None, note), (3, 3, "k", "D-003", body("x"), None, None, None, None, None, note), (4, 4, "k", "D-009", body("x"), None, None, None, None, None, note),
+        (5, 5, "k", "D-001", "short", None, None, None, None, None, note), (6, 6, "k", "D-001", None, "s", None, None, None, None, note), (7, 7, "k", "D-001", body("x"), "", None, None, None, None, note), (8, 8, "k", "D-001", body("x"), None, ["Bad tag"], None, None, None, note),
+        (9, 9, "k", "D-001", body("x"), None, None, ["/q/d.py", "../e.py"], None, None, note), (10, 10, "k", "D-001", body("x"), None, None, None, "maybe", None, note), (11, 11, "k", "D-001", body("x"), None, None, None, None, "dire", note), (12, 12, "k", "D-001", body("x"), None, None, None, None, None, "brief"),
+        (13, 13, "k", "A-001", body("z"), None, ["t"], [], "universal", "critical", note), (14, 14, "k", "D-001", "short", None, None, None, None, None, "brief"),
+    ]
     requests = spark.createDataFrame(rows, kind)
-    assert {r.req_id: r.code for r in items.edit_verdicts(requests, held).collect()} == {0: None, 1: None, 2: "target_archived", 3: "target_archived", 4: "target_not_found"}
-    after = {r.item_id: r for r in items.updated(held, requests, F.lit(NOW)).collect()}
-    assert (after["D-001"].body, after["D-001"].summary, after["D-002"].body[:3]) == ("two", "first", "## ")
-    after = items.superseded(held, requests, F.lit(NOW)).collect()
-    assert len(after) == 3 and {r.body for r in after if r.item_id == "D-001"} == {"two\n\n## History\n\n- 2024-06-15: note 1"}
-    reasons = requests.withColumn("reason", F.col("history_note"))
+    codes = {i: "schema_violation" for i in (5, 6, 7, 8, 10, 11, 14)} | {0: None, 1: None, 2: "target_archived", 3: "target_archived", 4: "target_not_found", 9: "region_violation", 13: None}
+    verdicts = {r.req_id: r for r in items.update_verdicts(requests, held, registry).collect()}
+    assert {i: r.code for i, r in verdicts.items()} == {**codes, 12: None}
+    assert verdicts[0].new_paths == ["b.py"] and verdicts[0].paths_dropped == ["/q/c.py"] and verdicts[9].paths_dropped == ["/q/d.py", "../e.py"]
+    assert {r.req_id: r.code for r in items.update_verdicts(requests, held, registry, superseding=True).collect()} == {**codes, 12: "history_note_too_short"}
+    sound = requests.where("req_id <> 12")
+    after = {r.item_id: r for r in items.updated(held, sound, F.lit(NOW), registry).collect()}
+    assert (after["D-001"].body, after["D-001"].summary, after["D-001"].paths, after["D-001"].severity, after["D-001"].status) == (body("two"), "first", ["b.py"], None, "deprecated")
+    assert (after["A-001"].tags, after["A-001"].paths, after["A-001"].universality, after["A-001"].severity, after["A-001"].created) == (["t"], [], "universal", "critical", held.first().created)
+    assert after["D-002"].updated != NOW and after["D-001"].updated == NOW
+    after = items.superseded(held, sound, F.lit(NOW), registry).collect()
+    assert len(after) == 4 and {(r.body, r.status) for r in after if r.item_id == "D-001"} == {(body("two") + f"\n\n## History\n\n- {NOW}: superseded — {note}!", "active")}
+    reasons = requests.where("req_id < 5").withColumn("reason", F.concat(F.lit("note "), F.col("req_id").cast("string")))
     assert {r.req_id: r.code for r in items.edit_verdicts(reasons, held, archiving=True).collect()} == {0: None, 1: "already_archived", 2: "already_archived", 3: "already_archived", 4: "target_not_found"}
-    after = items.archived(held, reasons, F.lit(NOW))
-    assert sorted((r.item_id, r.status, r.archive_reason) for r in after.collect()) == [("D-001", "archived", "note 0"), ("D-002", "archived", None), ("D-003", "active", None)]
-    assert items.freed_slots(held, after).first().freed == 1
+    live = held.withColumn("status", F.when(F.col("item_id") == "D-001", "active").otherwise(F.col("status")))
+    after = items.archived(live, reasons, F.lit(NOW))
+    assert sorted((r.item_id, r.status, r.archive_reason) for r in after.collect() if r.item_id != "A-001") == [("D-001", "archived", "note 0"), ("D-002", "archived", None), ("D-003", "active", None)]
+    assert items.freed_slots(live, after).where("category = 'decision'").first().freed == 1
 
 
 def test_creates_become_rows(spark):
@@ -224,15 +224,6 @@ def test_a_last_line_end_is_no_part_of_slugs_and_tags(spark):
     assert {r.i: r.reject_step for r in candidates.validated(df).collect()} == {1: 3, 2: 5, 3: None}
 
 
-def test_demotion(spark):
-    held = spark.createDataFrame([item("/r", "D-001", "decision", "x", universality="universal"), item("/r", "D-002", "decision", "y"), item("/r/a", "D-009", "decision", "z")], ITEM)
-    requests = spark.createDataFrame([(1, 1, "D-001", "/r/a"), (2, 2, "D-002", "/r/a"), (3, 3, "D-003", "/r/a"), (4, 4, "D-001", "/r/b")], "req_id int, req_order int, origin_id string, target_kb string")
-    assert {r.req_id: r.code or r.item_id for r in items.demotion_verdicts(requests, held, "/r").collect()} == {1: "D-010", 2: "origin_not_unverified", 3: "origin_not_found", 4: "origin_not_found"}
-    after = {(r.kb_path, r.item_id): r for r in items.demoted(held, requests, "/r", F.lit(NOW)).collect()}
-    assert len(after) == 4 and after["/r/a", "D-010"].universality == "app-specific" and after["/r/a", "D-010"].slug == "x"
-    assert after["/r", "D-001"].location == "archive" and after["/r", "D-001"].archive_reason == "demoted to a/D-010"
-
-
 def test_ledger(spark):
     kind = "kb_path string, session_id string, transcript_sha256 string, transcript_mtime_ms bigint, status string, skipped_reason string, extracted_count int, kb_actions array<struct<kb:string,actions:array<string>>>, failure_reason string"
     old = spark.createDataFrame([("k", "s", "h", 1, "failed", None, 0, [], "x", "t0", "t0")], kind + ", first_seen_at string, last_seen_at string")
