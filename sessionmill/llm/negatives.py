@@ -24,7 +24,7 @@ from sessionmill.llm.session import discard, prepare, stored
 
 #: Components beyond this are taken as this, so that every score has at most 38 digits.
 MOST = 1 << 50
-LEAVES_AT_ONCE = 8
+LEAVES_AT_ONCE = 4
 
 
 def slabs(pages: int, left: int) -> int:
@@ -82,21 +82,15 @@ def intervals(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return up @ low.T + down @ high.T - slack, up @ high.T + down @ low.T + slack
 
 
-def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of x with q: Python integers where doubles would round."""
-    most = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, len(q))
-    if most < 1 << 53:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return x.astype(object) @ q.astype(object)
-
-
 class Tree:
-    """An R-tree over packed leaves; nodes are numbered leaves first, the root last."""
+    """An R-tree over packed leaves; nodes are numbered leaves first, the root last. ``order`` tells where its rows stood."""
 
     def __init__(self, x: np.ndarray, leaf: int, fanout: int):
-        self.x, self.runs = x, packed_runs(x, by_spread(x), leaf, np.arange(len(x)))
+        runs = packed_runs(x, by_spread(x), leaf, np.arange(len(x)))
+        self.order, self.starts = np.concatenate(runs), np.cumsum([0, *map(len, runs)])
+        self.x, self.most = x[self.order], int(np.abs(x).max(initial=0))
         self.children: list[range] = []
-        low, high = [np.array([f(x[run], axis=0) for run in self.runs]) for f in (np.min, np.max)]
+        low, high = [f.reduceat(self.x, self.starts[:-1]) for f in (np.minimum, np.maximum)]
         lows, highs, first = [low], [high], 0
         while len(low) > 1:
             cut = range(0, len(low), fanout)
@@ -105,34 +99,59 @@ class Tree:
             low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             lows, highs = [*lows, low], [*highs, high]
         self.low, self.high = np.concatenate(lows), np.concatenate(highs)
+        self.doubles = self.x.astype(np.float64)
+
+
+class Asked:
+    """One question to a tree. Scores of a leaf are worked out when it is first visited and serve all of the question's searches."""
+
+    def __init__(self, tree: Tree, q: np.ndarray):
+        self.tree, self.q, self.leaves = tree, q, len(tree.starts) - 1
+        #: Doubles hold these scores exactly; else they are Python integers.
+        self.small = tree.most * int(np.abs(q).max(initial=0)) * max(1, len(q)) < 1 << 53
+        self.score = np.zeros(len(tree.x), np.float64 if self.small else object)
+        self.visited = np.zeros(self.leaves, bool)
+
+    def _rows(self, leaves: list[int]) -> np.ndarray:
+        starts, q = self.tree.starts, self.q
+        for leaf in leaves:
+            if not self.visited[leaf]:
+                own = slice(starts[leaf], starts[leaf + 1])
+                self.score[own] = self.tree.doubles[own] @ q if self.small else self.tree.x[own].astype(object) @ q.astype(object)
+                self.visited[leaf] = True
+        return np.concatenate([np.arange(starts[leaf], starts[leaf + 1]) for leaf in leaves])
+
+    def best(self, bounds: tuple[np.ndarray, np.ndarray], fits: np.ndarray, ids: list, k: int, window: tuple[float, float], least: float) -> list[tuple[int, int]]:
+        """The best ``k`` (-score, id) among rows that ``fits`` marks, with scores within ``window`` and not below ``least``; ``bounds`` are the nodes' intervals.
 
-    def search(self, q: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], fits: np.ndarray, ids: list, k: int, window: tuple[float, float], least: float) -> list[tuple[int, int]]:
-        """The best ``k`` (-score, id) among rows that ``fits`` marks, with scores within ``window`` and not below ``least``; ``bounds`` are the nodes' intervals."""
+        Leaves are taken from the queue a few at a time, twice as many every time.
+        """
         under, over = np.maximum(bounds[0], window[0]), np.minimum(bounds[1], window[1])
-        queue, best, asked = [(-over[-1], len(over) - 1)], [], []
-        while queue or asked:
+        under, over = under.tolist(), over.tolist()
+        queue, best, leaves, most = [(-over[-1], len(over) - 1)], [], [], LEAVES_AT_ONCE
+        while queue or leaves:
             worth = max(least, -best[-1][0] if len(best) == k else -math.inf)
             if queue and -queue[0][0] >= worth:
-                _, node = heapq.heappop(queue)
+                node = heapq.heappop(queue)[1]
                 if under[node] > over[node]:
                     continue
-                if node < len(self.runs):
-                    asked.append(node)
+                if node < self.leaves:
+                    leaves.append(node)
                 else:
-                    for child in self.children[node - len(self.runs)]:
-                        if over[child] >= max(worth, under[child]):
+                    for child in self.tree.children[node - self.leaves]:
+                        if over[child] >= worth and over[child] >= under[child]:
                             heapq.heappush(queue, (-over[child], child))
-                if len(asked) < LEAVES_AT_ONCE:
+                if len(leaves) < most:
                     continue
-            elif not asked:
+            elif not leaves:
                 break
-            rows = np.concatenate([self.runs[node] for node in asked])
-            asked.clear()
+            rows, leaves, most = self._rows(leaves), [], 2 * most
             rows = rows[fits[rows]]
-            score = products(self.x[rows], q)
+            score = self.score[rows]
             good = np.flatnonzero((score >= max(worth, window[0])) & (score <= window[1]))
-            best += [(-int(score[i]), int(one)) for i in good for one in ids[rows[i]]]
-            best = sorted(best)[:k]
+            if len(good) > k:
+                good = good[score[good] >= np.partition(score[good], len(good) - k)[len(good) - k]]
+            best = sorted([*best, *[(-int(score[i]), one) for i in good.tolist() for one in ids[self.tree.order[rows[i]]]]])[:k]
         return best
 
 
@@ -225,12 +244,16 @@ def _searched(k: int, same: bool, low: int, high: int, width: int, leaf: int, fa
             tree = Tree(_padded(filed["x"], width), leaf, fanout)
             labels, ids = np.array(filed["label"].to_pylist(), object), filed["ids"].to_pylist()
             of = {label: labels == label if same else labels != label for label in set(asked["label"].to_pylist())}
-            for part in asked.combine_chunks().to_batches(max_chunksize=256):
-                q = _padded(part["x"], width)
+            of = {label: own[tree.order] for label, own in of.items()}
+            # a question's windows stand together
+            for part in asked.sort_by("ask").combine_chunks().to_batches(max_chunksize=256):
+                q, known = _padded(part["x"], width), None
                 under, over = intervals(q, tree.low, tree.high)
                 told = zip(part["ask"].to_pylist(), part["label"].to_pylist(), _ints(part["score"]), _ints(part["least"]), strict=True)
                 for i, (ask, label, score, least) in enumerate(told):
-                    best = tree.search(q[i], (under[i], over[i]), of[label], ids, k, _window(score, low, high), -math.inf if least is None else least)
+                    if known is None or not np.array_equal(known.q, q[i]):
+                        known = Asked(tree, q[i])
+                    best = known.best((under[i], over[i]), of[label], ids, k, _window(score, low, high), -math.inf if least is None else least)
                     out += [(ask, -s, one) for s, one in best]
         ask, score, one = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"ask": pa.array(ask, pa.string()), "score": pa.array(score, pa.int64()).cast(kind) if kind == pa.int64() else pa.array(score, kind), "id": pa.array(one, pa.int64())})

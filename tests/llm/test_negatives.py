@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sessionmill.llm.negatives import Tree, hard_negatives, intervals, n_tiles, packed_runs, tile_cuts, tiles_of
+from sessionmill.llm.negatives import Asked, Tree, hard_negatives, intervals, n_tiles, packed_runs, tile_cuts, tiles_of
 
 
 def brute(rows, every=100, positives=5, negatives=10, low=30, high=90, scale=256):
@@ -71,9 +71,11 @@ def test_queue_leaves_out_most_leaves_of_clustered_rows():
     centre = rng.integers(-400, 400, (64, 8))
     x = np.repeat(centre, 64, axis=0) + rng.integers(-5, 5, (4096, 8))
     tree, q = Tree(x, 64, 8), centre[3]
-    seen = []
-    tree.x = type("Seen", (), {"__getitem__": lambda self, rows: seen.append(len(rows)) or x[rows]})()
     bounds = tuple(b[0] for b in intervals(q[None], tree.low, tree.high))
-    best = tree.search(q, bounds, np.ones(len(x), bool), [[i] for i in range(len(x))], 10, (-np.inf, np.inf), -np.inf)
-    assert best == sorted((-int(s), i) for i, s in enumerate(x @ q))[:10]
-    assert sum(seen) < len(x) / 3
+    asked, ids = Asked(tree, q), [[i] for i in range(len(x))]
+    best = asked.best(bounds, np.ones(len(x), bool), ids, 10, (-np.inf, np.inf), -np.inf)
+    scores = sorted((-int(s), i) for i, s in enumerate(x @ q))
+    assert best == scores[:10] and asked.visited.sum() < 64 / 3
+    # another window of the same question, and rows that do not fit
+    top, odd = -best[0][0], tree.order % 2 == 1
+    assert asked.best(bounds, odd, ids, 10, (0.3 * top, 0.9 * top), -np.inf) == [(s, i) for s, i in scores if i % 2 and 0.3 * top <= -s <= 0.9 * top][:10]
