@@ -19,18 +19,6 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~is_summary).join(siblings, ["dir", "session_stem"], "left").withColumn("has_summary_sibling", F.coalesce("has_summary_sibling", F.lit(False)))
 
 
-def read_files(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """``files`` with content and transcript_sha256 of those listed."""
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root).select("path", "content")
-    return files.join(content, "path").withColumn("transcript_sha256", F.sha2("content", 256))
-
-
-def lines(files: DataFrame) -> DataFrame:
-    """path, line_no (from 1), raw: the lines that are not blank."""
-    split = F.split(F.decode("content", "UTF-8"), "\n", -1)
-    return files.select("path", F.posexplode(split).alias("at", "raw")).where(F.regexp_replace("raw", r"\s+", "") != "").select("path", (F.col("at") + 1).alias("line_no"), "raw")
-
-
 def _get(path: str, kind: str) -> Column:
     return F.try_variant_get("v", path, kind)
 

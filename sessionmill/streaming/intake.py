@@ -1,43 +1,62 @@
-"""Incremental intake: new transcripts are stamped into the ledger as they appear."""
+"""Incremental intake: transcripts that are new or have grown are stamped into the ledger."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import sessionmill
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionmill.operators.ledger import upserted
-from sessionmill.sources.transcripts import lines, parsed
-
-FILES = "path string, modificationTime timestamp, length long, content binary"
-
-
-def _batch(ledger_root: str, kb_path: str, now: Callable[[], str]) -> Callable[[DataFrame, int], None]:
-    def run(files: DataFrame, batch_id: int) -> None:
-        spark = files.sparkSession
-        found = parsed(lines(files)).where(F.col("type").isin("user", "assistant") & (F.coalesce("session_id", F.lit("")) != ""))
-        ids = found.groupBy("path").agg(F.min_by("session_id", "line_no").alias("session_id"))
-        seen = files.join(ids, "path").select(F.lit(kb_path).alias("kb_path"), "session_id", F.sha2("content", 256).alias("transcript_sha256"), F.unix_millis("modificationTime").alias("transcript_mtime_ms"))
-        ledger = spark.read.parquet(f"{ledger_root}/{batch_id - 1}") if batch_id else spark.createDataFrame([], LEDGER)
-        # a version that is recorded already changes nothing
-        fresh = seen.join(ledger, ["kb_path", "session_id", "transcript_sha256"], "left_anti").dropDuplicates(["kb_path", "session_id", "transcript_sha256"])
-        stamps = fresh.select("*", F.lit("processed").alias("status"), F.lit(None).cast("string").alias("skipped_reason"), F.lit(0).alias("extracted_count"), F.array().cast("array<struct<kb:string,actions:array<string>>>").alias("kb_actions"), F.lit(None).cast("string").alias("failure_reason"), F.lit(0).alias("stamp_order"))
-        upserted(ledger, stamps, F.lit(now())).write.mode("overwrite").parquet(f"{ledger_root}/{batch_id}")
-
-    return run
-
-
-LEDGER = "kb_path string, session_id string, transcript_sha256 string, transcript_mtime_ms bigint, status string, skipped_reason string, extracted_count int, kb_actions array<struct<kb:string,actions:array<string>>>, failure_reason string, first_seen_at string, last_seen_at string"
-
-
-def intake(spark: SparkSession, root: str, ledger_root: str, checkpoint: str, kb_path: str, now: Callable[[], str]) -> StreamingQuery:
-    """Reads all transcripts under ``root`` that are new since the last run and writes a ledger snapshot for each batch, under its number.
-
-    A batch that is run again after a failure writes the same snapshot. A file that
-    grew under its old name is not seen by the file source: such files are found by
-    the batch scan.
+from sessionmill.functions.tables import Steps
+from sessionmill.operators.ledger import ACTIONS
+from sessionmill.sources.files import hashes_of, lines_of, opened
+from sessionmill.sources.ledgers import LedgerStore
+from sessionmill.sources.transcripts import is_message, parsed
+from sessionmill.streaming.source import TranscriptSource
+
+
+def unknown_files(files: DataFrame, store: LedgerStore) -> DataFrame:
+    """``files`` without those that the ledger has by name and time; time 0 never matches."""
+    held = store.known(files.select(F.col("session_stem").alias("session_id")))
+    known = held.where("transcript_mtime_ms <> 0").select(F.col("session_id").alias("session_stem"), F.col("transcript_mtime_ms").alias("modification_ms"))
+    return files.join(known, ["session_stem", "modification_ms"], "left_anti")
+
+
+def sessions_read(files: DataFrame, read: DataFrame) -> DataFrame:
+    """session_id, transcript_sha256, transcript_mtime_ms of the files of ``read`` whose messages name a session."""
+    found = parsed(lines_of(read)).where(is_message() & F.col("session_id").isNotNull())
+    ids = found.groupBy("path").agg(F.min_by("session_id", "line_no").alias("session_id"))
+    return ids.join(hashes_of(read), "path").join(files.select("path", F.col("modification_ms").alias("transcript_mtime_ms")), "path").drop("path")
+
+
+def stamp(files: DataFrame, store: LedgerStore, kb_path: str, now: str, source: str | None = None, batch_id: int | None = None) -> None:
+    """Open the files that the ledger does not know, and stamp those versions of sessions that it lacks."""
+    spark = files.sparkSession
+    steps = Steps(spark, "intake")
+    files = steps.store(files.dropDuplicates(["path"]), "files")
+    fresh = steps.store(unknown_files(files, store), "fresh")
+    seen = steps.store(sessions_read(fresh, opened(fresh)).withColumn("kb_path", F.lit(kb_path)), "seen")
+    key = ["kb_path", "session_id", "transcript_sha256"]
+    new = seen.join(store.known(seen), key, "left_anti").groupBy(*key).agg(F.max("transcript_mtime_ms").alias("transcript_mtime_ms"))
+    nothing = F.lit(None).cast("string")
+    stamps = new.select("*", F.lit("processed").alias("status"), nothing.alias("skipped_reason"), F.lit(0).alias("extracted_count"), F.array().cast(ACTIONS).alias("kb_actions"), nothing.alias("failure_reason"), F.lit(0).alias("stamp_order"))
+    store.upsert(stamps, F.lit(now), source, batch_id)
+    for name in ("files", "fresh", "seen"):
+        steps.drop(name)
+
+
+def intake(spark: SparkSession, root: str, store: LedgerStore, checkpoint: str, kb_path: str, now: Callable[[], str], settle_ms: int = 1000) -> StreamingQuery:
+    """Stamps all transcripts below ``root`` that are new or have grown since the last run, and ends.
+
+    Batches are in the ledger once, whichever of them is handed in again. Names that the
+    ledger has with the same time are not opened, and only the ledger's buckets of the
+    sessions at hand are read and written.
     """
-    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
-    return files.writeStream.foreachBatch(_batch(ledger_root, kb_path, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    cloudpickle.register_pickle_by_value(sessionmill)
+    spark.dataSource.register(TranscriptSource)
+    files = spark.readStream.format("transcripts").option("settleMs", str(settle_ms)).load(root)
+    batch = lambda df, batch_id: stamp(df, store, kb_path, now(), checkpoint, batch_id)
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

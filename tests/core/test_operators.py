@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from sessionmill.functions import paths, text
 from sessionmill.operators import candidates, compress, index, items, ledger, profile, regions, similarity
 from sessionmill.plans.adapters import NOW
+from sessionmill.sources import files as named
 from sessionmill.sources import stores, transcripts
-from sessionmill.streaming.intake import intake
 
 BLOCK = "session_id string, seq int, block_no int, role string, uuid string, ts string, is_sidechain boolean, cwd string, kind string, text string, tool_name string, input_json string, is_error boolean"
 ITEM = "kb_path string, item_id string, category string, slug string, title string, summary string, tags array<string>, paths array<string>, status string, universality string, severity string, created string, updated string, archived_at string, archive_reason string, location string, body string"
@@ -260,7 +260,7 @@ def test_item_files_round_trip(spark, tmp_path):
     assert got["L-001-x.md"].parse_error == "frontmatter"
 
 
-def test_transcript_files_and_intake(spark, tmp_path):
+def test_transcript_files(spark, tmp_path):
     line = lambda **x: json.dumps(x)
     base = {"sessionId": "s1", "cwd": "/w", "uuid": "u", "timestamp": "t"}
     root = tmp_path / "in"
@@ -271,22 +271,12 @@ def test_transcript_files_and_intake(spark, tmp_path):
     (root / "bad.jsonl").write_text(line(type="user", message={"content": "hi"}, **{**base, "sessionId": "s2"}) + "\n{oops")
     files = transcripts.list_files(spark, str(root))
     assert {(r.session_stem, r.has_summary_sibling) for r in files.collect()} == {("one", True), ("bad", False)}
-    found = transcripts.parsed(transcripts.lines(transcripts.read_files(spark, files, str(root))))
+    found = transcripts.parsed(named.lines_of(named.opened(files)))
     outcomes = {r.path.rsplit("/", 1)[1]: (r.outcome, r.bad_line) for r in transcripts.parse_outcomes(found).collect()}
     assert outcomes == {"one.jsonl": ("ok", None), "bad.jsonl": ("json_parse_failed", 2)}
     got = {(r.seq, r.block_no): r for r in transcripts.blocks(found).where("path LIKE '%one.jsonl'").collect()}
     assert got[2, 0].text == "hi" and got[4, 0].text == 'a\n{"k":1}' and got[4, 0].is_error and got[4, 1].input_json == '{"z":1,"a":"2"}' and got[4, 2].kind is None
 
-    def run():
-        query = intake(spark, str(root), str(tmp_path / "ledger"), str(tmp_path / "check"), "/kb", lambda: NOW)
-        query.awaitTermination()
-        latest = max(int(p.name) for p in (tmp_path / "ledger").iterdir() if p.name.isdigit())
-        return sorted((r.session_id, r.status) for r in spark.read.parquet(str(tmp_path / "ledger" / str(latest))).collect())
-
-    assert run() == [("s1", "processed"), ("s2", "processed")] == run()
-    (root / "three.jsonl").write_text(line(type="user", message={"content": "x"}, **{**base, "sessionId": "s3"}))
-    assert run() == [("s1", "processed"), ("s2", "processed"), ("s3", "processed")]
-
 
 def test_ledger_files(spark, tmp_path):
     row = {"session_id": "s", "transcript_sha256": "h", "first_seen_at": "t", "last_seen_at": "t", "status": "processed", "extracted_count": 1, "kb_actions": [{"kb": "k", "actions": ["create"]}]}
