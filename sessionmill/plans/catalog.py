@@ -12,7 +12,10 @@ from sessionmill.functions.text import decided_language, iso_of_millis, js_len,
 from sessionmill.operators import candidates as cand
 from sessionmill.operators import compress, index, items, ledger, moves, profile, regions, similarity, telemetry
 from sessionmill.plans import adapters as A
-from sessionmill.sources import stores, transcripts
+from sessionmill.functions.tables import Steps
+from sessionmill.sources import files, stores, transcripts
+from sessionmill.sources.ledgers import LedgerStore
+from sessionmill.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -578,9 +581,12 @@ def demoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.demoted(held, asked, F.lit(A.NOW), registry, ends).select("kb_path", "item_id", "status", "location", "universality", "archive_reason", "archived_at", F.md5("body").alias("body"))
 
 
-@query(f"""WITH {A.ITEMS} SELECT kb_path, concat(CASE WHEN location = 'archive' THEN '.archive' WHEN category = 'decision' THEN 'decisions' WHEN category = 'learning' THEN 'learnings' WHEN category = 'reusable' THEN 'reusable' ELSE 'anti-patterns' END, '/', item_id, '-', slug, '.md') AS file_name,
-  concat_ws(chr(10), '---', 'id: ' || item_id, 'type: ' || category, 'title: "T"', 'summary: ' || to_json(summary)::VARCHAR, 'tags: [' || array_to_string(list_transform(tags, lambda t: '"' || t || '"'), ', ') || ']', 'paths: ["' || paths[1] || '", "' || paths[2] || '"]', 'status: ' || status, 'universality: ' || universality, 'severity: ' || severity,
-  'created: "' || created || '"', 'updated: "' || updated || '"', '---', '', body) AS content FROM items""")
+_RENDERED = f"""{A.ITEMS}, files AS (SELECT *, concat(CASE WHEN location = 'archive' THEN '.archive' WHEN category = 'decision' THEN 'decisions' WHEN category = 'learning' THEN 'learnings' WHEN category = 'reusable' THEN 'reusable' ELSE 'anti-patterns' END, '/', item_id, '-', slug, '.md') AS file_name,
+  concat(concat_ws(chr(10), '---', 'id: ' || item_id, 'type: ' || category, 'title: "T"', 'summary: ' || to_json(summary)::VARCHAR, 'tags: [' || array_to_string(list_transform(tags, lambda t: '"' || t || '"'), ', ') || ']', 'paths: ["' || paths[1] || '", "' || paths[2] || '"]', 'status: "' || status || '"', 'universality: ' || universality,
+  'created: "' || created || '"', 'updated: "' || updated || '"', 'severity: ' || severity, '---', ''), CASE WHEN body = '' THEN '' WHEN body LIKE concat('%', chr(10)) THEN concat(chr(10), body) ELSE concat(chr(10), body, chr(10)) END) AS content FROM items)"""
+
+
+@query(f"WITH {_RENDERED} SELECT kb_path, file_name, content FROM files")
 def rendered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10."""
     return stores.rendered_items(A.items(spark, sf_dir))
@@ -663,3 +669,63 @@ def write_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F17, without the offset, which is the session's."""
     return A.table(spark, sf_dir, "events").select("event_id", F.left(iso_of_millis(F.unix_millis(F.col("ts").cast("timestamp"))), F.lit(19)).alias("at"))
+
+
+@query(f"""WITH {_RENDERED} SELECT kb_path, item_id, category, slug, title, md5(replace(summary, concat(chr(13), chr(10)), concat(chr(13), chr(10)))) AS summary, array_to_string(tags, ',') AS tags, array_to_string(paths, ',') AS paths, status, universality, severity, created, updated, location, file_name[strpos(file_name, '/') + 1:] AS file_name,
+  CASE WHEN summary = '' THEN 'summary' END AS parse_error, md5(CASE WHEN body = '' OR body LIKE concat('%', chr(10)) THEN replace(body, concat(chr(13), chr(10)), chr(10)) ELSE concat(replace(body, concat(chr(13), chr(10)), chr(10)), chr(10)) END) AS body FROM files""")
+def items_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item written as a file of its KB, and all KBs read."""
+    held, root = A.items(spark, sf_dir), Steps(spark, "items").folder
+    rendered = stores.rendered_items(held)
+    files.write_named(rendered.select(F.concat(F.expr("substring(kb_path, 2)"), F.lit("/"), "file_name").alias("name"), "content"), root)
+    found = stores.read_items(held.select(F.concat(F.lit(root), "kb_path").alias("kb_path")).distinct())
+    return found.select(F.substring("kb_path", len(root) + 1, 1 << 30).alias("kb_path"), "item_id", "category", "slug", "title", F.md5("summary").alias("summary"), F.array_join("tags", ",").alias("tags"), F.array_join("paths", ",").alias("paths"), "status", "universality", "severity", "created", "updated", "location", "file_name", "parse_error", F.md5("body").alias("body"))
+
+
+_TRANSCRIPTS = """turns AS (SELECT conv_id, turn, concat('{"type":"', role, '","sessionId":"c', conv_id, '","cwd":"/w","digest":"', md5(text), '"}', CASE WHEN conv_id % 10 = 3 AND turn = 1 THEN '}' ELSE '' END) AS line, role FROM conversations),
+whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS content, count(*) FILTER (role IN ('user', 'assistant')) AS messages FROM turns GROUP BY conv_id)"""
+
+
+def _transcripts(spark: SparkSession, sf_dir: str, turns: Column | None = None) -> DataFrame:
+    """name, content: every conversation as a file of lines, some not JSON, in folders of which some are hidden; ``turns`` tells which turns are in it yet."""
+    c = A.table(spark, sf_dir, "conversations")
+    line = F.concat(F.lit('{"type":"'), "role", F.lit('","sessionId":"c'), F.col("conv_id").cast("string"), F.lit('","cwd":"/w","digest":"'), F.md5("text"), F.lit('"}'), F.when((F.col("conv_id") % 10 == 3) & (F.col("turn") == 1), "}").otherwise(""))
+    c = c.select("conv_id", "turn", line.alias("line"))
+    c = c if turns is None else c.where(turns)
+    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return whole.select("conv_id", F.concat(F.when(F.col("conv_id") % 4 == 0, ".d/").otherwise("d/"), (F.col("conv_id") % 3).cast("string"), F.lit("/c"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("name"), "content")
+
+
+@query(f"""WITH {_TRANSCRIPTS} SELECT concat('c', conv_id) AS session_stem, length(content) AS length, conv_id % 7 = 0 AS has_summary_sibling, sha256(content) AS transcript_sha256, CASE WHEN content LIKE '%}}}}%' THEN 'json_parse_failed' WHEN messages = 0 THEN 'empty_transcript' ELSE 'ok' END AS outcome FROM whole""")
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation written as a file, and all files listed, hashed and read."""
+    root, made = Steps(spark, "transcripts").folder, _transcripts(spark, sf_dir)
+    files.write_named(made.unionByName(made.where("conv_id % 7 = 0").select("conv_id", F.regexp_replace("name", "\\.jsonl$", "-summary.jsonl").alias("name"), F.lit("{}").alias("content"))), root)
+    found = transcripts.list_files(spark, root)
+    read = files.opened(found)
+    told = transcripts.parse_outcomes(transcripts.parsed(files.lines_of(read)))
+    return found.join(files.hashes_of(read), "path").join(told, "path").select("session_stem", "length", "has_summary_sibling", "transcript_sha256", "outcome")
+
+
+@query(f"""WITH {_TRANSCRIPTS}, half AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS content, count(*) FILTER (role IN ('user', 'assistant')) AS messages FROM turns WHERE turn < 3 OR conv_id % 2 = 0 GROUP BY conv_id)
+SELECT '/kb' AS kb_path, concat('c', conv_id) AS session_id, sha256(content) AS transcript_sha256, min(seen) AS first_seen_at FROM (SELECT *, 'first' AS seen FROM half UNION ALL SELECT *, 'second' FROM whole) WHERE messages > 0 GROUP BY conv_id, content""")
+def intake_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan while half of the sessions have three turns at most, and one after they grew; both versions of these are in the ledger."""
+    root = Steps(spark, "intake").folder
+    store = LedgerStore(spark, f"{root}/ledger", buckets=8)
+    for now, turns in (("first", (F.col("turn") < 3) | (F.col("conv_id") % 2 == 0)), ("second", F.col("conv_id") % 2 == 1)):
+        files.write_named(_transcripts(spark, sf_dir, turns), f"{root}/in")
+        intake.stamp(transcripts.list_files(spark, f"{root}/in"), store, "/kb", now)
+    return store.read().select("kb_path", "session_id", "transcript_sha256", "first_seen_at")
+
+
+@query(f"""WITH {A.SESSIONS}, marks AS (SELECT n, session_id, transcript_sha256, n % 3 = 0 AS one, n % 2 = 0 AS two FROM sessions)
+SELECT '/kb' AS kb_path, session_id, transcript_sha256, CASE WHEN two THEN 2 ELSE 1 END AS extracted_count, CASE WHEN one THEN 't1' ELSE 't2' END AS first_seen_at, CASE WHEN two THEN 't2' ELSE 't1' END AS last_seen_at FROM marks WHERE one OR two""")
+def ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two changes of a ledger that is kept in buckets, the second one handed in twice."""
+    store = LedgerStore(spark, Steps(spark, "ledger").folder, buckets=8)
+    n, nothing = F.col("modification_ms") / 1000, F.lit(None).cast("string")
+    for turn, chosen in ((1, n % 3 == 0), (2, n % 2 == 0), (2, n % 2 == 0)):
+        stamps = A.sessions(spark, sf_dir).where(chosen).select(F.lit("/kb").alias("kb_path"), "session_id", "transcript_sha256", F.col("modification_ms").alias("transcript_mtime_ms"), F.lit("processed").alias("status"), nothing.alias("skipped_reason"), F.lit(turn).alias("extracted_count"), F.array().cast(ledger.ACTIONS).alias("kb_actions"), nothing.alias("failure_reason"), F.lit(0).alias("stamp_order"))
+        store.upsert(stamps, F.lit(f"t{turn}"), "marks", turn)
+    return store.read().select("kb_path", "session_id", "transcript_sha256", "extracted_count", "first_seen_at", "last_seen_at")

@@ -8,15 +8,19 @@ pyarrow knows (local, HDFS, S3, GCS).
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import sessionmill
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionmill.functions.tables import Steps
+
 BATCH_LINES, BATCH_CHARS, CHUNK = 2_000, 4 << 20, 1 << 20
 TASK_BYTES = 128 << 20
 READ = "path string, line_no long, raw string, transcript_sha256 string"
@@ -107,6 +111,72 @@ def numbered_lines(read: DataFrame) -> DataFrame:
     return placed.where(F.regexp_replace("value", r"\s+", "") != "").select("path", (F.col("ahead") + F.col("id") - F.col("first") + 1).alias("line_no"), F.col("value").alias("raw"))
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+    for given in batches:
+        for folder in given["path"].to_pylist():
+            store, place = store_of(folder)
+            found = store.get_file_info(pafs.FileSelector(place, allow_not_found=True))
+            # the address of a place as its folder was given
+            head = folder[: len(folder) - len(place)] if folder.endswith(place) else ""
+            rows = [(head + i.path, folder, i.type == pafs.FileType.Directory, (i.mtime_ns or 0) // 1_000_000, i.size or 0) for i in found]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "dir", "is_dir", "modification_ms", "length"])
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """path, dir, modification_ms, length of every file below ``root``, hidden and empty ones too. Nothing is opened.
+
+    A job for each level of folders, each of them listed where a task runs, so that no
+    process holds the whole tree.
+    """
+    cloudpickle.register_pickle_by_value(sessionmill)
+    steps, level, levels = Steps(spark, "walk"), spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), []
+    while True:
+        found = level.select("path").mapInArrow(_entries, "path string, dir string, is_dir boolean, modification_ms long, length long")
+        found = steps.store(found, f"level-{len(levels)}")
+        levels.append(found.where("NOT is_dir"))
+        level = found.where("is_dir")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels).drop("is_dir")
+        level = level.repartition(spark.sparkContext.defaultParallelism, "path")
+
+
+def _whole(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    named = re.compile(pattern)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["folder", "file_name", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            rows, size = [], 0
+            for folder in given["folder"].to_pylist():
+                store, place = store_of(folder)
+                for info in store.get_file_info(pafs.FileSelector(place, allow_not_found=True)):
+                    if info.type == pafs.FileType.File and named.fullmatch(info.base_name):
+                        with store.open_input_stream(info.path) as stream:
+                            rows.append((folder, info.base_name, stream.read().decode("utf-8", "replace")))
+                        size += info.size or 0
+                        if len(rows) >= BATCH_LINES or size >= BATCH_CHARS:
+                            yield batch(rows)
+                            rows, size = [], 0
+            if rows:
+                yield batch(rows)
+
+    return run
+
+
+def whole_files(folders: DataFrame, pattern: str) -> DataFrame:
+    """folder, file_name, text of the files of ``folders(folder)`` whose whole name fits ``pattern``; folders that are not there have none.
+
+    For small files. Folders are listed where the tasks run, hidden ones too, which
+    Spark's readers leave out.
+    """
+    cloudpickle.register_pickle_by_value(sessionmill)
+    return folders.select("folder").mapInArrow(_whole(pattern), "folder string, file_name string, text string")
+
+
 def _written(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = store_of(root)

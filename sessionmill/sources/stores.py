@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.functions.text import category_dir, category_of_letter, slug_of_file
+from sessionmill.functions.text import CATEGORIES, category_dir, category_of_letter, slug_of_file
+from sessionmill.functions.yaml import YamlError, read_yaml
+from sessionmill.operators.items import item_error
+from sessionmill.sources.files import whole_files
 
 SESSION = "session_id string, transcript_sha256 string, transcript_mtime_ms bigint, first_seen_at string, last_seen_at string, status string, skipped_reason string, extracted_count int, kb_actions array<struct<kb:string,actions:array<string>>>, failure_reason string"
 LEDGER = f"schema_version int, last_run string, sessions array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in SESSION.split(', '))}>>, _corrupt_record string"
@@ -38,59 +41,55 @@ def ledger_json(ledger: DataFrame, now: str) -> DataFrame:
     return ledger.groupBy("kb_path").agg(document.alias("content"))
 
 
-def _front_matter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """YAML scalars stay text: dates and booleans are not guessed."""
-    import json
-
-    def scalar(text: str) -> str:
-        text = text.strip()
-        if text[:1] == '"' and text[-1:] == '"' and len(text) > 1:
-            try:
-                return json.loads(text)
-            except ValueError:
-                return text[1:-1]
-        return text[1:-1].replace("''", "'") if text[:1] == "'" and text[-1:] == "'" and len(text) > 1 else text
-
-    def parse(front: str | None) -> dict:
-        out: dict = {}
-        key = None
-        for line in (front or "").split("\n"):
-            if line.startswith(("- ", "  - ")) and key in LISTS:
-                out[key].append(scalar(line.split("- ", 1)[1]))
-            elif ":" in line and not line.startswith((" ", "#")):
-                key, _, value = line.partition(":")
-                value = value.strip()
-                if key in LISTS:
-                    out[key] = [scalar(x) for x in value[1:-1].split(",") if x.strip()] if value.startswith("[") else []
-                elif value:
-                    out[key] = scalar(value)
-        return out
+OPTIONAL = ("related", "severity", "archived_at", "archive_reason")
+FRONT = ", ".join(["path string", *[f"{n} string" for n in FIELDS], *[f"{n} array<string>" for n in LISTS], "error string"])
 
+
+def front_fields(front: str) -> dict:
+    """The fields of a front matter, and error: yaml if it is none, mapping if it is no mapping, else the first optional field that is there but no text (or no list of texts)."""
+    try:
+        found = read_yaml(front)
+    except YamlError:
+        return {"error": "yaml"}
+    if not isinstance(found, dict):
+        return {"error": "mapping"}
+    is_list = lambda v: isinstance(v, list) and all(isinstance(x, str) for x in v)
+    out = {n: found[n] for n in FIELDS if isinstance(found.get(n), str)} | {n: found[n] for n in LISTS if is_list(found.get(n))}
+    return out | {"error": next((n for n in OPTIONAL if n in found and (n not in out or out[n] == "")), None)}
+
+
+def _front_matter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["path", *FIELDS, *LISTS, "error"]
     for batch in batches:
-        rows = [parse(f) for f in batch["front"]]
-        yield pd.DataFrame({"path": batch["path"], **{n: [r.get(n) for r in rows] for n in (*FIELDS, *LISTS)}})
+        rows = [front_fields(f) for f in batch["front"].to_pylist()]
+        columns = [pa.array([r.get(n) for r in rows], pa.list_(pa.string()) if n in LISTS else pa.string()) for n in names[1:]]
+        kept = ["folder", "file_name", "framed", "body"]
+        yield pa.RecordBatch.from_arrays([batch["path"], *columns, *[batch[n] for n in kept]], names=[*names, *kept])
 
 
-def read_items(spark: SparkSession, root: str) -> DataFrame:
-    """Item files under ``root``: an item row each, whether valid or not.
+def read_items(kbs: DataFrame) -> DataFrame:
+    """The item files of ``kbs(kb_path)``, in their category folders and the archive: an item row each, whether valid or not.
 
-    Columns are those of the item operators, with file_name and parse_error (no
-    front matter). Only the front matter goes through Python.
+    Columns are those of the item operators, with related, file_name and parse_error:
+    frontmatter (no block), yaml, mapping, the first field that is missing or not as it
+    should be, or directory (of another category). Only the front matter goes through
+    the parser, as YAML 1.2: dates stay text, and numbers and booleans are no text.
     """
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="[DLRA]-[0-9][0-9][0-9]-*.md").select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("text"))
-    whole = r"(?s)^---\n(.*?)\n---\n?\n?(.*)$"
-    files = files.select("path", "text", F.regexp_extract("text", whole, 1).alias("front"), F.regexp_extract("text", whole, 2).alias("body"))
-    kinds = ", ".join(["path string", *[f"{n} string" for n in FIELDS], *[f"{n} array<string>" for n in LISTS]])
-    fields = files.select("path", "front").mapInPandas(_front_matter, kinds)
-    name, folder = F.regexp_extract("path", r"([^/]+)$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    out = files.join(fields, "path").withColumns({"file_name": name, "folder": folder})
-    category = F.when(F.col("folder") == ".archive", category_of_letter(F.left("file_name", F.lit(1)))).otherwise(F.col("type"))
-    return out.select(
-        F.regexp_extract("path", r"^(?:file:(?://)?)?(.*)/[^/]+/[^/]+$", 1).alias("kb_path"), F.col("id").alias("item_id"), category.alias("category"), slug_of_file(F.col("file_name"), F.col("id")).alias("slug"),
-        "title", "summary", "tags", "paths", "status", "universality", "severity", "created", "updated", "archived_at", "archive_reason",
-        F.when(F.col("folder") == ".archive", "archive").otherwise("active").alias("location"), "body", "file_name",
-        F.when(F.col("front") == "", "frontmatter").when((F.col("folder") != ".archive") & (F.col("folder") != category_dir(F.col("type"))), "directory").alias("parse_error"),
+    folders = [*(c[1] for c in CATEGORIES), ".archive"]
+    spread = kbs.select(F.explode(F.array(*[F.concat(F.regexp_replace("kb_path", "/+$", ""), F.lit(f"/{f}")) for f in folders])).alias("folder"))
+    files = whole_files(spread, r"[DLRA]-[0-9]{3}-.*\.md").select(F.concat_ws("/", "folder", "file_name").alias("path"), "folder", "file_name", F.regexp_replace("text", "\r\n", "\n").alias("text"))
+    whole = r"(?s)\A---\n((?:.*?\n)??)---(?:\n\n?|\z)(.*)\z"
+    framed = files.select("path", "folder", "file_name", F.col("text").rlike(whole).alias("framed"), F.regexp_replace(F.regexp_extract("text", whole, 1), r"\n\z", "").alias("front"), F.regexp_extract("text", whole, 2).alias("body"))
+    out = framed.mapInArrow(_front_matter, f"{FRONT}, folder string, file_name string, framed boolean, body string")
+    out = out.withColumns({"kb_path": F.regexp_extract("folder", r"^(.*)/[^/]+$", 1), "folder": F.regexp_extract("folder", r"([^/]+)$", 1)})
+    category = F.when(F.col("folder") == ".archive", F.coalesce("type", category_of_letter(F.left("file_name", F.lit(1))))).otherwise(F.col("type"))
+    out = out.select(
+        "kb_path", F.col("id").alias("item_id"), category.alias("category"), slug_of_file(F.col("file_name"), F.col("id")).alias("slug"), "title", "summary", "tags", "paths", "status", "universality", "severity", "created", "updated", "archived_at", "archive_reason",
+        F.when(F.col("folder") == ".archive", "archive").otherwise("active").alias("location"), "body", "related", "file_name", "framed", "folder", "type", "error",
     )
+    early = F.when(~F.col("framed"), "frontmatter").when(F.col("error").isin("yaml", "mapping"), F.col("error"))
+    late = F.when((F.col("folder") != ".archive") & (F.col("folder") != category_dir(F.col("type"))), "directory")
+    return out.withColumn("parse_error", F.coalesce(early, item_error(), "error", late)).drop("framed", "folder", "type", "error")
 
 
 def rendered_items(items: DataFrame) -> DataFrame:
@@ -106,9 +105,12 @@ def rendered_items(items: DataFrame) -> DataFrame:
         text = F.to_json(F.array(name))
         return F.when(F.col(name).isNotNull(), text.substr(F.lit(2), F.length(text) - 2))
 
-    parts = [line("id", F.col("item_id")), line("type", F.col("category")), line("title", quoted("title")), line("summary", quoted("summary")), flow("tags"), flow("paths"), line("status", F.col("status")), line("universality", F.col("universality"))]
-    parts += [line("severity", F.col("severity")), line("created", quoted("created")), line("updated", quoted("updated")), line("archived_at", quoted("archived_at")), line("archive_reason", quoted("archive_reason"))]
-    content = F.concat(F.lit("---\n"), F.concat_ws("\n", *parts), F.lit("\n---\n\n"), F.col("body"))
+    parts = [line("id", F.col("item_id")), line("type", F.col("category")), line("title", quoted("title")), line("summary", quoted("summary")), flow("tags"), flow("paths"), line("status", quoted("status")), line("universality", F.col("universality"))]
+    parts += [line("created", quoted("created")), line("updated", quoted("updated"))] + ([F.when(F.col("related").isNotNull(), flow("related"))] if "related" in items.columns else [])
+    parts += [line("severity", F.col("severity")), line("archived_at", quoted("archived_at")), line("archive_reason", quoted("archive_reason"))]
+    # a body ends with a line feed, and an empty one leaves no blank line
+    body = F.when(F.col("body") == "", "").when(F.endswith("body", F.lit("\n")), F.concat(F.lit("\n"), "body")).otherwise(F.concat(F.lit("\n"), "body", F.lit("\n")))
+    content = F.concat(F.lit("---\n"), F.concat_ws("\n", *parts), F.lit("\n---\n"), body)
     folder = F.when(F.col("location") == "archive", ".archive").otherwise(category_dir(F.col("category")))
     return items.select("kb_path", F.concat(folder, F.lit("/"), "item_id", F.lit("-"), "slug", F.lit(".md")).alias("file_name"), content.alias("content"))
 

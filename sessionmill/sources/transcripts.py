@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionmill.sources.files import walk
+
 SUMMARY_SUFFIX = "-summary"
 RAW_BLOCK = "array<struct<type:string,text:string,id:string,name:string,input:variant,tool_use_id:string,content:variant,is_error:variant>>"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Transcripts under ``root``, without opening them: path, dir, session_stem, modification_ms, length, has_summary_sibling."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root).drop("content")
-    stem = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
-    files = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir"), stem.alias("session_stem"), F.unix_millis("modificationTime").alias("modification_ms"), "length")
+    files = walk(spark, root).where("path LIKE '%.jsonl'")
+    files = files.select("path", "dir", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("session_stem"), "modification_ms", "length")
     is_summary = F.col("session_stem").endswith(SUMMARY_SUFFIX)
     siblings = files.where(is_summary).select("dir", F.regexp_replace("session_stem", f"{SUMMARY_SUFFIX}$", "").alias("session_stem")).withColumn("has_summary_sibling", F.lit(True))
     return files.where(~is_summary).join(siblings, ["dir", "session_stem"], "left").withColumn("has_summary_sibling", F.coalesce("has_summary_sibling", F.lit(False)))
@@ -32,9 +33,40 @@ def _flag(path: str) -> Column:
     return F.coalesce(F.when(F.schema_of_variant(_get(path, "variant")) == "BOOLEAN", _get(path, "boolean")), F.lit(False))
 
 
+DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
+
+
+def strict_json(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the value of JSON text, null if it is not exactly one value; of a key that is given twice the last counts.
+
+    Spark's parser takes what follows a value for nothing. So the text is read as the
+    first of two elements of a list; the second is made from the text's hash, and no
+    text closes the list before it and still ends in it.
+    """
+    spark = df.sparkSession
+    seal = F.hex(F.xxhash64(column))
+    before = spark.conf.get(DUPLICATES)
+    # the setting is read as the expression is made
+    spark.conf.set(DUPLICATES, "true")
+    try:
+        out = df.withColumn(name, F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(',"'), seal, F.lit('"]'))))
+        out.schema  # noqa: B018
+    finally:
+        spark.conf.set(DUPLICATES, before)
+    sealed = (F.try_variant_get(name, "$[1]", "string") == seal) & F.try_variant_get(name, "$[2]", "variant").isNull()
+    return out.withColumn(name, F.when(sealed, F.try_variant_get(name, "$[0]", "variant")))
+
+
+def plain_numbers(text: Column) -> Column:
+    """JSON text with fractions as short as they can be: 1.0 is 1 and 2.50 is 2.5; strings stay. Exponents are left as they are."""
+    string = r'("(?:[^"\\]|\\.)*+")'
+    zeros = F.regexp_replace(text, rf"{string}|(-?[0-9]+)\.0+(?![0-9eE])", "$1$2")
+    return F.regexp_replace(zeros, rf"{string}|(-?[0-9]+\.[0-9]*[1-9])0+(?![0-9eE])", "$1$2")
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """Lines as values: path, line_no, raw, is_bad, type, and of messages session_id, cwd, uuid, ts, is_sidechain."""
-    out = raw.withColumn("v", F.try_parse_json("raw"))
+    out = strict_json(raw, "raw", "v")
     return out.select(
         "path", "line_no", "raw", "v", F.col("v").isNull().alias("is_bad"), _string("$.type").alias("type"), _string("$.sessionId").alias("session_id"), _string("$.cwd").alias("cwd"),
         F.coalesce(_string("$.uuid"), F.lit("")).alias("uuid"), F.coalesce(_string("$.timestamp"), F.lit("")).alias("ts"), _flag("$.isSidechain").alias("is_sidechain"),
@@ -79,5 +111,5 @@ def blocks(found: DataFrame) -> DataFrame:
     # the input keeps the order of its keys as text
     given = F.expr("get_json_object(raw, concat('$.message.content[', block_no, '].input'))")
     known = (kind == "text") & text.isNotNull() | (kind == "tool_use") & _string("$.name").isNotNull() | (kind == "tool_result")
-    out = rows.select("path", "seq", "block_no", "role", "uuid", "ts", "is_sidechain", "cwd", F.when(known, kind).alias("kind"), F.when(known, text).alias("text"), F.when(kind == "tool_use", _string("$.name")).alias("tool_name"), F.when(kind == "tool_use", F.coalesce(given, F.lit("{}"))).alias("input_json"), F.when(kind == "tool_result", _flag("$.is_error")).otherwise(F.lit(False)).alias("is_error"))
+    out = rows.select("path", "seq", "block_no", "role", "uuid", "ts", "is_sidechain", "cwd", F.when(known, kind).alias("kind"), F.when(known, text).alias("text"), F.when(kind == "tool_use", _string("$.name")).alias("tool_name"), F.when(kind == "tool_use", F.coalesce(plain_numbers(given), F.lit("{}"))).alias("input_json"), F.when(kind == "tool_result", _flag("$.is_error")).otherwise(F.lit(False)).alias("is_error"))
     return out.join(ids, "path")

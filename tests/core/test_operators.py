@@ -247,17 +247,27 @@ def test_index_stays_short(spark):
 
 
 def test_item_files_round_trip(spark, tmp_path):
-    rows = [item("x", "D-001", "decision", "a-b"), item("x", "A-002", "anti-pattern", "quote", severity="critical", where=["p,q", "r"])]
-    for r in stores.rendered_items(spark.createDataFrame(rows, ITEM)).collect():
-        path = tmp_path / "kb" / r.file_name
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(r.content)
-    (tmp_path / "kb" / "learnings").mkdir()
-    (tmp_path / "kb" / "learnings" / "L-001-x.md").write_text("no front matter")
-    got = {r.item_id or r.file_name: r for r in stores.read_items(spark, str(tmp_path / "kb")).collect()}
-    assert got["D-001"].tags == ["auth", "jwt"] and got["D-001"].body == rows[0][-1] and got["D-001"].parse_error is None
-    assert got["A-002"].slug == "quote" and got["A-002"].severity == "critical" and got["A-002"].summary == "about quote"
-    assert got["L-001-x.md"].parse_error == "frontmatter"
+    odd = ["a,b", 'q"uo\'te', "# no comment", "true", "12", "-", "line\nfeed\t", "\u00e9 \U0001f600 \x07", ": x", "[", "~"]
+    rows = [item("x", "D-001", "decision", "a-b"), item("x", "A-002", "anti-pattern", "quote", severity="critical", where=["p,q", "r"]), item("x", "L-003", "learning", "old", location="archive", status="archived")]
+    rows += [(*item("x", f"R-{i:03d}", "reusable", f"odd-{i}", tags=[t, "plain"], where=[t])[:4], t, t, [t, "plain"], [t], "superseded-by-cross:../a b:D-001", "universal", None, "2024", "2025", None, None, "active", f"---\n{t}\n") for i, t in enumerate(odd)]
+    frame = spark.createDataFrame(rows, ITEM)
+    stored = stores.rendered_items(frame).select(F.concat_ws("/", F.lit("kb"), "file_name").alias("name"), "content")
+    assert named.write_named(stored, str(tmp_path)) == len(rows)
+    broken = {"L-001-x.md": "no front matter", "L-002-x.md": "---\nid: L-002\n", "L-003-x.md": "---\nid: [\n---\n", "L-004-x.md": "---\n- a\n---\n", "L-005-x.md": "---\n---\nbody", "L-006-x.md": "---\nid: L-006\ntype: learning\ntitle: 12\n---\n"}
+    valid = "---\nid: D-009\ntype: decision\ntitle: One # note\nsummary: >-\n  folded\n  text\ntags:\n  - 'a'\n  - b\npaths: []\nstatus: active\nuniversality: universal\ncreated: 2024-01-01\nupdated: 2024-01-02T00:00:00+09:00\n"
+    broken |= {"D-009-x.md": valid + "---\n", "L-007-x.md": valid + "severity: [x]\n---\n", "L-008-x.md": valid + "related: [D-001]\n---\n\nbody\n---\n"}
+    (tmp_path / "kb" / "learnings").mkdir(exist_ok=True)
+    for name, content in broken.items():
+        (tmp_path / "kb" / "learnings" / name).write_text(content)
+    got = {r.file_name: r for r in stores.read_items(spark.createDataFrame([(str(tmp_path / "kb"),), (str(tmp_path / "none"),)], "kb_path string")).collect()}
+    columns = [f.split()[0] for f in ITEM.split(", ")]
+    for row in rows:
+        want, r = dict(zip(columns, row, strict=True)), got[f"{row[1]}-{row[3]}.md"]
+        assert r.parse_error is None and {c: r[c] for c in columns[1:-1]} == {c: want[c] for c in columns[1:-1]}
+        assert r.body == want["body"].removesuffix("\n") + "\n"
+    errors = {"L-001": "frontmatter", "L-002": "frontmatter", "L-003": "yaml", "L-004": "mapping", "L-005": "mapping", "L-006": "title", "L-007": "severity", "L-008": "directory", "D-009": "directory"}
+    assert {n: got[f"{n}-x.md"].parse_error for n in errors} == errors
+    assert (got["D-009-x.md"].title, got["D-009-x.md"].summary, got["D-009-x.md"].tags, got["D-009-x.md"].created) == ("One", "folded text", ["a", "b"], "2024-01-01") and got["L-008-x.md"].body == "body\n---\n" and got["L-008-x.md"].related == ["D-001"]
 
 
 def test_transcript_files(spark, tmp_path):

@@ -45,22 +45,34 @@ def test_only_unknown_files_are_opened(spark, tmp_path):
         (root / f"{name}.jsonl").write_text(line(name) + "\n\n" + line(name, "more") + "\n")
     (root / "empty.jsonl").write_text("")
     found = transcripts.list_files(spark, str(tmp_path / "in")).cache()
-    assert found.count() == 3
+    assert found.count() == 4
     store = LedgerStore(spark, str(tmp_path / "ledger"), buckets=8)
     times = {r.session_stem: r.modification_ms for r in found.collect()}
     store.upsert(spark.createDataFrame([("/kb", "a", "old", times["a"], "processed", None, 0, [], None, 0), ("/kb", "b", "old", 0, "processed", None, 0, [], None, 0)], STAMP), F.lit("t"))
     # a file that is gone can only be left unopened
     (root / "a.jsonl").unlink()
     fresh = unknown_files(found, store)
-    assert sorted(r.session_stem for r in fresh.collect()) == ["b", "c"]
-    # Spark's listing leaves empty files out
-    read = files.opened(fresh.select("path", "length").union(spark.createDataFrame([(str(root / "empty.jsonl"), 0)], "path string, length long"))).cache()
+    assert sorted(r.session_stem for r in fresh.collect()) == ["b", "c", "empty"]
+    read = files.opened(fresh).cache()
     assert {(r.path.rsplit("/", 1)[1], r.transcript_sha256) for r in files.hashes_of(read).collect()} == {(f"{n}.jsonl", sha(root / f"{n}.jsonl")) for n in ("b", "c", "empty")}
     assert sorted((r.path[-7], r.line_no) for r in files.lines_of(read).collect()) == [("b", 1), ("b", 3), ("c", 1), ("c", 3)]
     with pytest.raises(Exception, match="a.jsonl"):
         files.opened(found).collect()
 
 
+def test_a_walk_sees_hidden_and_empty_files(spark, tmp_path):
+    for name in (".h/a/x.jsonl", "_u/y.jsonl", "z.jsonl", "b c/é.jsonl", "b c/d/e/f/z-summary.jsonl", "b c/d/e/f/z.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name == "z.jsonl" else "12345")
+    (tmp_path / "empty").mkdir()
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {r.path.removeprefix(root.rstrip("/"))[1:]: r for r in files.walk(spark, root).collect()}
+        assert len(got) == 6 and got["z.jsonl"].length == 0 and got[".h/a/x.jsonl"].length == 5 and got["_u/y.jsonl"].modification_ms == int((tmp_path / "_u/y.jsonl").stat().st_mtime_ns // 1_000_000)
+    found = {r.path.removeprefix(str(tmp_path)): r.has_summary_sibling for r in transcripts.list_files(spark, str(tmp_path)).collect()}
+    assert len(found) == 5 and [p for p, s in found.items() if s] == ["/b c/d/e/f/z.jsonl"]
+    assert files.walk(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_line_numbers_over_splits(spark, tmp_path):
     draw = random.Random(3)
     for name in "ab":
@@ -159,3 +171,17 @@ def test_named_files(spark, tmp_path):
     assert files.write_named(spark.createDataFrame(rows[:1], "name string, content string"), f"file:{tmp_path / 'out'}") == 1
     found = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
     assert found == dict(rows)
+
+
+def test_strict_json(spark):
+    texts = ['{"a":1}', ' {"a":1} \r', '{"a":1}}', '{"a":1} x', '{"a":1},{"b":2}', '{"a":1}]', '{"a":1},"', "{oops", "", '{"a":1,"a":2}', "NaN", "{'a':1}", "5", '"s"', "[1,2]", "null", '{"a":"]\\"}"}']
+    frame = transcripts.strict_json(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", "v")
+    got = {texts[r.i]: r.v for r in frame.select("i", F.to_json("v").alias("v")).collect()}
+    want = {'{"a":1}': '{"a":1}', ' {"a":1} \r': '{"a":1}', '{"a":1,"a":2}': '{"a":2}', "5": "5", '"s"': '"s"', "[1,2]": "[1,2]", "null": "null", '{"a":"]\\"}"}': '{"a":"]\\"}"}'}
+    assert got == {t: want.get(t) for t in texts}
+    assert spark.conf.get(transcripts.DUPLICATES) == "false"
+
+
+@pytest.mark.parametrize(("text", "want"), [('{"z":1.0,"a":[2.50,-3.00,10,0.5]}', '{"z":1,"a":[2.5,-3,10,0.5]}'), ('{"s":"1.0, 2.50","t":"\\"1.0"}', '{"s":"1.0, 2.50","t":"\\"1.0"}'), ("1.0e5", "1.0e5"), ("100", "100"), ("1.05", "1.05"), ("[1.0,1.10]", "[1,1.1]")])
+def test_numbers_are_written_short(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(transcripts.plain_numbers(F.col("t")).alias("v")).first().v == want
