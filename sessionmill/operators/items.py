@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionmill.functions.paths import dropped_outside, kept_within, resolved
+from sessionmill.functions.paths import dropped_outside, kept_within
+from sessionmill.functions.tables import Steps
 from sessionmill.functions.text import CATEGORIES, SEVERITIES, UNIVERSALITIES, category_letter, js_len, title_of_slug, with_history
 from sessionmill.operators.candidates import HEADING, SLUG, TAG
-from sessionmill.operators.regions import kept_paths, routes
+from sessionmill.operators.regions import kept_of, kept_paths, path_owners
 from sessionmill.operators.similarity import CAP, active_counts
 
 MOST_IDS = 999
@@ -119,7 +120,8 @@ def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
         ids.append(None if code else last)
         fills.append(filled)
         spends.append(spent)
-    return pd.DataFrame({"req_id": rows["req_id"].to_numpy(), "code": codes, "number": pd.array(ids, dtype="Int64"), "filled_at": pd.array(fills, dtype="Int64"), "spent_at": pd.array(spends, dtype="Int64")})
+    out = {"req_id": rows["req_id"].to_numpy(), "code": codes, "number": pd.array(ids, dtype="Int64"), "filled_at": pd.array(fills, dtype="Int64"), "spent_at": pd.array(spends, dtype="Int64")}
+    return pd.DataFrame({**{g: rows[g].to_numpy() for g in GROUP}, **out})
 
 
 def created(requests: DataFrame, items: DataFrame) -> DataFrame:
@@ -130,25 +132,27 @@ def created(requests: DataFrame, items: DataFrame) -> DataFrame:
     A group that is full or out of ids stays so, so only as many requests as can
     matter are walked through in order; those after them get the state it ended in.
     """
+    steps = Steps(items.sparkSession, "creates")
     state = items.groupBy(*GROUP).agg(F.count_if((F.col("status") == "active") & (F.col("location") == "active")).alias("active"), F.max(F.substring("item_id", 3, 3).cast("int")).alias("last_id"))
     held = items.select(*GROUP, F.explode(slug_suffixes(F.col("slug"))).alias("title_slug")).distinct().withColumn("clash", F.lit(True))
-    known = requests.join(state, GROUP, "left").join(held, [*GROUP, "title_slug"], "left")
-    known = known.withColumns({"active": F.coalesce("active", F.lit(0)), "last_id": F.coalesce("last_id", F.lit(0)), "clash": F.coalesce("clash", F.lit(False)), "region_ok": (F.col("n_paths") == 0) | (F.col("n_kept") > 0)})
+    known = requests.select("req_id", "req_order", *GROUP, "title_slug", ((F.col("n_paths") == 0) | (F.col("n_kept") > 0)).alias("region_ok"))
+    known = known.join(state, GROUP, "left").join(held, [*GROUP, "title_slug"], "left")
+    known = steps.store(known.withColumns({"active": F.coalesce("active", F.lit(0)), "last_id": F.coalesce("last_id", F.lit(0)), "clash": F.coalesce("clash", F.lit(False))}), "known")
     # An accepted slug of k words refuses at most the k suffixes of it, each once for each repetition; a slug's later
-    # repetitions can never be accepted, so only its first request in the group is walked.
-    passes = F.col("region_ok") & ~F.col("clash")
-    first = F.row_number().over(Window.partitionBy(*GROUP, "title_slug", passes).orderBy("req_order"))
-    known = known.withColumn("walked", passes & (first == 1))
-    walk = known.where("walked").withColumn("turn", F.row_number().over(Window.partitionBy(*GROUP).orderBy("req_order")))
-    # fewer than CAP accepted slugs refuse at most as many others each as the longest has words: by then the group is full or out of ids
-    longest = F.max(F.size(F.split("title_slug", "-"))).over(Window.partitionBy(*GROUP))
-    walk = walk.withColumn("most", (longest + 1) * CAP).where(F.col("turn") <= F.col("most"))
-    verdicts = walk.groupBy(*GROUP).applyInPandas(_in_order, "req_id bigint, code string, number bigint, filled_at bigint, spent_at bigint")
-    ends = walk.select("req_id", *GROUP).join(verdicts.select("req_id", "filled_at", "spent_at"), "req_id").groupBy(*GROUP).agg(F.min("filled_at").alias("filled_at"), F.min("spent_at").alias("spent_at"))
-    out = known.join(verdicts.drop("filled_at", "spent_at"), "req_id", "left").join(ends, GROUP, "left")
+    # repetitions can never be accepted, so only its first request in the group is walked. Fewer than CAP accepted slugs
+    # refuse at most as many others each as the longest has words: by then the group is full or out of ids. So only so many
+    # of a group matter, and each task keeps no more of it before they meet.
+    longest = known.agg(F.max(F.size(F.split("title_slug", "-")))).first()[0] or 0
+    first = F.row_number().over(Window.partitionBy(*GROUP, "title_slug").orderBy("req_order"))
+    turn = F.row_number().over(Window.partitionBy(*GROUP).orderBy("req_order"))
+    walk = known.where("region_ok AND NOT clash").withColumn("first", first).where(F.col("first") == 1).withColumn("turn", turn).where(F.col("turn") <= (longest + 1) * CAP)
+    kinds = ", ".join([*(f"{g} string" for g in GROUP), f"req_id {requests.schema['req_id'].dataType.simpleString()}", "code string, number bigint, filled_at bigint, spent_at bigint"])
+    verdicts = steps.store(walk.groupBy(*GROUP).applyInPandas(_in_order, kinds), "verdicts")
+    ends = verdicts.groupBy(*GROUP).agg(F.min("filled_at").alias("filled_at"), F.min("spent_at").alias("spent_at"))
+    out = known.join(verdicts.select("req_id", "code", "number", F.lit(True).alias("walked")), "req_id", "left").join(ends, GROUP, "left")
     full = (F.col("active") >= CAP) | F.coalesce(F.col("req_order") > F.col("filled_at"), F.lit(False))
     spent = (F.col("last_id") >= MOST_IDS) | F.coalesce(F.col("req_order") > F.col("spent_at"), F.lit(False))
-    own = F.when(full, "category_full").when(~F.col("region_ok"), "region_violation").when(spent, "id_exhausted").when(~F.col("walked"), "duplicate_slug").otherwise(F.col("code"))
+    own = F.when(full, "category_full").when(~F.col("region_ok"), "region_violation").when(spent, "id_exhausted").when(F.col("walked").isNull(), "duplicate_slug").otherwise(F.col("code"))
     out = out.withColumn("code", own)
     return out.select("req_id", *GROUP, F.when(F.col("code").isNull(), F.concat(category_letter(F.col("category")), F.lit("-"), F.lpad(F.col("number").cast("string"), 3, "0"))).alias("item_id"), "code")
 
@@ -158,24 +162,30 @@ def create_verdicts(requests: DataFrame, items: DataFrame, registry: DataFrame)
 
     ``requests`` has req_id, req_order, kb_path, category, title_slug, summary, tags,
     paths, universality, severity, body; ``registry`` kb_path and kb_dir. A request
-    whose paths all lie in one other KB goes there; paths outside its KB's region
-    are dropped, and severity is kept for anti-patterns only. Fields out of bounds
-    are refused before anything else.
+    whose paths all lie in one other KB goes there, and its relative paths are seen from
+    there then; paths outside its KB's region are dropped, and severity is kept for
+    anti-patterns only. Fields out of bounds are refused before anything else.
+    Contents are judged where they lie and joined again at the end: what is routed and
+    walked in order is keys and paths.
     """
-    bound = requests.withColumn("bad", written_verdict("universality"))
-    known = bound.join(registry.select("kb_path", F.col("kb_dir").alias("asked_dir")), "kb_path", "left")
-    each = known.select(F.col("req_id").alias("item_key"), F.explode("paths").alias("given"), "asked_dir").select("item_key", resolved(F.col("asked_dir"), F.col("given")).alias("path"))
-    routed = routes(each, registry).select(F.col("item_key").alias("req_id"), F.col("kb_path").alias("canonical"))
-    sent = known.join(routed, "req_id", "left").withColumn("rerouted_from", F.when(F.col("canonical") != F.col("kb_path"), F.col("kb_path"))).withColumn("kb_path", F.coalesce("canonical", "kb_path"))
-    # relative paths are seen from the KB that was asked for
-    sent = sent.withColumn("paths", F.transform("paths", lambda p: resolved(F.col("asked_dir"), p))).drop("asked_dir", "canonical")
-    sent = sent.join(registry.select("kb_path", "kb_dir"), "kb_path", "left")
-    kept = kept_paths(sent.select(F.col("req_id").alias("item_key"), "kb_path", "kb_dir", "paths"), registry).withColumnRenamed("item_key", "req_id")
-    sent = sent.join(kept, "req_id")
+    steps = Steps(items.sparkSession, "routes")
+    dirs = registry.select("kb_path", "kb_dir")
+    asked = requests.select("req_id", "req_order", *GROUP, "title_slug", "paths", written_verdict("universality").alias("bad")).join(dirs, "kb_path", "left")
+    asked = steps.store(asked, "asked")
+    found = path_owners(asked.withColumnRenamed("req_id", "item_key"), registry).withColumnRenamed("item_key", "req_id")
+    # the one KB of all that lie in any
+    kbs = F.array_distinct(F.filter(F.transform("owned", lambda o: o["owner"]), lambda k: k.isNotNull()))
+    routed = asked.join(found, "req_id", "left").withColumn("target", F.when(F.size(kbs) == 1, F.get(kbs, F.lit(0))))
+    routed = steps.store(routed.withColumn("rerouted_from", F.when(F.col("target") != F.col("kb_path"), F.col("kb_path"))).withColumn("kb_path", F.coalesce("target", "kb_path")), "routed")
+    stayed = routed.where("rerouted_from IS NULL").select("req_id", *kept_of("owned", F.col("kb_path"), F.col("kb_dir")))
+    moved = routed.where("rerouted_from IS NOT NULL").select(F.col("req_id").alias("item_key"), "kb_path", "paths").join(dirs, "kb_path")
+    kept = stayed.unionByName(kept_paths(moved, registry).withColumnRenamed("item_key", "req_id"))
+    sent = steps.store(routed.drop("owned", "target", "kb_dir").join(kept, "req_id"), "sent")
     sound = sent.where("bad IS NULL").select("req_id", "req_order", *GROUP, "title_slug", F.size("paths").alias("n_paths"), F.size("paths_kept").alias("n_kept"))
     verdicts = created(sound, items).select("req_id", "item_id", "code")
-    out = sent.join(verdicts, "req_id", "left").withColumn("code", F.coalesce("bad", "code"))
-    stored = {"paths": F.col("paths_kept"), "severity": F.when(F.col("category") == "anti-pattern", F.col("severity"))}
+    told = sent.select("req_id", F.col("kb_path").alias("to_kb"), "paths_kept", "paths_dropped", "rerouted_from", "bad").join(verdicts, "req_id", "left").withColumn("code", F.coalesce("bad", "code"))
+    out = requests.join(told, "req_id")
+    stored = {"kb_path": F.col("to_kb"), "paths": F.col("paths_kept"), "severity": F.when(F.col("category") == "anti-pattern", F.col("severity"))}
     return out.select(*[stored.get(c, F.col(c)).alias(c) for c in requests.columns], "code", "item_id", "rerouted_from", "paths_dropped")
 
 

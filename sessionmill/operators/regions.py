@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionmill.functions.paths import ancestors, depth, relative, resolved
@@ -76,6 +76,27 @@ def region_globs(registry: DataFrame) -> DataFrame:
     return registry.join(nested, "kb_path", "left").select("kb_path", F.concat(F.array(F.lit("**")), F.coalesce("nested", F.array().cast("array<string>"))).alias("globs"))
 
 
+def path_owners(items: DataFrame, registry: DataFrame) -> DataFrame:
+    """``items(item_key, kb_dir, paths)`` to item_key, owned: the paths in order, as struct(place, given, path, owner).
+
+    Relative paths are seen from kb_dir, and blank ones are left out; an item without others has no row.
+    """
+    each = items.select("item_key", "kb_dir", F.posexplode("paths").alias("place", "given")).where(F.regexp_replace("given", r"\s+", "") != "")
+    each = each.select("item_key", "place", "given", resolved(F.col("kb_dir"), F.col("given")).alias("path"))
+    own = owners(each, registry).select("path", F.col("kb_path").alias("owner"))
+    return each.join(own, "path", "left").groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct("place", "given", "path", "owner"))).alias("owned"))
+
+
+def kept_of(owned: str, kb_path: Column, kb_dir: Column) -> list[Column]:
+    """paths_kept and paths_dropped of an item of ``kb_path`` with ``owned`` paths (``path_owners``), null for none."""
+    none = F.array().cast("array<struct<place:int,given:string,path:string,owner:string>>")
+    paths = F.coalesce(F.col(owned), none)
+    own = lambda o: F.coalesce(o["owner"] == kb_path, F.lit(False))
+    kept = F.array_distinct(F.transform(F.filter(paths, own), lambda o: relative(kb_dir, o["path"])))
+    dropped = F.transform(F.filter(paths, lambda o: ~own(o)), lambda o: o["given"])
+    return [kept.alias("paths_kept"), dropped.alias("paths_dropped")]
+
+
 def kept_paths(items: DataFrame, registry: DataFrame) -> DataFrame:
     """Paths of items as their KB keeps them.
 
@@ -83,12 +104,5 @@ def kept_paths(items: DataFrame, registry: DataFrame) -> DataFrame:
     kb_dir, distinct, in order), paths_dropped (as given, outside the KB's region).
     Relative paths are seen from kb_dir; blank ones are neither kept nor dropped.
     """
-    each = items.select("item_key", "kb_path", "kb_dir", F.posexplode("paths").alias("place", "path")).where(F.regexp_replace("path", r"\s+", "") != "")
-    each = each.withColumn("absolute", resolved(F.col("kb_dir"), F.col("path")))
-    own = owners(each, registry, "absolute").select("absolute", F.col("kb_path").alias("owner"))
-    each = each.join(own, "absolute", "left").withColumn("inside", F.coalesce(F.col("owner") == F.col("kb_path"), F.lit(False)))
-    seen = each.withColumn("kept", F.when(F.col("inside"), relative(F.col("kb_dir"), F.col("absolute"))))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("place", c.alias("v"))))), lambda x: x["v"])
-    found = seen.groupBy("item_key").agg(F.array_distinct(ordered(F.col("kept"))).alias("paths_kept"), ordered(F.when(~F.col("inside"), F.col("path"))).alias("paths_dropped"))
-    none = F.array().cast("array<string>")
-    return items.select("item_key").join(found, "item_key", "left").select("item_key", F.coalesce("paths_kept", none).alias("paths_kept"), F.coalesce("paths_dropped", none).alias("paths_dropped"))
+    both = items.select("item_key", "kb_path", "kb_dir").join(path_owners(items, registry), "item_key", "left")
+    return both.select("item_key", *kept_of("owned", F.col("kb_path"), F.col("kb_dir")))

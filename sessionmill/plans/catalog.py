@@ -278,7 +278,7 @@ numbered AS (SELECT *, CASE WHEN code IS NULL THEN concat(CASE category WHEN 'de
 
 @query(f"""WITH {_CREATED} SELECT doc_id AS req_id, kb_path, new_id AS item_id, code, CASE WHEN doc_id % 70 = 3 THEN own_kb END AS rerouted_from, CASE WHEN doc_id % 70 = 3 THEN 'f.py' WHEN inside THEN 'b.py' ELSE '' END AS paths_kept, CASE WHEN inside THEN '/q/y.py' ELSE '/q/x.py,/q/y.py' END AS paths_dropped FROM numbered""")
 def created_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routed creates and their verdicts; slugs that clash are tested against a walk in order."""
+    """Routed creates and their verdicts."""
     held, asked, registry = _creates(spark, sf_dir)
     return items.create_verdicts(asked, held, registry).select("req_id", "kb_path", "item_id", "code", "rerouted_from", F.array_join("paths", ",").alias("paths_kept"), F.array_join("paths_dropped", ",").alias("paths_dropped"))
 
@@ -290,6 +290,28 @@ def items_after_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.with_created(held, items.create_verdicts(asked, held, registry), F.lit(A.NOW)).select("kb_path", "item_id", "slug", "title", "status", "severity", "created")
 
 
+_CLASHING = f"""RECURSIVE {A.ITEMS}, held AS (SELECT kb_path, category, count(*) FILTER (status = 'active' AND location = 'active') AS active, max(substr(item_id, 3, 3)::INTEGER) AS last FROM items GROUP BY ALL),
+names AS (SELECT DISTINCT concat(kb_path, category, '|', array_to_string(string_split(slug, '-')[i:], '-')) AS name FROM items, unnest(range(1, len(string_split(slug, '-')) + 1)) AS r(i)),
+given AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN slug WHEN 1 THEN coalesce(nullif(regexp_extract(slug, '-(.*)$', 1), ''), 'fix') WHEN 2 THEN 'auth-fix' ELSE concat('fix-', doc_id % 3) END AS s FROM items WHERE doc_id % 8 < 6 UNION ALL SELECT *, CASE WHEN doc_id % 8 = 6 THEN 'fix' ELSE concat('n', doc_id) END FROM items WHERE doc_id % 8 > 5),
+reqs AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, g.kb_path, g.category, s, concat(g.kb_path, g.category) AS place, coalesce(active, 0) AS active, coalesce(last, 0) AS last, CASE WHEN NOT (length(body) BETWEEN 43 AND 7993) THEN 'schema_violation' END AS own, names.name IS NOT NULL AS clash,
+  list_transform(range(1, len(string_split(s, '-')) + 1), lambda i: concat(g.kb_path, g.category, '|', array_to_string(string_split(s, '-')[i:], '-'))) AS parts FROM given g LEFT JOIN held h ON h.kb_path = g.kb_path AND h.category = g.category LEFT JOIN names ON name = concat(g.kb_path, g.category, '|', s)),
+walk(n, taken, came, code, number) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::VARCHAR, NULL::BIGINT UNION ALL
+  SELECT n, CASE WHEN code IS NULL THEN list_concat(taken, parts) ELSE taken END, CASE WHEN code IS NULL THEN list_append(came, place) ELSE came END, code, CASE WHEN code IS NULL THEN last + so_far + 1 END FROM (
+    SELECT r.n, taken, came, parts, place, last, len(list_filter(came, lambda p: p = place)) AS so_far, coalesce(own, CASE WHEN active + len(list_filter(came, lambda p: p = place)) >= 10 THEN 'category_full' WHEN clash OR list_contains(taken, parts[1]) THEN 'duplicate_slug' END) AS code FROM walk JOIN reqs r ON r.n = walk.n + 1))"""
+
+
+@query(f"WITH {_CLASHING} SELECT doc_id AS req_id, code, CASE WHEN number IS NOT NULL THEN concat(CASE category WHEN 'decision' THEN 'D' WHEN 'learning' THEN 'L' WHEN 'reusable' THEN 'R' ELSE 'A' END, '-', lpad(number::VARCHAR, 3, '0')) END AS item_id FROM walk JOIN reqs USING (n)")
+def clashing_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creates whose slugs are those of stored items, ends of these, or ends of slugs that were asked for before."""
+    held, n = A.items(spark, sf_dir), F.col("doc_id")
+    rest = F.regexp_extract("slug", "-(.*)$", 1)
+    slug = F.when(n % 8 == 6, "fix").when(n % 8 == 7, F.concat(F.lit("n"), n.cast("string"))).when(n % 4 == 0, F.col("slug")).when(n % 4 == 1, F.when(rest == "", "fix").otherwise(rest)).when(n % 4 == 2, "auth-fix").otherwise(F.concat(F.lit("fix-"), (n % 3).cast("string")))
+    asked = held.select(n.alias("req_id"), n.alias("req_order"), "kb_path", "category", slug.alias("title_slug"), F.lit("new").alias("summary"), F.array(F.lit("auth")).alias("tags"), F.array().cast("array<string>").alias("paths"), "universality", "severity", F.concat(F.lit("## Why\n"), "body").alias("body"))
+    registry = held.select("kb_path", F.col("kb_path").alias("kb_dir")).distinct()
+    return items.create_verdicts(asked, held, registry).select("req_id", "code", "item_id")
+
+
 def _edits(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two edits for every item, of its whole text; the second gives no summary and no paths. Some break a rule. And the KBs' directories."""
     n, turn = F.col("doc_id"), F.col("turn")

@@ -207,7 +207,7 @@ def test_creates_become_rows(spark):
     requests = spark.createDataFrame(rows, "req_id int, req_order int, kb_path string, category string, title_slug string, summary string, tags array<string>, paths array<string>, universality string, severity string, body string")
     verdicts = items.create_verdicts(requests, held, registry)
     got = {r.req_id: (r.kb_path, r.code or r.item_id, r.rerouted_from, r.paths, r.paths_dropped) for r in verdicts.collect()}
-    assert got[1] == ("/r/.kb", "D-005", None, ["x.py"], ["/q/y.py"]) and got[2] == ("/r/web/.kb", "D-001", "/r/.kb", ["z.py"], [])
+    assert got[1] == ("/r/.kb", "D-005", None, ["x.py"], ["/q/y.py"]) and got[2] == ("/r/web/.kb", "D-001", "/r/.kb", ["web/z.py"], [])
     assert [got[i][1] for i in (3, 4, 5)] == ["duplicate_slug", "region_violation", "schema_violation"]
     after = {(r.kb_path, r.item_id): r for r in items.with_created(held, verdicts, F.lit(NOW)).collect()}
     assert len(after) == 3 and after["/r/.kb", "D-005"].title == "New one" and after["/r/.kb", "D-005"].severity is None
