@@ -69,6 +69,29 @@ def extraction_outcomes(sessions: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("total") == 0, "empty").when(F.col("total") == F.col("rejected"), "all_items_rejected").otherwise("ok"))
 
 
+def answer_outcomes(sessions: DataFrame, answers: DataFrame) -> DataFrame:
+    """What became of each session's request: session_id, outcome, total_extracted, rejected_count, input_tokens, output_tokens, cost_usd.
+
+    ``answers(session_id, items, input_tokens, output_tokens, cost_usd)`` has the items as
+    JSON text, one answer a session. Outcomes: llm_call_failed without an answer,
+    llm_output_unparseable if its items are no list, all_items_rejected if there are
+    some and none is valid, else ok. Only valid items count as extracted; an empty list
+    is ok. Usage is told of answers that are ok; a refused one has its number of
+    rejected items alone.
+    """
+    asked = sessions.select("session_id").distinct().join(answers.withColumn("answered", F.lit(True)), "session_id", "left")
+    listed = F.try_variant_get(F.try_parse_json("items"), "$", "array<variant>")
+    is_list = F.coalesce(F.schema_of_variant(F.try_parse_json("items")).startswith("ARRAY"), F.lit(False))
+    each = asked.select("session_id", F.explode(F.when(is_list, listed)).alias("one")).select("session_id", F.to_json("one").alias("item"))
+    counts = validated(each).groupBy("session_id").agg(F.count("*").alias("n"), F.count("reject_step").alias("rejected"))
+    told = asked.join(counts, "session_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rejected", F.coalesce("rejected", F.lit(0)))
+    outcome = F.when(F.col("answered").isNull(), "llm_call_failed").when(~is_list, "llm_output_unparseable").when((F.col("n") > 0) & (F.col("n") == F.col("rejected")), "all_items_rejected").otherwise("ok")
+    told = told.withColumn("outcome", outcome)
+    good = F.col("outcome") == "ok"
+    usage = [F.when(good, F.col(c)).alias(c) for c in ("input_tokens", "output_tokens", "cost_usd")]
+    return told.select("session_id", "outcome", F.when(good, F.col("n") - F.col("rejected")).alias("total_extracted"), F.when(good | (F.col("outcome") == "all_items_rejected"), F.col("rejected")).alias("rejected_count"), *usage)
+
+
 def request_key(system: Column, user: Column, model: Column, tools: Column) -> Column:
     """The SHA-256 of a request as JSON, whatever the order of its tools."""
     return F.sha2(F.to_json(F.struct(F.array_sort(tools).alias("allowedTools"), model.alias("model"), system.alias("systemPrompt"), user.alias("userMessage"))), 256)

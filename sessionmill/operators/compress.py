@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionmill.functions.tables import Steps
 from sessionmill.functions.text import head_and_tail, head_only, js_len, tokens
 from sessionmill.operators.profile import first_seen, messages_only
 
@@ -68,7 +69,21 @@ def summary(blocks: DataFrame) -> DataFrame:
     return out.select("session_id", lines.alias("content"), count.cast("bigint").alias("message_count_after"))
 
 
-def compressed(blocks: DataFrame, target: int, on_fit: str = "error") -> DataFrame:
+def _older(weights: DataFrame, chunk: int) -> DataFrame:
+    """``weights(session_id, seq, w)`` with ``older``, the sum of w of the session before seq.
+
+    A session is cut into chunks of ``chunk`` places: sums run within a chunk, and
+    over the chunks' own sums, so that no task holds a long session.
+    """
+    cut = weights.withColumn("chunk", F.floor(F.col("seq") / chunk))
+    sums = cut.groupBy("session_id", "chunk").agg(F.sum("w").alias("chunk_w"))
+    ahead = F.sum("chunk_w").over(Window.partitionBy("session_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("w").over(Window.partitionBy("session_id", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut.withColumn("within", F.coalesce(within, F.lit(0))).join(sums.select("session_id", "chunk", F.coalesce(ahead, F.lit(0)).alias("ahead")), ["session_id", "chunk"])
+    return placed.withColumn("older", F.col("within") + F.col("ahead")).drop("chunk", "within", "ahead")
+
+
+def compressed(blocks: DataFrame, target: int, on_fit: str = "error", chunk: int = 4096) -> DataFrame:
     """Sessions within ``target`` tokens: session_id, outcome, pass, message_count_after, estimated_tokens, content.
 
     Pass 1 shortens blocks, pass 2 shortens assistants' texts more, pass 3 leaves
@@ -76,34 +91,34 @@ def compressed(blocks: DataFrame, target: int, on_fit: str = "error") -> DataFra
     leaving out all those before it is enough. Users' messages always stay; outcome is
     compression_infeasible if they alone are too long, and fits_already (without
     content, unless ``on_fit`` is "full") if the whole session is within the target.
+
+    What is decided on is lengths, one row a message; only what stays is rendered, in
+    the one way that was chosen. So a session of any length is spread over tasks, and
+    what comes together of it is within the target.
     """
     blocks = messages_only(blocks)
-    text = F.col("text")
-    messages = _messages(blocks, whole=full_line(), one=reduced_line(head_and_tail(text, 800, 400, 200)), two=reduced_line(head_only(text, 200, " ... [truncated {} chars]")))
-    weights = {f"{n}_w": F.aggregate(n, F.lit(0).cast("bigint"), lambda a, line: a + js_len(line) + 1) for n in ("whole", "one", "two")}
-    messages = messages.withColumns(weights)
-    session = Window.partitionBy("session_id")
-    older = session.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    dropped = F.coalesce(F.sum(F.when(F.col("role") == "assistant", F.col("two_w"))).over(older), F.lit(0))
-    totals = {f"{n}_t": F.sum(f"{n}_w").over(session) - 1 for n in ("whole", "one", "two")}
-    messages = messages.withColumns({**totals, "older": dropped, "all": F.coalesce(F.sum(F.when(F.col("role") == "assistant", F.col("two_w"))).over(session), F.lit(0))})
+    steps, text = Steps(blocks.sparkSession, "compress"), F.col("text")
+    ways = {"whole": full_line(), "one": reduced_line(head_and_tail(text, 800, 400, 200)), "two": reduced_line(head_only(text, 200, " ... [truncated {} chars]"))}
+    head = F.first(js_len(header())) + 1
+    sized = blocks.groupBy("session_id", "seq", "role").agg(*[(head + F.coalesce(F.sum(js_len(c) + 1), F.lit(0))).alias(n) for n, c in ways.items()])
+    sized = steps.store(sized.withColumn("gone", F.when(F.col("role") == "assistant", F.col("two")).otherwise(0)), "sizes")
+    totals = sized.groupBy("session_id").agg(*[F.sum(n).alias(n) for n in (*ways, "gone")])
     fits = lambda chars: tokens(F.greatest(chars, F.lit(0))) <= target
-    step = F.when(fits(F.col("whole_t")), 0).when(fits(F.col("one_t")), 1).when(fits(F.col("two_t")), 2).when(fits(F.col("two_t") - F.col("all")), 3).otherwise(4)
-    messages = messages.withColumn("pass", step)
-    kept = (F.col("pass") < 3) | (F.col("role") != "assistant") | fits(F.col("two_t") - F.col("older"))
-    lines = F.when(F.col("pass") == 0, F.col("whole")).when(F.col("pass") == 1, F.col("one")).otherwise(F.col("two"))
-    told = F.when(kept & (F.col("pass") < 4), F.struct("seq", F.array_join(lines, "\n").alias("text")))
-    out = messages.groupBy("session_id", "pass").agg(F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda m: m["text"]), "\n").alias("content"), F.count(told).alias("message_count_after"))
+    step = F.when(fits(F.col("whole") - 1), 0).when(fits(F.col("one") - 1), 1).when(fits(F.col("two") - 1), 2).when(fits(F.col("two") - 1 - F.col("gone")), 3).otherwise(4)
+    decided = steps.store(totals.select("session_id", step.alias("pass"), F.col("two").alias("total")), "decided")
+    told = decided.where(F.col("pass").between(0 if on_fit == "full" else 1, 3))
+    cut = told.where(F.col("pass") == 3)
+    weights = sized.join(cut.select("session_id", "total"), "session_id")
+    stays = _older(weights.where("role = 'assistant'").select("session_id", "seq", "role", "total", F.col("two").alias("w")), chunk).where(fits(F.col("total") - 1 - F.col("older")))
+    stays = stays.select("session_id", "seq", "role").unionByName(weights.where("role <> 'assistant'").select("session_id", "seq", "role"))
+    left = blocks.join(told.where(F.col("pass") < 3).select("session_id", "pass"), "session_id").unionByName(blocks.join(stays.withColumn("pass", F.lit(3)), ["session_id", "seq", "role"]), allowMissingColumns=True)
+    line = F.when(F.col("pass") == 0, ways["whole"]).when(F.col("pass") == 1, ways["one"]).otherwise(ways["two"])
+    rendered = _joined(_messages(left, line=line), "line")
+    out = decided.join(rendered, "session_id", "left")
+    with_content = F.col("pass").between(0 if on_fit == "full" else 1, 3)
+    content = F.when(with_content, F.coalesce("content", F.lit("")))
     outcome = F.when(F.col("pass") == 0, "fits_already").when(F.col("pass") == 4, "compression_infeasible").otherwise("ok")
-    with_content = (F.col("pass").between(1, 3)) | ((F.col("pass") == 0) & F.lit(on_fit == "full"))
-    return out.select(
-        "session_id",
-        outcome.alias("outcome"),
-        "pass",
-        F.when(with_content, F.col("message_count_after")).alias("message_count_after"),
-        F.when(with_content, tokens(js_len(F.col("content")))).alias("estimated_tokens"),
-        F.when(with_content, F.col("content")).alias("content"),
-    )
+    return out.select("session_id", outcome.alias("outcome"), "pass", F.when(with_content, F.coalesce("message_count_after", F.lit(0))).alias("message_count_after"), tokens(js_len(content)).alias("estimated_tokens"), content.alias("content"))
 
 
 def external_summary(text: Column, tools: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionmill.functions.tables import Steps
 from sessionmill.functions.text import js_len
 
 SLUG_DISTANCE = 0.4
@@ -67,25 +68,33 @@ def suggestions(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("candidate_id", action.alias("action"), "best_match")
 
 
-def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE, salts: int = 16) -> DataFrame:
+def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE) -> DataFrame:
     """Unverified active items of two KBs that share two tags and have close slugs: left_kb, left_id, right_kb, right_id, shared_tags, slug_distance.
 
-    Items meet on a pair of tags, of which an item of five tags has ten; popular
-    pairs are dealt to ``salts`` parts on one side and repeated on the other, and
-    slugs whose lengths alone are too far apart never become a pair.
+    Items that are equal in category, slug and tags are one class, compared once. Classes
+    meet on a pair of tags, of which one of five tags has ten, and a slug's length: within
+    the distance, a longer slug has at most 1 / (1 - distance) times the length, so a
+    class asks the lengths from its own up to that. They meet as keys and slugs; items are
+    joined to what is close. Popular pairs still cost the square of their classes.
     """
+    steps = Steps(items.sparkSession, "pairs")
     own = items.where("status = 'active' AND universality = 'unverified'").select("kb_path", "item_id", "category", "slug", F.array_sort(F.array_distinct("tags")).alias("tags"))
-    tag = own.withColumn("a", F.explode("tags")).withColumn("b", F.explode("tags")).where("a < b")
-    left = tag.select(*[F.col(c).alias(f"left_{c}") for c in ("kb_path", "item_id", "slug", "tags")], "category", "a", "b", F.pmod(F.xxhash64("kb_path", "item_id"), F.lit(salts)).alias("salt"))
-    right = tag.select(*[F.col(c).alias(f"right_{c}") for c in ("kb_path", "item_id", "slug", "tags")], "category", "a", "b").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
-    longer = F.greatest(F.length("left_slug"), F.length("right_slug"))
-    near = F.abs(F.length("left_slug") - F.length("right_slug")) <= distance * longer
-    # a pair that shares several tag pairs is taken at the first of them only
-    shared = F.array_sort(F.array_intersect("left_tags", "right_tags"))
-    met = left.join(right, (left.category == right.category) & (left.a == right.a) & (left.b == right.b) & (left.salt == right.salt) & (F.col("left_kb_path") < F.col("right_kb_path")) & near)
-    once = met.where((F.get(shared, F.lit(0)) == left.a) & (F.get(shared, F.lit(1)) == left.b))
-    close = once.withColumn("slug_distance", slug_distance(F.col("left_slug"), F.col("right_slug"))).where(F.col("slug_distance") <= distance)
-    return close.select(F.col("left_kb_path").alias("left_kb"), F.col("left_item_id").alias("left_id"), F.col("right_kb_path").alias("right_kb"), F.col("right_item_id").alias("right_id"), F.size(shared).alias("shared_tags"), "slug_distance")
+    own = steps.store(own.where(F.size("tags") >= 2).withColumn("key", F.md5(F.to_json(F.struct("category", "slug", "tags")))), "items")
+    classes = steps.store(own.select("key", "category", "slug", "tags").distinct().withColumn("length", js_len(F.col("slug")).cast("int")), "classes")
+    pairs = F.flatten(F.transform("tags", lambda a: F.transform(F.filter("tags", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    tag = classes.withColumn("pair", F.explode(pairs)).select("*", "pair.a", "pair.b").drop("pair")
+    longest = F.floor(F.col("length") / (1 - distance) + 1e-9).cast("int")
+    short = tag.select(*[F.col(c).alias(f"l_{c}") for c in ("key", "slug", "tags", "length")], "category", "a", "b", F.explode(F.sequence(F.col("length"), F.greatest("length", longest))).alias("length"))
+    met = short.join(tag, ["category", "a", "b", "length"]).where((F.col("l_length") < F.col("length")) | (F.col("l_key") <= F.col("key")))
+    # classes that share several tag pairs are taken at the first of them only
+    shared = F.array_sort(F.array_intersect("l_tags", "tags"))
+    once = met.where((F.get(shared, F.lit(0)) == F.col("a")) & (F.get(shared, F.lit(1)) == F.col("b")))
+    close = once.select("l_key", "key", F.size(shared).alias("shared_tags"), slug_distance(F.col("l_slug"), F.col("slug")).alias("slug_distance")).where(F.col("slug_distance") <= distance)
+    close = steps.store(close, "close")
+    one, other = (own.select(F.col("key").alias(k), F.struct("kb_path", "item_id").alias(n)) for k, n in (("l_key", "one"), ("key", "other")))
+    both = close.join(one, "l_key").join(other, "key").where((F.col("one.kb_path") < F.col("other.kb_path")) | (F.col("l_key") != F.col("key")) & (F.col("one.kb_path") > F.col("other.kb_path")))
+    left, right = F.least("one", "other"), F.greatest("one", "other")
+    return both.select(left["kb_path"].alias("left_kb"), left["item_id"].alias("left_id"), right["kb_path"].alias("right_kb"), right["item_id"].alias("right_id"), "shared_tags", "slug_distance")
 
 
 def promotion_groups(pairs: DataFrame) -> DataFrame:

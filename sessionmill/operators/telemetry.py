@@ -44,6 +44,21 @@ def run_totals(steps: DataFrame) -> DataFrame:
     )
 
 
+def grand_totals(totals: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row for a run: turns, input_tokens, output_tokens, cost_usd, target_count, processed_count, deferred_count.
+
+    ``totals(session_id, turns, input_tokens, output_tokens, cost_usd)`` has what each
+    session used, ``targets(session_id, status)`` what became of it. Tokens are null where
+    none were used, and the cost where no session told one. The deferred sessions
+    themselves are the rows of ``targets``.
+    """
+    some = lambda c: F.when(F.sum(c) > 0, F.sum(c)).alias(c)
+    used = totals.agg(F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"), some("input_tokens"), some("output_tokens"), F.sum("cost_usd").alias("cost_usd"), F.lit(1).alias("run"))
+    late = F.count_if(F.col("status") == "deferred")
+    met = targets.agg(F.count("*").alias("target_count"), (F.count("*") - late).alias("processed_count"), late.alias("deferred_count"), F.lit(1).alias("run"))
+    return used.join(met, "run").drop("run")
+
+
 def repeated_targets(targets: DataFrame) -> DataFrame:
     """``targets(session_id, transcript_sha256)`` with how often the id is listed, and a label that tells its versions apart."""
     n = F.count("*").over(Window.partitionBy("session_id"))

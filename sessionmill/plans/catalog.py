@@ -462,6 +462,32 @@ def extraction_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cand.extraction_outcomes(proposed, cand.validated(proposed))
 
 
+_ANSWERS = f"""{_VERDICTS}, n AS (SELECT session_id, substr(session_id, 2)::BIGINT AS n, count(*) AS total, count(reject_step) AS bad FROM v GROUP BY session_id),
+o AS (SELECT *, CASE WHEN n % 10 = 9 THEN 'llm_call_failed' WHEN n % 10 = 7 THEN 'llm_output_unparseable' WHEN n % 10 = 8 THEN 'ok' WHEN total = bad THEN 'all_items_rejected' ELSE 'ok' END AS outcome, CASE WHEN n % 10 = 8 THEN 0 ELSE total END AS given, CASE WHEN n % 10 = 8 THEN 0 ELSE bad END AS rejected FROM n)"""
+
+
+@query(f"""WITH {_ANSWERS} SELECT session_id, outcome, CASE WHEN outcome = 'ok' THEN given - rejected END AS total_extracted, CASE WHEN outcome IN ('ok', 'all_items_rejected') THEN rejected END AS rejected_count, CASE WHEN outcome = 'ok' THEN 100 + n END AS input_tokens, CASE WHEN outcome = 'ok' THEN n % 50 END AS output_tokens, CASE WHEN outcome = 'ok' AND n % 3 > 0 THEN n / 4 END AS cost_usd FROM o""")
+def extraction_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six proposed items to an answer; some answers are empty, no list, or missing."""
+    return cand.answer_outcomes(*_answers(spark, sf_dir))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions, and the answers to their requests."""
+    proposed, n = _proposed(spark, sf_dir), F.expr("bigint(substring(session_id, 2))")
+    items_ = F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]"))
+    whole = proposed.groupBy("session_id").agg(items_.alias("items")).where(n % 10 != 9)
+    text = F.when(n % 10 == 7, '{"items":1}').when(n % 10 == 8, "[]").otherwise(F.col("items"))
+    return proposed, whole.select("session_id", text.alias("items"), (n + 100).alias("input_tokens"), (n % 50).alias("output_tokens"), F.when(n % 3 > 0, n / 4).alias("cost_usd"))
+
+
+@query(f"""WITH {_ANSWERS} SELECT sum(given)::BIGINT AS turns, sum(100 + n)::BIGINT AS input_tokens, sum(n % 50)::BIGINT AS output_tokens, sum(CASE WHEN n % 3 > 0 THEN n / 4 END) AS cost_usd, (SELECT count(*) FROM o) AS target_count, (SELECT count(*) FILTER (outcome = 'ok') FROM o) AS processed_count, (SELECT count(*) FILTER (outcome <> 'ok') FROM o) AS deferred_count FROM o WHERE outcome = 'ok'""")
+def run_grand_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all sessions of a run used, and how many were processed."""
+    told = cand.answer_outcomes(*_answers(spark, sf_dir)).withColumn("turns", F.col("total_extracted") + F.col("rejected_count"))
+    return telemetry.grand_totals(told.where("outcome = 'ok'"), told.select("session_id", F.when(F.col("outcome") != "ok", "deferred").otherwise("processed").alias("status")))
+
+
 @query("""SELECT conv_id, sha256(concat('{"allowedTools":["Grep","Read"],"model":"m","systemPrompt":"', 'extract', '","userMessage":"', role, '-', turn, '"}')) AS request_key, turn % 2 = 0 AS found FROM conversations""")
 def replayed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J11, F19."""

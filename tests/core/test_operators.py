@@ -88,9 +88,25 @@ def test_compression_equals_the_stepwise_rule(spark):
         own = [("s%d" % s, *block(i, draw.choice(["user", "assistant", "assistant"]), "text", "w" * draw.choice([3, 50, 300, 1200]))[1:]) for i in range(draw.randint(1, 9))]
         rows += own
         want["s%d" % s] = compress_in_steps(own, 300)
-    got = {r.session_id: (r["pass"], r.content) for r in compress.compressed(spark.createDataFrame(rows, BLOCK), 300).collect()}
-    assert {k: (v[0], v[1] if v[0] in (1, 2, 3) else None) for k, v in want.items()} == got
+    frame = spark.createDataFrame(rows, BLOCK)
+    for chunk in (4096, 2):
+        got = {r.session_id: (r["pass"], r.content) for r in compress.compressed(frame, 300, chunk=chunk).collect()}
+        assert {k: (v[0], v[1] if v[0] in (1, 2, 3) else None) for k, v in want.items()} == got
     assert len({v[0] for v in want.values()}) >= 4
+    full = {r.session_id: r.content for r in compress.compressed(frame, 300, on_fit="full").where("pass = 0").collect()}
+    assert full and full == {r.session_id: r.content for r in compress.full(frame).collect() if r.session_id in full}
+
+
+def test_a_long_session_is_spread(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit("s").alias("session_id"), F.col("id").cast("int").alias("seq"), F.lit(0).alias("block_no"), F.when(F.col("id") % 1000 == 0, "user").otherwise("assistant").alias("role"), F.lit("u").alias("uuid"), F.lit("").alias("ts"), F.lit(False).alias("is_sidechain"), F.lit("/w").alias("cwd"), F.lit("text").alias("kind"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("text"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("input_json"), F.lit(False).alias("is_error"))
+    weights = rows.select("session_id", "seq", (F.col("seq") % 7).cast("bigint").alias("w"))
+    sums = compress._older(weights, 100)
+    assert sums.where("seq = 19999").first().older == sum(i % 7 for i in range(19_999)) and sums.where("seq = 100").first().older == sum(i % 7 for i in range(100))
+    spread = sums.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in spread) < n * 0.6
+    r = compress.compressed(rows, 1000).first()
+    assert r["pass"] == 3 and r.estimated_tokens <= 1000 and r.content.count(" user ") == 20 and r.message_count_after == r.content.count(" @ ")
 
 
 def test_regions_mask_nested_kbs(spark):
