@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.session import prepare, stored
+from sessionmill.llm.session import prepare, replayable, stored
 from sessionmill.llm.words import mix, segment_sum, split_words, word_hashes
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +57,11 @@ def _chunk_scores(order: int, alpha: float) -> Callable[[pa.Table, pa.Table], pa
         keys, starts = grams(rows["text"].combine_chunks(), order)
         distinct, place, totals = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         # n-grams of no other chunk are not told: their totals are the chunk's own
-        totals[np.searchsorted(distinct, told["key"].to_numpy().view(np.uint64))] = told["total"].to_numpy()
+        asked = told["key"].to_numpy().view(np.uint64)
+        at = np.searchsorted(distinct, asked)
+        if len(asked) and (not len(distinct) or (distinct[np.minimum(at, len(distinct) - 1)] != asked).any()):
+            raise ValueError("a task that ran again read other documents: store them first")
+        totals[at] = told["total"].to_numpy()
         place = place.reshape(order, -1)
         n = np.diff(starts)
         doc = np.repeat(np.arange(len(n)), n)
@@ -100,7 +104,8 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_chars:
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # rows are dealt by where they are read, so they must be read alike again
+    docs = replayable(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-chars // chunk_chars))
     # rows that are equal in all columns still spread, by the part of the input that they are read from

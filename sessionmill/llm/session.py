@@ -66,6 +66,12 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def replayable(df: DataFrame) -> DataFrame:
+    """``df``, stored if it comes out of a shuffle, so that a task that runs again reads the same rows in the same order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df, "input") if "Exchange" in plan else df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.session import prepare, stored
+from sessionmill.llm.session import prepare, replayable, stored
 from sessionmill.llm.words import ragged, segment_max, segment_sum, split_words, text_batches
 
 ORDER = 6
@@ -166,12 +166,16 @@ def _chunks(carry: list[str], chunk_bytes: int) -> Callable[[Iterator[pa.RecordB
     def packed(held: list[tuple[pa.RecordBatch, np.ndarray, pa.Array]]) -> pa.RecordBatch:
         known = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
         first = np.cumsum([0] + [len(h[2]) for h in held])
-        codes = known.indices.to_numpy(zero_copy_only=False)[np.concatenate([h[1] + at for h, at in zip(held, first, strict=False)])]
+        index = known.indices.to_numpy(zero_copy_only=False)
+        parts = [index[at : at + len(h[2])] for h, at in zip(held, first, strict=False)]
         # frequent words have the small codes, so their upper bytes compress well
-        often = np.argsort(-np.bincount(codes, minlength=len(known.dictionary)), kind="stable")
-        rank = np.empty(len(often), np.uint32)
+        count = np.zeros(len(known.dictionary), np.int64)
+        for h, part in zip(held, parts, strict=True):
+            np.add.at(count, part, np.bincount(h[1], minlength=len(part)))
+        often = np.argsort(-count, kind="stable")
+        rank = np.empty(len(often), "<u4")
         rank[often] = np.arange(len(often), dtype=np.uint32)
-        planes = rank[codes].astype("<u4").view(np.uint8).reshape(-1, 4)
+        planes = np.concatenate([rank[part][h[1]] for h, part in zip(held, parts, strict=True)]).view(np.uint8).reshape(-1, 4)
         columns = [pa.array(np.ascontiguousarray(planes[:, i])) for i in range(4)]
         words = " ".join(known.dictionary.take(pa.array(often)).to_pylist())
         docs = pa.Table.from_batches([h[0] for h in held]).combine_chunks().to_batches()[0]
@@ -182,7 +186,7 @@ def _chunks(carry: list[str], chunk_bytes: int) -> Callable[[Iterator[pa.RecordB
         held, size = [], 0
         for batch in text_batches(batches, most_bytes=BATCH_BYTES):
             codes, starts, words = split_words(batch["text"])
-            held.append((pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(starts)), *[batch[c] for c in carry]], names=["doc_id", "n_words", *carry]), codes.astype(np.int64), words))
+            held.append((pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(starts)), *[batch[c] for c in carry]], names=["doc_id", "n_words", *carry]), codes.astype(np.int32), words))
             size += pc.sum(pc.binary_length(batch["text"])).as_py() or 0
             if size >= chunk_bytes:
                 yield packed(held)
@@ -245,10 +249,10 @@ def _chunk_features(carry: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table
         grams, begin = packed_grams(_words(row["words"]))
         at = np.searchsorted(known, grams)
         if len(grams) and (not len(known) or (known[np.minimum(at, len(known) - 1)] != grams).any()):
-            raise ValueError("the documents came in another order when a task ran again: store them first")
+            raise ValueError("a task that ran again read other documents: store them first")
         gain, size = segment_sum(gains[at], begin) / SCALE, np.diff(begin).astype(np.float64)
         docs, planes = _opened(row["docs"]), _opened(row["codes"])
-        codes = np.stack([planes[i].to_numpy() for i in range(4)], axis=1).reshape(-1).view("<u4").astype(np.int64)
+        codes = np.stack([planes[i].to_numpy() for i in range(4)], axis=1).reshape(-1).view("<u4")
         ends = np.cumsum(docs["n_words"].to_numpy())
         first = 0
         while first < docs.num_rows:
@@ -256,7 +260,7 @@ def _chunk_features(carry: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table
             last = max(first + 1, int(np.searchsorted(ends, done + SLICE_WORDS, side="right")))
             part = docs.slice(first, last - first)
             starts = np.concatenate(([0], ends[first:last] - done))
-            features = compare(codes[done : done + int(starts[-1])], starts, gain, size)
+            features = compare(codes[done : done + int(starts[-1])].astype(np.int64), starts, gain, size)
             yield pa.RecordBatch.from_arrays([part["doc_id"], *[pa.array(x, pa.float64()) for x in features], *[part[c] for c in carry]], names=names)
             first = last
 
@@ -298,13 +302,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows:
     table gives an empty result.
 
     Documents are cut into chunks as their tasks read them, ``chunk_bytes`` of text or
-    one longer text each, so no chunk grows with a doc_id's copies. A task that
-    runs again must read its rows in the same order, as scans of files do; else it
-    fails, and ``docs`` must be stored first.
+    one longer text each, so no chunk grows with a doc_id's copies. A task that runs
+    again must read the same rows in the same order, as scans of files do, so ``docs``
+    that come out of a shuffle are stored first.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
+    docs = replayable(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry))
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().distinct()
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     tables = train(docs.select("doc_id", "text").where(fold > 1).join(labels.where(fold > 1).hint("merge"), "doc_id"))

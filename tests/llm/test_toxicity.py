@@ -105,3 +105,14 @@ def test_counts_are_exact_however_many_grams(spark):
     each = {r.gram: r.gain / SCALE for r in evidence(spark.createDataFrame([(int(g),) for g in set(grams.tolist())], "gram long"), tables).collect()}
     got = {w: sum(each[g] for g in grams[a:b].tolist()) for w, a, b in zip(asked, begin[:-1], begin[1:], strict=True)}
     assert all(abs(got[w] - gain(w)) < 1e-6 for w in asked)
+
+
+def test_shuffled_documents_and_a_very_long_one(spark):
+    rows = [(i, ("you awful zorkface " if i % 4 == 0 else "a quiet friendly note ") * (1 + i % 5), i % 4 == 0) for i in range(120)]
+    rows += [(500, "a quiet friendly note " * 100_000, False)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, _, t in rows], "doc_id long, toxic int")
+    want = {r.doc_id: round(r.score, 9) for r in toxicity(docs, labels).collect()}
+    assert len(want) == 121 and want[500] < 0.5
+    # a table that comes out of a shuffle gives the same
+    assert {r.doc_id: round(r.score, 9) for r in toxicity(docs.repartition(3, "text"), labels).collect()} == want
