@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from sessionmill.llm.session import prepare, stored
 
 
+#: Queries that are compared with a block's vectors in one matrix.
+QUERIES_AT_ONCE = 512
+
+
 class Forest:
     """Trees as arrays: node i of a tree has children 2i+1 and 2i+2 in a full tree of ``depth`` levels."""
 
@@ -169,14 +173,17 @@ def best_pairs(a: np.ndarray, b: np.ndarray, least_id: np.ndarray, most: int, le
 
 
 def _ranked(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The best ``most`` candidates of a leaf's block for each query that visits it."""
+    """The best ``most`` candidates of a leaf's block for each query that visits it, QUERIES_AT_ONCE of them at a time."""
 
     def run(filed: pa.Table, asked: pa.Table) -> pa.Table:
-        q = c = np.zeros(0, np.int64)
-        exact = np.zeros(0)
-        if filed.num_rows and asked.num_rows:
-            least_id = pc.list_element(filed["ids"].combine_chunks(), 0).to_numpy()
-            q, c, exact = best_pairs(_matrix(asked["embedding"]), _matrix(filed["embedding"]), least_id, most, asked["least"].to_numpy())
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if filed.num_rows:
+            least_id, held = pc.list_element(filed["ids"].combine_chunks(), 0).to_numpy(), _matrix(filed["embedding"])
+            for first in range(0, asked.num_rows, QUERIES_AT_ONCE):
+                part = asked.slice(first, QUERIES_AT_ONCE)
+                q, c, exact = best_pairs(_matrix(part["embedding"]), held, least_id, most, part["least"].to_numpy())
+                found.append((q + first, c, exact))
+        q, c, exact = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"query": asked["query"].take(pa.array(q)), "key": filed["key"].take(pa.array(c)), "ids": filed["ids"].take(pa.array(c)), "score": pa.array(exact)})
 
     return run
