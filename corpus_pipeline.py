@@ -3,7 +3,7 @@
 Five stages, each on all rows that the one before it kept: toxic documents go; of
 each group of near-duplicates one stays; personal data is redacted; sources are
 mixed to target weights; what is left is packed. Each stage's rows are written as
-Parquet to the shared folder and read again.
+Parquet to the shared folder and read again, and deleted once the next stage's are.
 
 A document is told apart by its doc_id and a hash of its text, so rows that share
 a doc_id, or have none, are decided one by one. Only the columns of ``documents``
@@ -22,7 +22,7 @@ from sessionmill.llm.near_dedup import near_duplicates
 from sessionmill.llm.packing import pack
 from sessionmill.llm.pii import detect, fit, redacted
 from sessionmill.llm.queries import SEED, WEIGHTS, WORD_VOCABULARY, domain
-from sessionmill.llm.session import prepare, stored
+from sessionmill.llm.session import discard, prepare, stored
 from sessionmill.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -94,5 +94,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the rows of the last one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -42,7 +42,16 @@ def test_rows_without_ids(spark):
     assert out.columns == pipeline.COLUMNS and out.count() == 3
 
 
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF_DIR)
+        assert out.count() == 0, name
+        if name != "packing":
+            assert out.columns == pipeline.COLUMNS
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
