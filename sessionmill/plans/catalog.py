@@ -731,7 +731,7 @@ def items_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRANSCRIPTS = """turns AS (SELECT conv_id, turn, concat('{"type":"', role, '","sessionId":"c', conv_id, '","cwd":"/w","digest":"', md5(text), '"}', CASE WHEN conv_id % 10 = 3 AND turn = 1 THEN '}' ELSE '' END) AS line, role FROM conversations),
-whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS content, count(*) FILTER (role IN ('user', 'assistant')) AS messages FROM turns GROUP BY conv_id)"""
+whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS content, count(*) FILTER (role IN ('user', 'assistant') AND NOT (conv_id % 10 = 3 AND turn = 1)) AS messages FROM turns GROUP BY conv_id)"""
 
 
 def _transcripts(spark: SparkSession, sf_dir: str, turns: Column | None = None) -> DataFrame:
@@ -755,7 +755,7 @@ def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(files.hashes_of(read), "path").join(told, "path").select("session_stem", "length", "has_summary_sibling", "transcript_sha256", "outcome")
 
 
-@query(f"""WITH {_TRANSCRIPTS}, half AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS content, count(*) FILTER (role IN ('user', 'assistant')) AS messages FROM turns WHERE turn < 3 OR conv_id % 2 = 0 GROUP BY conv_id)
+@query(f"""WITH {_TRANSCRIPTS}, half AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS content, count(*) FILTER (role IN ('user', 'assistant') AND NOT (conv_id % 10 = 3 AND turn = 1)) AS messages FROM turns WHERE turn < 3 OR conv_id % 2 = 0 GROUP BY conv_id)
 SELECT '/kb' AS kb_path, concat('c', conv_id) AS session_id, sha256(content) AS transcript_sha256, min(seen) AS first_seen_at FROM (SELECT *, 'first' AS seen FROM half UNION ALL SELECT *, 'second' FROM whole) WHERE messages > 0 GROUP BY conv_id, content""")
 def intake_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan while half of the sessions have three turns at most, and one after they grew; both versions of these are in the ledger."""
