@@ -86,10 +86,12 @@ def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE) -> DataFr
     longest = F.floor(F.col("length") / (1 - distance) + 1e-9).cast("int")
     short = tag.select(*[F.col(c).alias(f"l_{c}") for c in ("key", "slug", "tags", "length")], "category", "a", "b", F.explode(F.sequence(F.col("length"), F.greatest("length", longest))).alias("length"))
     met = short.join(tag, ["category", "a", "b", "length"]).where((F.col("l_length") < F.col("length")) | (F.col("l_key") <= F.col("key")))
+    # the distance first: few pairs are close, and only of these are the tags looked at
+    apart = F.when(F.col("length") == 0, 0.0).otherwise(F.levenshtein("l_slug", "slug") / F.col("length"))
+    near = met.select("l_key", "key", "a", "b", "l_tags", "tags", apart.alias("slug_distance")).where(F.col("slug_distance") <= distance)
     # classes that share several tag pairs are taken at the first of them only
     shared = F.array_sort(F.array_intersect("l_tags", "tags"))
-    once = met.where((F.get(shared, F.lit(0)) == F.col("a")) & (F.get(shared, F.lit(1)) == F.col("b")))
-    close = once.select("l_key", "key", F.size(shared).alias("shared_tags"), slug_distance(F.col("l_slug"), F.col("slug")).alias("slug_distance")).where(F.col("slug_distance") <= distance)
+    close = near.where((F.get(shared, F.lit(0)) == F.col("a")) & (F.get(shared, F.lit(1)) == F.col("b"))).select("l_key", "key", F.size(shared).alias("shared_tags"), "slug_distance")
     close = steps.store(close, "close")
     one, other = (own.select(F.col("key").alias(k), F.struct("kb_path", "item_id").alias(n)) for k, n in (("l_key", "one"), ("key", "other")))
     both = close.join(one, "l_key").join(other, "key").where((F.col("one.kb_path") < F.col("other.kb_path")) | (F.col("l_key") != F.col("key")) & (F.col("one.kb_path") > F.col("other.kb_path")))
