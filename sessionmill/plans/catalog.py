@@ -272,7 +272,7 @@ def _creates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 _CREATED = f"""{A.ITEMS}, asked AS (SELECT doc_id, kb_path AS own_kb, category, CASE WHEN doc_id % 70 = 3 THEN '/kb/zz' ELSE kb_path END AS kb_path, length(body) BETWEEN 43 AND 7993 AS sound, doc_id % 70 = 3 OR doc_id % 10 <> 4 AS inside, severity FROM items),
 held AS (SELECT kb_path, category, count(*) FILTER (status = 'active' AND location = 'active') AS active, max(substr(item_id, 3, 3)::INTEGER) AS last FROM items GROUP BY ALL),
 turns AS (SELECT a.*, coalesce(active, 0) AS active, coalesce(last, 0) AS last, coalesce(sum(CASE WHEN sound AND inside THEN 1 ELSE 0 END) OVER (PARTITION BY a.kb_path, a.category ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM asked a LEFT JOIN held h ON h.kb_path = a.kb_path AND h.category = a.category),
-verdicts AS (SELECT *, CASE WHEN NOT sound THEN 'schema_violation' WHEN before >= 10 - active THEN 'category_full' WHEN NOT inside THEN 'region_violation' END AS code FROM turns),
+verdicts AS (SELECT *, CASE WHEN NOT sound THEN 'schema_violation' WHEN before >= 10 - active AND 10 - active <= 999 - last THEN 'category_full' WHEN NOT inside THEN 'region_violation' WHEN before >= 999 - last THEN 'id_exhausted' END AS code FROM turns),
 numbered AS (SELECT *, CASE WHEN code IS NULL THEN concat(CASE category WHEN 'decision' THEN 'D' WHEN 'learning' THEN 'L' WHEN 'reusable' THEN 'R' ELSE 'A' END, '-', lpad((last + before + 1)::VARCHAR, 3, '0')) END AS new_id FROM verdicts)"""
 
 
