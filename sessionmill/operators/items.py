@@ -7,9 +7,12 @@ universality, severity, created, updated, archived_at, archive_reason, location
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import sessionmill
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,33 +98,40 @@ def slug_suffixes(slug: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "-"))
 
 
-def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Requests of one KB and category in their order: what was accepted before counts for cap and slugs."""
-    rows = rows.sort_values("req_order", kind="stable")
-    active, last, taken, codes, ids, fills, filled = int(rows["active"].iloc[0]), int(rows["last_id"].iloc[0]), set(), [], [], [], None
-    spent, spends = None, []
-    for slug, order in zip(rows["title_slug"], rows["req_order"], strict=True):
-        code = None
-        if active >= CAP:
-            code = "category_full"
-        elif last >= MOST_IDS:
-            code = "id_exhausted"
-        elif slug in taken:
-            code = "duplicate_slug"
-        if code is None:
-            active, last = active + 1, last + 1
-            parts = slug.split("-")
-            taken.update("-".join(parts[i:]) for i in range(len(parts)))
-            if active == CAP:
-                filled = order
-            if last == MOST_IDS:
-                spent = order
-        codes.append(code)
-        ids.append(None if code else last)
-        fills.append(filled)
-        spends.append(spent)
-    out = {"req_id": rows["req_id"].to_numpy(), "code": codes, "number": pd.array(ids, dtype="Int64"), "filled_at": pd.array(fills, dtype="Int64"), "spent_at": pd.array(spends, dtype="Int64")}
-    return pd.DataFrame({**{g: rows[g].to_numpy() for g in GROUP}, **out})
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests in order of KB, category and turn, so that a group's come one after the other: what was accepted before counts for cap and slugs.
+
+    A group's state is all that is held, whatever batches its rows come in.
+    """
+    group = active = last = filled = spent = None
+    taken: set[str] = set()
+    for batch in batches:
+        codes, ids, fills, spends = [], [], [], []
+        columns = [batch[n].to_pylist() for n in (*GROUP, "title_slug", "req_order", "active", "last_id")]
+        for kb, category, slug, order, held, given in zip(*columns, strict=True):
+            if group != (kb, category):
+                group, active, last, taken, filled, spent = (kb, category), held, given, set(), None, None
+            code = None
+            if active >= CAP:
+                code = "category_full"
+            elif last >= MOST_IDS:
+                code = "id_exhausted"
+            elif slug in taken:
+                code = "duplicate_slug"
+            if code is None:
+                active, last = active + 1, last + 1
+                parts = slug.split("-")
+                taken.update("-".join(parts[i:]) for i in range(len(parts)))
+                if active == CAP:
+                    filled = order
+                if last == MOST_IDS:
+                    spent = order
+            codes.append(code)
+            ids.append(None if code else last)
+            fills.append(filled)
+            spends.append(spent)
+        numbers = [pa.array(v, pa.int64()) for v in (ids, fills, spends)]
+        yield pa.RecordBatch.from_arrays([*[batch[g] for g in GROUP], batch["req_id"], pa.array(codes, pa.string()), *numbers], names=[*GROUP, "req_id", "code", "number", "filled_at", "spent_at"])
 
 
 def created(requests: DataFrame, items: DataFrame) -> DataFrame:
@@ -147,7 +157,9 @@ def created(requests: DataFrame, items: DataFrame) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy(*GROUP).orderBy("req_order"))
     walk = known.where("region_ok AND NOT clash").withColumn("first", first).where(F.col("first") == 1).withColumn("turn", turn).where(F.col("turn") <= (longest + 1) * CAP)
     kinds = ", ".join([*(f"{g} string" for g in GROUP), f"req_id {requests.schema['req_id'].dataType.simpleString()}", "code string, number bigint, filled_at bigint, spent_at bigint"])
-    verdicts = steps.store(walk.groupBy(*GROUP).applyInPandas(_in_order, kinds), "verdicts")
+    cloudpickle.register_pickle_by_value(sessionmill)
+    walked = walk.select(*GROUP, "req_id", "req_order", "title_slug", "active", "last_id").repartition(*GROUP).sortWithinPartitions(*GROUP, "req_order")
+    verdicts = steps.store(walked.mapInArrow(_in_order, kinds), "verdicts")
     ends = verdicts.groupBy(*GROUP).agg(F.min("filled_at").alias("filled_at"), F.min("spent_at").alias("spent_at"))
     out = known.join(verdicts.select("req_id", "code", "number", F.lit(True).alias("walked")), "req_id", "left").join(ends, GROUP, "left")
     full = (F.col("active") >= CAP) | F.coalesce(F.col("req_order") > F.col("filled_at"), F.lit(False))

@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -326,3 +328,36 @@ def test_summaries(spark):
     table = lambda *rows: spark.createDataFrame(list(rows), "session_stem string, summary string")
     got = stores.summaries(files, found, table(("a", "A2"), ("b", "B2")), table(("b", "B3"), ("c", "C3"))).collect()
     assert {(r.session_stem, r.summary, r.origin) for r in got} == {("a", "A1", "index"), ("b", "B2", "sibling"), ("c", "C3", "computed"), ("d", None, None)}
+
+
+def test_creates_are_walked_as_a_stream(spark):
+    """A group's rows may come in any number of batches: what was accepted in one counts in the next."""
+    import pyarrow as pa
+
+    slugs = ["a-b", "b", *(f"s{i}" for i in range(12))]
+    rows = [("/k", "decision", i, i, s, 0, 5) for i, s in enumerate(slugs)] + [("/k", "learning", 50, 50, "b", 0, 998), ("/k", "learning", 51, 51, "c", 0, 998)]
+    names = ["kb_path", "category", "req_id", "req_order", "title_slug", "active", "last_id"]
+
+    def walked(size):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        return [tuple(r.values())[2:] for b in items._in_order(iter(batches)) for r in b.to_pylist()]
+
+    assert walked(1) == walked(3) == walked(100)
+    codes = [r[1] for r in walked(3)]
+    assert codes == [None, "duplicate_slug", *[None] * 9, *["category_full"] * 3, None, "id_exhausted"]
+    assert walked(3)[-1] == (51, "id_exhausted", None, None, 50)
+
+
+def test_one_line_reads_no_more_than_it_needs(spark):
+    """A long text's line is that of its start, also where white space lies at the cut; what follows takes no time."""
+    texts = [" " * 1000 + "x y\n z", "a\n" * 400, "w" * 59 + " " * 600 + "\n z", "w" * 480 + " \n z", "😀" * 40 + " x" * 300, " " * 500 + "é", "a" + " \n" * 300 + "b", "short \n one", ""]
+    want = []
+    for t in texts:
+        line = re.sub(r"[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*", " ", t).strip()
+        units = len(line.encode("utf-16-le")) // 2
+        want.append(line if units <= 60 else line.encode("utf-16-le")[:120].decode("utf-16-le") + "…")
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.one_line(F.col("t")).alias("l")).orderBy("i").collect()
+    assert [r.l for r in got] == want
+    began = time.monotonic()
+    long = spark.range(1).select(text.one_line(F.concat(F.repeat(F.lit("w"), F.lit(100)), F.repeat(F.lit(" "), F.lit(200_000)), F.lit("z"))).alias("l"))
+    assert long.first().l == "w" * 60 + "…" and time.monotonic() - began < 8
