@@ -91,7 +91,14 @@ def title_of_slug(slug: Column) -> Column:
 
 
 def one_line(text: Column, most: int = 60) -> Column:
-    line = js_trim(F.regexp_replace(text, r"\s*\n\s*", " "))
+    """The text on one line, cut after ``most`` units.
+
+    A text's start without the white space at its end is made the same line as in the
+    whole text, so the rest is read only where that line is not too long already.
+    """
+    whole = lambda t: js_trim(F.regexp_replace(t, r"\s*\n\s*", " "))
+    begun = whole(F.left(text, F.lit(8 * most)))
+    line = F.when(js_len(begun) > most, begun).otherwise(whole(text))
     return F.when(js_len(line) > most, F.concat(js_left(line, most), F.lit("…"))).otherwise(line)
 
 

@@ -90,9 +90,13 @@ def _bullet() -> Column:
 def index_documents(registry: DataFrame, items: DataFrame, now: str, wording: Wording = Wording()) -> DataFrame:  # noqa: B008
     """kb_path, content, line_count: the index of every KB of ``registry(kb_path, name)``, which holds at most CAP rows a category."""
     at = F.lit(now)
-    lists = ranked(items).groupBy("kb_path", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", _row(at).alias("line")))), lambda x: x["line"]).alias("lines"))
+    # lines, not whole items, are sorted and sent
+    keys = ["kb_path", "category", "item_id", "status", "location", "severity", "updated"]
+    rows, marks = (items.select(*keys, line.alias("line")) for line in (_row(at), _bullet()))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"])
+    lists = ranked(rows).groupBy("kb_path", "category").agg(in_order.alias("lines"))
     tables = lists.groupBy("kb_path").agg(*[F.first(F.when(F.col("category") == c, F.col("lines")), ignorenulls=True).alias(f"table_{i}") for i, (c, _, _) in enumerate(CATEGORIES)])
-    bullets = top_critical(items).groupBy("kb_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", _bullet().alias("line")))), lambda x: x["line"]).alias("critical"))
+    bullets = top_critical(marks).groupBy("kb_path").agg(in_order.alias("critical"))
     kb = status_counts(registry, items).join(registry.select("kb_path", "name"), "kb_path").join(tables, "kb_path", "left").join(bullets, "kb_path", "left")
 
     def text(*parts) -> Column:

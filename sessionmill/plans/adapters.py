@@ -86,8 +86,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.floor(F.col("doc_id") / 80) % 999 + 1
     group = F.floor(F.col("doc_id") / 20) % 4
     kind = F.element_at(F.array(*map(F.lit, ("decision", "learning", "reusable", "anti-pattern"))), (group + 1).cast("int"))
-    slug = F.regexp_replace(F.left(_letters(F.col("text")), F.lit(SLUG_LENGTH)), "^-+|-+$", "")
-    tags = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(f" {t} ")), t) for t in TAGS]))
+    # what the start of a text gives is the start of what all of it gives: the rest is read only where that is too short
+    begun = _letters(F.left("text", F.lit(16 * SLUG_LENGTH)))
+    d = d.withColumns({"_low": F.lower("text"), "_begun": F.left(F.when(F.length(begun) >= SLUG_LENGTH, begun).otherwise(_letters(F.col("text"))), F.lit(SLUG_LENGTH))})
+    d = d.withColumn("_slug", F.regexp_replace("_begun", "^-+|-+$", ""))
+    slug = F.col("_slug")
+    tags = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(f" {t} ")), t) for t in TAGS]))
     return d.select(
         F.concat(F.lit("/kb/"), "source", F.lit("/"), F.floor(F.col("doc_id") / 800).cast("string")).alias("kb_path"), "doc_id",
         F.concat(F.substring(F.lit("DLRA"), (group + 1).cast("int"), F.lit(1)), F.lit("-"), F.lpad(number.cast("string"), 3, "0")).alias("item_id"),
