@@ -23,6 +23,8 @@ from sessionmill.functions.tables import Steps
 
 BATCH_LINES, BATCH_CHARS, CHUNK = 2_000, 4 << 20, 1 << 20
 TASK_BYTES = 128 << 20
+#: Tasks for each core that folders are dealt to.
+DEALT = 4
 READ = "path string, line_no long, raw string, transcript_sha256 string"
 
 
@@ -171,10 +173,12 @@ def whole_files(folders: DataFrame, pattern: str) -> DataFrame:
     """folder, file_name, text of the files of ``folders(folder)`` whose whole name fits ``pattern``; folders that are not there have none.
 
     For small files. Folders are listed where the tasks run, hidden ones too, which
-    Spark's readers leave out.
+    Spark's readers leave out. Their names are few bytes whatever lies in them, so they
+    are dealt to a set number of tasks, which Spark does not merge into one.
     """
     cloudpickle.register_pickle_by_value(sessionmill)
-    return folders.select("folder").mapInArrow(_whole(pattern), "folder string, file_name string, text string")
+    tasks = DEALT * folders.sparkSession.sparkContext.defaultParallelism
+    return folders.select("folder").repartition(tasks, "folder").mapInArrow(_whole(pattern), "folder string, file_name string, text string")
 
 
 def _written(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -185,3 +185,13 @@ def test_strict_json(spark):
 @pytest.mark.parametrize(("text", "want"), [('{"z":1.0,"a":[2.50,-3.00,10,0.5]}', '{"z":1,"a":[2.5,-3,10,0.5]}'), ('{"s":"1.0, 2.50","t":"\\"1.0"}', '{"s":"1.0, 2.50","t":"\\"1.0"}'), ("1.0e5", "1.0e5"), ("100", "100"), ("1.05", "1.05"), ("[1.0,1.10]", "[1,1.1]")])
 def test_numbers_are_written_short(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(transcripts.plain_numbers(F.col("t")).alias("v")).first().v == want
+
+
+def test_folders_are_dealt_to_tasks(spark, tmp_path):
+    """Folders' names are few bytes; their files are read by more than one task all the same."""
+    for k in range(12):
+        (tmp_path / f"k{k}").mkdir()
+        (tmp_path / f"k{k}" / "D-001-a.md").write_text(f"text {k}")
+    folders = spark.createDataFrame([(str(tmp_path / f"k{k}"),) for k in range(12)], "folder string").repartition(1)
+    read = files.whole_files(folders.distinct(), r".*\.md").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.text for r in read) == sorted(f"text {k}" for k in range(12)) and len({r.task for r in read}) > 1
