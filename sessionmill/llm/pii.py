@@ -1,8 +1,8 @@
 """Personal data by candidate gradient boosting, in SQL functions only.
 
 Base spans come from fixed patterns. High-recall generators propose more spans,
-which may overlap. Boosted trees over format and context features, fitted on a
-bounded sample of candidates that the base rules decide, score the ones that they
+which may overlap. Boosted trees over format and context features, fitted on
+all candidates that the base rules decide, score the ones that they
 do not; thresholds calibrated on held-back candidates select what is added. The
 fitted trees become a column expression, so detection needs no shuffle.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.columns import folded, let, pieces
-from sessionmill.llm.session import discard, prepare, stored
+from sessionmill.llm.session import prepare, stored
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -39,8 +39,8 @@ GROUPED = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9\x20()./-]{6,28}[0-9](?![0-9A-Za-z])"
 QUARTET = r"(?<![0-9.])[0-9]{1,3}(?:[.:,][0-9]{1,3}){3}(?![0-9.])"
 CUES = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|mobile|fax|card|visa|credit|account|ip|host|addr|server)[^a-z]*$"
 CONTEXT = 24
-#: Candidates for the fit are taken from the documents of a share of this many parts: one first, then as many as that one shows to be needed.
-SHARES = 64
+#: Values of a feature that trees tell apart; Spark takes splits from all rows if they are at most the square of it.
+MOST_BINS = 1024
 
 
 #: A match with its context: what stands right before it, since the match before, and the character after it.
@@ -197,35 +197,30 @@ def _tree(node):
     return int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit(docs: DataFrame, most_rows: int = 10_000, rounds: int = 12, depth: int = 3, precision: float = 0.98) -> Model:
-    """Fits the trees on decided candidates: at most ``most_rows`` of each label, those of least hash.
+def fit(docs: DataFrame, rounds: int = 12, depth: int = 3, precision: float = 0.98) -> Model:
+    """Fits the trees on all decided candidates of all documents.
 
-    They are looked for in the documents of a 64th of all hashes (SHARES), and if these do
-    not hold ``most_rows`` of both labels, in half as many again as would, or in all.
-    One in four is held back; a kind's threshold is the least score above which the
-    held-back candidates reach ``precision``. Without candidates of both labels
+    Features are small numbers, so candidates that are equal in all of them are one row with
+    their number as its weight; both labels weigh the same together. One in four is held
+    back, by hash; a kind's threshold is the least score above which the held-back
+    candidates reach ``precision``. Without candidates of both labels
     there is no model, and nothing is added to the base spans.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    place, share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES)), 1
-    while True:
-        found = with_candidates(docs.where(place < share)).select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*").where("label IS NOT NULL")
-        found = stored(found.withColumn("h", F.xxhash64("doc_id", "start", "kind", "end")), "candidates")
-        least = found.agg(F.least(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1))).first()[0]
-        if share == SHARES or least >= most_rows:
-            break
-        discard(found)
-        share = min(SHARES, max(2 * share, -(-3 * share * most_rows // (2 * least)))) if least else SHARES
-    picked = [found.where(F.col("label") == k).orderBy("h", "doc_id", "start", "kind", "end").limit(most_rows) for k in (0, 1)]
-    sample = stored(picked[0].union(picked[1]).select("kind", "label", "features", (F.pmod("h", F.lit(4)) == 0).alias("held")).coalesce(1), "sample")
-    train = sample.where("NOT held")
-    if train.select("label").distinct().count() < 2:
+    found = with_candidates(docs).select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*").where("label IS NOT NULL")
+    held = (F.pmod(F.xxhash64("doc_id", "start", "kind", "end"), F.lit(4)) == 0).alias("held")
+    counted = found.groupBy("kind", "label", "features", held).agg(F.count("*").alias("n"))
+    counted = stored(counted.orderBy("held", "label", "features"), "counted")
+    train = counted.where("NOT held")
+    of_label = {r.label: r.n for r in train.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    if len(of_label) < 2:
         return Model((), (), (1.1,) * len(KINDS))
-    boosted = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=depth, seed=1, minInstancesPerNode=2).fit(train.select("label", array_to_vector("features").alias("vector")))
+    weight = F.col("n") * F.when(F.col("label") == 1, sum(of_label.values()) / 2 / of_label[1]).otherwise(sum(of_label.values()) / 2 / of_label[0])
+    boosted = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=depth, seed=1, maxBins=MOST_BINS, weightCol="weight").fit(train.select("label", weight.alias("weight"), array_to_vector("features").alias("vector")))
     trees = tuple(_tree(t.rootNode()) for t in boosted._java_obj.trees())
     model = Model(trees, tuple(float(w) for w in boosted.treeWeights), (0.5,) * len(KINDS))
-    bins = sample.where("held").select("kind", "label", F.floor(model.score(F.col("features")) * 50).alias("bin")).groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    bins = counted.where("held").select("kind", "label", "n", F.floor(model.score(F.col("features")) * 50).alias("bin")).groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     thresholds = []
     for kind in range(len(KINDS)):
         own = sorted(((r.bin, r.good, r.n) for r in bins if r.kind == kind), reverse=True)

@@ -80,3 +80,16 @@ def test_a_long_text_full_of_hits(spark):
     short = detect(spark.createDataFrame([(1, text[: 44 * 500])], "doc_id long, text string"), model)
     assert redacted(short).first().text == "write to [email] or [ip], " * 500
     assert time.monotonic() - began < 60
+
+
+def test_every_decided_candidate_counts_in_the_fit(spark, monkeypatch):
+    """More candidates of a label than any sample held: all of them reach the trees, with their number as weight."""
+    from sessionmill.llm import pii
+
+    seen = []
+    stored = pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, label="step": seen.append(stored(df, label)) or seen[-1])
+    rows = [(i, " ".join(f"+1 (988) 555-{n:04d} no 12-34-567 x," for n in range(60))) for i in range(200)]
+    assert fit(spark.createDataFrame(rows, "doc_id long, text string"), rounds=2).trees
+    of_label = {r.label: r.n for r in seen[-1].groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    assert of_label[1] == 12_000 and of_label[0] >= 12_000
