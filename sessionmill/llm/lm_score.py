@@ -1,93 +1,174 @@
 """Stupid-backoff scores of documents under the n-gram counts of their own corpus.
 
-Documents are dealt into chunks of bounded size and exploded to the n-grams of each
-chunk, a row for each distinct one with its count. These rows are partitioned by
-the hash of the n-gram and summed to the count table of the corpus, which is joined
-back to them; the totals go to their chunks, where they are summed per document. So
-a frequent n-gram travels once per chunk, not once per occurrence, and no task
-holds more than a chunk.
+Documents are dealt into chunks of bounded size, stored with words as codes. Single
+words are counted first and their totals stored with the chunks. Longer n-grams are
+counted in slices, one after the other, so that the rows of one slice alone are on
+disk: a slice has the positions whose previous word falls into it, and for these all
+that their scores ask for. A chunk gives a row for each of its distinct n-grams of the
+slice with its count. These rows are partitioned by the hash of the
+n-gram and summed over the corpus; the totals go back to their chunks, where the
+positions of the slice are scored and summed per document. So a frequent n-gram
+travels once per chunk, not once per occurrence, and no task holds more than a chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from sessionmill.llm.session import prepare, replayable, stored
-from sessionmill.llm.words import mix, segment_sum, split_words, word_hashes
+from sessionmill.llm.session import discard, prepare, replayable, stored
+from sessionmill.llm.words import from_planes, ipc, mix, opened, planes, split_words, word_hashes
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+GRAMS = "key long, chunk long, n long"
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """A chunk as one row: its documents, the hashes of its words, and the code of each word with its count in the document."""
+    codes, starts, words = split_words(rows["text"].combine_chunks())
+    n = np.diff(starts)
+    # frequent words have the small codes
+    count = np.bincount(codes, minlength=len(words))
+    often = np.argsort(-count, kind="stable")
+    rank = np.empty(len(often), np.int64)
+    rank[often] = np.arange(len(often))
+    codes = rank[codes]
+    _, same, own = np.unique(np.repeat(np.arange(len(n)), n) * max(1, len(words)) + codes, return_inverse=True, return_counts=True)
+    docs = pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), pa.array(n)], names=["doc_id", "n_words"])
+    hashes = pa.RecordBatch.from_arrays([pa.array(word_hashes(words)[often])], names=["hash"])
+    placed = pa.RecordBatch.from_arrays([*planes(codes), *planes(own[same])], names=list("abcdefgh"))
+    return pa.table({"chunk": pa.array([rows["chunk"][0].as_py()], pa.int64()), **{name: pa.array([ipc(x)], pa.binary()) for name, x in (("docs", docs), ("hashes", hashes), ("codes", placed))}})
+
+
+def _rows(chunk: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), chunk, np.int64)), pa.array(n.astype(np.int64))], names=["key", "chunk", "n"])
+
+
+def _told(distinct: np.ndarray, totals: np.ndarray, told: pa.Table) -> np.ndarray:
+    """``totals`` of the chunk's own ``distinct`` keys with those of the corpus; n-grams of no other chunk are not told, as the chunk's own are all there are."""
+    asked = told["key"].to_numpy().view(np.uint64)
+    at = np.searchsorted(distinct, asked)
+    if len(asked) and (not len(distinct) or (distinct[np.minimum(at, len(distinct) - 1)] != asked).any()):
+        raise ValueError("a task that ran again read other documents: store them first")
+    totals[at] = told["total"].to_numpy()
+    return totals
+
+
+def _single_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each distinct word of a chunk, and how often it occurs there."""
+    hashes, placed = opened(row["hashes"])["hash"].to_numpy(), opened(row["codes"])
+    return mix(hashes + np.uint64(1)) | np.uint64(1), np.bincount(from_planes(placed.columns[:4]), minlength=len(hashes))
+
+
+def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _rows(batch["chunk"][i].as_py(), *_single_keys({c: batch[c][i].as_py() for c in ("hashes", "codes")}))
+
+
+def _with_totals(rows: pa.Table, told: pa.Table) -> pa.Table:
+    """The chunk again, with the total of each of its words."""
+    row = {c: rows[c][0].as_py() for c in ("chunk", "docs", "hashes", "codes")}
+    keys, n = _single_keys(row)
+    distinct, place = np.unique(keys, return_inverse=True)
+    totals = _told(distinct, np.bincount(place, n, len(distinct)).astype(np.int64), told)
+    row["hashes"] = ipc(opened(row["hashes"]).append_column("total", pa.array(totals[place])))
+    return pa.table({c: pa.array([x], pa.int64() if c == "chunk" else pa.binary()) for c, x in row.items()})
+
+
+class _Slice:
+    """The n-grams of two words and more of a chunk that the scores of one slice ask for.
+
+    ``asked`` are the positions that are scored: those whose previous word is of the
+    slice, and in slice 0 those of first words. ``at`` are, for each order, the positions
+    where its n-grams end, and ``keys`` their 64-bit keys. A context ends in a word of
+    the slice; other n-grams have one last but one. So the n-gram alone decides on its
+    slices, in every chunk alike, and its counts there are complete.
+    """
 
-
-def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For n = 1 to ``order``, the 64-bit key of the n-gram that ends at each word (0 where the text has no n words yet), and where texts begin."""
-    codes, starts, words = split_words(texts)
-    hashes = word_hashes(words)[codes]
-    place = np.arange(len(codes)) - np.repeat(starts[:-1], np.diff(starts))
-    keys, run = [], np.zeros(len(codes), np.uint64)
-    with np.errstate(over="ignore"):
-        power = np.uint64(1)
-        for n in range(1, order + 1):
-            back = np.concatenate((np.zeros(n - 1, np.uint64), hashes[: len(hashes) - n + 1])) if len(hashes) >= n else np.zeros(len(hashes), np.uint64)
-            run = run + back * power
-            power *= BASE
-            keys.append(np.where(place >= n - 1, mix(run + np.uint64(n)) | np.uint64(1), np.uint64(0)))
-    return keys, starts
-
-
-def _chunk_grams(order: int) -> Callable[[pa.Table], pa.Table]:
-    """A row for each distinct n-gram of a chunk: key, chunk, n."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        keys, _ = grams(rows["text"].combine_chunks(), order)
-        keys, n = np.unique(np.concatenate(keys), return_counts=True)
-        real = keys > 0
-        chunk = rows["chunk"][0].as_py() if rows.num_rows else 0
-        return pa.table({"key": pa.array(keys[real].view(np.int64)), "chunk": pa.array(np.full(int(real.sum()), chunk, np.int64)), "n": pa.array(n[real].astype(np.int64))})
+    def __init__(self, row: dict, order: int, slices: int, number: int):
+        self.docs, words, placed = opened(row["docs"]), opened(row["hashes"]), opened(row["codes"])
+        hashes, self.totals = words["hash"].to_numpy(), words["total"].to_numpy()
+        self.codes, self.own = (from_planes(x).astype(np.int64) for x in (placed.columns[:4], placed.columns[4:]))
+        n = self.docs["n_words"].to_numpy()
+        ends = np.cumsum(n)
+        self.place = np.arange(len(self.codes)) - np.repeat(ends - n, n)
+        context = (mix(hashes) % np.uint64(slices) == number)[self.codes]
+        asked = np.concatenate((np.zeros(1, bool), context))[:-1] & (self.place > 0)
+        if number == 0:
+            asked |= self.place == 0
+        self.asked = np.flatnonzero(asked)
+        each = hashes[self.codes]
+        self.at, self.keys = [], []
+        with np.errstate(over="ignore"):
+            for k in range(1, order):
+                at = np.flatnonzero((asked | context if k < order - 1 else asked) & (self.place >= k))
+                run, power = each[at], np.uint64(1)
+                for back in range(1, k + 1):
+                    power *= BASE
+                    run = run + each[at - back] * power
+                self.at.append(at)
+                self.keys.append(mix(run + np.uint64(k + 1)) | np.uint64(1))
+
+
+def _chunk_grams(order: int, slices: int, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each distinct n-gram of two words and more of a chunk that the slice asks for: key, chunk, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = _Slice({c: batch[c][i].as_py() for c in ("docs", "hashes", "codes")}, order, slices, number)
+                for keys in row.keys:
+                    yield _rows(batch["chunk"][i].as_py(), *np.unique(keys, return_counts=True))
 
     return run
 
 
-def _chunk_scores(order: int, alpha: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _chunk_scores(order: int, alpha: float, slices: int, number: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        keys, starts = grams(rows["text"].combine_chunks(), order)
-        distinct, place, totals = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        # n-grams of no other chunk are not told: their totals are the chunk's own
-        asked = told["key"].to_numpy().view(np.uint64)
-        at = np.searchsorted(distinct, asked)
-        if len(asked) and (not len(distinct) or (distinct[np.minimum(at, len(distinct) - 1)] != asked).any()):
-            raise ValueError("a task that ran again read other documents: store them first")
-        totals[at] = told["total"].to_numpy()
-        place = place.reshape(order, -1)
-        n = np.diff(starts)
+        row = _Slice({c: rows[c][0].as_py() for c in ("docs", "hashes", "codes")}, order, slices, number)
+        distinct, place, totals = np.unique(np.concatenate([np.zeros(0, np.uint64), *row.keys]), return_inverse=True, return_counts=True)
+        totals = _told(distinct, totals, told)
+        n = row.docs["n_words"].to_numpy()
         doc = np.repeat(np.arange(len(n)), n)
-        others = []
-        for k in range(order):
-            # what the document itself holds of the n-gram does not count for it
-            _, same, own = np.unique(doc * np.int64(len(distinct) + 1) + place[k], return_inverse=True, return_counts=True)
-            others.append(np.where(keys[k] > 0, totals[place[k]] - own[same], 0))
+        # what the document itself holds of the n-gram does not count for it
+        others = [row.totals[row.codes] - row.own]
+        for at, part in zip(row.at, np.split(place, np.cumsum([len(at) for at in row.at])[:-1]) if row.at else [], strict=True):
+            _, same, own = np.unique(doc[at] * np.int64(len(distinct) + 1) + part, return_inverse=True, return_counts=True)
+            held = np.zeros(len(doc), np.int64)
+            held[at] = totals[part] - own[same]
+            others.append(held)
         # (log of the score) = log_score, less log(words of all other documents) where it came down to single words
-        log_score = np.log(np.where(others[0] > 0, others[0], alpha))
-        single = np.ones(len(doc))
-        first = np.zeros(len(doc), bool)
-        first[starts[:-1][n > 0]] = True
+        scored = row.asked
+        log_score = np.log(np.where(others[0][scored] > 0, others[0][scored], alpha))
+        single = np.ones(len(scored))
         for k in range(1, order):
-            usable = keys[k] > 0
-            context = np.concatenate(([0], others[k - 1][:-1])) if len(doc) else others[k - 1]
-            hit = usable & (others[k] > 0)
+            usable = row.place[scored] >= k
+            context = np.where(usable, others[k - 1][scored - 1], 0)
+            hit = usable & (others[k][scored] > 0)
             backed = np.where(usable, np.log(alpha) + log_score, log_score)
-            log_score = np.where(hit, np.log(np.where(hit, others[k], 1)) - np.log(np.where(hit, np.maximum(context, 1), 1)), backed)
+            log_score = np.where(hit, np.log(np.where(hit, others[k][scored], 1)) - np.log(np.where(hit, np.maximum(context, 1), 1)), backed)
             single = np.where(hit, 0.0, single)
-        return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(n), "log_score": pa.array(segment_sum(log_score, starts)), "n_single": pa.array(segment_sum(single, starts))})
+        sums = [np.bincount(doc[scored], x, len(n)).astype(np.float64) for x in (log_score, single)]
+        chunk = pa.array(np.full(len(n), rows["chunk"][0].as_py(), np.int64))
+        return pa.table({"chunk": chunk, "row": pa.array(np.arange(len(n), dtype=np.int64)), "doc_id": row.docs["doc_id"], "n_words": pa.array(n), "log_score": pa.array(sums[0]), "n_single": pa.array(sums[1])})
 
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_chars: int = 8_000_000) -> DataFrame:
+def _totals(grams: DataFrame) -> GroupedData:
+    """The sum of each n-gram over the corpus, for each chunk that has it; n-grams of a single chunk are left out."""
+    of_key = Window.partitionBy("key")
+    summed = grams.select("chunk", "key", F.sum("n").over(of_key).alias("total"), F.count("*").over(of_key).alias("chunks"))
+    return summed.where("chunks > 1").select("chunk", "key", "total").groupBy("chunk")
+
+
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_chars: int = 8_000_000, slices: int = 8) -> DataFrame:
     """Mean log of the stupid-backoff score of each document's words.
 
     A word's score is count(n-gram) / count(its context) for the longest n-gram,
@@ -100,7 +181,8 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_chars:
     Returns doc_id, n_words, score (null for texts without words, which null texts
     are too). Repeated rows are documents of their own; a null doc_id stays null;
     other columns are ignored. In a corpus of one document every score is that of
-    unknown words. An empty table gives an empty result.
+    unknown words. An empty table gives an empty result. The scores are the same with
+    any number of ``slices``; more of them take less disk and more jobs.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -110,11 +192,19 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_chars:
     parts = max(1, -(-chars // chunk_chars))
     # rows that are equal in all columns still spread, by the part of the input that they are read from
     chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)))
-    exploded = chunked.groupBy("chunk").applyInArrow(_chunk_grams(order), "key long, chunk long, n long").repartition("key")
-    counts = exploded.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("chunks")).where("chunks > 1").select("key", "total")
-    told = exploded.join(counts.hint("merge"), "key").select("chunk", "key", "total")
-    scored = chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_chunk_scores(order, alpha), "doc_id long, n_words long, log_score double, n_single double")
-    scored = stored(scored, "scores")
-    words = scored.agg(F.sum("n_words")).first()[0] or 0
+    kinds = "chunk long, docs binary, hashes binary, codes binary"
+    chunks = stored(chunked.groupBy("chunk").applyInArrow(_packed, kinds), "chunks")
+    with_totals = stored(chunks.groupBy("chunk").cogroup(_totals(chunks.mapInArrow(_chunk_words, GRAMS))).applyInArrow(_with_totals, kinds), "chunks")
+    discard(chunks)
+    chunks, scores = with_totals, []
+    for number in range(slices):
+        told = _totals(chunks.mapInArrow(_chunk_grams(order, slices, number), GRAMS))
+        scored = chunks.groupBy("chunk").cogroup(told).applyInArrow(_chunk_scores(order, alpha, slices, number), "chunk long, row long, doc_id long, n_words long, log_score double, n_single double")
+        scores.append(stored(scored, "scores").withColumn("slice", F.lit(number)))
+    discard(chunks)
+    # a document has a row in each slice; they are added in the order of the slices
+    added = [sum(F.max(F.when(F.col("slice") == i, F.col(c))) for i in range(slices)).alias(c) for c in ("log_score", "n_single")]
+    scored = reduce(DataFrame.unionByName, scores).groupBy("chunk", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *added)
+    words = scores[0].agg(F.sum("n_words")).first()[0] or 0
     rest = F.log(F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)))
     return scored.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round((F.col("log_score") - F.col("n_single") * rest) / F.col("n_words"), 6)).alias("score"))

@@ -87,3 +87,25 @@ def segment_max(values: np.ndarray, starts: np.ndarray, empty: float) -> np.ndar
     if len(full):
         out[full] = np.maximum.reduceat(values, starts[:-1][full])
     return out
+
+
+def ipc(batch: pa.RecordBatch) -> bytes:
+    """A batch as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def planes(values: np.ndarray) -> list[pa.Array]:
+    """The four bytes of each value as columns of their own: upper bytes of small values compress well."""
+    split = values.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [pa.array(np.ascontiguousarray(split[:, i])) for i in range(4)]
+
+
+def from_planes(columns: list[pa.Array]) -> np.ndarray:
+    return np.stack([c.to_numpy() for c in columns], axis=1).reshape(-1).view("<u4")

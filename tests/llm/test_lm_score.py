@@ -1,9 +1,10 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from sessionmill.llm.lm_score import lm_scores
+from sessionmill.llm.lm_score import _chunk_grams, _packed, _with_totals, lm_scores
 
 
 def brute(rows, order, alpha=0.4):
@@ -39,3 +40,25 @@ def test_scores_equal_brute_force(spark, order, chunk):
 
 def test_empty_table(spark):
     assert lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_slices_make_no_difference(spark, slices):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    key = lambda r: (str(r[0]), r[1])
+    got = sorted((tuple(r) for r in lm_scores(df, chunk_chars=30, slices=slices).collect()), key=key)
+    for a, b in zip(got, sorted(brute(ROWS, 3), key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-6)
+
+
+def test_slices_hold_all_occurrences_of_few_ngrams():
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(300)) for i in range(1, 40)]
+    rows = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "chunk": pa.array([7] * len(texts), pa.int64())})
+    packed = _packed(rows)
+    packed = _with_totals(packed, pa.table({"key": pa.array([], pa.int64()), "total": pa.array([], pa.int64())})).to_batches()[0]
+    whole, *parts = [pa.Table.from_batches(_chunk_grams(3, s, i)(iter([packed]))).to_pandas() for s in (1, 8) for i in range(s)]
+    whole = whole.set_index("key").n
+    assert whole.index.is_unique and max(map(len, parts)) < len(whole) / 2
+    for part in parts:
+        assert (whole[part.key].to_numpy() == part.n).all()
+    assert set(whole.index) == {k for part in parts for k in part.key}
