@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.session import prepare, replayable, stored
-from sessionmill.llm.words import ragged, segment_max, segment_sum, split_words, text_batches
+from sessionmill.llm.session import discard, prepare, replayable, stored
+from sessionmill.llm.words import from_planes, ipc, opened, planes, ragged, segment_max, segment_sum, split_words, text_batches
 
 ORDER = 6
 BITS = 10
@@ -36,6 +36,7 @@ PASSAGE = 8
 BATCH_BYTES = 2 << 20
 SLICE_WORDS = 250_000
 HELD_WORDS = 250_000
+GRAM_WORDS = 50_000
 
 
 def packed_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +60,12 @@ def packed_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.concatenate(([0], np.cumsum(length + 1)))
 
 
+def gram_parts(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The packed grams of GRAM_WORDS words at a time: their arrays take many times the words' own bytes."""
+    for first in range(0, len(words), GRAM_WORDS):
+        yield packed_grams(words.slice(first, GRAM_WORDS))
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grams of the distinct words of each document, by class, summed over HELD_WORDS words at a time."""
     held: list[tuple[pa.Array, np.ndarray]] = []
@@ -149,17 +156,6 @@ def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield distinct()
 
 
-def _ipc(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _opened(data: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(data).read_next_batch()
-
-
 def _chunks(carry: list[str], chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's documents as rows of about ``chunk_bytes`` of text each, words as codes: (docs, words, codes), compressed."""
 
@@ -175,11 +171,10 @@ def _chunks(carry: list[str], chunk_bytes: int) -> Callable[[Iterator[pa.RecordB
         often = np.argsort(-count, kind="stable")
         rank = np.empty(len(often), "<u4")
         rank[often] = np.arange(len(often), dtype=np.uint32)
-        planes = np.concatenate([rank[part][h[1]] for h, part in zip(held, parts, strict=True)]).view(np.uint8).reshape(-1, 4)
-        columns = [pa.array(np.ascontiguousarray(planes[:, i])) for i in range(4)]
+        columns = planes(np.concatenate([rank[part][h[1]] for h, part in zip(held, parts, strict=True)]))
         words = " ".join(known.dictionary.take(pa.array(often)).to_pylist())
         docs = pa.Table.from_batches([h[0] for h in held]).combine_chunks().to_batches()[0]
-        parts = [_ipc(docs), _ipc(pa.RecordBatch.from_arrays([pa.array([words.encode()], pa.large_binary())], names=["words"])), _ipc(pa.RecordBatch.from_arrays(columns, names=["a", "b", "c", "d"]))]
+        parts = [ipc(docs), ipc(pa.RecordBatch.from_arrays([pa.array([words.encode()], pa.large_binary())], names=["words"])), ipc(pa.RecordBatch.from_arrays(columns, names=["a", "b", "c", "d"]))]
         return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["docs", "words", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +193,8 @@ def _chunks(carry: list[str], chunk_bytes: int) -> Callable[[Iterator[pa.RecordB
 
 
 def _words(data: bytes) -> pa.Array:
-    joined = _opened(data)["words"][0].as_py().decode()
-    return pa.array(joined.split(" ") if joined else [], pa.string())
+    joined = opened(data)["words"].cast(pa.large_string())
+    return pc.split_pattern(joined, " ").flatten() if len(joined[0].as_buffer()) else joined.slice(1)
 
 
 def compare(codes: np.ndarray, starts: np.ndarray, gain: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
@@ -237,7 +232,7 @@ def _ranked(codes: np.ndarray, starts: np.ndarray, strength: np.ndarray) -> list
 
 
 def _chunk_grams(rows: pa.Table) -> pa.Table:
-    grams = np.unique(np.concatenate([np.zeros(0, np.int64), *[packed_grams(_words(w.as_py()))[0] for w in rows["words"]]]))
+    grams = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.unique(grams) for w in rows["words"] for grams, _ in gram_parts(_words(w.as_py()))]]))
     return pa.table({"chunk": pa.array(np.full(len(grams), rows["chunk"][0].as_py() if rows.num_rows else 0, np.int64)), "gram": pa.array(grams)})
 
 
@@ -246,13 +241,15 @@ def _chunk_features(carry: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table
     kinds = [pa.int64(), *[pa.float64()] * len(FEATURES), *[pa.int64()] * len(carry)]
 
     def of_chunk(row: dict, known: np.ndarray, gains: np.ndarray) -> Iterator[pa.RecordBatch]:
-        grams, begin = packed_grams(_words(row["words"]))
-        at = np.searchsorted(known, grams)
-        if len(grams) and (not len(known) or (known[np.minimum(at, len(known) - 1)] != grams).any()):
-            raise ValueError("a task that ran again read other documents: store them first")
-        gain, size = segment_sum(gains[at], begin) / SCALE, np.diff(begin).astype(np.float64)
-        docs, planes = _opened(row["docs"]), _opened(row["codes"])
-        codes = np.stack([planes[i].to_numpy() for i in range(4)], axis=1).reshape(-1).view("<u4")
+        gain, size = [np.zeros(0)], [np.zeros(0)]
+        for grams, begin in gram_parts(_words(row["words"])):
+            at = np.searchsorted(known, grams)
+            if not len(known) or (known[np.minimum(at, len(known) - 1)] != grams).any():
+                raise ValueError("a task that ran again read other documents: store them first")
+            gain.append(segment_sum(gains[at], begin) / SCALE)
+            size.append(np.diff(begin).astype(np.float64))
+        gain, size = np.concatenate(gain), np.concatenate(size)
+        docs, codes = opened(row["docs"]), from_planes(opened(row["codes"]).columns)
         ends = np.cumsum(docs["n_words"].to_numpy())
         first = 0
         while first < docs.num_rows:
@@ -314,6 +311,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most_fit_rows:
     tables = train(docs.select("doc_id", "text").where(fold > 1).join(labels.where(fold > 1).hint("merge"), "doc_id"))
     asked = stored(docs.select("text").mapInArrow(_distinct_grams, "gram long").distinct(), "asked")
     gains = stored(evidence(asked, tables), "gains")
+    discard(asked, *tables.values())
     chunks = docs.mapInArrow(_chunks(list(carry), chunk_bytes), "docs binary, words binary, codes binary")
     chunks = chunks.select(F.xxhash64("docs", "words", "codes").alias("chunk"), "docs", "words", "codes")
     # the same columns in both uses, so that chunks are made and shuffled once

@@ -1,7 +1,11 @@
 import random
+import tracemalloc
 import zlib
 
-from sessionmill.llm.toxicity import toxicity
+import numpy as np
+import pyarrow as pa
+
+from sessionmill.llm.toxicity import _chunk_features, _chunk_grams, _chunks, packed_grams, toxicity
 
 
 def corpus(n=900, seed=3):
@@ -116,3 +120,18 @@ def test_shuffled_documents_and_a_very_long_one(spark):
     assert len(want) == 121 and want[500] < 0.5
     # a table that comes out of a shuffle gives the same
     assert {r.doc_id: round(r.score, 9) for r in toxicity(docs.repartition(3, "text"), labels).collect()} == want
+
+
+def test_grams_of_a_chunk_are_made_a_part_of_its_words_at_a_time():
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choices("abcdefghij", k=12)) for _ in range(300_000)})
+    texts = [" ".join(words[i : i + 3000]) for i in range(0, len(words), 3000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    rows = pa.Table.from_batches(list(_chunks([], 64 << 20)(iter([batch])))).append_column("chunk", pa.array([5], pa.int64()))
+    tracemalloc.start()
+    told = _chunk_grams(rows)
+    _chunk_features([])(rows, told.append_column("gain", told["gram"]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20
+    assert (told["gram"].to_numpy() == np.unique(packed_grams(pa.array(words))[0])).all()
