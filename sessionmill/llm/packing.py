@@ -142,14 +142,16 @@ class Sums:
         self.left, capacity = left, len(left) - 1
         self.lead = [gap - 2 for gap in range(capacity + 1)]
         if most_parts > 1:
-            have = np.flatnonzero(left)
-            # (larger, smaller) of every pair that fits, by their sum and then the larger one, longest first
-            counts = np.searchsorted(have, np.minimum(have, capacity - have), side="right")
-            larger = np.repeat(have, counts)
-            total = larger + have[ragged(np.zeros(len(have), np.int64), counts)]
-            order = np.argsort((total << 32) - larger, kind="stable")
-            self.larger = memoryview(larger[order].astype(np.int32))
-            self.at = np.searchsorted(total[order], np.arange(capacity + 2)).tolist()
+            # (larger, smaller) of every pair that fits, by their sum and then the larger one, longest first;
+            # sum by sum, as arrays over all pairs at once would be the most that the driver holds
+            have, held = np.flatnonzero(left), np.array(left) > 0
+            ends = np.searchsorted(have, np.arange(capacity + 2))
+            found = [np.zeros(0, np.int32)]
+            for total in range(capacity + 1):
+                larger = have[ends[(total + 1) // 2] : ends[total]]
+                found.append(larger[held[total - larger]][::-1].astype(np.int32))
+            self.larger = memoryview(np.concatenate(found))
+            self.at = np.cumsum([0, *map(len, found)])[1:].tolist()
             self.end = self.at[1:]
 
     def _enough(self, parts: tuple[int, ...]) -> bool:

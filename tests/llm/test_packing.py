@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -7,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from sessionmill.llm.packing import END, WordIds, exact_and_best_fit, pack
+from sessionmill.llm.packing import END, Sums, WordIds, exact_and_best_fit, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -99,3 +100,13 @@ def test_plans_are_near_the_best_of_small_tables(seed):
     counts = {x: pieces.count(x) for x in set(pieces)}
     best, got = fewest(sorted(pieces, reverse=True), []), check_plan(counts, capacity)
     assert best <= got <= best + seed % 2
+
+
+def test_pairs_of_lengths_are_indexed_in_little_memory():
+    tracemalloc.start()
+    sums = Sums([0] + [1] * 4096, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+    for total in (0, 1, 2, 3, 9, 4095, 4096):
+        assert sums.larger[sums.at[total] : sums.end[total]].tolist() == list(range(total - 1, (total - 1) // 2, -1))
