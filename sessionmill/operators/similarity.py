@@ -6,14 +6,26 @@ updated; ``candidates`` has candidate_id, kb_path, category, title_slug, tags, p
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import sessionmill
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionmill.functions.distance import code_points, distances
 from sessionmill.functions.tables import Steps
 from sessionmill.functions.text import js_len
 
 SLUG_DISTANCE = 0.4
 CAP = 10
+#: Classes of a block, and those of it that are compared at a time.
+BLOCK, RUN = 4000, 512
+#: Tasks that compare, at most; each has several units beyond that.
+MOST_PARTS = 10_000
 
 
 def slug_distance(a: Column, b: Column) -> Column:
@@ -68,31 +80,89 @@ def suggestions(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("candidate_id", action.alias("action"), "best_match")
 
 
-def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE) -> DataFrame:
+def _near(row: dict[str, list], members: list[int], a: str, b: str, i: int, j: int, distance: float) -> tuple[np.ndarray, ...]:
+    """Close pairs of blocks ``i`` and ``j`` of one tag pair, less those that share an earlier one: places of both in ``row``, shared tags, distances."""
+    bit = {t: n for n, t in enumerate(sorted({t for at in members for t in row["tags"][at]}))}
+    masks = np.zeros((len(members), len(bit) // 64 + 1), np.uint64)
+    for n, at in enumerate(members):
+        for k in map(bit.get, row["tags"][at]):
+            masks[n, k // 64] |= np.uint64(1 << k % 64)
+    earlier = np.zeros(masks.shape[1], np.uint64)
+    for k in set(range(bit[b])) - {bit[a]}:
+        earlier[k // 64] |= np.uint64(1 << k % 64)
+    low, length, place = masks & earlier, np.array([row["length"][at] for at in members]), np.array(members)
+    points = [code_points(row["slug"][at]) for at in members]
+    order = sorted(range(len(members)), key=lambda n: (low[n].tolist(), row["slug"][members[n]]))
+    left, right = (np.array([n for n in order if row["block"][members[n]] == side], np.int64) for side in (i, j))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    begin = 0
+    while begin < len(left):
+        # classes of the same earlier tags leave out the same others
+        own, end = low[left[begin]], begin + 1
+        while end < min(len(left), begin + RUN) and (low[left[end]] == own).all():
+            end += 1
+        # within a block, a class asks those behind it
+        behind = np.arange(begin + 1 if i == j else 0, len(right))
+        behind = behind[((low[right[behind]] & own) == 0).all(axis=1)]
+        others = right[behind]
+        for number, first, edits in distances([points[n] for n in left[begin:end]], [points[n] for n in others]):
+            one, some = left[begin + number], others[first : first + len(edits)]
+            longer = np.maximum(length[one], length[some])
+            apart = np.where(longer == 0, 0.0, edits / np.maximum(longer, 1))
+            near = (apart <= distance) & ((behind[first : first + len(edits)] > begin + number) | (i != j))
+            if near.any():
+                some = some[near]
+                found.append((np.full(len(some), place[one]), place[some], np.bitwise_count(masks[some] & masks[one]).sum(axis=1, dtype=np.int64), apart[near]))
+        begin = end
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _compared(distance: float) -> Callable[[pa.Table], pa.Table]:
+    """The close pairs of a unit: of two blocks of a popular tag pair, or of many rare tag pairs."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        row = {c: rows[c].to_pylist() for c in ("category", "a", "b", "key", "slug", "tags", "length", "block")}
+        i, j = (rows[c][0].as_py() for c in ("i", "j"))
+        groups = defaultdict(list)
+        for at, group in enumerate(zip(row["category"], row["a"], row["b"], strict=True)):
+            groups[group].append(at)
+        found = [_near(row, members, a, b, i, j, distance) for (_, a, b), members in groups.items()]
+        one, other, shared, apart = map(np.concatenate, zip(*found, strict=True))
+        key = rows["key"].combine_chunks()
+        return pa.table({"l_key": key.take(pa.array(one)), "key": key.take(pa.array(other)), "shared_tags": pa.array(shared, pa.int32()), "slug_distance": pa.array(apart)})
+
+    return run
+
+
+def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE, block: int = BLOCK) -> DataFrame:
     """Unverified active items of two KBs that share two tags and have close slugs: left_kb, left_id, right_kb, right_id, shared_tags, slug_distance.
 
     Items that are equal in category, slug and tags are one class, compared once. Classes
-    meet on a pair of tags, of which one of five tags has ten, and a slug's length: within
-    the distance, a longer slug has at most 1 / (1 - distance) times the length, so a
-    class asks the lengths from its own up to that. They meet as keys and slugs; items are
-    joined to what is close. Popular pairs still cost the square of their classes.
+    meet on a pair of tags, of which one of five tags has ten, and are compared at the
+    first pair that they share. The classes of a popular tag pair are dealt into blocks,
+    and each two blocks are a unit of their own; rare tag pairs share units. So units are
+    bounded and spread over all tasks, but popular pairs still cost the square of their
+    classes. Items are joined to what is close.
     """
+    cloudpickle.register_pickle_by_value(sessionmill)
     steps = Steps(items.sparkSession, "pairs")
-    own = items.where("status = 'active' AND universality = 'unverified'").select("kb_path", "item_id", "category", "slug", F.array_sort(F.array_distinct("tags")).alias("tags"))
+    own = items.where("status = 'active' AND universality = 'unverified'").select("kb_path", "item_id", "category", "slug", F.array_sort(F.array_distinct(F.array_compact("tags"))).alias("tags"))
     own = steps.store(own.where(F.size("tags") >= 2).withColumn("key", F.md5(F.to_json(F.struct("category", "slug", "tags")))), "items")
-    classes = steps.store(own.select("key", "category", "slug", "tags").distinct().withColumn("length", js_len(F.col("slug")).cast("int")), "classes")
+    classes = steps.store(own.where("category IS NOT NULL AND slug IS NOT NULL").select("key", "category", "slug", "tags").distinct().withColumn("length", js_len(F.col("slug"))), "classes")
     pairs = F.flatten(F.transform("tags", lambda a: F.transform(F.filter("tags", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     tag = classes.withColumn("pair", F.explode(pairs)).select("*", "pair.a", "pair.b").drop("pair")
-    longest = F.floor(F.col("length") / (1 - distance) + 1e-9).cast("int")
-    short = tag.select(*[F.col(c).alias(f"l_{c}") for c in ("key", "slug", "tags", "length")], "category", "a", "b", F.explode(F.sequence(F.col("length"), F.greatest("length", longest))).alias("length"))
-    met = short.join(tag, ["category", "a", "b", "length"]).where((F.col("l_length") < F.col("length")) | (F.col("l_key") <= F.col("key")))
-    # the distance first: few pairs are close, and only of these are the tags looked at
-    apart = F.when(F.col("length") == 0, 0.0).otherwise(F.levenshtein("l_slug", "slug") / F.col("length"))
-    near = met.select("l_key", "key", "a", "b", "l_tags", "tags", apart.alias("slug_distance")).where(F.col("slug_distance") <= distance)
-    # classes that share several tag pairs are taken at the first of them only
-    shared = F.array_sort(F.array_intersect("l_tags", "tags"))
-    close = near.where((F.get(shared, F.lit(0)) == F.col("a")) & (F.get(shared, F.lit(1)) == F.col("b"))).select("l_key", "key", F.size(shared).alias("shared_tags"), "slug_distance")
-    close = steps.store(close, "close")
+    group, rare = ["category", "a", "b"], F.col("blocks") == 1
+    groups = steps.store(tag.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block)), "groups")
+    size = groups.agg(F.sum(F.when(rare, F.col("n"))).alias("rare"), F.sum(F.when(~rare, F.col("blocks") * (F.col("blocks") + 1) / 2)).alias("popular")).first()
+    shared_units = -(-(size["rare"] or 0) // block)
+    met = tag.join(groups, group).withColumn("unit", F.when(rare, F.pmod(F.xxhash64(*group), F.lit(max(1, shared_units)))).otherwise(F.xxhash64(*group)))
+    met = met.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    met = met.select("unit", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), *group, "key", "slug", "tags", "length", "block")
+    # units are few rows and much work: a number of partitions is named, so that they are not put together by their bytes
+    parts = max(items.sparkSession.sparkContext.defaultParallelism, min(shared_units + int(size["popular"] or 0), MOST_PARTS))
+    close = met.repartition(parts, "unit", "i", "j").groupBy("unit", "i", "j").applyInArrow(_compared(distance), "l_key string, key string, shared_tags int, slug_distance double")
+    same = classes.select(F.col("key").alias("l_key"), "key", F.size("tags").alias("shared_tags"), F.lit(0.0).alias("slug_distance"))
+    close = steps.store(close.unionByName(same), "close")
     one, other = (own.select(F.col("key").alias(k), F.struct("kb_path", "item_id").alias(n)) for k, n in (("l_key", "one"), ("key", "other")))
     both = close.join(one, "l_key").join(other, "key").where((F.col("one.kb_path") < F.col("other.kb_path")) | (F.col("l_key") != F.col("key")) & (F.col("one.kb_path") > F.col("other.kb_path")))
     left, right = F.least("one", "other"), F.greatest("one", "other")

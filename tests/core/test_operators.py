@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sessionmill.functions import paths, text
+from sessionmill.functions import distance, paths, text
 from sessionmill.operators import candidates, compress, index, items, ledger, profile, regions, similarity
 from sessionmill.plans.adapters import NOW
 from sessionmill.sources import files as named
@@ -138,6 +138,51 @@ def test_similarity(spark):
     assert got[0].reasons == ["tag_overlap_count=2", "slug_distance_normalized=0.313<=0.4"] and got[0].score == pytest.approx(0.4 * 2 / 3 + 0.4 * (1 - 5 / 16))
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("longest,table_bytes", [(0, 1 << 25), (32, 1 << 25), (33, 1 << 14), (150, 1 << 25), (140, 1 << 12)])
+def test_distances_equal_the_table(monkeypatch, longest, table_bytes):
+    monkeypatch.setattr(distance, "TABLE_BYTES", table_bytes)
+    rng = random.Random(longest)
+    one, other = ["".join(rng.choice("ab가😀-"[: rng.choice((2, 5))]) for _ in range(rng.randint(0, longest))) for _ in range(12)], ["".join(rng.choice("abc😀") for _ in range(rng.randint(0, longest))) for _ in range(15)]
+    one = sorted(one + other[:3])
+    got = {(i, first + k): d for i, first, part in distance.distances([distance.code_points(t) for t in one], [distance.code_points(t) for t in other]) for k, d in enumerate(part.tolist())}
+    assert got == {(i, j): edits(a, b) for i, a in enumerate(one) for j, b in enumerate(other)}
+    assert not list(distance.distances([distance.code_points("a")], []))
+
+
+@pytest.mark.parametrize("block", [2, 7, 4000])
+def test_promotion_pairs_equal_all_pairs(spark, block):
+    rng = random.Random(block)
+    slug = lambda: rng.choice(["", "jwt", "jwt-refresh-loop", "a" * 70]) + "".join(rng.choice("abé") for _ in range(rng.randint(0, 6)))
+    rows = [item(f"k{rng.randint(0, 5)}", f"D-{i:03}", rng.choice(["decision", "learning"]), slug(), tags=rng.choices("pqrstu", k=rng.randint(0, 5)), status=rng.choice(["active"] * 5 + ["archived"])) for i in range(160)]
+    got = sorted(tuple(r) for r in similarity.promotion_pairs(spark.createDataFrame(rows, ITEM), block=block).collect())
+    held = sorted((r[0], r[1], r[2], r[3], set(r[6])) for r in rows if r[8] == "active" and len(set(r[6])) >= 2)
+    want = []
+    for a in held:
+        for b in held:
+            apart = edits(a[3], b[3]) / max(len(a[3]), len(b[3]), 1)
+            if a[2] == b[2] and a[0] < b[0] and len(a[4] & b[4]) >= 2 and apart <= 0.4:
+                want.append((*a[:2], *b[:2], len(a[4] & b[4]), apart))
+    assert got == sorted(want) and len(got) > 20
+
+
+def test_popular_tags_cost_one_comparison_a_pair(spark):
+    rng = random.Random(5)
+    rows = [item(f"k{i}", "D-001", "decision", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)), tags="pqrst") for i in range(6000)]
+    held = spark.createDataFrame(rows, ITEM)
+    began = time.monotonic()
+    assert similarity.promotion_pairs(held).count() == 0
+    assert time.monotonic() - began < 30
+
+
 def test_creates_equal_a_walk_in_order(spark):
     draw, rows, held = random.Random(4), [], []
     for kb in range(12):
