@@ -1,14 +1,14 @@
 """Stupid-backoff scores of documents under the n-gram counts of their own corpus.
 
 Documents are dealt into chunks of bounded size, stored with words as codes. Single
-words are counted first and their totals stored with the chunks. Longer n-grams are
-counted in slices, one after the other, so that the rows of one slice alone are on
-disk: a slice has the positions whose previous word falls into it, and for these all
-that their scores ask for. A chunk gives a row for each of its distinct n-grams of the
-slice with its count. These rows are partitioned by the hash of the
-n-gram and summed over the corpus; the totals go back to their chunks, where the
-positions of the slice are scored and summed per document. So a frequent n-gram
-travels once per chunk, not once per occurrence, and no task holds more than a chunk.
+words are counted first, longer n-grams in slices, one after the other, so that the
+n-grams of one slice alone are on disk: a slice has the positions whose previous word falls into it, and for these all
+that their scores ask for. A chunk cuts its distinct n-grams of the slice, sorted by
+their hash, into buckets and gives a row for each bucket: the hashes and their counts.
+A bucket adds them up over all chunks and answers each with what the others hold, in
+the order of its hashes, so no hash travels back. Last, a chunk meets the answers of
+all slices and is scored. So a frequent n-gram travels once per chunk, not once per
+occurrence, and no task holds more than a chunk or a bucket.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.session import discard, prepare, replayable, stored
@@ -26,6 +26,10 @@ from sessionmill.llm.words import from_planes, ipc, mix, opened, planes, split_w
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 GRAMS = "key long, chunk long, n long"
+#: Characters of a slice for each bucket of an order, of which a word takes about six.
+BUCKET_CHARS = 1_500_000
+#: Stands for the number of a slice where single words are meant.
+WORDS = -1
 
 
 def _packed(rows: pa.Table) -> pa.Table:
@@ -42,6 +46,7 @@ def _packed(rows: pa.Table) -> pa.Table:
     docs = pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), pa.array(n)], names=["doc_id", "n_words"])
     hashes = pa.RecordBatch.from_arrays([pa.array(word_hashes(words)[often])], names=["hash"])
     placed = pa.RecordBatch.from_arrays([*planes(codes), *planes(own[same])], names=list("abcdefgh"))
+    pa.default_memory_pool().release_unused()
     return pa.table({"chunk": pa.array([rows["chunk"][0].as_py()], pa.int64()), **{name: pa.array([ipc(x)], pa.binary()) for name, x in (("docs", docs), ("hashes", hashes), ("codes", placed))}})
 
 
@@ -66,9 +71,12 @@ def _single_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of a chunk: key, chunk, n."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield _rows(batch["chunk"][i].as_py(), *_single_keys({c: batch[c][i].as_py() for c in ("hashes", "codes")}))
+            keys, n = _single_keys({c: batch[c][i].as_py() for c in ("hashes", "codes")})
+            distinct, place = np.unique(keys, return_inverse=True)
+            yield _rows(batch["chunk"][i].as_py(), distinct, np.bincount(place, n, len(distinct)))
 
 
 def _with_totals(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -93,7 +101,8 @@ class _Slice:
 
     def __init__(self, row: dict, order: int, slices: int, number: int):
         self.docs, words, placed = opened(row["docs"]), opened(row["hashes"]), opened(row["codes"])
-        hashes, self.totals = words["hash"].to_numpy(), words["total"].to_numpy()
+        # known once the chunk has met them
+        hashes, self.totals = words["hash"].to_numpy(), words["total"].to_numpy() if "total" in words.schema.names else None
         self.codes, self.own = (from_planes(x).astype(np.int64) for x in (placed.columns[:4], placed.columns[4:]))
         n = self.docs["n_words"].to_numpy()
         ends = np.cumsum(n)
@@ -129,43 +138,96 @@ def _chunk_grams(order: int, slices: int, number: int) -> Callable[[Iterator[pa.
     return run
 
 
-def _chunk_scores(order: int, alpha: float, slices: int, number: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        row = _Slice({c: rows[c][0].as_py() for c in ("docs", "hashes", "codes")}, order, slices, number)
-        distinct, place, totals = np.unique(np.concatenate([np.zeros(0, np.uint64), *row.keys]), return_inverse=True, return_counts=True)
-        totals = _told(distinct, totals, told)
-        n = row.docs["n_words"].to_numpy()
-        doc = np.repeat(np.arange(len(n)), n)
-        # what the document itself holds of the n-gram does not count for it
-        others = [row.totals[row.codes] - row.own]
-        for at, part in zip(row.at, np.split(place, np.cumsum([len(at) for at in row.at])[:-1]) if row.at else [], strict=True):
-            _, same, own = np.unique(doc[at] * np.int64(len(distinct) + 1) + part, return_inverse=True, return_counts=True)
-            held = np.zeros(len(doc), np.int64)
-            held[at] = totals[part] - own[same]
-            others.append(held)
-        # (log of the score) = log_score, less log(words of all other documents) where it came down to single words
-        scored = row.asked
-        log_score = np.log(np.where(others[0][scored] > 0, others[0][scored], alpha))
-        single = np.ones(len(scored))
-        for k in range(1, order):
-            usable = row.place[scored] >= k
-            context = np.where(usable, others[k - 1][scored - 1], 0)
-            hit = usable & (others[k][scored] > 0)
-            backed = np.where(usable, np.log(alpha) + log_score, log_score)
-            log_score = np.where(hit, np.log(np.where(hit, others[k][scored], 1)) - np.log(np.where(hit, np.maximum(context, 1), 1)), backed)
-            single = np.where(hit, 0.0, single)
-        sums = [np.bincount(doc[scored], x, len(n)).astype(np.float64) for x in (log_score, single)]
-        chunk = pa.array(np.full(len(n), rows["chunk"][0].as_py(), np.int64))
-        return pa.table({"chunk": chunk, "row": pa.array(np.arange(len(n), dtype=np.int64)), "doc_id": row.docs["doc_id"], "n_words": pa.array(n), "log_score": pa.array(sums[0]), "n_single": pa.array(sums[1])})
+def _bytes(values: np.ndarray) -> bytes:
+    """Values as their lowest bytes, then the next ones, and so on: upper bytes of small values compress well."""
+    wide = "<u4" if int(values.max(initial=0)) < 1 << 32 else "<u8"
+    return wide[-1].encode() + values.astype(wide).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _values(data: bytes) -> np.ndarray:
+    wide = int(data[:1])
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(wide, -1).T).view(f"<u{wide}").reshape(-1).astype(np.uint64)
+
+
+def _chunk_buckets(grams: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], parts: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``grams`` of a chunk, in ``parts`` batches, as a row for each part and bucket: hashes as steps from one to the next, counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, rows in enumerate(grams(batches)):
+            keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+            cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            held = [(i, x, y) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if x < y]
+            if held:
+                cells = [(rows["chunk"][0].as_py(), at % parts, i, _bytes(np.diff(keys[x:y], prepend=np.uint64(0))), _bytes(n[x:y])) for i, x, y in held]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "part", "bucket", "keys", "n"])
 
     return run
 
 
-def _totals(grams: DataFrame) -> GroupedData:
-    """The sum of each n-gram over the corpus, for each chunk that has it; n-grams of a single chunk are left out."""
-    of_key = Window.partitionBy("key")
-    summed = grams.select("chunk", "key", F.sum("n").over(of_key).alias("total"), F.count("*").over(of_key).alias("chunks"))
-    return summed.where("chunks > 1").select("chunk", "key", "total").groupBy("chunk")
+def _bucket_others(rows: pa.Table) -> pa.Table:
+    """For each chunk of a bucket, what all others hold of its n-grams, in the order of their hashes."""
+    keys, n = [np.cumsum(_values(k), dtype=np.uint64) for k in rows["keys"].to_pylist()], [_values(k) for k in rows["n"].to_pylist()]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.zeros(len(distinct), np.uint64)
+    np.add.at(totals, place, np.concatenate(n))
+    places = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    others = [_bytes(totals[at] - own) for at, own in zip(places, n, strict=True)]
+    out = pa.table({**{c: rows[c] for c in ("chunk", "part", "bucket")}, "others": pa.array(others, pa.binary())})
+    pa.default_memory_pool().release_unused()
+    return out
+
+
+def _joined(answers: list[np.ndarray], n: int) -> np.ndarray:
+    """The answers of all buckets, which are those to the ``n`` hashes that were asked."""
+    found = np.concatenate([np.zeros(0, np.int64), *answers])
+    if len(found) != n:
+        raise ValueError("a task that ran again read other documents: store them first")
+    return found
+
+
+def _chunk_scores(order: int, alpha: float, slices: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        answers: dict[tuple[int, int], list[np.ndarray]] = {}
+        for row in told.sort_by([("slice", "ascending"), ("part", "ascending"), ("bucket", "ascending")]).to_pylist():
+            answers.setdefault((row["slice"], row["part"]), []).append(_values(row["others"]).astype(np.int64))
+        keys, n = _single_keys({c: rows[c][0].as_py() for c in ("hashes", "codes")})
+        distinct, place = np.unique(keys, return_inverse=True)
+        totals = np.bincount(place, n, len(distinct)).astype(np.int64) + _joined(answers.pop((WORDS, 0), []), len(distinct))
+        rows = _with_totals(rows, pa.table({"key": distinct.view(np.int64), "total": totals}))
+        packed = {c: rows[c][0].as_py() for c in ("docs", "hashes", "codes")}
+        sums: list[np.ndarray] = []
+        for number in range(slices):
+            row = _Slice(packed, order, slices, number)
+            n = row.docs["n_words"].to_numpy()
+            doc = np.repeat(np.arange(len(n)), n)
+            # what the document itself holds of the n-gram does not count for it
+            others = [row.totals[row.codes] - row.own]
+            for part, (at, keys) in enumerate(zip(row.at, row.keys, strict=True)):
+                distinct, place, totals = np.unique(keys, return_inverse=True, return_counts=True)
+                elsewhere = _joined(answers.pop((number, part), []), len(distinct))
+                _, same, own = np.unique(doc[at] * np.int64(len(distinct) + 1) + place, return_inverse=True, return_counts=True)
+                held = np.zeros(len(doc), np.int64)
+                held[at] = (totals + elsewhere)[place] - own[same]
+                others.append(held)
+            # (log of the score) = log_score, less log(words of all other documents) where it came down to single words
+            scored = row.asked
+            log_score = np.log(np.where(others[0][scored] > 0, others[0][scored], alpha))
+            single = np.ones(len(scored))
+            for k in range(1, order):
+                usable = row.place[scored] >= k
+                context = np.where(usable, others[k - 1][scored - 1], 0)
+                hit = usable & (others[k][scored] > 0)
+                backed = np.where(usable, np.log(alpha) + log_score, log_score)
+                log_score = np.where(hit, np.log(np.where(hit, others[k][scored], 1)) - np.log(np.where(hit, np.maximum(context, 1), 1)), backed)
+                single = np.where(hit, 0.0, single)
+            # the slices are added in their order
+            own_sums = [np.bincount(doc[scored], x, len(n)).astype(np.float64) for x in (log_score, single)]
+            sums = [x + y for x, y in zip(sums, own_sums, strict=True)] if sums else own_sums
+        pa.default_memory_pool().release_unused()
+        docs = opened(packed["docs"])
+        return pa.table({"doc_id": docs["doc_id"], "n_words": docs["n_words"], "log_score": pa.array(sums[0]), "n_single": pa.array(sums[1])})
+
+    return run
 
 
 def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_chars: int = 8_000_000, slices: int = 8) -> DataFrame:
@@ -194,17 +256,15 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_chars:
     chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)))
     kinds = "chunk long, docs binary, hashes binary, codes binary"
     chunks = stored(chunked.groupBy("chunk").applyInArrow(_packed, kinds), "chunks")
-    with_totals = stored(chunks.groupBy("chunk").cogroup(_totals(chunks.mapInArrow(_chunk_words, GRAMS))).applyInArrow(_with_totals, kinds), "chunks")
-    discard(chunks)
-    chunks, scores = with_totals, []
-    for number in range(slices):
-        told = _totals(chunks.mapInArrow(_chunk_grams(order, slices, number), GRAMS))
-        scored = chunks.groupBy("chunk").cogroup(told).applyInArrow(_chunk_scores(order, alpha, slices, number), "chunk long, row long, doc_id long, n_words long, log_score double, n_single double")
-        scores.append(stored(scored, "scores").withColumn("slice", F.lit(number)))
-    discard(chunks)
-    # a document has a row in each slice; they are added in the order of the slices
-    added = [sum(F.max(F.when(F.col("slice") == i, F.col(c))) for i in range(slices)).alias(c) for c in ("log_score", "n_single")]
-    scored = reduce(DataFrame.unionByName, scores).groupBy("chunk", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *added)
-    words = scores[0].agg(F.sum("n_words")).first()[0] or 0
+    buckets, tables = max(1, -(-chars // (slices * BUCKET_CHARS))), []
+    for number in (WORDS, *range(slices)):
+        grams, of = (_chunk_words, 1) if number == WORDS else (_chunk_grams(order, slices, number), order - 1)
+        asked = chunks.mapInArrow(_chunk_buckets(grams, of, buckets), "chunk long, part int, bucket int, keys binary, n binary")
+        others = stored(asked.groupBy("part", "bucket").applyInArrow(_bucket_others, "chunk long, part int, bucket int, others binary"), "others")
+        tables.append((number, others))
+    told = reduce(DataFrame.unionByName, [x.withColumn("slice", F.lit(number)) for number, x in tables]).groupBy("chunk")
+    scored = stored(chunks.groupBy("chunk").cogroup(told).applyInArrow(_chunk_scores(order, alpha, slices), "doc_id long, n_words long, log_score double, n_single double"), "scores")
+    discard(chunks, *[x for _, x in tables])
+    words = scored.agg(F.sum("n_words")).first()[0] or 0
     rest = F.log(F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)))
     return scored.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round((F.col("log_score") - F.col("n_single") * rest) / F.col("n_words"), 6)).alias("score"))

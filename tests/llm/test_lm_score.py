@@ -2,9 +2,10 @@ import math
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from sessionmill.llm.lm_score import _chunk_grams, _packed, _with_totals, lm_scores
+from sessionmill.llm.lm_score import _bucket_others, _chunk_buckets, _chunk_grams, _packed, _values, _with_totals, lm_scores
 
 
 def brute(rows, order, alpha=0.4):
@@ -62,3 +63,21 @@ def test_slices_hold_all_occurrences_of_few_ngrams():
     for part in parts:
         assert (whole[part.key].to_numpy() == part.n).all()
     assert set(whole.index) == {k for part in parts for k in part.key}
+
+
+def test_chunks_and_buckets_exchange_few_rows():
+    chunks = []
+    for number in (3, 4):
+        texts = [" ".join(f"w{(i * j) % 97}" for j in range(300)) for i in range(number, 40)]
+        chunks += _packed(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "chunk": pa.array([number] * len(texts), pa.int64())})).to_batches()
+    grams = _chunk_grams(3, 1, 0)
+    held = [list(grams(iter([c]))) for c in chunks]
+    asked = [pa.Table.from_batches(_chunk_buckets(grams, 2, 5)(iter([c]))) for c in chunks]
+    assert all(t.num_rows <= 2 * 5 < sum(b.num_rows for b in h) for t, h in zip(asked, held, strict=True))
+    asked = pa.concat_tables(asked)
+    for part in range(2):
+        rows = [r for i in range(5) for r in _bucket_others(asked.filter((pc.field("part") == part) & (pc.field("bucket") == i))).to_pylist()]
+        counts = [dict(zip(h[part]["key"].to_numpy().view("u8").tolist(), h[part]["n"].to_pylist(), strict=True)) for h in held]
+        for chunk, own, other in ((3, *counts), (4, *reversed(counts))):
+            got = [n for r in rows if r["chunk"] == chunk for n in _values(r["others"]).tolist()]
+            assert got == [other.get(k, 0) for k in sorted(own)] and max(got) > 0
