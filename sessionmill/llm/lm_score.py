@@ -18,34 +18,56 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.session import discard, prepare, replayable, stored
-from sessionmill.llm.words import from_planes, ipc, mix, opened, planes, split_words, word_hashes
+from sessionmill.llm.words import from_planes, ipc, mix, opened, planes, split_words, text_batches, word_hashes
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 GRAMS = "key long, chunk long, n long"
 #: Characters of a slice for each bucket of an order, of which a word takes about six.
 BUCKET_CHARS = 1_500_000
+#: Words, and bytes of text, that a chunk works on at a time.
+PIECE, PIECE_BYTES = 100_000, 1 << 20
 #: Stands for the number of a slice where single words are meant.
 WORDS = -1
 
 
+def _own_counts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often the word of each position occurs in its document, for ``PIECE`` words at a time (or a single document)."""
+    own, done, wide = np.empty(len(codes), np.uint32), 0, int(codes.max(initial=0)) + 1
+    while done < len(ends):
+        first = int(ends[done - 1]) if done else 0
+        to = max(done + 1, int(np.searchsorted(ends, first + PIECE, side="right")))
+        doc = np.repeat(np.arange(to - done), np.diff(ends[done:to], prepend=first))
+        _, same, n = np.unique(doc * wide + codes[first : ends[to - 1]], return_inverse=True, return_counts=True)
+        own[first : ends[to - 1]], done = n[same], to
+    return own
+
+
 def _packed(rows: pa.Table) -> pa.Table:
-    """A chunk as one row: its documents, the hashes of its words, and the code of each word with its count in the document."""
-    codes, starts, words = split_words(rows["text"].combine_chunks())
-    n = np.diff(starts)
+    """A chunk as one row: its documents, the hashes of its words, and the code of each word with its count in the document.
+
+    Texts are split some at a time, so that of most of them the codes alone are held.
+    """
+    split = [split_words(x["text"]) for x in text_batches(iter(rows.to_batches()), most_bytes=PIECE_BYTES)]
+    n = np.concatenate([np.diff(starts) for _, starts, _ in split])
+    merged = pa.chunked_array([words for _, _, words in split]).combine_chunks().dictionary_encode()
+    firsts = np.cumsum([0, *[len(words) for _, _, words in split]])
+    codes, words = [merged.indices.to_numpy()[a : a + len(w)][c] for a, (c, _, w) in zip(firsts[:-1], split, strict=True)], merged.dictionary
+    codes = np.concatenate(codes)
+    del split, merged
     # frequent words have the small codes
     count = np.bincount(codes, minlength=len(words))
     often = np.argsort(-count, kind="stable")
-    rank = np.empty(len(often), np.int64)
+    rank = np.empty(len(often), np.int32)
     rank[often] = np.arange(len(often))
     codes = rank[codes]
-    _, same, own = np.unique(np.repeat(np.arange(len(n)), n) * max(1, len(words)) + codes, return_inverse=True, return_counts=True)
     docs = pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), pa.array(n)], names=["doc_id", "n_words"])
-    hashes = pa.RecordBatch.from_arrays([pa.array(word_hashes(words)[often])], names=["hash"])
-    placed = pa.RecordBatch.from_arrays([*planes(codes), *planes(own[same])], names=list("abcdefgh"))
+    hashes = pa.RecordBatch.from_arrays([pa.array(np.concatenate([word_hashes(words[i : i + PIECE]) for i in range(0, max(1, len(words)), PIECE)])[often])], names=["hash"])
+    placed = pa.RecordBatch.from_arrays([*planes(codes), *planes(_own_counts(codes, np.cumsum(n)))], names=list("abcdefgh"))
     pa.default_memory_pool().release_unused()
     return pa.table({"chunk": pa.array([rows["chunk"][0].as_py()], pa.int64()), **{name: pa.array([ipc(x)], pa.binary()) for name, x in (("docs", docs), ("hashes", hashes), ("codes", placed))}})
 
@@ -89,6 +111,20 @@ def _with_totals(rows: pa.Table, told: pa.Table) -> pa.Table:
     return pa.table({c: pa.array([x], pa.int64() if c == "chunk" else pa.binary()) for c, x in row.items()})
 
 
+class _Chunk:
+    """A chunk, opened once for all its slices; what it holds for each position takes four bytes a value."""
+
+    def __init__(self, row: dict):
+        self.docs, words, placed = opened(row["docs"]), opened(row["hashes"]), opened(row["codes"])
+        # totals are known once the chunk has met them
+        self.hashes, self.totals = words["hash"].to_numpy(), words["total"].to_numpy() if "total" in words.schema.names else None
+        self.codes, self.n = from_planes(placed.columns[:4]), self.docs["n_words"].to_numpy()
+        # counts in the document are only for those who score
+        self.own = None if self.totals is None else from_planes(placed.columns[4:])
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        self.place = np.arange(len(self.codes), dtype=np.int32) - np.repeat((np.cumsum(self.n) - self.n).astype(np.int32), self.n)
+
+
 class _Slice:
     """The n-grams of two words and more of a chunk that the scores of one slice ask for.
 
@@ -99,28 +135,21 @@ class _Slice:
     slices, in every chunk alike, and its counts there are complete.
     """
 
-    def __init__(self, row: dict, order: int, slices: int, number: int):
-        self.docs, words, placed = opened(row["docs"]), opened(row["hashes"]), opened(row["codes"])
-        # known once the chunk has met them
-        hashes, self.totals = words["hash"].to_numpy(), words["total"].to_numpy() if "total" in words.schema.names else None
-        self.codes, self.own = (from_planes(x).astype(np.int64) for x in (placed.columns[:4], placed.columns[4:]))
-        n = self.docs["n_words"].to_numpy()
-        ends = np.cumsum(n)
-        self.place = np.arange(len(self.codes)) - np.repeat(ends - n, n)
-        context = (mix(hashes) % np.uint64(slices) == number)[self.codes]
-        asked = np.concatenate((np.zeros(1, bool), context))[:-1] & (self.place > 0)
+    def __init__(self, chunk: _Chunk, order: int, slices: int, number: int):
+        hashes, codes, place = chunk.hashes, chunk.codes, chunk.place
+        context = (mix(hashes) % np.uint64(slices) == number)[codes]
+        asked = np.concatenate((np.zeros(1, bool), context))[:-1] & (place > 0)
         if number == 0:
-            asked |= self.place == 0
+            asked |= place == 0
         self.asked = np.flatnonzero(asked)
-        each = hashes[self.codes]
         self.at, self.keys = [], []
         with np.errstate(over="ignore"):
             for k in range(1, order):
-                at = np.flatnonzero((asked | context if k < order - 1 else asked) & (self.place >= k))
-                run, power = each[at], np.uint64(1)
+                at = np.flatnonzero((asked | context if k < order - 1 else asked) & (place >= k))
+                run, power = hashes[codes[at]], np.uint64(1)
                 for back in range(1, k + 1):
                     power *= BASE
-                    run = run + each[at - back] * power
+                    run += hashes[codes[at - back]] * power
                 self.at.append(at)
                 self.keys.append(mix(run + np.uint64(k + 1)) | np.uint64(1))
 
@@ -131,7 +160,7 @@ def _chunk_grams(order: int, slices: int, number: int) -> Callable[[Iterator[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = _Slice({c: batch[c][i].as_py() for c in ("docs", "hashes", "codes")}, order, slices, number)
+                row = _Slice(_Chunk({c: batch[c][i].as_py() for c in ("docs", "hashes", "codes")}), order, slices, number)
                 for keys in row.keys:
                     yield _rows(batch["chunk"][i].as_py(), *np.unique(keys, return_counts=True))
 
@@ -144,8 +173,8 @@ def _bytes(values: np.ndarray) -> bytes:
     return wide[-1].encode() + values.astype(wide).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
-def _values(data: bytes) -> np.ndarray:
-    wide = int(data[:1])
+def _values(data: bytes | pa.Buffer) -> np.ndarray:
+    wide = int(bytes(data[:1]))
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(wide, -1).T).view(f"<u{wide}").reshape(-1).astype(np.uint64)
 
 
@@ -177,55 +206,57 @@ def _bucket_others(rows: pa.Table) -> pa.Table:
     return out
 
 
-def _joined(answers: list[np.ndarray], n: int) -> np.ndarray:
-    """The answers of all buckets, which are those to the ``n`` hashes that were asked."""
-    found = np.concatenate([np.zeros(0, np.int64), *answers])
+def _joined(told: pa.Table, number: int, part: int, n: int) -> np.ndarray:
+    """The answers of all buckets of a slice and part, which are those to the ``n`` hashes that were asked."""
+    own = told.filter((pc.field("slice") == number) & (pc.field("part") == part)).sort_by("bucket")
+    found = np.concatenate([np.zeros(0, np.int64), *[_values(x.as_buffer()).astype(np.int64) for c in own["others"].chunks for x in c]])
     if len(found) != n:
         raise ValueError("a task that ran again read other documents: store them first")
     return found
 
 
+def _looked_up(at: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted position, where ``at`` (ascending) holds it, or else zero."""
+    if not len(at):
+        return np.zeros(len(wanted), np.int64)
+    i = np.minimum(np.searchsorted(at, wanted), len(at) - 1)
+    return np.where(at[i] == wanted, values[i], 0)
+
+
 def _chunk_scores(order: int, alpha: float, slices: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        answers: dict[tuple[int, int], list[np.ndarray]] = {}
-        for row in told.sort_by([("slice", "ascending"), ("part", "ascending"), ("bucket", "ascending")]).to_pylist():
-            answers.setdefault((row["slice"], row["part"]), []).append(_values(row["others"]).astype(np.int64))
         keys, n = _single_keys({c: rows[c][0].as_py() for c in ("hashes", "codes")})
         distinct, place = np.unique(keys, return_inverse=True)
-        totals = np.bincount(place, n, len(distinct)).astype(np.int64) + _joined(answers.pop((WORDS, 0), []), len(distinct))
+        totals = np.bincount(place, n, len(distinct)).astype(np.int64) + _joined(told, WORDS, 0, len(distinct))
         rows = _with_totals(rows, pa.table({"key": distinct.view(np.int64), "total": totals}))
-        packed = {c: rows[c][0].as_py() for c in ("docs", "hashes", "codes")}
+        chunk = _Chunk({c: rows[c][0].as_py() for c in ("docs", "hashes", "codes")})
+        del rows, keys, n, distinct, place, totals
         sums: list[np.ndarray] = []
         for number in range(slices):
-            row = _Slice(packed, order, slices, number)
-            n = row.docs["n_words"].to_numpy()
-            doc = np.repeat(np.arange(len(n)), n)
+            row = _Slice(chunk, order, slices, number)
+            scored = row.asked
+            before, length = np.maximum(scored - 1, 0), chunk.place[scored]
             # what the document itself holds of the n-gram does not count for it
-            others = [row.totals[row.codes] - row.own]
-            for part, (at, keys) in enumerate(zip(row.at, row.keys, strict=True)):
-                distinct, place, totals = np.unique(keys, return_inverse=True, return_counts=True)
-                elsewhere = _joined(answers.pop((number, part), []), len(distinct))
-                _, same, own = np.unique(doc[at] * np.int64(len(distinct) + 1) + place, return_inverse=True, return_counts=True)
-                held = np.zeros(len(doc), np.int64)
-                held[at] = (totals + elsewhere)[place] - own[same]
-                others.append(held)
+            held, context = (chunk.totals[chunk.codes[x]] - chunk.own[x] for x in (scored, before))
             # (log of the score) = log_score, less log(words of all other documents) where it came down to single words
-            scored = row.asked
-            log_score = np.log(np.where(others[0][scored] > 0, others[0][scored], alpha))
+            log_score = np.log(np.where(held > 0, held, alpha))
             single = np.ones(len(scored))
-            for k in range(1, order):
-                usable = row.place[scored] >= k
-                context = np.where(usable, others[k - 1][scored - 1], 0)
-                hit = usable & (others[k][scored] > 0)
+            for k, (at, keys) in enumerate(zip(row.at, row.keys, strict=True), 1):
+                distinct, place, totals = np.unique(keys, return_inverse=True, return_counts=True)
+                elsewhere = _joined(told, number, k - 1, len(distinct))
+                _, same, own = np.unique(chunk.doc[at] * np.int64(len(distinct) + 1) + place, return_inverse=True, return_counts=True)
+                others = (totals + elsewhere)[place] - own[same]
+                held, usable = _looked_up(at, others, scored), length >= k
+                hit = usable & (held > 0)
                 backed = np.where(usable, np.log(alpha) + log_score, log_score)
-                log_score = np.where(hit, np.log(np.where(hit, others[k][scored], 1)) - np.log(np.where(hit, np.maximum(context, 1), 1)), backed)
+                log_score = np.where(hit, np.log(np.where(hit, held, 1)) - np.log(np.where(hit, np.maximum(context, 1), 1)), backed)
                 single = np.where(hit, 0.0, single)
+                context = _looked_up(at, others, before)
             # the slices are added in their order
-            own_sums = [np.bincount(doc[scored], x, len(n)).astype(np.float64) for x in (log_score, single)]
+            own_sums = [np.bincount(chunk.doc[scored], x, len(chunk.n)).astype(np.float64) for x in (log_score, single)]
             sums = [x + y for x, y in zip(sums, own_sums, strict=True)] if sums else own_sums
         pa.default_memory_pool().release_unused()
-        docs = opened(packed["docs"])
-        return pa.table({"doc_id": docs["doc_id"], "n_words": docs["n_words"], "log_score": pa.array(sums[0]), "n_single": pa.array(sums[1])})
+        return pa.table({"doc_id": chunk.docs["doc_id"], "n_words": chunk.docs["n_words"], "log_score": pa.array(sums[0]), "n_single": pa.array(sums[1])})
 
     return run
 

@@ -1,11 +1,13 @@
 import math
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from sessionmill.llm.lm_score import _bucket_others, _chunk_buckets, _chunk_grams, _packed, _values, _with_totals, lm_scores
+from sessionmill.llm.lm_score import WORDS, _bucket_others, _chunk_buckets, _chunk_grams, _chunk_scores, _chunk_words, _packed, _values, _with_totals, lm_scores
 
 
 def brute(rows, order, alpha=0.4):
@@ -81,3 +83,26 @@ def test_chunks_and_buckets_exchange_few_rows():
         for chunk, own, other in ((3, *counts), (4, *reversed(counts))):
             got = [n for r in rows if r["chunk"] == chunk for n in _values(r["others"]).tolist()]
             assert got == [other.get(k, 0) for k in sorted(own)] and max(got) > 0
+
+
+def test_a_chunk_holds_few_bytes_a_word():
+    words = (np.random.default_rng(1).pareto(1.1, 600_000) * 20).astype(int) % 30_000
+    texts = [" ".join(f"w{x}" for x in of) for of in words.reshape(-1, 300).tolist()]
+    rows = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "chunk": pa.array([7] * len(texts), pa.int64())})
+    tracemalloc.start()
+    try:
+        packed, most = _packed(rows), [tracemalloc.get_traced_memory()[1] / len(words)]
+        told = []
+        for number in (WORDS, *range(8)):
+            grams, of = (_chunk_words, 1) if number == WORDS else (_chunk_grams(3, 8, number), 2)
+            asked = pa.Table.from_batches(_chunk_buckets(grams, of, 1)(iter(packed.to_batches())))
+            others = [_bucket_others(asked.slice(i, 1)) for i in range(asked.num_rows)]
+            told.append(pa.concat_tables(others).append_column("slice", pa.array([number] * len(others), pa.int32())))
+        told = pa.concat_tables(told)
+        tracemalloc.reset_peak()
+        scores = _chunk_scores(3, 0.4, 8)(packed, told)
+        most.append(tracemalloc.get_traced_memory()[1] / len(words))
+    finally:
+        tracemalloc.stop()
+    assert scores["n_words"].to_pylist() == [300] * len(texts)
+    assert most[0] < 50 and most[1] < 100, most
