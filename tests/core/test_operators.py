@@ -138,6 +138,14 @@ def test_similarity(spark):
     assert got[0].reasons == ["tag_overlap_count=2", "slug_distance_normalized=0.313<=0.4"] and got[0].score == pytest.approx(0.4 * 2 / 3 + 0.4 * (1 - 5 / 16))
 
 
+def test_equal_scores_of_other_parts_go_by_item_id(spark):
+    held = spark.createDataFrame([item("k", "A-007", "decision", "a" * 7 + "b" * 17, tags=("p", "q", "r")), item("k", "A-005", "decision", "a" * 3 + "b" * 21, tags=("p", "q"), where=("x",))], ITEM)
+    want = spark.createDataFrame([(1, "k", "decision", "a" * 24, ["p", "q", "r"], ["x"])], "candidate_id int, kb_path string, category string, title_slug string, tags array<string>, paths array<string>")
+    # 0.4 * 2 / 3 + 0.4 * 3 / 24 + 0.2 and 0.4 + 0.4 * 7 / 24 are both 31 / 60
+    assert [r.item_id for r in similarity.similar(want, held).orderBy("rank").collect()] == ["A-005", "A-007"]
+    assert [tuple(r) for r in similarity.suggestions(want, held).collect()] == [(1, "merge", "A-005")]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
