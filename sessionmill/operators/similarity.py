@@ -47,7 +47,8 @@ def similar(candidates: DataFrame, items: DataFrame) -> DataFrame:
 
     A match shares two tags, or has a close slug, or shares a path and a tag.
     Scores that are equal to SCORE_PLACES places are equal, as sums of the same parts
-    differ in their last bits; then the smaller item_id is better.
+    differ in their last bits; then the smaller item_id is better, and of items that
+    share an id the one whose slug, tags and paths come first.
     Returns candidate_id, item_id, tag_overlap, slug_distance, path_overlap, score,
     reasons, rank. A KB has at most CAP active items of a category, so the join
     gives at most that many rows for each candidate.
@@ -71,7 +72,7 @@ def similar(candidates: DataFrame, items: DataFrame) -> DataFrame:
     )
     score = 0.4 * F.least(F.col("tag_overlap") / 3, F.lit(1.0)) + 0.4 * (1 - F.col("slug_distance")) + F.when(F.col("path_overlap"), 0.2).otherwise(0.0)
     found = pairs.where(tags | near | path).withColumns({"score": score, "reasons": reasons})
-    rank = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc(F.round("score", SCORE_PLACES)), "item_id"))
+    rank = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc(F.round("score", SCORE_PLACES)), "item_id", "item_slug", "item_tags", "item_paths"))
     return found.select("candidate_id", "item_id", "tag_overlap", "slug_distance", "path_overlap", "score", "reasons", rank.alias("rank"))
 
 

@@ -146,6 +146,14 @@ def test_equal_scores_of_other_parts_go_by_item_id(spark):
     assert [tuple(r) for r in similarity.suggestions(want, held).collect()] == [(1, "merge", "A-005")]
 
 
+def test_matches_of_one_id_have_one_order(spark):
+    rows = [item("k", "D-001", "decision", "a" * 3 + "b" * 21, tags=("p", "q"), where=("x",)), item("k", "D-001", "decision", "a" * 7 + "b" * 17, tags=("p", "q", "r"))]
+    want = spark.createDataFrame([(1, "k", "decision", "a" * 24, ["p", "q", "r"], ["x"])], "candidate_id int, kb_path string, category string, title_slug string, tags array<string>, paths array<string>")
+    for held in (rows, rows[::-1]):
+        got = similarity.similar(want, spark.createDataFrame(held, ITEM).coalesce(1)).orderBy("rank").collect()
+        assert [(r.tag_overlap, r.path_overlap) for r in got] == [(3, False), (2, True)]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
