@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionmill.functions.distance import code_points, distances
+from sessionmill.functions.distance import Strings, code_points
 from sessionmill.functions.tables import Steps
 from sessionmill.functions.text import js_len
 
@@ -25,7 +25,7 @@ CAP = 10
 #: Decimal places of a score that decide its rank.
 SCORE_PLACES = 9
 #: Classes of a block, and those of it that are compared at a time.
-BLOCK, RUN = 4000, 512
+BLOCK, RUN = 16_000, 512
 #: Tasks that compare, at most; each has several units beyond that.
 MOST_PARTS = 10_000
 
@@ -88,37 +88,40 @@ def suggestions(candidates: DataFrame, items: DataFrame) -> DataFrame:
 def _near(row: dict[str, list], members: list[int], a: str, b: str, i: int, j: int, distance: float) -> tuple[np.ndarray, ...]:
     """Close pairs of blocks ``i`` and ``j`` of one tag pair, less those that share an earlier one: places of both in ``row``, shared tags, distances."""
     bit = {t: n for n, t in enumerate(sorted({t for at in members for t in row["tags"][at]}))}
+    owner, k = np.array([(n, bit[t]) for n, at in enumerate(members) for t in row["tags"][at]], np.int64).T
     masks = np.zeros((len(members), len(bit) // 64 + 1), np.uint64)
-    for n, at in enumerate(members):
-        for k in map(bit.get, row["tags"][at]):
-            masks[n, k // 64] |= np.uint64(1 << k % 64)
+    np.bitwise_or.at(masks, (owner, k // 64), np.left_shift(np.uint64(1), (k % 64).astype(np.uint64)))
     earlier = np.zeros(masks.shape[1], np.uint64)
     for k in set(range(bit[b])) - {bit[a]}:
         earlier[k // 64] |= np.uint64(1 << k % 64)
-    low, length, place = masks & earlier, np.array([row["length"][at] for at in members]), np.array(members)
-    points = [code_points(row["slug"][at]) for at in members]
-    order = sorted(range(len(members)), key=lambda n: (low[n].tolist(), row["slug"][members[n]]))
-    left, right = (np.array([n for n in order if row["block"][members[n]] == side], np.int64) for side in (i, j))
+    # in the order of their earlier tags, as classes of the same ones leave out the same others, then of their slugs
+    order = np.array(sorted(range(len(members)), key=lambda n: row["slug"][members[n]]), np.int64)
+    order = order[np.lexsort((masks & earlier)[order].T)]
+    place, masks = np.array(members)[order], masks[order]
+    low, length, block = masks & earlier, *(np.array([row[c][at] for at in place]) for c in ("length", "block"))
+    slugs = Strings([code_points(row["slug"][at]) for at in place], length)
+    left, right = (np.flatnonzero(block == side) for side in (i, j))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    begin = 0
-    while begin < len(left):
-        # classes of the same earlier tags leave out the same others
-        own, end = low[left[begin]], begin + 1
-        while end < min(len(left), begin + RUN) and (low[left[end]] == own).all():
-            end += 1
-        # within a block, a class asks those behind it
-        behind = np.arange(begin + 1 if i == j else 0, len(right))
-        behind = behind[((low[right[behind]] & own) == 0).all(axis=1)]
-        others = right[behind]
-        for number, first, edits in distances([points[n] for n in left[begin:end]], [points[n] for n in others]):
-            one, some = left[begin + number], others[first : first + len(edits)]
-            longer = np.maximum(length[one], length[some])
+    bounds = [*np.flatnonzero((low[left][1:] != low[left][:-1]).any(axis=1)) + 1, len(left)]
+    for first, last in zip([0, *bounds], bounds, strict=False):
+        own = left[first:last]
+        if not len(own):
+            continue
+        others = right[((low[right] & low[own[0]]) == 0).all(axis=1)]
+        if i == j:
+            others = others[others > own[0]]
+        # only classes without earlier tags meet each other: of these, each asks those behind it
+        among = i == j and not low[own[0]].any()
+        if not among and len(others) < len(own):
+            own, others = others, own
+        for begin in range(0, len(own), RUN):
+            run = own[begin : begin + RUN]
+            one, other, edits = slugs.distances(run, others[others > run[0]] if among else others, distance)
+            longer = np.maximum(length[one], length[other])
             apart = np.where(longer == 0, 0.0, edits / np.maximum(longer, 1))
-            near = (apart <= distance) & ((behind[first : first + len(edits)] > begin + number) | (i != j))
-            if near.any():
-                some = some[near]
-                found.append((np.full(len(some), place[one]), place[some], np.bitwise_count(masks[some] & masks[one]).sum(axis=1, dtype=np.int64), apart[near]))
-        begin = end
+            near = (apart <= distance) & ((other > one) | (not among))
+            one, other = one[near], other[near]
+            found.append((place[one], place[other], np.bitwise_count(masks[one] & masks[other]).sum(axis=1, dtype=np.int64), apart[near]))
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
@@ -152,7 +155,8 @@ def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE, block: in
     cloudpickle.register_pickle_by_value(sessionmill)
     steps = Steps(items.sparkSession, "pairs")
     own = items.where("status = 'active' AND universality = 'unverified'").select("kb_path", "item_id", "category", "slug", F.array_sort(F.array_distinct(F.array_compact("tags"))).alias("tags"))
-    own = steps.store(own.where(F.size("tags") >= 2).withColumn("key", F.md5(F.to_json(F.struct("category", "slug", "tags")))), "items")
+    # asked before they are stored, the number of tags would be worked out where items are read, and the tags again for each of its parts
+    own = steps.store(own.withColumn("key", F.md5(F.to_json(F.struct("category", "slug", "tags")))), "items").where(F.size("tags") >= 2)
     classes = steps.store(own.where("category IS NOT NULL AND slug IS NOT NULL").select("key", "category", "slug", "tags").distinct().withColumn("length", js_len(F.col("slug"))), "classes")
     pairs = F.flatten(F.transform("tags", lambda a: F.transform(F.filter("tags", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     tag = classes.withColumn("pair", F.explode(pairs)).select("*", "pair.a", "pair.b").drop("pair")

@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,38 @@ def test_distances_equal_the_table(monkeypatch, longest, table_bytes):
     assert not list(distance.distances([distance.code_points("a")], []))
 
 
+@pytest.mark.parametrize("longest,table_bytes", [(0, 1 << 25), (32, 1 << 25), (33, 1 << 14), (64, 1 << 10), (90, 1 << 25)])
+@pytest.mark.parametrize("share", [0.0, 0.4, 1.0])
+def test_strings_within_a_share_equal_the_table(monkeypatch, longest, table_bytes, share):
+    monkeypatch.setattr(distance, "TABLE_BYTES", table_bytes)
+    rng = random.Random(longest)
+    texts = ["".join(rng.choice("ab가😀-"[: rng.choice((2, 5))]) for _ in range(rng.randint(0, longest))) for _ in range(30)]
+    texts = sorted(texts + [t[:-1] + "b" for t in texts[:10]])
+    units = [len(t) + sum(c > "\uffff" for c in t) for t in texts]
+    some, others = np.arange(0, len(texts), 2), np.arange(3, len(texts))
+    got = {(i, j): d for i, j, d in zip(*map(np.ndarray.tolist, distance.Strings([distance.code_points(t) for t in texts], np.array(units)).distances(some, others, share)), strict=True)}
+    assert all(d == edits(texts[i], texts[j]) for (i, j), d in got.items())
+    near = {(i, j) for i in some.tolist() for j in others.tolist() if edits(texts[i], texts[j]) <= share * max(units[i], units[j])}
+    assert near <= got.keys() and near
+
+
+def test_distances_are_asked_of_few_pairs():
+    rng = random.Random(3)
+    slugs = sorted("".join(rng.choice("etaoinshrdlu") for _ in range(24)) for _ in range(600))
+    every = np.arange(len(slugs))
+    one, _, _ = distance.Strings([distance.code_points(t) for t in slugs], np.full(len(slugs), 24)).distances(every, every, 0.4)
+    assert len(slugs) <= len(one) < 0.02 * len(slugs) ** 2
+
+
+def test_few_classes_ask_many():
+    rng = random.Random(6)
+    slugs = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(20_200)]
+    row = {"slug": slugs, "tags": [["and", "for", "the"]] * 20_000 + [["der", "for", "the"]] * 200, "length": [24] * len(slugs), "block": [0] * len(slugs)}
+    began = time.monotonic()
+    assert [len(x) for x in similarity._near(row, list(range(len(slugs))), "for", "the", 0, 0, 0.4)] == [0] * 4
+    assert time.monotonic() - began < 5
+
+
 @pytest.mark.parametrize("block", [2, 7, 4000])
 def test_promotion_pairs_equal_all_pairs(spark, block):
     rng = random.Random(block)
