@@ -26,6 +26,8 @@ CAP = 10
 SCORE_PLACES = 9
 #: Classes of a block, and those of it that are compared at a time.
 BLOCK, RUN = 16_000, 512
+#: Items of one class that meet another class in a task.
+PART = 1000
 #: Tasks that compare, at most; each has several units beyond that.
 MOST_PARTS = 10_000
 
@@ -142,7 +144,7 @@ def _compared(distance: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE, block: int = BLOCK) -> DataFrame:
+def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE, block: int = BLOCK, part: int = PART) -> DataFrame:
     """Unverified active items of two KBs that share two tags and have close slugs: left_kb, left_id, right_kb, right_id, shared_tags, slug_distance.
 
     Items that are equal in category, slug and tags are one class, compared once. Classes
@@ -150,7 +152,7 @@ def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE, block: in
     first pair that they share. The classes of a popular tag pair are dealt into blocks,
     and each two blocks are a unit of their own; rare tag pairs share units. So units are
     bounded and spread over all tasks, but popular pairs still cost the square of their
-    classes. Items are joined to what is close.
+    classes. Items are joined to what is close, those of large classes in parts.
     """
     cloudpickle.register_pickle_by_value(sessionmill)
     steps = Steps(items.sparkSession, "pairs")
@@ -173,7 +175,13 @@ def promotion_pairs(items: DataFrame, distance: float = SLUG_DISTANCE, block: in
     same = classes.select(F.col("key").alias("l_key"), "key", F.size("tags").alias("shared_tags"), F.lit(0.0).alias("slug_distance"))
     close = steps.store(close.unionByName(same), "close")
     one, other = (own.select(F.col("key").alias(k), F.struct("kb_path", "item_id").alias(n)) for k, n in (("l_key", "one"), ("key", "other")))
-    both = close.join(one, "l_key").join(other, "key").where((F.col("one.kb_path") < F.col("other.kb_path")) | (F.col("l_key") != F.col("key")) & (F.col("one.kb_path") > F.col("other.kb_path")))
+    # a class of many copies is dealt into parts, each of which meets the items of the other class
+    parts = own.groupBy(F.col("key").alias("l_key")).agg(F.ceil(F.count("*") / part).alias("parts")).where("parts > 1")
+    parts = steps.store(close.join(parts, "l_key").groupBy("key").agg(F.max("parts").alias("parts")), "parts")
+    dealt = F.coalesce("parts", F.lit(1))
+    one = close.join(one, "l_key").join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("one"), dealt)).drop("parts")
+    other = other.join(parts, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), dealt - 1))).drop("parts")
+    both = one.join(other, ["key", "part"]).where((F.col("one.kb_path") < F.col("other.kb_path")) | (F.col("l_key") != F.col("key")) & (F.col("one.kb_path") > F.col("other.kb_path")))
     left, right = F.least("one", "other"), F.greatest("one", "other")
     return both.select(left["kb_path"].alias("left_kb"), left["item_id"].alias("left_id"), right["kb_path"].alias("right_kb"), right["item_id"].alias("right_id"), "shared_tags", "slug_distance")
 

@@ -223,6 +223,14 @@ def test_promotion_pairs_equal_all_pairs(spark, block):
     assert got == sorted(want) and len(got) > 20
 
 
+@pytest.mark.parametrize("part", [1, 3, 1000])
+def test_copies_are_dealt_into_parts(spark, part):
+    rows = [item(f"k{i % 4}", f"D-{i:03}", "decision", "auth-fix-loop" + "s" * (i % 3 == 0)) for i in range(40)] + [item("k9", "D-900", "decision", "auth-fix-lop")]
+    got = sorted((*r[:4], r.shared_tags, round(r.slug_distance, 9)) for r in similarity.promotion_pairs(spark.createDataFrame(rows, ITEM), part=part).collect())
+    held = sorted((r[0], r[1], r[3]) for r in rows)
+    assert got == [(*a[:2], *b[:2], 2, round(edits(a[2], b[2]) / max(len(a[2]), len(b[2])), 9)) for a in held for b in held if a[0] < b[0]]
+
+
 def test_popular_tags_cost_one_comparison_a_pair(spark):
     rng = random.Random(5)
     rows = [item(f"k{i}", "D-001", "decision", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)), tags="pqrst") for i in range(6000)]
